@@ -1,0 +1,4 @@
+"""Deliberately empty: the specification has no stream source, no event time and no state to keep.
+
+Genotype files are bounded inputs, so every job in this library is a batch job.
+"""
