@@ -214,7 +214,8 @@ def linked_call(token: Column, phased: Column, unphased: Column, unknown: Column
 
 
 def shared_alleles(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    """Size of the multiset intersection of two called genotypes: 0, 1 or 2."""
+    """Size of the multiset intersection of two genotypes: 0, 1 or 2, and NULL unless both are called."""
+    called = a1.isNotNull() & a2.isNotNull() & b1.isNotNull() & b2.isNotNull()
     same = ((a1 == b1) & (a2 == b2)) | ((a1 == b2) & (a2 == b1))
     some = (a1 == b1) | (a1 == b2) | (a2 == b1) | (a2 == b2)
-    return F.when(same, 2).when(some, 1).when(~some, 0)
+    return F.when(called & same, 2).when(called & some, 1).when(called, 0)

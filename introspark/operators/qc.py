@@ -214,14 +214,22 @@ def qc_table(flagged: DataFrame, filters: Filters) -> DataFrame:
     )
 
 
+def parent_rates(parent_calls: DataFrame, markers: DataFrame) -> DataFrame:
+    """(role, sample_id, het_rate over called markers, missing_rate over all markers)."""
+    called = F.col("a1").isNotNull() & F.col("a2").isNotNull()
+    n_markers = markers.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return parent_calls.groupBy("role", "sample_id").agg(
+        F.try_divide(F.count_if(called & (F.col("a1") != F.col("a2"))), F.count_if(called)).alias("het_rate"), F.count_if(called).alias("n")
+    ).select("role", "sample_id", "het_rate", (F.lit(1.0) - F.col("n") / n_markers).alias("missing_rate"))
+
+
 def parent_qc(parent_calls: DataFrame, markers: DataFrame, filters: Filters) -> DataFrame:
     """Warnings about the parents: heterozygous, missing, or hardly different from each other."""
-    called = F.col("a1").isNotNull() & F.col("a2").isNotNull()
     totals = markers.agg(F.count(F.lit(1)).alias("n_markers"), F.count_if("informative").alias("n_informative"))
-    n_markers = totals.select("n_markers").scalar()
-    rates = parent_calls.groupBy("sample_id", "role").agg(
-        F.try_divide(F.count_if(called & (F.col("a1") != F.col("a2"))), F.count_if(called)).alias("het"), F.count_if(called).alias("n")
-    ).withColumn("missing", F.lit(1.0) - F.col("n") / n_markers).withColumn("seq", F.when(F.col("role") == "recurrent_parent", 1).otherwise(2))
+    rates = parent_rates(parent_calls, markers).select(
+        "role", "sample_id", F.col("het_rate").alias("het"), F.col("missing_rate").alias("missing"),
+        F.when(F.col("role") == "recurrent_parent", 1).otherwise(2).alias("seq"),
+    )
     limit = filters.parent_max_het_rate
     het = rates.filter(F.col("het") > limit).select(
         "seq", F.lit(1).alias("part"),
