@@ -77,12 +77,16 @@ def _sorted_pair(x: Column, y: Column) -> Column:
     return _call("call", F.least(x, y), F.greatest(x, y))
 
 
-def nucleotide_call(cell: Column, hapmap: bool = False, vocabulary: Profile | None = None) -> Column:
-    """STRUCT(kind, s1, s2) with kind call / missing / het / bad; symbols sorted.
+def token(cell: Column) -> Column:
+    """The form of a cell every comparison uses. Normalise once, before the calls are read."""
+    return F.upper(strip(cell))
 
-    The platform vocabulary is tried before the nucleotide grammar.
+
+def nucleotide_call(t: Column, hapmap: bool = False, vocabulary: Profile | None = None) -> Column:
+    """STRUCT(kind, s1, s2) of a normalised token, with kind call / missing / het / bad; symbols sorted.
+
+    The platform vocabulary is tried before the nucleotide grammar, and frequent forms before rare ones.
     """
-    t = F.upper(strip(cell))
     format_missing = list(NUCLEOTIDE_MISSING + (HAPMAP_EXTRA_MISSING if hapmap else ()))
     if vocabulary is None:
         out = F.when(t.isin(format_missing), _call("missing"))
@@ -91,27 +95,23 @@ def nucleotide_call(cell: Column, hapmap: bool = False, vocabulary: Profile | No
         if vocabulary.base == "nucleotide":
             silent += format_missing
         out = F.when(t.isin(silent), _call("missing"))
-        for token, symbol in vocabulary.homozygous.items():
-            out = out.when(t == token.strip().upper(), _call("call", F.lit(symbol), F.lit(symbol)))
-        for token, pair in vocabulary.heterozygous.items():
+        for name, symbol in vocabulary.homozygous.items():
+            out = out.when(t == name.strip().upper(), _call("call", F.lit(symbol), F.lit(symbol)))
+        for name, pair in vocabulary.heterozygous.items():
             meaning = _call("het") if pair == "*" else _call("call", F.lit(min(pair)), F.lit(max(pair)))
-            out = out.when(t == token.strip().upper(), meaning)
+            out = out.when(t == name.strip().upper(), meaning)
         if vocabulary.base == "none":
             return out.otherwise(_call("bad"))
+    out = out.when(t.isin("A", "C", "G", "T"), _call("call", t, t)).when(
+        t.rlike(r"^[ACGT][/|]?[ACGT]$"), _sorted_pair(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    )
     for code, pair in AMBIGUITY.items():
         out = out.when(t == code, _call("call", F.lit(pair[0]), F.lit(pair[1])))
-    x, y = F.substring(t, 1, 1), F.substring(t, -1, 1)
-    return (
-        out.when(t.rlike("^[ACGT]$"), _call("call", t, t))
-        .when(t.rlike(r"^[ACGT][/|]?[ACGT]$"), _sorted_pair(x, y))
-        .when(t.rlike(r"^[ACGTN.\-][/|]?[ACGTN.\-]$"), _call("missing"))
-        .otherwise(_call("bad"))
-    )
+    return out.when(t.rlike(r"^[ACGTN.\-][/|]?[ACGTN.\-]$"), _call("missing")).otherwise(_call("bad"))
 
 
-def coded_call(cell: Column) -> Column:
-    """A/B/H-coded cell with the two parental symbols A and B."""
-    t = F.upper(strip(cell))
+def coded_call(t: Column) -> Column:
+    """A normalised A/B/H token with the two parental symbols A and B."""
     return (
         F.when(t.isin(list(CODED_MISSING)), _call("missing"))
         .when(t.isin("A", "B"), _call("call", t, t))
@@ -120,9 +120,8 @@ def coded_call(cell: Column) -> Column:
     )
 
 
-def votes_for_coding(cell: Column, claimed: list[str]) -> Column:
-    """Whether a cell takes part in coding detection: missing cells and vocabulary tokens do not."""
-    t = F.upper(strip(cell))
+def votes_for_coding(t: Column, claimed: list[str]) -> Column:
+    """Whether a token takes part in coding detection: missing cells and vocabulary tokens do not."""
     return ~t.isin(list(NUCLEOTIDE_MISSING) + claimed)
 
 

@@ -25,39 +25,41 @@ def chomp(line: Column) -> Column:
 
 
 def cells(line: Column, delimiter: Column) -> Column:
-    """Cells of one delimited line. Lines without a quote take the cheap path."""
-    plain = F.split(line, F.concat(F.lit(r"\Q"), delimiter, F.lit(r"\E")), -1)
-    # every cell is matched together with its closing delimiter, hence the one appended here
-    pattern = F.concat(F.lit('("(?:[^"]|"")*"|[^'), delimiter, F.lit("]*)"), delimiter)
-    quoted = F.transform(
-        F.regexp_extract_all(F.concat(line, delimiter), pattern, F.lit(1)),
-        lambda x: F.when(
-            x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(x),
-    )
-    return F.when(line.contains('"'), quoted).otherwise(plain)
+    """Cells of one line delimited by commas or tabs. Lines without a quote take the cheap path."""
+
+    def unquote(x: Column) -> Column:
+        inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+        return F.when(x.startswith('"'), inner).otherwise(x)
+
+    def by(d: str) -> Column:
+        # a quoted cell is matched together with its closing delimiter, hence the one appended here
+        matched = F.regexp_extract_all(F.concat(line, F.lit(d)), F.lit(f'("(?:[^"]|"")*"|[^{d}]*){d}'), F.lit(1))
+        return F.when(line.contains('"'), F.transform(matched, unquote)).otherwise(F.split(line, d, -1))
+
+    return F.when(delimiter == "\t", by("\t")).otherwise(by(","))
 
 
 def sniff_delimiter(header: Column) -> Column:
     return F.when(header.contains("\t"), F.lit("\t")).otherwise(F.lit(","))
 
 
-# The number grammars of the file contract.
+# The number grammars of the file contract. A minus sign is tolerated before a zero.
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 SIGNED_DIGITS = r"^[+-]?[0-9]+$"
 DIGITS = r"^[0-9]+$"
+_NOT_NEGATIVE = r"^(?:\+|-(?=[0.]*(?:[eE]|$)))?"
+WHOLE_POSITION = _NOT_NEGATIVE + "[0-9]+$"
+NUMBER_POSITION = _NOT_NEGATIVE + NUMBER.removeprefix("^[+-]?")
 
 
 def position(cell: Column, digits_only: bool = False) -> Column:
     """A whole non-negative position, or NULL when the text is not one."""
     text = strip(cell)
-    whole = F.when(text.rlike(DIGITS if digits_only else SIGNED_DIGITS), text.try_cast("bigint"))
+    whole = F.when(text.rlike(DIGITS if digits_only else WHOLE_POSITION), text.try_cast("bigint"))
     if digits_only:
         return whole
-    number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    fractional = F.when((number == F.floor(number)) & (F.abs(number) < 9.0e18), number.try_cast("bigint"))
-    value = F.coalesce(whole, F.when(~text.rlike(SIGNED_DIGITS), fractional))
-    return F.when(value >= 0, value)
+    number = text.try_cast("double")
+    return whole.when(text.rlike(NUMBER_POSITION), F.when(number == F.floor(number), number.try_cast("bigint")))
 
 
 def decimal_number(cell: Column) -> Column:

@@ -31,6 +31,15 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections read without evaluating their expressions again.
+
+    A filter on a computed column is pushed below it by repeating its expression; a generated row is not.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def pinned(rows: DataFrame) -> DataFrame:
     """A table of a few rows (one per locus of the criteria) as a literal of the plan."""
     return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)

@@ -12,36 +12,37 @@ from pyspark.sql import functions as F
 from introspark.functions import calls as C
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position, strip
-from introspark.sources.lines import Genotypes, SourceError, content, csv_rows, read_lines, with_header
+from introspark.operators.common import computed_once
+from introspark.sources.lines import Genotypes, SourceError, data_rows, early_rows, headed, read_lines
 
 HAPMAP_FIXED = 11
 WIDE_FIXED = ("marker_id", "chrom", "pos_bp")
 
 
-def _genotypes(rows: DataFrame, parse, seeds: Column, coded: bool, label: str) -> Genotypes:
+def _genotypes(rows: DataFrame, early: DataFrame, parse, seeds: Column, coded: bool, label: str) -> Genotypes:
     """From rows(file, ord, kind, marker_id, chrom, pos_bp, names, tokens): alleles, calls and violations."""
-    parsed = (
-        rows.filter("kind is null")
-        .withColumn("c", F.transform("tokens", parse))
-        .withColumn("c", C.resolve_marker(F.col("c"), seeds))
-        .withColumn("alleles", F.array(F.lit("A"), F.lit("B")) if coded else C.marker_alleles(F.col("c")))
+    read = C.resolve_marker(F.transform(F.transform("tokens", C.token), parse), seeds)
+    valid = rows.filter("kind is null")
+    parsed = computed_once(valid, ["file", "ord", "marker_id", "chrom", "pos_bp", "names", "tokens"], c=read)
+    parsed = computed_once(
+        parsed, parsed.columns,
+        alleles=F.array(F.lit("A"), F.lit("B")) if coded else C.marker_alleles(F.col("c")), broken=F.exists("c", lambda x: x["kind"] == "bad"),
     )
     bad = F.filter(F.arrays_zip("tokens", "c"), lambda x: x["c"]["kind"] == "bad")
     a1, a2 = C.encode(F.col("cell.c"), F.col("alleles"))
     exploded = parsed.select("marker_id", "alleles", F.explode(F.arrays_zip("names", "c")).alias("cell"))
     violations = rows.filter("kind is not null").select("file", "ord", "kind", F.coalesce("marker_id", F.lit("")).alias("detail")).unionByName(
-        parsed.filter(F.exists("c", lambda x: x["kind"] == "bad")).select(
+        parsed.filter("broken").select(
             "file", "ord", F.lit("unrecognised call").alias("kind"), F.concat_ws(" ", "marker_id", F.element_at(bad, 1)["tokens"]).alias("detail")
         )
     )
-    clean = ~F.exists("c", lambda x: x["kind"] == "bad")
     return Genotypes(
-        markers=parsed.filter(clean).select(
+        markers=parsed.filter("not broken").select(
             "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"
         ),
         calls=exploded.filter("cell.c.kind <> 'bad'").select("marker_id", F.col("cell.names").alias("sample_id"), a1.alias("a1"), a2.alias("a2")),
         samples=rows.groupBy("file").agg(F.first("names").alias("names")).select(F.explode("names").alias("sample_id")).distinct(),
-        violations=violations,
+        violations=violations.unionByName(early),
         coded=coded,
         token_profile=label,
     )
@@ -49,18 +50,18 @@ def _genotypes(rows: DataFrame, parse, seeds: Column, coded: bool, label: str) -
 
 def _judged(rows: DataFrame, fixed: int, header_ok: Column, marker: Column, chrom: Column, pos: Column, crop: Crop) -> DataFrame:
     width = F.size("header")
-    at = position(pos)
+    rest = F.greatest(width - fixed, F.lit(0))
+    once = computed_once(
+        rows, ["file", "ord", "cells", "header"], marker_id=marker, chrom=canonical_chrom(chrom, crop), pos_bp=position(pos),
+        names=F.slice("header", fixed + 1, rest), tokens=F.slice("cells", fixed + 1, rest),
+    )
     kind = (
         F.when(~header_ok, "unexpected header")
         .when(F.size("cells") != width, "wrong number of columns")
-        .when(marker == "", "empty marker_id")
-        .when(at.isNull(), "invalid position")
-    )
-    rest = F.greatest(width - fixed, F.lit(0))
-    return rows.select(
-        "file", "ord", "cells", kind.alias("kind"), marker.alias("marker_id"), canonical_chrom(chrom, crop).alias("chrom"), at.alias("pos_bp"),
-        F.slice("header", fixed + 1, rest).alias("names"), F.slice("cells", fixed + 1, rest).alias("tokens"),
+        .when(F.col("marker_id") == "", "empty marker_id")
+        .when(F.col("pos_bp").isNull(), "invalid position")
     )
+    return once.withColumn("kind", kind)
 
 
 def read_hapmap(spark: SparkSession, path: str, profile=None, crop: Crop = SOYBEAN) -> Genotypes:
@@ -69,29 +70,25 @@ def read_hapmap(spark: SparkSession, path: str, profile=None, crop: Crop = SOYBE
 
 def parse_hapmap(lines: DataFrame, profile=None, crop: Crop = SOYBEAN) -> Genotypes:
     vocabulary = C.profile(profile)
-    rows = with_header(content(lines).select("file", "ord", F.split("value", "\t", -1).alias("cells")))
+    text = headed(lines, F.lower("value").startswith("rs#"), "\t")
+    rows = data_rows(text)
 
     def column(i: int) -> Column:
         return F.try_element_at("cells", F.lit(i))
 
-    header_ok = F.lower(F.element_at("header", 1)).startswith("rs#") & (F.size("header") > HAPMAP_FIXED)
+    header_ok = F.size("header") > HAPMAP_FIXED
     judged = _judged(rows, HAPMAP_FIXED, header_ok, column(1), column(3), column(4), crop)
     listed = F.transform(F.split(F.try_element_at("cells", F.lit(2)), "/"), lambda a: F.upper(strip(a)))
     seeds = F.filter(listed, lambda a: ~a.isin("", "N"))
-    return _genotypes(
-        judged, lambda t: C.nucleotide_call(t, True, vocabulary), seeds, False, vocabulary.label if vocabulary else "default"
-    )
+    label = vocabulary.label if vocabulary else "default"
+    return _genotypes(judged, early_rows(text), lambda t: C.nucleotide_call(t, True, vocabulary), seeds, False, label)
 
 
 def detect_coding(rows: DataFrame, claimed: list[str]) -> DataFrame:
     """One row: whether every voting cell is A, B or H and some cell is B or H."""
-
-    def token(t: Column) -> Column:
-        return F.upper(strip(t))
-
-    voting = F.filter("tokens", lambda t: C.votes_for_coding(t, claimed))
+    voting = F.filter(F.transform("tokens", C.token), lambda t: C.votes_for_coding(t, claimed))
     return rows.select(
-        F.forall(voting, lambda t: token(t).isin("A", "B", "H")).alias("only"), F.exists(voting, lambda t: token(t).isin("B", "H")).alias("some")
+        F.forall(voting, lambda t: t.isin("A", "B", "H")).alias("only"), F.exists(voting, lambda t: t.isin("B", "H")).alias("some")
     ).agg((F.coalesce(F.every("only"), F.lit(False)) & F.coalesce(F.some("some"), F.lit(False))).alias("coded"))
 
 
@@ -99,11 +96,15 @@ def read_wide(spark: SparkSession, path: str, coding: str = "auto", profile=None
     return parse_wide(read_lines(spark, path), coding, profile, crop)
 
 
+def _wide_text(lines: DataFrame) -> DataFrame:
+    return headed(lines, F.lower("value").rlike(r'^[\s"]*marker_id'))
+
+
 def wide_rows(lines: DataFrame, crop: Crop = SOYBEAN) -> DataFrame:
-    rows = with_header(csv_rows(lines)).withColumn("header", F.transform("header", strip))
-    cell = [strip(F.try_element_at("cells", F.lit(i))) for i in (1, 2, 3)]
+    rows = data_rows(_wide_text(lines)).withColumn("header", F.transform("header", strip))
+    cell = [F.try_element_at("cells", F.lit(i)) for i in (1, 2, 3)]
     header_ok = (F.slice(F.transform("header", F.lower), 1, 3) == F.array(*[F.lit(c) for c in WIDE_FIXED])) & (F.size("header") > 3)
-    return _judged(rows, 3, header_ok, *cell, crop)
+    return _judged(rows, 3, header_ok, strip(cell[0]), cell[1], cell[2], crop)
 
 
 def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop = SOYBEAN) -> Genotypes:
@@ -117,7 +118,7 @@ def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop
             coding = "abh" if detect_coding(rows, vocabulary.tokens() if vocabulary else []).first()["coded"] else "nucleotide"
     if vocabulary is not None and coding == "abh":
         raise SourceError(f"token profile {vocabulary.profile_id} does not apply to an A/B/H-coded file")
-    none = F.array().cast("array<string>")
+    none, early = F.array().cast("array<string>"), early_rows(_wide_text(lines))
     if coding == "abh":
-        return _genotypes(rows, C.coded_call, none, True, "default")
-    return _genotypes(rows, lambda t: C.nucleotide_call(t, False, vocabulary), none, False, vocabulary.label if vocabulary else "default")
+        return _genotypes(rows, early, C.coded_call, none, True, "default")
+    return _genotypes(rows, early, lambda t: C.nucleotide_call(t, False, vocabulary), none, False, vocabulary.label if vocabulary else "default")

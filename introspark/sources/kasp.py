@@ -7,25 +7,20 @@ from pyspark.sql import functions as F
 
 from introspark.functions.calls import kasp_call
 from introspark.functions.text import strip
-from introspark.sources.lines import csv_rows, first_by, with_header
-
-LONG_HEADER = ("subjectid", "snpid", "call")
-
+from introspark.sources.lines import data_rows, first_by, headed
 
 def parse_long(lines: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
     """(calls, violations) of a sectioned long export.
 
     The data block starts after the first row that carries the three column names, wherever it stands.
     """
-    rows = csv_rows(lines).withColumn("low", F.transform("cells", lambda c: F.lower(strip(c))))
-    is_header = F.arrays_overlap("low", F.array(F.lit("subjectid")))
-    for name in LONG_HEADER:
-        is_header = is_header & F.array_contains("low", name)
-    heads = rows.filter(is_header).groupBy("file").agg(F.min("ord").alias("head"), F.min_by("low", "ord").alias("names"))
-    data = rows.join(heads, "file").filter(F.col("ord") > F.col("head"))
+    low = F.lower("value")
+    data = data_rows(headed(lines, low.contains("subjectid") & low.rlike(r"\bsnpid\b") & low.rlike(r"\bcall\b")))
+    names = F.transform("header", lambda c: F.lower(strip(c)))
+    data = data.withColumn("names", names)
 
     def cell(name: str):
-        return F.coalesce(F.try_element_at("cells", F.array_position("names", name).cast("int")), F.lit(""))
+        return F.coalesce(F.try_element_at("cells", F.nullif(F.array_position("names", name).cast("int"), F.lit(0))), F.lit(""))
 
     picked = data.select("file", "ord", strip(cell("subjectid")).alias("sample_id"), strip(cell("snpid")).alias("marker_id"), cell("call").alias("token"))
     kept = picked.filter(~F.col("sample_id").isin(list(controls)))
@@ -55,7 +50,10 @@ def grid_orientation(rows: DataFrame, markers: DataFrame) -> DataFrame:
 
 def parse_grid(lines: DataFrame, markers: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
     """(calls, violations) of a grid with samples on one axis and markers on the other."""
-    rows = with_header(csv_rows(lines))
+    # the first line of a grid has no fixed word in it; it is the one with the smallest id
+    first = lines.groupBy("file").agg(F.min("ord").alias("_first"))
+    marked = lines.join(first, "file").withColumn("value", F.when(F.col("ord") == F.col("_first"), F.concat(F.lit("\u0001"), "value")).otherwise(F.col("value")))
+    rows = data_rows(headed(marked.drop("_first"), F.col("value").startswith("\u0001")))
     facing = grid_orientation(rows, markers)
     violations = facing.filter("markers_across is null").select(
         "file", F.lit(0).alias("ord"), F.lit("no axis of the grid matches the markers").alias("kind"), F.lit("").alias("detail")

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introspark.functions.text import cells, chomp, is_blank, sniff_delimiter
+from introspark.functions.text import cells, chomp, is_blank, sniff_delimiter, strip
 
 
 class SourceError(ValueError):
@@ -19,13 +19,12 @@ class SourceError(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files (plain or gzip). A gzip file is one split: land large ones as Parquet first."""
+    """Lines of text files (plain or gzip). A gzip file is one split: land large ones as Parquet first.
+
+    Row ids grow within a partition and the splits of a file are laid out in offset order, so ``ord`` follows the file.
+    """
     rows = spark.read.text(path)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"),
-        "value",
-    )
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
 
 
 def content(lines: DataFrame) -> DataFrame:
@@ -40,51 +39,49 @@ def encoding_audit(lines: DataFrame) -> DataFrame:
     )
 
 
-def csv_rows(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """(file, ord, cells): delimited rows; the delimiter is a tab when the file's first row has one.
+def headed(lines: DataFrame, looks_like_header: Column, delimiter: str | None = None) -> DataFrame:
+    """(file, ord, value, head_ord, header, delimiter): content lines with the header of their file.
 
-    Rows whose cells are all blank are skipped. A quoted cell may hold delimiters and doubled quotes, not line breaks.
+    The header is the first line that looks like one. Candidates are filtered by their text, so nothing but a few
+    lines per file is aggregated. ``head_ord`` is NULL in a file without a header, and rows that are blank
+    in every cell are skipped.
     """
-    rows = content(lines)
-    if delimiter is None:
-        first = rows.groupBy("file").agg(sniff_delimiter(F.min_by("value", "ord")).alias("delimiter"))
-        rows = rows.join(first, "file")
-    else:
-        rows = rows.withColumn("delimiter", F.lit(delimiter))
-    return (
-        rows.select("file", "ord", cells(F.col("value"), F.col("delimiter")).alias("cells"))
-        .filter(F.exists("cells", lambda c: ~is_blank(c)))
-    )
+    text = content(lines).filter(~F.col("value").rlike(r'^[ \t,"]*$'))
+    heads = text.filter(looks_like_header).groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("head_ord"))
+    d = sniff_delimiter(F.col("head")) if delimiter is None else F.lit(delimiter)
+    heads = heads.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header"))
+    return text.join(heads, "file", "left")
 
 
-def with_header(rows: DataFrame, header_rank: int = 1) -> DataFrame:
-    """Add ``header`` (the cells of the ``header_rank``-th row of the file) and keep the rows after it.
+def data_rows(headed_lines: DataFrame) -> DataFrame:
+    """(file, ord, cells, header): the rows after the header."""
+    after = headed_lines.filter(F.col("ord") > F.col("head_ord"))
+    return after.select("file", "ord", cells(F.col("value"), F.col("delimiter")).alias("cells"), "header")
 
-    The header is found by an aggregate, never by ordering a file: the first row by the smallest ``ord``, a
-    later one by repeating that among the rows after it.
-    """
-    out = rows
-    for _ in range(header_rank):
-        first = out.groupBy("file").agg(F.min_by("cells", "ord").alias("header"), F.min("ord").alias("header_ord"))
-        out = out.drop("header").join(first, "file").filter(F.col("ord") > F.col("header_ord")).drop("header_ord")
-    return out
 
+def early_rows(headed_lines: DataFrame) -> DataFrame:
+    """Violations: content before the header, or in a file without one."""
+    early = F.col("head_ord").isNull() | (F.col("ord") < F.col("head_ord"))
+    return headed_lines.filter(early).select(
+        "file", "ord", F.lit("unexpected header").alias("kind"), F.substring("value", 1, 60).alias("detail")
+    )
 
-def named_rows(lines: DataFrame, columns: tuple[str, ...], delimiter: str | None = None, header_rank: int = 1, exact: bool = False) -> DataFrame:
-    """(file, ord, n_cells, one STRING column per name): cells by header name, trimmed.
 
-    Header names compare case-insensitively, or as written with ``exact``. A name the header lacks, or a
-    cell the row lacks, gives NULL.
-    """
-    from introspark.functions.text import strip
+def named_rows(lines: DataFrame, columns: tuple[str, ...], delimiter: str | None = None, exact: bool = False) -> DataFrame:
+    """(file, ord, one STRING column per name): cells by header name, trimmed.
 
-    rows = with_header(csv_rows(lines, delimiter), header_rank)
+    The header is the first line that holds the first name. Names compare case-insensitively, or as written with
+    ``exact``. A name the header lacks, or a cell the row lacks, gives NULL.
+    """
+    first = columns[0]
+    candidate = F.col("value").contains(first) if exact else F.lower("value").contains(first.lower())
+    rows = data_rows(headed(lines, candidate, delimiter))
     names = F.transform("header", strip if exact else (lambda h: F.lower(strip(h))))
     picked = [
         strip(F.try_element_at("cells", F.nullif(F.array_position("_names", c.strip()).cast("int"), F.lit(0)))).alias(c.strip())
         for c in columns
     ]
-    return rows.withColumn("_names", names).select("file", "ord", F.size("cells").alias("n_cells"), *picked)
+    return rows.withColumn("_names", names).select("file", "ord", *picked)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -120,12 +117,7 @@ def require_clean(violations: DataFrame) -> None:
         raise SourceError(f"{worst['file']}: {worst['kind']}: {worst['detail']}")
 
 
-def numbered(markers: DataFrame) -> DataFrame:
-    """Replace the (file, ord) of markers by one sortable ``file_ord``."""
-    return markers.withColumn("file_ord", F.struct("file", "ord")).drop("file", "ord")
-
-
 __all__ = [
-    "Genotypes", "SourceError", "content", "csv_rows", "encoding_audit", "first_by", "named_rows", "numbered",
-    "read_lines", "require_clean", "with_header",
+    "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "headed", "named_rows",
+    "read_lines", "require_clean",
 ]

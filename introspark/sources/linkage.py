@@ -32,7 +32,7 @@ def parse_linkage(lines: DataFrame, assembly: str = "a2", map_name: str = "WP")
     """
     chrom_name, pos_name = ASSEMBLY_COLUMNS[assembly]
     group_name, cm_name = MAP_COLUMNS[map_name]
-    rows = named_rows(lines, ("ss ID", "SNP ID", chrom_name, pos_name, group_name, cm_name), header_rank=2, exact=True)
+    rows = named_rows(lines, ("ss ID", "SNP ID", chrom_name, pos_name, group_name, cm_name), exact=True)
     number = F.col("`ss ID`").try_cast("double")
     parsed = rows.select(
         "file", "ord", F.col("`ss ID`").alias("raw_id"),

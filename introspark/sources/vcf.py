@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from introspark.functions.calls import genotype_field
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position
+from introspark.operators.common import computed_once
 from introspark.sources.lines import Genotypes, content, read_lines
 
 FIXED = 9
@@ -41,28 +42,26 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
     """
     text = content(lines).filter(~F.col("value").startswith("##"))
     rows = text.join(_headers(text, manifest), "file", "left").filter(F.col("header_ord").isNull() | (F.col("ord") != F.col("header_ord")))
-    f = F.split("value", "\t", -1)
-    rows = rows.withColumn("f", f).withColumn("gt_at", F.array_position(F.split(F.try_element_at("f", F.lit(9)), ":"), "GT").cast("int"))
+    rows = computed_once(rows, ["file", "ord", "value", "header_ord", "header", "wanted"], f=F.split("value", "\t", -1))
 
     def column(i: int):
         return F.try_element_at("f", F.lit(i))
 
-    pos = position(column(2), digits_only=True)
-    late_comment = F.col("value").startswith("#")
+    alt = F.when(column(5).isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(column(5), ","))
+    rows = computed_once(
+        rows, rows.columns, pos_bp=position(column(2), digits_only=True), gt_at=F.array_position(F.split(column(9), ":"), "GT").cast("int"),
+        chrom=canonical_chrom(column(1), crop), alleles=F.concat(F.array(column(4)), alt),
+    )
     kind = (
         F.when(F.col("header_ord").isNull() | (F.col("ord") < F.col("header_ord")), "data line before the #CHROM header")
-        .when(late_comment, "line beginning with # after the header")
+        .when(F.col("value").startswith("#"), "line beginning with # after the header")
         .when((F.size("header") < FIXED + 1) | (F.try_element_at("header", F.lit(9)) != "FORMAT"), "header needs FORMAT and a sample column")
         .when(F.size("f") != F.size("header"), "wrong number of columns")
         .when(F.coalesce("gt_at", F.lit(0)) == 0, "FORMAT has no GT")
-        .when(pos.isNull(), "invalid position")
-    )
-    alt = F.when(column(5).isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(column(5), ","))
-    name = F.when(column(3).isin(".", ""), F.concat_ws("_", column(1), pos.cast("string"))).otherwise(column(3))
-    judged = rows.select(
-        "file", "ord", "value", "wanted", "gt_at", "f", kind.alias("kind"), name.alias("marker_id"),
-        canonical_chrom(column(1), crop).alias("chrom"), pos.alias("pos_bp"), F.concat(F.array(column(4)), alt).alias("alleles"),
+        .when(F.col("pos_bp").isNull(), "invalid position")
     )
+    name = F.when(column(3).isin(".", ""), F.concat_ws("_", column(1), F.col("pos_bp").cast("string"))).otherwise(column(3))
+    judged = rows.select("file", "ord", "value", "wanted", "gt_at", "f", kind.alias("kind"), name.alias("marker_id"), "chrom", "pos_bp", "alleles")
     records = judged.filter("kind is null")
     tokens = F.transform(
         "wanted",
@@ -71,9 +70,8 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
             F.coalesce(F.try_element_at(F.split(F.element_at("f", w["at"]), ":"), F.col("gt_at")), F.lit(".")).alias("gt"),
         ),
     )
-    cells = records.select("file", "ord", "marker_id", F.size("alleles").alias("n"), F.inline(tokens)).select(
-        "file", "ord", "marker_id", "sample_id", "gt", genotype_field(F.col("gt"), F.col("n")).alias("call")
-    )
+    cells = records.select("file", "ord", "marker_id", F.size("alleles").alias("n"), F.inline(tokens))
+    cells = computed_once(cells, ["file", "ord", "marker_id", "sample_id", "gt"], call=genotype_field(F.col("gt"), F.col("n")))
     broken = judged.filter("kind is not null").select("file", "ord", "kind", F.substring("value", 1, 60).alias("detail"))
     bad_cells = cells.filter("call.problem is not null").select("file", "ord", F.col("call.problem").alias("kind"), F.concat_ws(" ", "marker_id", "sample_id", "gt").alias("detail"))
     return Genotypes(

@@ -44,7 +44,7 @@ def s2_vcf_violations(spark, sf):
     return vcf.parse_vcf(texts.vcf_lines(spark, sf, broken=True)).violations.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("p10_vcf_manifest_columns", f", {GRID} SELECT {NAME} AS marker_id, 's' || s AS sample_id, CAST(a1 AS INT) AS a1, CAST(a2 AS INT) AS a2 FROM grid JOIN progeny ON sample_id = 's' || grid.s WHERE family_id IS NOT NULL")
+@register("p10_vcf_manifest_columns", f", {GRID} SELECT {NAME} AS marker_id, 's' || s AS sample_id, CAST(a1 AS INT) AS a1, CAST(a2 AS INT) AS a2 FROM grid WHERE 's' || s IN (SELECT sample_id FROM progeny WHERE family_id IS NOT NULL)")
 def p10_vcf_manifest_columns(spark, sf):
     wanted = binding.dataset(spark, sf).progeny.filter("family_id is not null")
     return vcf.parse_vcf(texts.vcf_lines(spark, sf), manifest=wanted).calls
@@ -140,14 +140,14 @@ def _crop_sql() -> str:
 def p1_chromosome_names(spark, sf):
     """Every crop's canonical names in several spellings: as written, upper case, padded with blanks."""
     parts = binding.table(spark, sf, "part").select(F.col("p_partkey").alias("p"))
-
-    def one(c):
+    out = None
+    for c in CROPS.values():
         names = F.array(*[F.lit(x) for x in c.chromosomes])
         name = F.element_at(names, (F.col("p") % len(c.chromosomes) + 1).cast("int"))
         spelled = F.when(F.col("p") % 3 == 0, name).when(F.col("p") % 3 == 1, F.upper(name)).otherwise(F.concat(F.lit("\t "), F.lower(name), F.lit(" ")))
-        return F.struct(F.lit(c.crop_id).alias("crop"), canonical_chrom(spelled, c).alias("chrom"))
-
-    return parts.select("p", F.inline(F.array(*[one(c) for c in CROPS.values()])))
+        one = parts.select("p", spelled.alias("name")).select(F.lit(c.crop_id).alias("crop"), "p", canonical_chrom(F.col("name"), c).alias("chrom"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("p2_chromosome_order", """
@@ -272,4 +272,4 @@ def s19_encoding_audit(spark, sf):
 def p20_blank_rows(spark, sf):
     text = F.expr("case p_size % 4 when 0 then concat(p_name, ',x') when 1 then ' \t ' when 2 then ', ,\t' else p_name end")
     rows = binding.table(spark, sf, "part").select(F.lit("f").alias("file"), F.col("p_partkey").alias("ord"), text.alias("value"))
-    return lines.csv_rows(rows, ",").agg(F.count(F.lit(1)).alias("n_rows"))
+    return lines.headed(rows, F.lit(False), ",").agg(F.count(F.lit(1)).alias("n_rows"))
