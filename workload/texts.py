@@ -182,3 +182,152 @@ def map_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     head = p.groupBy().agg(F.lit("markers.csv").alias("file"), F.lit(0).alias("ord"), F.lit("marker_id,chrom,pos_bp,cm").alias("value"))
     return _lines(body, head)
+
+
+def kasp_long_lines(spark: SparkSession, sf: str, conflicting: bool = False) -> DataFrame:
+    """Sectioned long exports: preamble, then one row per call; some rows are repeated with the alleles swapped."""
+    calls = batch_cells(spark, sf).select("b", "p", F.posexplode("c").alias("k", "c")).filter("c is not null")
+    x, y = _symbol(F.col("c.a1")), _symbol(F.col("c.a2"))
+    silent = F.col("c.a1").isNull() | F.col("c.a2").isNull()
+    missing = F.when(F.col("p") % 3 == 0, "?").when(F.col("p") % 3 == 1, "UNCALLABLE").otherwise(F.concat(F.lit("bad call "), (F.col("p") % 7).cast("string")))
+    sep = F.element_at(F.array(F.lit(":"), F.lit("-"), F.lit("."), F.lit("")), (F.col("p") % 4 + 1).cast("int"))
+    token = F.when(silent, missing).otherwise(F.concat(x, sep, y))
+    again = F.when(silent, missing).otherwise(F.concat(y, F.lit(":"), x))
+    if conflicting:
+        again = F.when(~silent & (F.col("p") % 29 == 1), "TT").otherwise(again)
+    rows = F.when(F.col("p") % 13 == 1, F.array(token, again)).otherwise(F.array(token))
+    exploded = calls.select("b", "p", "k", F.col("c.s").alias("s"), F.posexplode(rows).alias("again", "token"))
+    body = exploded.select(
+        _file("kasp", ".csv").alias("file"), (F.lit(100) + F.col("p") * 8 + F.col("k") * 2 + F.col("again")).alias("ord"),
+        F.concat_ws(",", F.lit("plate"), F.concat(F.lit("m"), "p"), F.concat(F.lit("s"), "s"), "token", F.lit("x")).alias("value"),
+    )
+    heads = batches(spark, sf).select(
+        _file("kasp", ".csv").alias("file"),
+        F.inline(F.array(
+            F.struct(F.lit(0).alias("ord"), F.lit("Statistics").alias("value")), F.struct(F.lit(1).alias("ord"), F.lit("SNPID,SNPNum,AlleleY").alias("value")),
+            F.struct(F.lit(2).alias("ord"), F.lit("m1,1,C").alias("value")), F.struct(F.lit(3).alias("ord"), F.lit("Plate,SNPID,SubjectID,Call,Note").alias("value")),
+            F.struct(F.lit(4).alias("ord"), F.lit("plate,m1,NTC,AA,x").alias("value")),
+        )),
+    )
+    return _lines(body, heads)
+
+
+def page_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """(b, page, names, rows): the batch cells of up to 100 neighbouring markers, as one array."""
+    cells = batch_cells(spark, sf)
+    return cells.groupBy("b", F.expr("p div 100").alias("page"), "names").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("rows"))
+
+
+def kasp_grid_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Grids of one page each; odd batches have markers down and samples across."""
+    pages = page_cells(spark, sf)
+    cell = lambda c: F.when(c.isNull() | c["a1"].isNull() | c["a2"].isNull(), "?").otherwise(F.concat(_symbol(c["a1"]), F.lit(":"), _symbol(c["a2"])))
+    marker_names = F.transform("rows", lambda r: F.concat(F.lit("m"), r["p"].cast("string")))
+    file = F.concat(F.lit("grid"), F.col("b").cast("string"), F.lit("_"), F.col("page").cast("string"), F.lit(".csv"))
+    down = pages.filter("b % 2 = 1").select(
+        file.alias("file"),
+        F.posexplode(F.concat(
+            F.array(F.concat(F.lit("DNA,"), F.array_join("names", ","))),
+            F.transform("rows", lambda r: F.concat(F.lit("m"), r["p"].cast("string"), F.lit(","), F.array_join(F.transform(r["c"], cell), ","))),
+        )).alias("ord", "value"),
+    )
+    across = pages.filter("b % 2 = 0").select(
+        file.alias("file"),
+        F.posexplode(F.concat(
+            F.array(F.concat(F.lit("DNA,"), F.array_join(marker_names, ","))),
+            F.transform("names", lambda n, i: F.concat(n, F.lit(","), F.array_join(F.transform("rows", lambda r: cell(F.element_at(r["c"], i + 1))), ","))),
+        )).alias("ord", "value"),
+    )
+    return _lines(down, across)
+
+
+def gff3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Position files of two assemblies and two panels, made from the parts' sizes and brands."""
+    p = binding.table(spark, sf, "part")
+    files = F.array(*[
+        F.struct(F.lit(f"glyma.Wm82.{a}.mrk.{panel}.gff3").alias("file"), F.lit(a).alias("a"), F.lit(shift).alias("shift"), F.lit(panel).alias("panel"))
+        for a, shift in (("gnm1", 7), ("gnm2", 0)) for panel in ("SoySNP50K", "SoySNP6K")
+    ])
+    rows = p.select("p_partkey", "p_size", "p_brand", F.inline(files)).filter("(panel = 'SoySNP50K' and p_size > 10) or (panel = 'SoySNP6K' and p_size <= 25)")
+    body = rows.select(
+        "file", (F.col("p_partkey") + 1).alias("ord"),
+        F.expr(
+            """concat_ws('\t', concat('glyma.Wm82.', a, '.', if(p_size = 50, concat('scaffold_', p_partkey), concat('Gm', lpad(cast(1 + p_partkey % 20 as string), 2, '0')))),
+               'snp', 'marker', cast((p_partkey div 20 + 1) * 30000 + shift + if(panel = 'SoySNP6K', 3, 0) as string), '0', '.', '+', '.',
+               concat('ID=x', p_partkey, '; Name=m', p_partkey, ';Alias=', p_brand, '=1'))"""
+        ).alias("value"),
+    )
+    heads = p.groupBy().agg(F.lit(0).alias("ord")).select(F.explode(F.transform(files, lambda x: x["file"])).alias("file"), "ord", F.lit("##gff-version 3").alias("value"))
+    return _lines(body, heads)
+
+
+def linkage_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A published-map table with rejects of every kind and locally disordered cM."""
+    p = binding.table(spark, sf, "part")
+    body = p.select(
+        F.lit("map.csv").alias("file"), (F.col("p_partkey") + 2).alias("ord"),
+        F.expr(
+            """concat_ws(',', concat(p_partkey, '.0'), concat('snp', p_partkey), 'x',
+               if(p_size = 1, 'scaffold_21', concat('Gm', lpad(cast(1 + p_partkey % 20 as string), 2, '0'))),
+               if(p_size = 2, '', cast((p_partkey div 20 + 1) * 30000 as string)),
+               if(p_size = 3, '', cast(if(p_size = 4, 20, 1) + if(p_size = 4, 0, p_partkey % 20) as string)),
+               if(p_size = 5, 'n/a', cast((p_partkey div 20 + 1) * 0.075D + if(p_size > 44, p_size - 44, 0) * 0.05D as string)))"""
+        ).alias("value"),
+    )
+    heads = p.groupBy().agg(F.lit("map.csv").alias("file")).select("file", F.inline(F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit("Table S1").alias("value")),
+        F.struct(F.lit(1).alias("ord"), F.lit("ss ID,SNP ID,Note,Wm82.a2.v1 Chromosome,Wm82.a2.v1 Coordinate,WP Linkage Group,WP linkage position").alias("value")),
+    )))
+    return _lines(body, heads)
+
+
+def pedigree_lines(spark: SparkSession, sf: str) -> DataFrame:
+    s = binding.table(spark, sf, "supplier")
+    cross = "concat('Clark (', 1 + s_suppkey % 6, ') x ', if(s_nationkey < 12, 'PI86024', 'PI80837'))"
+    rows = s.select("s_suppkey", F.expr(
+        f"""array(concat('"', if(s_suppkey % 9 = 8, 'L', 'PI'), s_suppkey, '",', if(s_suppkey % 2 = 0, concat('PI548533,', {cross}), concat({cross}, ',Clark'))),
+                  concat('PI', s_suppkey, ',Clark,Clark (9) x PI86024'))"""
+    ).alias("r"))
+    body = rows.select(F.lit("pedigrees.csv").alias("file"), "s_suppkey", F.posexplode("r").alias("again", "value")).select("file", (F.col("s_suppkey") * 2 + F.col("again") + 1).alias("ord"), "value")
+    head = s.groupBy().agg(F.lit("pedigrees.csv").alias("file"), F.lit(0).alias("ord"), F.lit("Line,Female Parent,Male Parent").alias("value"))
+    return _lines(body, head)
+
+
+def variant_set_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(call set pages, variant pages, matrix pages) as lines of JSON.
+
+    Every tenth sample shares its name with its neighbour; variants of one size have no position; tokens mix both separators.
+    """
+    s = binding.table(spark, sf, "supplier").select(
+        F.expr("s_suppkey div 10").alias("page"),
+        F.struct(
+            F.expr("concat('cs', s_suppkey)").alias("callSetDbId"), F.expr("if(s_suppkey % 10 < 2, concat('name', s_suppkey div 10), concat('s', s_suppkey))").alias("callSetName"),
+            F.expr("concat('db', s_suppkey)").alias("sampleDbId"),
+        ).alias("x"),
+    )
+    v = binding.table(spark, sf, "part").select(
+        F.expr("p_partkey div 100").alias("page"),
+        F.struct(
+            F.expr("concat('v', p_partkey)").alias("variantDbId"), F.expr("if(p_size = 8, array('.', ''), array('.', concat('m', p_partkey)))").alias("variantNames"),
+            F.expr("if(p_size = 9, null, concat('Gm', 1 + p_partkey % 20))").alias("referenceName"), F.expr("(p_partkey div 20 + 1) * 30000 - 1").alias("start"),
+            F.expr("if(p_size = 10, null, 'A')").alias("referenceBases"), F.expr("if(p_size = 10, null, array('C', ''))").alias("alternateBases"),
+        ).alias("x"),
+    )
+
+    def listed(rows: DataFrame, prefix: str) -> DataFrame:
+        data = rows.groupBy("page").agg(F.collect_list("x").alias("data"))
+        return data.select(F.concat(F.lit(prefix), F.col("page").cast("string")).alias("file"), F.to_json(F.struct(F.struct("data").alias("result"))).alias("value"))
+
+    token = lambda c: F.when(c.isNull() | (c["a1"].isNull() & c["a2"].isNull()), F.lit(None)).when(c["a2"].isNull(), F.concat(c["a1"].cast("string"), F.lit("/N"))).when(
+        c["a1"] == c["a2"], c["a1"].cast("string")
+    ).otherwise(F.concat(c["a1"].cast("string"), F.when(c["s"] % 2 == 1, "|").otherwise("/"), c["a2"].cast("string")))
+    matrix = F.array(F.struct(F.lit("GT").alias("dataMatrixAbbreviation"), F.transform("rows", lambda r: F.transform(r["c"], token)).alias("dataMatrix")))
+    result = F.struct(
+        F.transform("names", lambda n: F.concat(F.lit("cs"), F.substring(n, F.lit(2), F.length(n)))).alias("callSetDbIds"),
+        F.transform("rows", lambda r: F.concat(F.lit("v"), r["p"].cast("string"))).alias("variantDbIds"),
+        F.lit("N").alias("unknownString"), matrix.alias("dataMatrices"),
+    )
+    pages = page_cells(spark, sf).select(
+        F.concat(F.lit("allelematrix"), F.col("b").cast("string"), F.lit("_"), F.col("page").cast("string")).alias("file"), F.to_json(F.struct(result.alias("result"))).alias("value")
+    )
+    return listed(s, "callsets"), listed(v, "variants"), pages
