@@ -74,22 +74,16 @@ def neighbours(df: DataFrame, keys: list[str], bin_column: str, order: list[str]
     )
 
 
-def running(
-    df: DataFrame, keys: list[str], bin_column: str, order: list[str], fold, value: Column, name: str,
-    backward: bool = False, include: bool = True,
-) -> DataFrame:
-    """Add a running ``max`` or ``min`` of ``value`` over each key, from the first row (or, backward, from the last).
+def running(df: DataFrame, keys: list[str], bin_column: str, order: list[str], fold, value: Column, name: str) -> DataFrame:
+    """Add a running ``max`` or ``min`` of ``value`` over each key, from its first row to the current one.
 
     As with ``neighbours``, rows are ordered per (key, bin); a window per key sees one row per bin.
     """
-    first, edge = Window.unboundedPreceding, 0 if include else -1
-    ordered = Window.partitionBy(*keys, bin_column).orderBy(*order)
-    inside = ordered.rowsBetween(-edge, Window.unboundedFollowing) if backward else ordered.rowsBetween(first, edge)
-    by_bin = Window.partitionBy(*keys).orderBy(bin_column)
-    outside = by_bin.rowsBetween(1, Window.unboundedFollowing) if backward else by_bin.rowsBetween(first, -1)
-    best = {F.max: F.greatest, F.min: F.least}[fold]
+    inside = Window.partitionBy(*keys, bin_column).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outside = Window.partitionBy(*keys).orderBy(bin_column).rowsBetween(Window.unboundedPreceding, -1)
     bins = df.groupBy(*keys, bin_column).agg(fold(value).alias("_bin_value"))
     carried = bins.select(*keys, bin_column, fold("_bin_value").over(outside).alias("_carried"))
+    best = {F.max: F.greatest, F.min: F.least}[fold]
     out = df.withColumn("_inside", fold(value).over(inside)).join(carried, [*keys, bin_column])
     return out.withColumn(name, best("_inside", "_carried")).drop("_inside", "_carried")
 

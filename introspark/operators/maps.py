@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introspark.operators.background import BIN_BP
-from introspark.operators.common import running
+from introspark.operators.common import land, running
 from introspark.operators.drag import interpolated
 
 
@@ -41,12 +41,22 @@ def independent_stretches(anchors: DataFrame) -> DataFrame:
     A longest non-decreasing subsequence of a chromosome is the concatenation of those of its stretches, so
     the solver sees the local disorder of a map instead of whole chromosomes.
     """
-    order = ["pos_bp", "cm", "marker_id"]
-    rows = anchors.withColumn("_bin", F.floor(F.col("pos_bp") / BIN_BP))
-    rows = running(rows, ["chrom"], "_bin", order, F.max, F.col("cm"), "_below", include=False)
-    rows = running(rows, ["chrom"], "_bin", order, F.min, F.col("cm"), "_above", backward=True)
-    cut = F.col("_below").isNull() | (F.col("_below") <= F.col("_above"))
-    return running(rows, ["chrom"], "_bin", order, F.max, F.when(cut, F.struct(*order)), "stretch").drop("_bin", "_below", "_above")
+    order, key = ["pos_bp", "cm", "marker_id"], ["chrom", "_bin"]
+    rows = land(anchors.withColumn("_bin", F.floor(F.col("pos_bp") / BIN_BP)), "map_anchors")
+    by_bin = Window.partitionBy("chrom").orderBy("_bin")
+    outer = rows.groupBy(*key).agg(F.max("cm").alias("top"), F.min("cm").alias("low")).select(
+        *key, F.max("top").over(by_bin.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("low").over(by_bin.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    inside = Window.partitionBy(*key).orderBy(*order)
+    below = F.greatest(F.max("cm").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_earlier"))
+    above = F.least(F.min("cm").over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("_later"))
+    marked = land(
+        rows.join(outer, key).select(*rows.columns, below.alias("_below"), above.alias("_above"))
+        .withColumn("_cut", F.when(F.col("_below").isNull() | (F.col("_below") <= F.col("_above")), F.struct(*order))),
+        "map_stretches",
+    )
+    return running(marked, ["chrom"], "_bin", order, F.max, F.col("_cut"), "stretch").drop("_bin", "_below", "_above", "_cut")
 
 
 def monotone_anchors(anchors: DataFrame) -> DataFrame:
@@ -117,8 +127,8 @@ def linkage_map(table: DataFrame, markers_in: DataFrame | None = None) -> dict[s
     ``table`` has marker_id, snp_id, chrom, pos_bp, cm, reject, file_ord. Returns ``mapped`` (kept anchors at
     the mean cM of their position), ``markers`` (the output map), ``counts`` and ``problems``.
     """
-    good = table.filter("reject is null").select("marker_id", "chrom", "pos_bp", "cm")
-    judged = monotone_anchors(good)
+    table = land(table, "linkage_table")
+    judged = land(monotone_anchors(table.filter("reject is null")), "judged_anchors")
     kept = judged.filter("kept").select("marker_id", "chrom", "pos_bp", "cm")
     means = tied_means(kept)
     mapped = kept.select("marker_id", "chrom", "pos_bp").join(means, ["chrom", "pos_bp"]).select("marker_id", "chrom", "pos_bp", "cm")
@@ -129,7 +139,7 @@ def linkage_map(table: DataFrame, markers_in: DataFrame | None = None) -> dict[s
         out["markers"] = mapped
         out["problems"] = mapped.filter("false").select(F.col("marker_id"), F.lit("").alias("problem"))
     else:
-        matched = match_markers(markers_in, table)
+        matched = land(match_markers(markers_in, table), "matched_markers")
         differs = (F.col("t_pos").isNotNull()) & ((F.col("t_chrom") != F.col("chrom")) | (F.col("t_pos") != F.col("pos_bp")))
         out["problems"] = matched.filter(differs).select("marker_id", F.lit("position differs from the table's").alias("problem"))
         known = mapped.select(F.col("marker_id").alias("table_id"), F.col("cm").alias("table_cm"))

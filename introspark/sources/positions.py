@@ -17,7 +17,7 @@ PANELS = ("SoySNP50K", "SoySNP6K")
 def parse_gff3(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(positions, violations): file, ord, marker_id, chrom, pos_bp of every feature row."""
     rows = content(lines).filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t", -1))
-    fields = F.transform(F.split(F.try_element_at("f", F.lit(9)), ";"), F.trim)
+    fields = F.transform(F.split(F.try_element_at("f", F.lit(9)), ";"), lambda x: F.trim(x))
     named = F.filter(fields, lambda x: x.rlike(r"^Name\s*="))
     name = F.trim(F.regexp_extract(F.try_element_at(named, F.lit(-1)), "=(.*)$", 1))
     start = F.try_element_at("f", F.lit(4))

@@ -415,12 +415,12 @@ def w2_weighted_rank_by_ranges(spark, sf):
 
 
 @register("w3_staged_rank", """
-    SELECT s.sample_id, CAST(r AS INT) AS rank_overall, CAST(f AS INT) AS rank_in_family FROM scored s LEFT JOIN (
+    SELECT s.sample_id, CAST(r AS INT) AS rank_overall, CAST(o.f AS INT) AS rank_in_family FROM scored s LEFT JOIN (
         SELECT sample_id, row_number() OVER (ORDER BY recombinant_flanks DESC NULLS LAST, rpp_carrier DESC NULLS LAST, rpp_noncarrier DESC NULLS LAST,
                                              drag_total_est NULLS LAST, missing_rate NULLS LAST, sample_id) AS r,
                row_number() OVER (PARTITION BY coalesce(family_id, '') ORDER BY recombinant_flanks DESC NULLS LAST, rpp_carrier DESC NULLS LAST,
                                   rpp_noncarrier DESC NULLS LAST, drag_total_est NULLS LAST, missing_rate NULLS LAST, sample_id) AS f
-        FROM scored WHERE passes_filters) USING (sample_id)""")
+        FROM scored WHERE passes_filters) o USING (sample_id)""")
 def w3_staged_rank(spark, sf):
     run = _run(spark, sf, ranking={"mode": "staged"})
     return ranking.ranked_samples(run, False).select("sample_id", "rank_overall", "rank_in_family")
