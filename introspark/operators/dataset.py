@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from introspark.functions.chrom import SOYBEAN, Crop, chrom_order
 from introspark.operators.common import duplicates
-from introspark.schema import LISTED_MAP_OVERRIDES, LISTED_PER_KIND, PROGENY_ROLES
+from introspark.schema import LISTED_MAP_OVERRIDES, LISTED_PER_KIND, PARENT_ROLES, PROGENY_ROLES
 
 
 @dataclass(frozen=True)
@@ -36,9 +36,17 @@ class Dataset:
         return self.samples.filter(F.col("role").isin(*PROGENY_ROLES))
 
     def parent_calls(self) -> DataFrame:
-        """Calls of the two parents with their role."""
-        parents = self.samples.filter(F.col("role").isin("recurrent_parent", "donor_parent")).select("sample_id", "role")
-        return self.calls.join(F.broadcast(parents), "sample_id")  # two rows by the manifest contract
+        """Calls of the two parents with their role.
+
+        The manifest names exactly one parent of each role, so their ids are looked up first and reach the scan
+        of the calls as literals.
+        """
+        rows = self.samples.filter(F.col("role").isin(*PARENT_ROLES)).select("sample_id", "role").limit(len(PARENT_ROLES) + 1).collect()
+        roles = {r["sample_id"]: r["role"] for r in rows}
+        role = F.lit(None).cast("string")
+        for sample_id, name in roles.items():
+            role = F.when(F.col("sample_id") == sample_id, name).otherwise(role)
+        return self.calls.filter(F.col("sample_id").isin(*roles)).withColumn("role", role)
 
 
 def overlay_map(markers: DataFrame, marker_map: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from introspark.functions.chrom import Crop, assembly_length
 from introspark.operators.background import BIN_BP
-from introspark.operators.common import neighbours
+from introspark.operators.common import land, neighbours
 
 
 def strip_lengths(markers: DataFrame, assembly: str, crop: Crop) -> DataFrame:
@@ -27,14 +27,14 @@ def segments(state_rows: DataFrame, lengths: DataFrame) -> DataFrame:
         "sample_id", "chrom", "pos_bp", "file_ord", "state", F.floor(F.col("pos_bp") / BIN_BP).alias("_bin")
     )
     key = ["sample_id", "chrom"]
-    seen = neighbours(rows, key, "_bin", ["pos_bp", "file_ord"], ["pos_bp", "state"])
+    seen = neighbours(land(rows, "strip_states"), key, "_bin", ["pos_bp", "file_ord"], ["pos_bp", "state"])
     opening = (
         seen.filter(F.col("prev").isNull() | (F.col("prev.state") != F.col("state")))
         .join(lengths.select("chrom", "length_bp"), "chrom")
         .withColumn("start", F.when(F.col("prev").isNull(), 0.0).otherwise((F.col("prev.pos_bp") + F.col("pos_bp")) / 2.0 / F.col("length_bp")))
         .drop("prev", "next")
     )
-    return neighbours(opening, key, "_bin", ["pos_bp", "file_ord"], ["start"]).select(
+    return neighbours(land(opening, "strip_starts"), key, "_bin", ["pos_bp", "file_ord"], ["start"]).select(
         "sample_id", "chrom", "pos_bp", "start", F.coalesce("next.start", F.lit(1.0)).alias("end"), "state"
     )
 

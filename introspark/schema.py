@@ -11,6 +11,7 @@ STATE_LABELS = ("A", "H", "B", "X", "N", "U")
 # --- fixed values: roles, missing tokens ----------------------------------------------------------
 SAMPLE_ROLES = ("recurrent_parent", "donor_parent", "candidate", "progeny")
 PROGENY_ROLES = ("progeny", "candidate")
+PARENT_ROLES = ("recurrent_parent", "donor_parent")
 NUCLEOTIDE_MISSING = ("", "N", "NN", "NA", "-", "--", ".", "./.", ".|.")
 HAPMAP_EXTRA_MISSING = ("X", "XX")
 CODED_MISSING = ("", "N", "NA")

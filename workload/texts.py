@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from introspark.operators.common import land
 from workload import binding
 
 BATCH = 4
@@ -41,7 +42,8 @@ def _lines(body: DataFrame, *heads: DataFrame) -> DataFrame:
     out = body
     for h in heads:
         out = out.unionByName(h)
-    return out.select("file", F.col("ord").cast("bigint").alias("ord"), "value")
+    # written first, as a file would be: a parser looks at its lines more than once
+    return land(out.select("file", F.col("ord").cast("bigint").alias("ord"), "value"), "lines")
 
 
 def vcf_lines(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
