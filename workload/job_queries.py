@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from introspark.functions.calls import AMBIGUITY, kasp_call, nucleotide_call, token
+from introspark.functions.calls import AMBIGUITY, kasp_call, linked_call, nucleotide_call, token
+from introspark.functions.chrom import SOYBEAN
 from introspark.functions.text import after_last_dot, decimal_number
-from introspark.operators import classify, loci, maps, qc, select
+from introspark.operators import background, classify, drag, loci, maps, qc, select
 from introspark.plans import rank as ranking
 from introspark.sinks import export
-from introspark.sources import kasp, linkage, pedigree, positions, results, variant_pages
+from introspark.sources import grids, kasp, linkage, pedigree, positions, results, variant_pages
 from introspark.sources.lines import first_by
 from workload import binding, texts
-from workload.queries import CHROMS, _ranked, _run, register
+from workload.queries import CHROMS, _drag, _ranked, _resolved, _run, register
 from workload.source_queries import GRID
 
 # --- KASP ----------------------------------------------------------------------------------------------------------------
@@ -463,3 +464,52 @@ def f13_reserved_chromosome_names(spark, sf):
     return binding.table(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.concat(F.lit("rpp_"), name).isin(*ranking.RESULT_PREFIX).alias("reserved"))
 
 
+
+
+# --- further forms of operators registered above ---------------------------------------------------------------------------------------
+
+
+@register("a14_drag_bounds_cm", """
+    SELECT d.sample_id, d.locus_id, round(d.left_min * 2.5e-6, 6) AS left_min, round(d.left_max * 2.5e-6, 6) AS left_max, round(d.right_min * 2.5e-6, 6) AS right_min,
+           round(CASE WHEN d.right_max = e.end_bp - l.end_bp THEN e.last_cm - l.end_bp * 2.5e-6 ELSE d.right_max * 2.5e-6 END, 6) AS right_max
+    FROM drag d JOIN loci l USING (locus_id) JOIN ends e ON e.chrom = l.chrom""")
+def a14_drag_bounds_cm(spark, sf):
+    bounds = _drag(spark, sf, flank_unit="cm", flank_window=0.5)
+    return bounds.select("sample_id", "locus_id", *[F.round(c, 6).alias(c) for c in ("left_min", "left_max", "right_min", "right_max")])
+
+
+@register("w10_locus_edges_cm", "SELECT locus_id, round(start_bp * 2.5e-6, 6) AS left_edge, round(end_bp * 2.5e-6, 6) AS right_edge FROM loci")
+def w10_locus_edges_cm(spark, sf):
+    markers = binding.markers(spark, sf)
+    edges = drag.locus_edges(markers, _resolved(spark, sf)[2], background.chromosome_ends(markers, "Wm82.a4", SOYBEAN), "cm")
+    return edges.select("locus_id", F.round("left_edge", 6).alias("left_edge"), F.round("right_edge", 6).alias("right_edge"))
+
+
+@register("j5_flanking_locus", "SELECT locus_id, marker_id, pos_bp FROM members WHERE locus_id = 'T3'")
+def j5_flanking_locus(spark, sf):
+    table, members, _ = _resolved(spark, sf)
+    return members.join(table.filter("kind = 'flanking'").select("locus_id"), "locus_id", "left_semi").select("locus_id", "marker_id", "pos_bp")
+
+
+@register("a23_end_warnings", """
+    , named AS (SELECT chrom, row_number() OVER (ORDER BY chrom) AS i, count(*) OVER () AS n FROM ends)
+    SELECT 'chromosome ' || chrom || ': the assembly none gives no length; the last marker is the chromosome end for drag bounds' AS message FROM named WHERE i <= 5
+    UNION ALL SELECT '... and ' || (n - 5) || ' more chromosomes to which the assembly none gives no length' FROM named WHERE i = 6""")
+def a23_end_warnings(spark, sf):
+    ends = background.chromosome_ends(binding.markers(spark, sf), "none", SOYBEAN)
+    return background.end_warnings(ends, "none", SOYBEAN).select("message")
+
+
+@register("s11d_page_tokens", """
+    SELECT p_partkey AS p, CASE p_size % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS a1, CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS a2, p_size % 5 = 4 AS invalid FROM part""")
+def s11d_page_tokens(spark, sf):
+    text = F.expr("case p_size % 5 when 0 then '0|1' when 1 then '2' when 2 then '1/N' when 3 then ' N ' else '127/0' end")
+    call = linked_call(text, F.lit("|"), F.lit("/"), F.lit("N"))
+    return binding.table(spark, sf, "part").select(F.col("p_partkey").alias("p"), call.alias("c")).select("p", "c.a1", "c.a2", F.col("c.problem").isNotNull().alias("invalid"))
+
+
+@register("p9_allele_indices", f""", {GRID} SELECT 'm' || p || 'b' || b AS marker_id, 's' || s AS sample_id,
+    CASE WHEN {SILENT} THEN NULL ELSE (SELECT count(DISTINCT x) FROM (SELECT h.a1 AS x FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL
+        UNION SELECT h.a2 FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL) WHERE x < least(g.a1, g.a2)) END AS a1 FROM grid g""")
+def p9_allele_indices(spark, sf):
+    return grids.parse_hapmap(texts.hapmap_lines(spark, sf)).calls.select("marker_id", "sample_id", "a1")
