@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,6 +56,19 @@ def prefix_sums(df: DataFrame, order: list[Column], values: list[str], name: str
     return out.drop("_part", *[f"_{v}_off" for v in values])
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: they need not find the repository themselves."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), package.name), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 #: Queries and their SQL by name, filled by ``registered``.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,10 +78,15 @@ def registered(name: str, sql: str | None = None):
     """Register a query of (spark, sf_dir) and, where SQL can express it, its SQL for DuckDB."""
 
     def keep(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
-        return fn
+        return run
 
     return keep
 

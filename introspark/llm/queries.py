@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_classifier, quality_rules  # noqa: F401
+from . import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
