@@ -198,17 +198,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (
-  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), v AS (
+  SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS words FROM p
 ), g AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least FROM p
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS least FROM v WHERE i <= n - 12
 ), c AS (
   SELECT DISTINCT doc_id, i + j AS k FROM g, range(0, 13) AS r(j) WHERE least < doc_id
-), r AS (
-  SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id
+), l AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND i = k WHERE k IS NULL GROUP BY p.doc_id
 )
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
-FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l ON d.doc_id = l.doc_id
 """)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
