@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, deal, gathered, heads
+from .blocks import BLOCK, BLOCK_SCHEMA, deal, gathered, heads
 from .bytewords import covered, inside, pieces, window_hashes, words
 from .common import documents, land, registered, shuffle_partitions
 from .idfilter import parted
 
 WINDOW = 13
 #: Values of one batch of blocks; bounds the memory of a task.
-BATCH_VALUES = 1 << 20
+BATCH_VALUES = 1 << 19
 #: Stands for a null id: after all ids.
 LAST_ID = (1 << 63) - 1
 _KEPT = "doc_id long, n_words long, n_removed long, kept string"
@@ -66,7 +66,7 @@ class _Windows:
         for i, found in enumerate(hits.to_pylist()):
             if found:
                 a, b = bounds[i], bounds[i + 1]
-                out[a:b] = np.isin(values[a:b], np.frombuffer(b"".join(found), np.uint64))
+                out[a:b] = np.isin(values[a:b], np.frombuffer(found, np.uint64))
         return out
 
 
@@ -88,7 +88,10 @@ def _ship(values: list, owner: list, ids: list, n_buckets: int, last: bool) -> I
 
 
 def _repeated(docs: DataFrame, level: int, lengths: list[int], n_buckets: int) -> DataFrame:
-    """Values of a level that repeat, for each document concerned: ``own, values``. ``docs``: ``own, text, hits``.
+    """Values of a level that repeat, a row for each document concerned: ``own, values``. ``docs``: ``own, text, hits``.
+
+    Values go to buckets, and answers back to buckets of documents, in blocks: the number of rows does not depend on
+    how often a value occurs.
 
     At the last level "repeats" means that a smaller id has the window; before it, that any other has.
     """
@@ -125,7 +128,11 @@ def _repeated(docs: DataFrame, level: int, lengths: list[int], n_buckets: int) -
         least = np.repeat(o[head], count)
         most = np.repeat(np.maximum.reduceat(o, head) if len(head) else o, count)
         found = np.r_[asked[o > least if last else least < most], np.flatnonzero(known == 1)]
-        value, own = value[found], own[found]
+        batches = list(deal(value[found], *np.unique(own[found], return_inverse=True)[::-1], np.zeros(len(found)), n_buckets, by_owner=True))
+        return pa.Table.from_batches(batches, schema=BLOCK_SCHEMA)
+
+    def answer(table: pa.Table) -> pa.Table:
+        value, own, _ = gathered(table, np.int64)
         order = np.lexsort((value, own))
         value, own = value[order], own[order]
         head = heads(own)
@@ -133,14 +140,14 @@ def _repeated(docs: DataFrame, level: int, lengths: list[int], n_buckets: int) -
             "own": pa.array(own[head]), "values": pa.array([value[a:b].tobytes() for a, b in zip(head, np.r_[head[1:], len(own)], strict=True)], pa.binary()),
         })
 
-    return docs.mapInArrow(map_side, BLOCK).groupBy("bucket").applyInArrow(reduce_side, "own long, values binary")
+    found = docs.mapInArrow(map_side, BLOCK).groupBy("bucket").applyInArrow(reduce_side, BLOCK)
+    return found.groupBy("bucket").applyInArrow(answer, "own long, values binary")
 
 
 def _with_hits(docs: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with the values found for them, and documents for which there are none (not shuffled)."""
     maybe, never = parted(docs, replies.select("own"), "own")
-    hits = replies.groupBy("own").agg(F.collect_list("values").alias("hits"))  # at most the windows of one text
-    return maybe.join(hits, "own", "left"), never
+    return maybe.join(replies.withColumnRenamed("values", "hits"), "own", "left"), never
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
