@@ -6,14 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from introspark.functions.calls import shared_alleles
-from introspark.schema import DUPLICATE_IBS, DUPLICATE_MAX_MARKERS, DUPLICATE_OVERLAP_FRACTION
+from introspark.schema import DUPLICATE_IBS, DUPLICATE_OVERLAP_FRACTION
 
-# Samples per block of the pairwise product; two blocks and their product fit easily in one task.
-BLOCK = 256
+# Calls of one sample block at most, and columns of one matrix product: two blocks and their products fit in one task.
+BLOCK_CALLS = 1 << 22
+MOST_SAMPLES = 256
+CHUNK = 2048
 
 
 def ibs_to_parents(calls: DataFrame, markers: DataFrame) -> DataFrame:
@@ -30,71 +32,77 @@ def ibs_to_parents(calls: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def sampled_markers(markers: DataFrame, limit: int = DUPLICATE_MAX_MARKERS, seed: int = 0) -> DataFrame:
-    """At most ``limit`` distinct markers drawn by a seeded hash, whatever the input order, numbered from 0.
+def compared_markers(markers: DataFrame) -> DataFrame:
+    """The markers pairs are compared on: every one, once."""
+    return markers.select("marker_id").distinct()
 
-    The numbering window runs over the drawn markers only, at most ``limit`` rows.
-    """
-    drawn = (
-        markers.select("marker_id").distinct()
-        .orderBy(F.xxhash64("marker_id", F.lit(seed)), "marker_id").limit(limit)
-    )
-    return drawn.withColumn("m", F.row_number().over(Window.orderBy("marker_id")) - 1)
 
+def _pair_kernel(min_ibs: float, floor: int):
+    """All pairs of two sample blocks: overlap and shared alleles summed over chunks of the markers."""
 
-def _pair_kernel(n_markers: int, min_ibs: float, floor: int):
-    """All pairs of two sample blocks by matrix products: overlap and shared alleles per pair."""
+    def flat(block: pd.DataFrame, markers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(block)), block["ms"].str.len())
+        column = np.searchsorted(markers, np.concatenate(block["ms"].to_list()))
+        order = np.argsort(column, kind="stable")
+        calls = [np.concatenate(block[c].to_list()).astype(np.int16)[order] for c in ("xs", "ys")]
+        return row[order], column[order], *calls
 
-    def dense(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        order = block.sort_values("s")
-        grid = np.full((len(order), n_markers, 2), -1, dtype=np.int16)
-        for i, (m, x, y) in enumerate(zip(order["ms"], order["xs"], order["ys"], strict=True)):
-            grid[i, m, 0], grid[i, m, 1] = x, y
-        return order["s"].to_numpy(), grid
+    def grid(calls: tuple, n: int, start: int) -> np.ndarray:
+        row, column, x, y = calls
+        part = slice(*np.searchsorted(column, (start, start + CHUNK)))
+        out = np.full((n, CHUNK, 2), -1, dtype=np.int16)
+        out[row[part], column[part] - start, 0], out[row[part], column[part] - start, 1] = x[part], y[part]
+        return out
 
     def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        left_ids, left = dense(group[group["block"] == i])
-        right_ids, right = (left_ids, left) if i == j else dense(group[group["block"] == j])
-        called_l, called_r = (g[:, :, 0] >= 0 for g in (left, right))
-        overlap = called_l.astype(np.float32) @ called_r.astype(np.float32).T
-        shared = np.zeros_like(overlap)
-        for allele in np.unique(np.concatenate([left[left >= 0], right[right >= 0]])):
-            n_l, n_r = ((g == allele).sum(axis=2) for g in (left, right))
-            for copies in (1, 2):  # the multiset intersection, one copy at a time
-                shared += (n_l >= copies).astype(np.float32) @ (n_r >= copies).astype(np.float32).T
-        wanted = left_ids[:, None] < right_ids[None, :]
+        _, i, j = key
+        group = group.sort_values(["sample_ord", "sample_id"], kind="stable").reset_index(drop=True)
+        left, right = (group[group["block"] == k] for k in (i, j))
+        overlap, shared = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+        if len(left) and len(right):
+            markers = np.unique(np.concatenate(group["ms"].to_list()))
+            calls_l, calls_r = flat(left, markers), flat(right, markers)
+            for start in range(0, len(markers), CHUNK):
+                l, r = grid(calls_l, len(left), start), grid(calls_r, len(right), start)
+                overlap += (l[:, :, 0] >= 0).astype(np.float32) @ (r[:, :, 0] >= 0).astype(np.float32).T
+                for allele in np.unique(np.concatenate([l[l >= 0], r[r >= 0]])):
+                    n_l, n_r = ((g == allele).sum(axis=2) for g in (l, r))
+                    for copies in (1, 2):  # the multiset intersection, one copy at a time
+                        shared += (n_l >= copies).astype(np.float32) @ (n_r >= copies).astype(np.float32).T
+        at_l, at_r = left.index.to_numpy(), right.index.to_numpy()
+        wanted = at_l[:, None] < at_r[None, :] if i == j else np.ones(overlap.shape, bool)
         assessed = wanted & (overlap >= floor)
         # the quotient of two whole numbers, as the threshold is defined
-        ibs = np.divide(shared.astype(np.float64), 2.0 * overlap, out=np.zeros(overlap.shape), where=overlap > 0)
+        ibs = np.divide(shared, 2.0 * overlap, out=np.zeros(overlap.shape), where=overlap > 0)
         rows, cols = np.nonzero(assessed & (overlap > 0) & (ibs >= min_ibs))
+        first, second = np.minimum(at_l[rows], at_r[cols]), np.maximum(at_l[rows], at_r[cols])
+        ids = group["sample_id"].to_numpy(dtype=object)
         found = pd.DataFrame({
-            "s_a": left_ids[rows], "s_b": right_ids[cols], "n_overlap": overlap[rows, cols].astype(np.int64),
+            "sample_a": ids[first], "sample_b": ids[second], "n_overlap": overlap[rows, cols].astype(np.int64),
             "n_shared": shared[rows, cols].astype(np.int64), "n_assessed": 0,
         })
-        total = pd.DataFrame({"s_a": [-1], "s_b": [-1], "n_overlap": [0], "n_shared": [0], "n_assessed": [int(assessed.sum())]})
-        return pd.concat([found, total])
+        total = pd.DataFrame({"sample_a": [None], "sample_b": [None], "n_overlap": [0], "n_shared": [0], "n_assessed": [int(assessed.sum())]})
+        return pd.concat([found, total]) if len(found) else total
 
     return pairs
 
 
-def similar_pairs(
-    calls: DataFrame, markers: DataFrame, samples: DataFrame, min_ibs: float, floor: int, n_markers: int, n_samples: int
-) -> DataFrame:
-    """Pairs of samples with IBS of at least ``min_ibs`` over at least ``floor`` common markers.
+def similar_pairs(calls: DataFrame, markers: DataFrame, samples: DataFrame, min_ibs: float, floor: int, n_markers: int, n_samples: int) -> DataFrame:
+    """Pairs of samples of one ``scope`` with IBS of at least ``min_ibs`` over at least ``floor`` common markers.
 
-    ``markers`` carries the column ``m`` (0..n_markers-1) and ``samples`` the column ``s``
-    (0..n_samples-1). Each sample becomes one row holding at most ``n_markers`` calls; blocks of
-    samples meet block by block, and a task multiplies two blocks. One extra row per block pair
-    (``s_a = -1``) carries the number of pairs that reached the floor.
+    Each sample becomes one row with its calls at all ``markers``, named by a 64-bit hash. Samples are dealt to blocks
+    small enough for their calls to fit in a task; blocks meet block by block, and a task multiplies two blocks chunk
+    by chunk of their markers. Only pairs above the threshold leave it, and one row (without samples) with the number
+    of pairs that reached the floor. The work is that of all pairs of a scope, as the definition asks.
     """
-    n_blocks = max(1, math.ceil(n_samples / BLOCK))
+    per_block = min(MOST_SAMPLES, max(1, BLOCK_CALLS // max(1, n_markers)))
+    n_blocks = max(1, math.ceil(n_samples / per_block))
     vectors = (
         calls.filter("a1 is not null and a2 is not null")
-        .join(markers, "marker_id").join(samples.select("sample_id", "s"), "sample_id")
-        .groupBy("s").agg(F.collect_list(F.struct("m", "a1", "a2")).alias("v"))
+        .join(markers, "marker_id").join(samples.select("sample_id", "sample_ord", "scope"), "sample_id")
+        .groupBy("scope", "sample_id", "sample_ord").agg(F.collect_list(F.struct(F.xxhash64("marker_id").alias("m"), "a1", "a2")).alias("v"))
         .select(
-            "s", F.floor(F.col("s") / BLOCK).cast("int").alias("block"),
+            "scope", "sample_id", "sample_ord", F.pmod(F.hash("sample_id"), F.lit(n_blocks)).alias("block"),
             F.col("v.m").alias("ms"), F.col("v.a1").alias("xs"), F.col("v.a2").alias("ys"),
         )
     )
@@ -102,12 +110,12 @@ def similar_pairs(
         vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     )
-    schema = "s_a long, s_b long, n_overlap long, n_shared long, n_assessed long"
-    return met.groupBy("i", "j").applyInPandas(_pair_kernel(n_markers, min_ibs, floor), schema)
+    schema = "sample_a string, sample_b string, n_overlap long, n_shared long, n_assessed long"
+    return met.groupBy("scope", "i", "j").applyInPandas(_pair_kernel(min_ibs, floor), schema)
 
 
-def overlap_floor(pool: int, fraction: float = DUPLICATE_OVERLAP_FRACTION, limit: int = DUPLICATE_MAX_MARKERS) -> int:
-    return max(1, math.ceil(fraction * min(pool, limit)))
+def overlap_floor(pool: int, fraction: float = DUPLICATE_OVERLAP_FRACTION) -> int:
+    return max(1, math.ceil(fraction * pool))
 
 
 def duplicate_scan(
@@ -118,24 +126,22 @@ def duplicate_scan(
     n_samples: int,
     threshold: float = DUPLICATE_IBS,
     min_overlap: float = DUPLICATE_OVERLAP_FRACTION,
-    max_markers: int = DUPLICATE_MAX_MARKERS,
+    pair_scope: str = "all",
 ) -> DataFrame:
     """(sample_a, sample_b, ibs, n_overlap, n_assessed); rows without samples carry the assessed count of a block pair.
 
-    ``pool`` holds the markers to compare on (the informative ones), ``progeny`` the samples in
-    manifest order (``sample_ord``). The caller has checked ``n_samples`` against its limit, so the
-    numbering window over the samples is small.
+    ``pool`` holds the markers to compare on (the informative ones), ``progeny`` the samples in manifest order
+    (``sample_ord``). ``pair_scope`` is ``all``, or ``family`` to compare only within families: the caller's choice,
+    never made by size.
     """
-    numbered = progeny.select("sample_id", (F.row_number().over(Window.orderBy("sample_ord", "sample_id")) - 1).alias("s"))
-    drawn = sampled_markers(pool, max_markers)
-    floor = overlap_floor(n_pool, min_overlap, max_markers)
-    pairs = similar_pairs(calls, drawn, numbered, threshold, floor, min(n_pool, max_markers), n_samples)
-    ids = numbered.withColumnRenamed("sample_id", "id")
-    return (
-        pairs.join(ids.select(F.col("s").cast("long").alias("s_a"), F.col("id").alias("sample_a")), "s_a", "left")
-        .join(ids.select(F.col("s").cast("long").alias("s_b"), F.col("id").alias("sample_b")), "s_b", "left")
-        .select("sample_a", "sample_b", F.try_divide(F.col("n_shared"), 2 * F.col("n_overlap")).alias("ibs"), "n_overlap", "n_assessed")
+    if pair_scope not in ("all", "family"):
+        raise ValueError("pair_scope must be all or family")
+    scope = F.coalesce("family_id", F.lit("")) if pair_scope == "family" else F.lit("")
+    pairs = similar_pairs(
+        calls, compared_markers(pool), progeny.select("sample_id", "sample_ord", scope.alias("scope")), threshold,
+        overlap_floor(n_pool, min_overlap), n_pool, n_samples,
     )
+    return pairs.select("sample_a", "sample_b", F.try_divide(F.col("n_shared"), 2 * F.col("n_overlap")).alias("ibs"), "n_overlap", "n_assessed")
 
 
 def duplicate_members(pairs: DataFrame) -> DataFrame:
@@ -145,4 +151,4 @@ def duplicate_members(pairs: DataFrame) -> DataFrame:
 
 def skipped_pairs(pairs: DataFrame, n_samples: int) -> DataFrame:
     """One row: how many pairs have too few common calls to be assessed."""
-    return pairs.agg((F.lit(n_samples * (n_samples - 1) // 2) - F.sum("n_assessed")).alias("n_skipped"))
+    return pairs.agg((F.lit(n_samples * (n_samples - 1) // 2) - F.coalesce(F.sum("n_assessed"), F.lit(0))).alias("n_skipped"))

@@ -14,7 +14,6 @@ from introspark.operators.common import land, pinned
 from introspark.operators.dataset import Dataset, has_cm, keep_manifest
 from introspark.schema import (
     DEFAULT_COVERAGE,
-    DUPLICATE_MAX_SAMPLES,
     RESULT_LAST,
     RESULT_PREFIX,
     RESULTS_SCHEMA,
@@ -48,6 +47,8 @@ class Analysis:
     drag: DataFrame
     metrics: DataFrame
     notes: list[str] = field(default_factory=list)
+    pair_options: dict = field(default_factory=dict)
+    pairs: DataFrame | None = None
 
     @property
     def progeny(self) -> DataFrame:
@@ -58,11 +59,11 @@ def _unit(requested: str, map_complete: bool) -> str:
     return "cm" if requested in ("auto", "cm") and map_complete else "bp"
 
 
-def analyse(dataset: Dataset, criteria: Criteria) -> Analysis:
+def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     """Lay out the whole analysis.
 
     Three tables are written because several branches read them: the markers, the calls near loci, and the
-    per-sample metrics. Everything after them is lazy.
+    per-sample metrics. Everything after them is lazy. ``pair_options`` go to the duplicate scan.
     """
     spark = dataset.markers.sparkSession
     criteria.validate()
@@ -109,26 +110,22 @@ def analyse(dataset: Dataset, criteria: Criteria) -> Analysis:
     metrics = qc.sample_metrics(qc.metrics_by_chromosome(fact), progeny, n_markers, carrier)
     return Analysis(
         dataset, criteria, assembly, background_unit, flank_unit, markers, ends, fact, members, resolved, status, bounds,
-        land(metrics, "sample_metrics"), notes,
+        land(metrics, "sample_metrics"), notes, pair_options,
     )
 
 
-def duplicate_pairs(run: Analysis, max_samples: int = DUPLICATE_MAX_SAMPLES, **options) -> DataFrame | None:
-    """The duplicate scan over informative markers, or None above the sample limit (and below two samples)."""
-    sizes = run.progeny.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if not 2 <= sizes <= max_samples:
-        if sizes > max_samples:
-            run.notes.append(f"duplicate detection skipped above {max_samples} individuals")
-        return None
-    pool = run.markers.filter("informative").select("marker_id")
-    n_pool = pool.count()
-    if n_pool == 0:
-        return None
-    progeny = run.progeny
-    if "sample_ord" not in progeny.columns:
-        progeny = progeny.withColumn("sample_ord", F.col("sample_id"))
-    calls = keep_manifest(run.dataset.calls, progeny)
-    return similarity.duplicate_scan(calls, pool, progeny, n_pool, sizes, **options)
+def duplicate_pairs(run: Analysis) -> DataFrame:
+    """The duplicate scan over all informative markers and all progeny, written once; ``run.pair_options`` are the
+    arguments of ``similarity.duplicate_scan``."""
+    if run.pairs is None:
+        pool = run.markers.filter("informative").select("marker_id")
+        progeny = run.progeny
+        if "sample_ord" not in progeny.columns:
+            progeny = progeny.withColumn("sample_ord", F.col("sample_id"))
+        calls = keep_manifest(run.dataset.calls, progeny)
+        found = similarity.duplicate_scan(calls, pool, progeny, pool.count(), progeny.count(), **run.pair_options)
+        run.pairs = land(found, "sample_pairs")
+    return run.pairs
 
 
 def require_resolved(run: Analysis) -> None:
@@ -165,30 +162,23 @@ def locus_summary(run: Analysis) -> DataFrame:
     return per_sample.select(*[F.col(f"`{c}`") for c in per_sample.columns if c not in ("_t", "recombinant_flanks")], *columns)
 
 
-# Families up to this many members are judged as one array each.
-SMALL_FAMILY = 100_000
-
-
 def outliers(run: Analysis) -> DataFrame:
-    shares = qc.donor_shares(run.metrics, run.criteria.filters)
-    return qc.small_family_outliers(shares) if qc.largest_family(shares) <= SMALL_FAMILY else qc.family_outliers(shares)
+    return qc.family_outliers(qc.donor_shares(run.metrics, run.criteria.filters))
 
 
-def flagged_samples(run: Analysis, scan_duplicates: bool = True) -> DataFrame:
-    pairs = duplicate_pairs(run) if scan_duplicates else None
-    duplicated = None if pairs is None else similarity.duplicate_members(pairs)
-    return qc.with_flags(run.metrics, run.criteria.filters, outliers(run), duplicated)
+def flagged_samples(run: Analysis) -> DataFrame:
+    return qc.with_flags(run.metrics, run.criteria.filters, outliers(run), similarity.duplicate_members(duplicate_pairs(run)))
 
 
-def scored_samples(run: Analysis, scan_duplicates: bool = True) -> DataFrame:
+def scored_samples(run: Analysis) -> DataFrame:
     """Metrics, flags, filters, components, score and locus columns: one lazy row per progeny."""
-    joined = flagged_samples(run, scan_duplicates).join(locus_summary(run), "sample_id")
+    joined = flagged_samples(run).join(locus_summary(run), "sample_id")
     return rank.hard_filters(joined, run.criteria.filters).withColumn("composite_score", rank.composite_score(run.criteria.weights))
 
 
-def ranked_samples(run: Analysis, scan_duplicates: bool = True) -> DataFrame:
+def ranked_samples(run: Analysis) -> DataFrame:
     """Scored samples with ranks. The scored table is pinned first: ranking reads it more than once."""
-    return rank.ranks(land(scored_samples(run, scan_duplicates), "scored"), run.criteria.rank_mode)
+    return rank.ranks(land(scored_samples(run), "scored"), run.criteria.rank_mode)
 
 
 def result_columns(run: Analysis, chroms: list[str]) -> list[str]:
@@ -198,7 +188,7 @@ def result_columns(run: Analysis, chroms: list[str]) -> list[str]:
     return [*RESULT_PREFIX, *dynamic, *[f"rpp_{c}" for c in chroms], RESULT_LAST]
 
 
-def results(run: Analysis, chroms: list[str] | None = None, scan_duplicates: bool = True) -> DataFrame:
+def results(run: Analysis, chroms: list[str] | None = None) -> DataFrame:
     """The results table, in contract column order. Sort by ``rank.result_order()`` when writing.
 
     ``chroms`` names the per-chromosome columns; by default the chromosomes of the data are listed first
@@ -215,7 +205,7 @@ def results(run: Analysis, chroms: list[str] | None = None, scan_duplicates: boo
     cap = run.criteria.background.max_marker_coverage
     coverage = float(DEFAULT_COVERAGE[run.background_unit] if cap is None else cap) if weighted else None
     empty = F.lit("")
-    ranked = ranked_samples(run, scan_duplicates)
+    ranked = ranked_samples(run)
     if run.dataset.call_sets is not None:
         refs = run.dataset.call_sets.select("sample_id", "call_set_db_id", "sample_db_id")
         ranked = ranked.join(refs, "sample_id", "left")

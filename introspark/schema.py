@@ -1,9 +1,7 @@
-"""Constants that must agree with the published file formats, and the column contracts of the main tables."""
+"""Constants that must agree with the published file formats."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # --- fixed values: parent-of-origin states --------------------------------------------------------
 STATE_A, STATE_H, STATE_B, STATE_X, STATE_N, STATE_U = range(6)
 STATE_LABELS = ("A", "H", "B", "X", "N", "U")
@@ -20,8 +18,6 @@ CODED_MISSING = ("", "N", "NA")
 EXCLUDING_FLAGS = ("possible_self_or_outcross", "possible_outcross", "possible_rp_sample", "possible_donor_sample")
 DUPLICATE_IBS = 0.995
 DUPLICATE_OVERLAP_FRACTION = 0.5
-DUPLICATE_MAX_SAMPLES = 2000
-DUPLICATE_MAX_MARKERS = 2000
 SIBLING_MIN_BACKCROSS = 6
 OUTLIER_MIN_MEMBERS = 6
 OUTLIER_MIN_SCALE = 0.01
@@ -73,17 +69,3 @@ SOYBEAN_LENGTHS = {
     ),
 }
 DEFAULT_ASSEMBLY = "Wm82.a4"
-
-MARKERS = T.StructType([
-    T.StructField("marker_id", T.StringType()),
-    T.StructField("chrom", T.StringType()),
-    T.StructField("pos_bp", T.LongType()),
-    T.StructField("cm", T.DoubleType()),
-])
-CALLS = T.StructType([
-    T.StructField("marker_id", T.StringType()),
-    T.StructField("sample_id", T.StringType()),
-    T.StructField("a1", T.IntegerType()),
-    T.StructField("a2", T.IntegerType()),
-])
-SAMPLES = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_COLUMNS])

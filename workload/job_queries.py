@@ -328,7 +328,7 @@ def k4_call_set_table(spark, sf):
 def j11_server_ids(spark, sf):
     data = binding.dataset(spark, sf).with_(call_sets=_variant_set(spark, sf).call_sets)
     run = ranking.analyse(data, binding.criteria())
-    return ranking.results(run, chroms=CHROMS, scan_duplicates=False).select("sample_id", "call_set_db_id")
+    return ranking.results(run, chroms=CHROMS).select("sample_id", "call_set_db_id")
 
 
 # --- cells, states, text outputs ------------------------------------------------------------------------------------------------------
@@ -386,13 +386,12 @@ def u4_uncovered_markers(spark, sf):
     return binding.markers(spark, sf).select("marker_id").exceptAll(binding.progeny_calls(spark, sf).select("marker_id").distinct())
 
 
-@register("t5_sampled_markers", "SELECT count(*) AS n FROM (SELECT marker_id FROM markers LIMIT 2000)")
-def t5_sampled_markers(spark, sf):
-    from introspark.operators.similarity import sampled_markers
-
-    return sampled_markers(binding.markers(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
-
+@register("t5_compared_markers", "SELECT DISTINCT marker_id FROM pool")
+def t5_compared_markers(spark, sf):
+    from introspark.operators.similarity import compared_markers
 
+    markers = classify.classified_markers(binding.dataset(spark, sf)).filter("informative")
+    return compared_markers(markers.unionByName(markers))
 
 
 @register("f6_value_text", """
@@ -422,13 +421,13 @@ def k2_selection_table(spark, sf):
     SELECT sample_id, family_id, generation, passes_filters, CAST(rank_overall AS DOUBLE) AS rank_overall, CAST(rank_in_family AS DOUBLE) AS rank_in_family FROM ranked""")
 def s12_results_read_back(spark, sf):
     """Results as text cells, parsed back."""
-    text = export.results_text(ranking.results(_run(spark, sf), CHROMS, scan_duplicates=False))
+    text = export.results_text(ranking.results(_run(spark, sf), CHROMS))
     return results.parse_results(text).select("sample_id", "family_id", "generation", "passes_filters", "rank_overall", "rank_in_family")
 
 
 @register("s13_results_contract", "SELECT count(*) AS n_rows, count(*) FILTER (passes_filters) AS n_passing, CAST(0 AS BIGINT) AS n_other_schema FROM ranked")
 def s13_results_contract(spark, sf):
-    text = export.results_text(ranking.results(_run(spark, sf), CHROMS, scan_duplicates=False))
+    text = export.results_text(ranking.results(_run(spark, sf), CHROMS))
     problems = results.contract_problems(text.columns)
     if problems:
         raise ValueError(problems)
@@ -450,12 +449,13 @@ def j14_chromosome_lengths(spark, sf):
 
 @register("a30_validation_summary", """
     SELECT (SELECT count(*) FROM classified) AS n_markers, (SELECT count(*) FROM pool) AS n_informative, (SELECT count(*) FROM samples) AS n_samples,
-           (SELECT count(*) FROM flagged) AS n_progeny, (SELECT count(*) FROM flagged WHERE qc_flags <> '') AS n_flagged""")
+           (SELECT count(*) FROM flagged) AS n_progeny, (SELECT count(*) FROM flagged WHERE qc_flags <> '') AS n_flagged,
+           (SELECT count(*) FROM duplicate_pairs) AS n_duplicate_pairs""")
 def a30_validation_summary(spark, sf):
     run = _run(spark, sf)
-    flagged = ranking.flagged_samples(run, scan_duplicates=False)
-    zero = F.lit(0).cast("bigint")
-    return qc.validation_summary(run.markers, run.dataset.samples, flagged, zero, zero).drop("n_duplicate_pairs", "n_warnings")
+    flagged = ranking.flagged_samples(run)
+    n_pairs = ranking.duplicate_pairs(run).agg(F.count("sample_a").alias("n")).scalar()
+    return qc.validation_summary(run.markers, run.dataset.samples, flagged, n_pairs, F.lit(0)).drop("n_warnings")
 
 
 @register("f13_reserved_chromosome_names", "SELECT p_partkey AS p, p_size % 4 IN (0, 1, 2) AS reserved FROM part")

@@ -219,6 +219,9 @@ CTES: dict[str, str] = {
         SELECT a.sample_id AS sample_a, b.sample_id AS sample_b, count(*) AS n_overlap,
                sum(CASE WHEN a.x = b.x AND a.y = b.y THEN 2 WHEN a.x = b.x OR a.x = b.y OR a.y = b.x OR a.y = b.y THEN 1 ELSE 0 END) AS n_shared
         FROM called a JOIN called b ON a.marker_id = b.marker_id AND a.s < b.s GROUP BY a.sample_id, b.sample_id""",
+    "pair_floor": "SELECT greatest(1, ceil(CAST(0.001 AS DOUBLE) * count(*))) AS n FROM pool",
+    "duplicate_pairs": "SELECT * FROM pairs WHERE n_overlap >= (SELECT n FROM pair_floor) AND n_shared / (2 * n_overlap) >= 0.995",
+    "duplicate_members": "SELECT sample_a AS sample_id FROM duplicate_pairs UNION SELECT sample_b FROM duplicate_pairs",
     "flagged": """
         SELECT m.*, concat_ws('|', CASE WHEN missing_rate > 0.98 THEN 'high_missing' END,
                    CASE WHEN n_bc IS NULL AND generation <> '' THEN 'generation_unparsed' END,
@@ -227,7 +230,8 @@ CTES: dict[str, str] = {
                    CASE WHEN n_informative_called > 0 AND nonparental_rate > 0.02 THEN 'possible_outcross' END,
                    CASE WHEN n_informative_called > 0 AND ibs_rp > 0.995 AND het_rate < 0.005 THEN 'possible_rp_sample' END,
                    CASE WHEN n_informative_called > 0 AND ibs_donor > 0.995 AND het_rate < 0.005 THEN 'possible_donor_sample' END,
-                   CASE WHEN sample_id IN (SELECT sample_id FROM outliers) THEN 'family_donor_outlier' END) AS qc_flags,
+                   CASE WHEN sample_id IN (SELECT sample_id FROM outliers) THEN 'family_donor_outlier' END,
+                   CASE WHEN sample_id IN (SELECT sample_id FROM duplicate_members) THEN 'possible_duplicate' END) AS qc_flags,
                concat_ws('|', CASE WHEN n_informative_called > 0 AND known AND n_filial = 1 AND n_bc >= 1 AND hom_donor_rate > 0.08 THEN 'possible_self_or_outcross' END,
                    CASE WHEN n_informative_called > 0 AND nonparental_rate > 0.02 THEN 'possible_outcross' END,
                    CASE WHEN n_informative_called > 0 AND ibs_rp > 0.995 AND het_rate < 0.005 THEN 'possible_rp_sample' END,

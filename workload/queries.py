@@ -15,6 +15,9 @@ from introspark.plans import rank as ranking
 from workload import binding
 from workload.oracle import sql
 
+# The bound calls are sparse, so pairs are compared from a thousandth of the pool on.
+OVERLAP = 0.001
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
@@ -30,7 +33,7 @@ def register(name: str, oracle: str | None = None):
 def _run(spark: SparkSession, sf: str, **changes) -> ranking.Analysis:
     data = binding.dataset(spark, sf)
     # the bound calls come out of an aggregate over lineitem and are read three times
-    return ranking.analyse(data.with_(calls=land(data.calls, "calls")), binding.criteria(**changes))
+    return ranking.analyse(data.with_(calls=land(data.calls, "calls")), binding.criteria(**changes), min_overlap=OVERLAP)
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +63,7 @@ RANK_COLUMNS = (
 
 @register("rank_backcross_progeny", f"SELECT {RANK_COLUMNS} FROM ranked")
 def rank_backcross_progeny(spark, sf):
-    ranked = ranking.ranked_samples(_run(spark, sf), scan_duplicates=False)
+    ranked = ranking.ranked_samples(_run(spark, sf))
     return ranked.select(*[c.strip() for c in RANK_COLUMNS.split(",")]).orderBy(*rank.result_order())
 
 
@@ -249,10 +252,6 @@ def a8_ibs_to_parents(spark, sf):
     return similarity.ibs_to_parents(binding.progeny_calls(spark, sf), classify.classified_markers(binding.dataset(spark, sf)))
 
 
-# The bound calls are sparse, so pairs are compared from a twentieth of the pool on.
-OVERLAP = 0.05
-
-
 def _scan(spark, sf, **options):
     data = binding.dataset(spark, sf)
     pool = classify.classified_markers(data).filter("informative").select("marker_id")
@@ -263,7 +262,7 @@ def _scan(spark, sf, **options):
     ), n_samples
 
 
-PAIR_FLOOR = "greatest(1, ceil(0.05 * (SELECT least(count(*), 2000) FROM pool)))"
+PAIR_FLOOR = "(SELECT n FROM pair_floor)"
 
 
 @register("j10_pairwise_ibs", f"""
@@ -343,7 +342,7 @@ def f3_expected_fractions(spark, sf):
 def _flagged(spark, sf):
     metrics = land(_metrics(spark, sf), "metrics")
     filters = binding.criteria().filters
-    return qc.with_flags(metrics, filters, qc.family_outliers(qc.donor_shares(metrics, filters)))
+    return qc.with_flags(metrics, filters, qc.family_outliers(qc.donor_shares(metrics, filters)), similarity.duplicate_members(land(_scan(spark, sf)[0], "pairs")))
 
 
 @register("a13_family_outliers", "SELECT sample_id FROM outliers")
@@ -392,7 +391,7 @@ def a11_parent_warnings(spark, sf):
 
 
 def _scored(spark, sf):
-    return ranking.scored_samples(_run(spark, sf), scan_duplicates=False)
+    return ranking.scored_samples(_run(spark, sf))
 
 
 @register("a26_hard_filters", "SELECT sample_id, passes_filters, exclusion_reason FROM scored")
@@ -407,7 +406,7 @@ def f4_composite_score(spark, sf):
 
 @register("w2_weighted_rank", "SELECT sample_id, CAST(rank_overall AS INT) AS rank_overall, CAST(rank_in_family AS INT) AS rank_in_family FROM ranked")
 def w2_weighted_rank(spark, sf):
-    return ranking.ranked_samples(_run(spark, sf), False).select("sample_id", "rank_overall", "rank_in_family")
+    return ranking.ranked_samples(_run(spark, sf)).select("sample_id", "rank_overall", "rank_in_family")
 
 
 @register("w2_weighted_rank_by_ranges", "SELECT sample_id, CAST(rank_overall AS INT) AS rank_overall, CAST(rank_in_family AS INT) AS rank_in_family FROM ranked")
@@ -431,7 +430,7 @@ def w3_staged_rank(spark, sf):
 @register("t1_result_order", """
     SELECT CAST(row_number() OVER (ORDER BY rank_overall NULLS LAST, sample_id) AS BIGINT) AS place, sample_id FROM ranked""")
 def t1_result_order(spark, sf):
-    ranked = ranking.ranked_samples(_run(spark, sf), False)
+    ranked = ranking.ranked_samples(_run(spark, sf))
     return rank.positions(ranked.select("rank_overall", "sample_id"), rank.result_order(), "place").select("place", "sample_id")
 
 
@@ -463,14 +462,14 @@ _DRAG_SQL = ", ".join(
          JOIN (SELECT sample_id, {_DRAG_SQL} FROM drag GROUP BY sample_id) bounds USING (sample_id)
          LEFT JOIN (SELECT sample_id, {_CHROM_SQL} FROM states GROUP BY sample_id) by_chrom USING (sample_id)""")
 def k1_results_table(spark, sf):
-    return ranking.results(_run(spark, sf), scan_duplicates=False)
+    return ranking.results(_run(spark, sf))
 
 
 # --- selection -----------------------------------------------------------------------------------------------------
 
 
 def _ranked(spark, sf):
-    return ranking.ranked_samples(_run(spark, sf), False)
+    return ranking.ranked_samples(_run(spark, sf))
 
 
 @register("t2_select_top_n", "SELECT sample_id, coalesce(family_id, '') AS family_id, CAST(rank_in_family AS INT) AS rank_in_family FROM ranked WHERE rank_in_family <= 2")
