@@ -77,7 +77,3 @@ def centimorgan(cell: Column) -> Column:
 
 def after_last_dot(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
-
-
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(strip(c), F.lit(""))

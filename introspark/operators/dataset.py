@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from introspark.functions.chrom import SOYBEAN, Crop, chrom_order
 from introspark.operators.common import duplicates
-from introspark.schema import LISTED_MAP_OVERRIDES, LISTED_PER_KIND, PARENT_ROLES, PROGENY_ROLES
+from introspark.schema import LISTED_MAP_OVERRIDES, PARENT_ROLES, PROGENY_ROLES
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,3 @@ def duplicate_ids(dataset: Dataset) -> DataFrame:
     ]
     return parts[0].unionByName(parts[1])
 
-
-def listed(df: DataFrame, order: list, limit: int = LISTED_PER_KIND) -> DataFrame:
-    """The first few subjects of a warning kind, in order."""
-    return df.orderBy(*order).limit(limit)

@@ -12,26 +12,52 @@ from introspark.operators.common import land, running
 from introspark.operators.drag import interpolated
 
 
-def _rising_depth(values: np.ndarray) -> np.ndarray:
-    """For every position, the length of the longest non-decreasing subsequence that starts there."""
-    best = np.full(len(values) + 1, np.inf)  # best[d]: smallest negated first value over all chains of length d + 1
-    depth = np.zeros(len(values), dtype=int)
-    for i in range(len(values) - 1, -1, -1):
-        d = int(np.searchsorted(best, -values[i], side="right"))
-        best[d] = -values[i]
-        depth[i] = d + 1
-    return depth
+class _Fenwick:
+    """Running maxima of a sequence of slots, each slot only ever raised."""
+
+    def __init__(self, size: int):
+        self.best = [0] * (size + 1)
+
+    def raise_to(self, slot: int, value: int) -> None:
+        while slot < len(self.best):
+            self.best[slot] = max(self.best[slot], value)
+            slot += slot & -slot
+
+    def upto(self, slot: int) -> int:
+        out = 0
+        while slot:
+            out = max(out, self.best[slot])
+            slot -= slot & -slot
+        return out
+
+
+def _run_through(ranks: np.ndarray) -> np.ndarray:
+    """For every item: the length of the longest non-decreasing run that ends in it. Ranks count from 1."""
+    tree, out = _Fenwick(int(ranks.max(initial=0))), np.zeros(len(ranks), dtype=int)
+    for i, rank in enumerate(ranks.tolist()):
+        out[i] = tree.upto(rank) + 1
+        tree.raise_to(rank, int(out[i]))
+    return out
 
 
 def _keep_earliest(values: np.ndarray) -> np.ndarray:
-    """Mask of the longest non-decreasing subsequence whose members come earliest."""
-    depth = _rising_depth(values)
+    """Mask of the longest non-decreasing subsequence whose members come earliest.
+
+    With ``before`` the longest run ending in an item and ``after`` the longest one beginning there, an item lies on
+    some longest run exactly if both add up to the whole, and then its place in that run is ``before``. Of the items
+    that can take a place, positions rise while values fall; the earliest one that continues the run so far is kept.
+    """
+    ranks = np.unique(values, return_inverse=True)[1].reshape(-1) + 1
+    before = _run_through(ranks)
+    after = _run_through((len(values) + 1 - ranks)[::-1])[::-1] if len(values) else before
+    whole = int(before.max(initial=0))
     kept = np.zeros(len(values), dtype=bool)
-    at, floor = -1, -np.inf
-    for wanted in range(depth.max(initial=0), 0, -1):
-        layer = np.flatnonzero(depth[at + 1 :] == wanted) + at + 1
-        at = int(layer[np.argmax(values[layer] >= floor)])
-        kept[at], floor = True, values[at]
+    able = np.flatnonzero(before + after == whole + 1)
+    last = -1
+    for place in np.split(able[np.argsort(before[able], kind="stable")], np.cumsum(np.bincount(before[able], minlength=whole + 1)[1:])[:-1]) if whole else ():
+        fits = place[(place > last) & (values[place] >= values[last])] if last >= 0 else place
+        last = int(fits[0])
+        kept[last] = True
     return kept
 
 

@@ -9,9 +9,6 @@ from introspark.config import Filters, Weights
 from introspark.operators.common import land
 from introspark.operators.qc import excluding_flags
 
-# Up to this many rows are ordered by one window; beyond it the order is built from ranges.
-ONE_WINDOW_ROWS = 1_000_000
-
 
 def reasons_column(filters: Filters) -> Column:
     """Aggregate over one sample's loci: the reason texts of those that fail, targets first, in criteria order."""
@@ -83,28 +80,19 @@ def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
-def ranks(scored: DataFrame, mode: str, one_window_rows: int = ONE_WINDOW_ROWS) -> DataFrame:
+def ranks(scored: DataFrame, mode: str) -> DataFrame:
     """Add ``rank_overall`` and ``rank_in_family``; excluded samples have none.
 
-    ``scored`` should be materialised: its passing rows are counted to choose between one ordered
-    window (a bounded number of rows) and the range-partitioned numbering.
+    ``scored`` should be materialised, for it is read twice. Rows are numbered by ranges, however many there are.
     """
-    order = ranking_order(mode)
     keys = ["recombinant_flanks", "rpp_carrier", "rpp_noncarrier", "composite_score", "rpp_total", "drag_total_est", "missing_rate"]
     passing = scored.filter("passes_filters").select("sample_id", F.coalesce("family_id", F.lit("")).alias("_family"), *keys)
-    if passing.limit(one_window_rows + 1).count() <= one_window_rows:
-        numbered = passing.select(
-            "sample_id",
-            F.row_number().over(Window.orderBy(*order)).alias("rank_overall"),
-            F.row_number().over(Window.partitionBy("_family").orderBy(*order)).alias("rank_in_family"),
-        )
-    else:
-        overall = positions(passing, order, "rank_overall")
-        by_family = positions(overall.select("sample_id", "_family", "rank_overall"), [F.asc("_family"), F.asc("rank_overall")], "_p")
-        starts = by_family.groupBy("_family").agg(F.min("_p").alias("_first"))
-        numbered = by_family.join(starts, "_family").select(
-            "sample_id", F.col("rank_overall").cast("int"), (F.col("_p") - F.col("_first") + 1).cast("int").alias("rank_in_family")
-        )
+    overall = positions(passing, ranking_order(mode), "rank_overall")
+    by_family = positions(overall.select("sample_id", "_family", "rank_overall"), [F.asc("_family"), F.asc("rank_overall")], "_p")
+    starts = by_family.groupBy("_family").agg(F.min("_p").alias("_first"))
+    numbered = by_family.join(starts, "_family").select(
+        "sample_id", F.col("rank_overall").cast("int"), (F.col("_p") - F.col("_first") + 1).cast("int").alias("rank_in_family")
+    )
     return scored.join(numbered, "sample_id", "left")
 
 

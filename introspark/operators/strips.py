@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introspark.functions.chrom import Crop, assembly_length
-from introspark.operators.background import BIN_BP
-from introspark.operators.common import land, neighbours
 
 
 def strip_lengths(markers: DataFrame, assembly: str, crop: Crop) -> DataFrame:
@@ -20,22 +18,21 @@ def strip_lengths(markers: DataFrame, assembly: str, crop: Crop) -> DataFrame:
 def segments(state_rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """(sample_id, chrom, start, end, state): runs of one state as fractions of the chromosome.
 
-    A boundary lies midway between two markers of different states. Only the rows that open a run are
-    kept after the first look at neighbours; each run ends where the next one opens.
+    A boundary lies midway between two markers of different states. One shuffle and one sort by (sample, chromosome)
+    serve both looks at neighbours: a run opens where the state changes, and ends where the next one opens. A group
+    holds the markers of one chromosome, once.
     """
-    rows = state_rows.select(
-        "sample_id", "chrom", "pos_bp", "file_ord", "state", F.floor(F.col("pos_bp") / BIN_BP).alias("_bin")
-    )
-    key = ["sample_id", "chrom"]
-    seen = neighbours(land(rows, "strip_states"), key, "_bin", ["pos_bp", "file_ord"], ["pos_bp", "state"])
+    along = Window.partitionBy("sample_id", "chrom").orderBy("pos_bp", "file_ord")
+    before = F.lag(F.struct("pos_bp", "state")).over(along)
     opening = (
-        seen.filter(F.col("prev").isNull() | (F.col("prev.state") != F.col("state")))
-        .join(lengths.select("chrom", "length_bp"), "chrom")
-        .withColumn("start", F.when(F.col("prev").isNull(), 0.0).otherwise((F.col("prev.pos_bp") + F.col("pos_bp")) / 2.0 / F.col("length_bp")))
-        .drop("prev", "next")
+        state_rows.select("sample_id", "chrom", "pos_bp", "file_ord", "state").withColumn("_before", before)
+        .filter(F.col("_before").isNull() | (F.col("_before.state") != F.col("state")))
     )
-    return neighbours(land(opening, "strip_starts"), key, "_bin", ["pos_bp", "file_ord"], ["start"]).select(
-        "sample_id", "chrom", "pos_bp", "start", F.coalesce("next.start", F.lit(1.0)).alias("end"), "state"
+    middle = F.when(F.col("_before").isNull(), 0.0).otherwise((F.col("_before.pos_bp") + F.col("pos_bp")) / 2.0)
+    runs = opening.withColumn("_start", middle).withColumn("_end", F.lead("_start").over(along))
+    return runs.join(lengths.select("chrom", "length_bp"), "chrom").select(
+        "sample_id", "chrom", "pos_bp", (F.col("_start") / F.col("length_bp")).alias("start"),
+        F.coalesce(F.col("_end") / F.col("length_bp"), F.lit(1.0)).alias("end"), "state",
     )
 
 

@@ -66,7 +66,6 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     per-sample metrics. Everything after them is lazy. ``pair_options`` go to the duplicate scan.
     """
     spark = dataset.markers.sparkSession
-    criteria.validate()
     assembly = resolved_assembly(criteria, dataset.crop)
     asks_for_cm = criteria.flank_unit == "cm" or criteria.background.map_unit != "bp"
     complete = bool(has_cm(dataset.markers).first()["has_cm"]) if asks_for_cm else False

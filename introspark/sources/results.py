@@ -35,7 +35,3 @@ def contract_summary(text: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("passes_filters") == "TRUE").alias("n_passing"),
         F.count_if(~F.coalesce(F.col("results_schema").startswith("1."), F.lit(False))).alias("n_other_schema"),
     )
-
-
-def status_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.startswith(("target_", "avoid_")) and c.endswith("_status")]

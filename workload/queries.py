@@ -412,7 +412,7 @@ def w2_weighted_rank(spark, sf):
 @register("w2_weighted_rank_by_ranges", "SELECT sample_id, CAST(rank_overall AS INT) AS rank_overall, CAST(rank_in_family AS INT) AS rank_in_family FROM ranked")
 def w2_weighted_rank_by_ranges(spark, sf):
     scored = land(_scored(spark, sf), "scored")
-    return rank.ranks(scored, "weighted", one_window_rows=0).select("sample_id", "rank_overall", "rank_in_family")
+    return rank.ranks(scored, "weighted").select("sample_id", "rank_overall", "rank_in_family")
 
 
 @register("w3_staged_rank", """
