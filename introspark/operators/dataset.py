@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from introspark.functions.chrom import SOYBEAN, Crop, chrom_order
 from introspark.operators.common import duplicates
-from introspark.schema import LISTED_MAP_OVERRIDES, PARENT_ROLES, PROGENY_ROLES
+from introspark.schema import PARENT_ROLES, PROGENY_ROLES
 
 
 @dataclass(frozen=True)
@@ -17,7 +17,8 @@ class Dataset:
     """One analysis input.
 
     markers: marker_id, chrom, pos_bp, cm, file_ord. samples: the manifest. calls: one row per
-    (marker_id, sample_id) that was read; a cell without a row is a missing call, as is a NULL side.
+    (marker_id, sample_id) that was read; a cell without a row is a missing call, as is a NULL side. parents: the
+    parents' calls as a table of their own, where the source can give it, so that looking them up reads no other call.
     """
 
     markers: DataFrame
@@ -27,6 +28,7 @@ class Dataset:
     token_profile: str = "default"
     coded: bool = False
     call_sets: DataFrame | None = None
+    parents: DataFrame | None = None
 
     def with_(self, **changes) -> Dataset:
         return replace(self, **changes)
@@ -36,17 +38,18 @@ class Dataset:
         return self.samples.filter(F.col("role").isin(*PROGENY_ROLES))
 
     def parent_calls(self) -> DataFrame:
-        """Calls of the two parents with their role.
+        """Calls of the two parents with their role, from their own table where there is one.
 
-        The manifest names exactly one parent of each role, so their ids are looked up first and reach the scan
-        of the calls as literals.
+        The manifest must name exactly one parent of each role; their ids reach the scan of the calls as literals.
         """
-        rows = self.samples.filter(F.col("role").isin(*PARENT_ROLES)).select("sample_id", "role").limit(len(PARENT_ROLES) + 1).collect()
-        roles = {r["sample_id"]: r["role"] for r in rows}
+        named = self.samples.filter(F.col("role").isin(*PARENT_ROLES)).select("sample_id", "role").limit(len(PARENT_ROLES) + 1).collect()
+        if sorted(r["role"] for r in named) != sorted(PARENT_ROLES):
+            raise ValueError(f"the manifest must name one sample of each role {PARENT_ROLES}, not {[tuple(r) for r in named]}")
         role = F.lit(None).cast("string")
-        for sample_id, name in roles.items():
-            role = F.when(F.col("sample_id") == sample_id, name).otherwise(role)
-        return self.calls.filter(F.col("sample_id").isin(*roles)).withColumn("role", role)
+        for r in named:
+            role = F.when(F.col("sample_id") == r["sample_id"], r["role"]).otherwise(role)
+        calls = self.calls if self.parents is None else self.parents
+        return calls.filter(F.col("sample_id").isin([r["sample_id"] for r in named])).withColumn("role", role)
 
 
 def overlay_map(markers: DataFrame, marker_map: DataFrame) -> DataFrame:
@@ -70,25 +73,15 @@ def overlay_map(markers: DataFrame, marker_map: DataFrame) -> DataFrame:
 
 
 def map_warnings(overlaid: DataFrame) -> DataFrame:
-    """One message per moved marker in file order, then the count of absent markers; the list stops at 50."""
-    moved = overlaid.filter("in_map and (chrom <> file_chrom or pos_bp <> file_pos_bp)")
-    text = F.format_string(
-        "marker %s: map position %s:%d overrides genotype file %s:%d",
-        "marker_id", "chrom", "pos_bp", "file_chrom", "file_pos_bp",
-    )
-    first = moved.orderBy("file_ord").limit(LISTED_MAP_OVERRIDES).select(
-        F.row_number().over(Window.orderBy("file_ord")).alias("seq"), text.alias("message")
-    )
-    absent = (
-        overlaid.filter("not in_map").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-        .select(
-            F.lit(LISTED_MAP_OVERRIDES + 1).alias("seq"),
-            F.format_string(
-                "%d genotype markers absent from markers.csv keep their genotype-file positions and have no cM", "n"
-            ).alias("message"),
-        )
-    )
-    return first.unionByName(absent).orderBy("seq").limit(LISTED_MAP_OVERRIDES)
+    """(seq, kind, marker_id, n): a row per marker that the map moved, then one with the number of markers it lacks.
+
+    All are returned, moved markers by (file_ord); a caller that prints them limits what it prints.
+    """
+    moved = overlaid.filter("in_map and (chrom <> file_chrom or pos_bp <> file_pos_bp)").select(
+        F.col("file_ord").alias("seq"), F.lit("moved").alias("kind"), "marker_id", F.col("pos_bp").alias("n"))
+    absent = overlaid.filter("not in_map").agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
+        F.lit(None).cast(overlaid.schema["file_ord"].dataType).alias("seq"), F.lit("not on the map").alias("kind"), F.lit(None).cast("string").alias("marker_id"), "n")
+    return moved.unionByName(absent)
 
 
 def keep_manifest(calls: DataFrame, samples: DataFrame) -> DataFrame:

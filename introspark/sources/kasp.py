@@ -9,13 +9,16 @@ from introspark.functions.calls import kasp_call
 from introspark.functions.text import strip
 from introspark.sources.lines import data_rows, first_by, headed
 
+
 def parse_long(lines: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
     """(calls, violations) of a sectioned long export.
 
     The data block starts after the first row that carries the three column names, wherever it stands.
     """
     low = F.lower("value")
-    data = data_rows(headed(lines, low.contains("subjectid") & low.rlike(r"\bsnpid\b") & low.rlike(r"\bcall\b")))
+    rows = headed(lines, low.contains("subjectid") & low.rlike(r"\bsnpid\b") & low.rlike(r"\bcall\b"))
+    data = data_rows(rows)
+    bare = rows.filter("head_ord is null").groupBy("file").agg(F.min("ord").alias("ord")).select("file", "ord", F.lit("no header row").alias("kind"), F.lit("").alias("detail"))
     names = F.transform("header", lambda c: F.lower(strip(c)))
     data = data.withColumn("names", names)
 
@@ -26,7 +29,7 @@ def parse_long(lines: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[
     kept = picked.filter(~F.col("sample_id").isin(list(controls)))
     empty = (F.col("sample_id") == "") | (F.col("marker_id") == "")
     violations = kept.filter(empty).select("file", "ord", F.lit("empty SubjectID or SNPID").alias("kind"), F.col("token").alias("detail"))
-    return _calls(kept.filter(~empty)), violations
+    return _calls(kept.filter(~empty)), violations.unionByName(bare)
 
 
 def _calls(cells: DataFrame) -> DataFrame:
@@ -121,3 +124,20 @@ def wide_table(calls: DataFrame, markers: DataFrame) -> DataFrame:
         .withColumn("ids", order.scalar())
         .select("marker_id", "chrom", "pos_bp", F.transform("ids", lambda s: F.coalesce(F.try_element_at("m", s), F.lit("N"))).alias("cells"))
     )
+
+
+def wide_job(calls: DataFrame, markers: DataFrame, drop_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, counts, violations) of one export: the whole job from parsed calls to the wide table.
+
+    Calls of one cell that disagree are violations. So are SNPs without a map entry, unless ``drop_unplaced`` asks to
+    leave them out; they are counted either way. ``counts`` has the columns what, n.
+    """
+    place = F.lit(""), F.lit(0)
+    clash = conflicts(calls).select(place[0].alias("file"), place[1].alias("ord"), F.lit("conflicting calls").alias("kind"), F.concat_ws(" ", "sample_id", "marker_id").alias("detail"))
+    nowhere = unplaced(calls, markers)
+    violations = clash if drop_unplaced else clash.unionByName(
+        nowhere.select(place[0].alias("file"), place[1].alias("ord"), F.lit("SNP not on the map").alias("kind"), F.col("marker_id").alias("detail")))
+    number = F.count(F.lit(1)).alias("n")
+    counts = nowhere.agg(number).select(F.lit("unplaced SNPs").alias("what"), "n").unionByName(
+        missing_reasons(calls).select(F.concat(F.lit("missing: "), "reason").alias("what"), "n"))
+    return wide_table(calls, markers), counts, violations

@@ -84,6 +84,20 @@ def named_rows(lines: DataFrame, columns: tuple[str, ...], delimiter: str | None
     return rows.withColumn("_names", names).select("file", "ord", *picked)
 
 
+def table_problems(lines: DataFrame, columns: tuple[str, ...], required: tuple[str, ...], delimiter: str | None = None) -> DataFrame:
+    """Violations of a table read by ``named_rows``: rows before its header, files without one, required columns it lacks,
+    and an input without any row."""
+    rows = headed(lines, F.lower("value").contains(columns[0].lower()), delimiter)
+    names = F.transform("header", lambda h: F.lower(strip(h)))
+    heads = rows.filter("head_ord is not null").select("file", F.col("head_ord").alias("ord"), names.alias("names")).dropDuplicates(["file"])
+    lacking = heads.select("file", "ord", F.explode(F.array_except(F.array(*[F.lit(c) for c in required]), "names")).alias("detail"))
+    lacking = lacking.select("file", "ord", F.lit("missing column").alias("kind"), "detail")
+    none = rows.agg(F.count_if(F.col("ord") > F.col("head_ord")).alias("n")).filter("n = 0").select(
+        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("ord"), F.lit("no rows").alias("kind"), F.lit("").alias("detail"))
+    parts = [x.select("file", F.col("ord").cast("string").alias("ord"), "kind", "detail") for x in (early_rows(rows), lacking, none)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in input order, without ordering the whole key: a minimum over structs."""
     rest = [c for c in df.columns if c not in keys]
@@ -119,5 +133,5 @@ def require_clean(violations: DataFrame) -> None:
 
 __all__ = [
     "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "headed", "named_rows",
-    "read_lines", "require_clean",
+    "read_lines", "require_clean", "table_problems",
 ]

@@ -9,7 +9,7 @@ from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import centimorgan, position
 from introspark.operators.common import duplicates
 from introspark.schema import MANIFEST_COLUMNS, SAMPLE_ROLES
-from introspark.sources.lines import named_rows, read_lines
+from introspark.sources.lines import named_rows, read_lines, table_problems
 
 
 def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +26,8 @@ def parse_samples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lower(F.coalesce("role", empty)).alias("role"),
         *[F.nullif(c, empty).alias(c) for c in ("generation", "family_id", "notes")],
     )
-    return samples.select(*MANIFEST_COLUMNS, F.struct("file", "ord").alias("sample_ord")), sample_violations(samples)
+    text = table_problems(lines, MANIFEST_COLUMNS, ("sample_id", "role")).withColumn("ord", F.lit(0))
+    return samples.select(*MANIFEST_COLUMNS, F.struct("file", "ord").alias("sample_ord")), sample_violations(samples).unionByName(text)
 
 
 def sample_violations(samples: DataFrame) -> DataFrame:
@@ -69,5 +70,6 @@ def parse_marker_map(lines: DataFrame, crop: Crop = SOYBEAN) -> tuple[DataFrame,
     repeated = duplicates(parsed, "marker_id").select(
         F.lit("").alias("file"), F.lit("duplicate marker_id").alias("kind"), F.col("marker_id").alias("detail")
     )
-    violations = broken.select("file", "kind", "detail").unionByName(repeated).withColumn("ord", F.lit(0))
+    text = table_problems(lines, ("marker_id",), ("marker_id", "chrom", "pos_bp")).select("file", "kind", "detail")
+    violations = broken.select("file", "kind", "detail").unionByName(repeated).unionByName(text).withColumn("ord", F.lit(0))
     return parsed.select("marker_id", "chrom", "pos_bp", "cm", F.struct("file", "ord").alias("file_ord")), violations

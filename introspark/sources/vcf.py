@@ -35,6 +35,18 @@ def _headers(lines: DataFrame, manifest: DataFrame | None) -> DataFrame:
     return out
 
 
+def _whole_input(text: DataFrame, markers: DataFrame) -> DataFrame:
+    """Violations no single line shows: a file without its header, a sample column that occurs twice, an input without records."""
+    head = F.min_by("value", "ord")
+    files = text.groupBy("file").agg(F.max(F.col("value").startswith("#CHROM")).alias("headed"))
+    bare = files.filter("not headed").select("file", F.lit("no #CHROM header").alias("kind"), F.lit("").alias("detail"))
+    heads = text.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.split(head, "\t", -1).alias("header"))
+    names = heads.select("file", F.explode(F.slice("header", FIXED + 1, F.greatest(F.size("header") - FIXED, F.lit(0)))).alias("detail"))
+    twice = names.groupBy("file", "detail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("file", F.lit("sample column occurs twice").alias("kind"), "detail")
+    empty = markers.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("").alias("file"), F.lit("no records").alias("kind"), F.lit("").alias("detail"))
+    return bare.unionByName(twice).unionByName(empty).withColumn("ord", F.lit(0))
+
+
 def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None = None) -> Genotypes:
     """Records become markers; every wanted sample column of a record becomes one call.
 
@@ -78,5 +90,5 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
         markers=records.select("marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"),
         calls=cells.filter("call.problem is null").select("marker_id", "sample_id", "call.a1", "call.a2"),
         samples=_headers(text, manifest).select(F.explode("wanted.sample_id").alias("sample_id")).distinct(),
-        violations=broken.unionByName(bad_cells),
+        violations=broken.unionByName(bad_cells).unionByName(_whole_input(text, records)),
     )

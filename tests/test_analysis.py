@@ -235,3 +235,11 @@ def test_criteria_are_validated():
                 {"targets": [{"id": "T", "marker_id": "m", "rule": "run"}]}, {**ok, "avoid": [{"id": "T", "marker_id": "n"}]}):
         with pytest.raises(CriteriaError):
             criteria_from_dict(bad)
+
+
+def test_each_parent_role_is_named_once(spark):
+    data = build(spark, {"s00": "AH"})
+    twice = data.with_(samples=data.samples.unionByName(data.samples.filter("role = 'donor_parent'").withColumn("sample_id", F.lit("other"))))
+    with pytest.raises(ValueError):
+        twice.parent_calls()
+    assert {r["role"] for r in data.parent_calls().collect()} == {"recurrent_parent", "donor_parent"}

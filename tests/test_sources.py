@@ -111,3 +111,33 @@ def test_number_text(spark):
     values = [0.5, 1 / 3, 1e-5, 123456.7, 1e6, 0.0, -2.5, None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
     assert [r[0] for r in df.orderBy("i").select(number_text(F.col("x"))).collect()] == ["0.5", "0.333333", "1e-05", "123457", "1000000", "0", "-2.5", "NA"]
+
+
+def kinds(violations):
+    return {r["kind"] for r in violations.collect()}
+
+
+def test_inputs_that_hold_nothing_or_lose_rows_are_reported(spark):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    record = "Gm01\t5\tm\tA\tC\t.\t.\t.\tGT"
+    assert kinds(vcf.parse_vcf(as_lines(spark, f"{head}\ta")).violations) == {"no records"}
+    assert kinds(vcf.parse_vcf(as_lines(spark, f"{head}\ta\ta", f"{record}\t0/0\t0/1")).violations) == {"sample column occurs twice"}
+    assert "no #CHROM header" in kinds(vcf.parse_vcf(as_lines(spark, f"{record}\t0/0")).violations)
+    assert kinds(vcf.parse_vcf(as_lines(spark, f"{head}\ta", f"{record}\t0/0")).violations) == set()
+    manifest_rows = ("sample_id,role", "a,recurrent_parent", "b,donor_parent", "c,progeny")
+    assert kinds(manifest.parse_samples(as_lines(spark, *manifest_rows))[1]) == set()
+    assert kinds(manifest.parse_samples(as_lines(spark, "x,progeny", *manifest_rows))[1]) == {"unexpected header"}
+    assert "missing column" in kinds(manifest.parse_samples(as_lines(spark, "sample_id,line_name", "a,b"))[1])
+    assert kinds(manifest.parse_marker_map(as_lines(spark, "marker_id,chrom,pos_bp,cm"))[1]) == {"no rows"}
+    assert kinds(kasp.parse_long(as_lines(spark, "a,m,A:A"))[1]) == {"no header row"}
+
+
+def test_kasp_job_refuses_conflicts_and_unplaced_snps(spark):
+    calls, clean = kasp.parse_long(as_lines(spark, "SubjectID,SNPID,Call", "a,m1,A:A", "a,m1,G:G", "b,m1,A:G", "b,m9,A:A"))
+    assert kinds(clean) == set()
+    markers = spark.createDataFrame([("m1", "Gm01", 5)], "marker_id string, chrom string, pos_bp long")
+    table, counts, violations = kasp.wide_job(calls, markers)
+    assert {(r["kind"], r["detail"]) for r in violations.collect()} == {("conflicting calls", "a m1"), ("SNP not on the map", "m9")}
+    assert kinds(kasp.wide_job(calls, markers, drop_unplaced=True)[2]) == {"conflicting calls"}
+    assert {r["what"]: r["n"] for r in counts.collect()} == {"unplaced SNPs": 1}
+    assert [(r["marker_id"], r["cells"]) for r in table.collect()] == [("m1", ["AA", "AG"])]

@@ -87,8 +87,8 @@ def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
-    calls = parent_calls(spark, sf_dir).unionByName(progeny_calls(spark, sf_dir))
-    return Dataset(markers(spark, sf_dir), samples(spark, sf_dir), calls)
+    parents = parent_calls(spark, sf_dir)
+    return Dataset(markers(spark, sf_dir), samples(spark, sf_dir), parents.unionByName(progeny_calls(spark, sf_dir)), parents=parents)
 
 
 # The loci of the bound dataset; all resolve from the smallest scale factor on.

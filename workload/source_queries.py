@@ -218,13 +218,12 @@ def j1_map_overlay(spark, sf):
     return overlaid.select("marker_id", "chrom", "pos_bp", "cm", "in_map")
 
 
-@register("t4_map_warnings", f""", {MAPPED}, moved AS (SELECT p, format('marker {{}}: map position {{}}:{{}} overrides genotype file {{}}:{{}}', d.marker_id, d.chrom, d.pos_bp, m.chrom, m.pos_bp) AS message
-        FROM mapped d JOIN markers m USING (marker_id, p) WHERE d.pos_bp <> m.pos_bp ORDER BY p LIMIT 50),
-    gone AS (SELECT format('{{}} genotype markers absent from markers.csv keep their genotype-file positions and have no cM', count(*)) AS message, count(*) AS n FROM part WHERE p_size = 9)
-    SELECT message FROM (SELECT p AS o, message FROM moved UNION ALL SELECT 9000000000000, message FROM gone WHERE n > 0) ORDER BY o LIMIT 50""")
+@register("t4_map_warnings", f""", {MAPPED}
+    SELECT 'moved' AS kind, d.marker_id, d.pos_bp AS n FROM mapped d JOIN markers m USING (marker_id, p) WHERE d.pos_bp <> m.pos_bp
+    UNION ALL SELECT 'not on the map', NULL, n FROM (SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT p FROM mapped)) WHERE n > 0""")
 def t4_map_warnings(spark, sf):
     overlaid = overlay_map(binding.markers(spark, sf), manifest.parse_marker_map(texts.map_lines(spark, sf))[0])
-    return map_warnings(overlaid).select("message")
+    return map_warnings(overlaid).select("kind", "marker_id", "n")
 
 
 @register("j2_manifest_alignment", """
