@@ -160,10 +160,24 @@ def a27_linkage_rejects(spark, sf):
     return table.filter("reject is not null").groupBy(F.col("reject").alias("step")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("w8_monotone_anchors")
+# Run lengths that end in each anchor (b) and begin there (a); the earliest longest run takes its places one by one.
+MONOTONE = f"""{LINKAGE},
+    anchor AS (SELECT marker_id, chrom, pos_bp, cm, row_number() OVER (PARTITION BY chrom ORDER BY pos_bp, cm, marker_id) AS i FROM lm WHERE reject IS NULL),
+    sides AS (SELECT chrom, side, list(y ORDER BY o) AS y FROM (SELECT chrom, 'b' AS side, cm AS y, i AS o FROM anchor UNION ALL SELECT chrom, 'a', -cm, -i FROM anchor) GROUP BY chrom, side),
+    reach AS (SELECT chrom, side, y, 1 AS i, [1] AS d FROM sides UNION ALL
+             SELECT chrom, side, y, i + 1, list_append(d, 1 + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: y[j] <= y[i + 1]), lambda j: d[j])), 0)::INT)
+             FROM reach WHERE i < len(y)),
+    both_ways AS (SELECT chrom, any_value(y) FILTER (side = 'b') AS y, any_value(d) FILTER (side = 'b') AS b, list_reverse(any_value(d) FILTER (side = 'a')) AS a FROM reach WHERE i = len(y) GROUP BY chrom),
+    pick AS (SELECT chrom, y, b, a, list_max(b) AS whole, 0 AS k, 0 AS i FROM both_ways UNION ALL
+             SELECT chrom, y, b, a, whole, k + 1, list_min(list_filter(range(i + 1, len(y) + 1), lambda j: b[j] = k + 1 AND a[j] + b[j] = whole + 1 AND (k = 0 OR y[j] >= y[i])))::INT
+             FROM pick WHERE k < whole)"""
+
+
+@register("w8_monotone_anchors", f""", {MONOTONE}
+    SELECT marker_id, anchor.chrom, pos_bp, round(cm, 6) AS cm, pick.i IS NOT NULL AS kept FROM anchor LEFT JOIN pick ON pick.chrom = anchor.chrom AND pick.i = anchor.i AND k > 0""")
 def w8_monotone_anchors(spark, sf):
     table, _ = linkage.parse_linkage(texts.linkage_lines(spark, sf))
-    return maps.monotone_anchors(table.filter("reject is null"))
+    return maps.monotone_anchors(table.filter("reject is null")).withColumn("cm", F.round("cm", 6))
 
 
 @register("j8_match_markers", f""", {LINKAGE} SELECT 'm' || p_partkey AS marker_id, CASE WHEN p_size <> 6 THEN 'ss' || p_partkey END AS table_id FROM part WHERE p_size <> 7

@@ -263,4 +263,4 @@ CTES: dict[str, str] = {
 def sql(query: str) -> str:
     """The query behind every step it may name; a query that starts with a comma adds steps of its own."""
     steps = ",\n".join(f"{name} AS ({body})" for name, body in CTES.items())
-    return f"WITH {steps}\n{query.strip()}"
+    return f"WITH RECURSIVE {steps}\n{query.strip()}"
