@@ -4,8 +4,11 @@
 2. A class puts the first shingles of its set, in an order common to all, into tiles: two sets as similar as asked
    share one of these. The order is by hash, but shingles found in many classes come last, so that passages shared by
    many documents don't meet in tiles. The order decides the work, never the result.
-3. A tile is a shingle and a band of set sizes. Each member is paired with the hub it shares most tiles with; after
-   these pairs have made components, only pairs across components are looked at, in the same or the next band.
+3. A tile is a shingle and a band of set sizes. Its hub is the member with the largest share of shingles found in other
+   classes: of a group of edited copies, the original. Each member is paired with the hub it shares most tiles with;
+   after these pairs have made components, only pairs across components are looked at, in the same or the next band.
+   Tiles of shingles that are common and yet needed (large groups of near copies) are cut into blocks of members, and
+   block meets block in a task; a pair counts in the first tile it shares only.
 4. A pair is dropped if the bits in which its bitmap signatures differ leave too small an overlap. The others meet as
    sorted arrays at the hub's side, which holds one set and streams the rest.
 """
@@ -29,16 +32,42 @@ from .idfilter import probably
 SIZE = 5
 PERCENT = 75
 #: Classes in a tile from which its shingle goes last in the order.
-COMMON = 64
+COMMON = 16
 #: Shingles that may go last; their list is sent to all tasks, so it is bounded (8 MB). If more are common, ``COMMON`` rises.
 MOST_COMMON = 1 << 20
 #: Members of one hub that meet in one task.
 HUB_MEMBERS = 2000
 #: Values of one batch of blocks; bounds the memory of a task.
 BLOCK_VALUES = 1 << 20
+#: Members of one block of a large tile.
+BLOCK_MEMBERS = 4096
 _BANDS = math.log(100 / PERCENT)
 
 
+def _by_text(values: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Order by text, then value; the second sort is a radix sort where the texts of a piece allow."""
+    order = np.argsort(values)
+    of = text[order]
+    return order[np.argsort(of.astype(np.uint16) if len(of) and of.max() < 1 << 16 else of, kind="stable")]
+
+
+class Common:
+    """Shingles that go last, as a sorted array behind a bitmap."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.values >> U64(44)] = True
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = self.bits[values >> U64(44)]
+        if len(self.values):
+            maybe = np.flatnonzero(out)
+            at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
+            out[maybe] = self.values[at] == values[maybe]
+        return out
+
+
 class Sets:
     """Shingle sets of the texts of a column: ``values`` sorted within ``offsets``."""
 
@@ -54,7 +83,7 @@ class Sets:
                 values.append(window_hashes(h, k, 0xE7037ED1A0B428DB + 2 * k)[first[at]])
                 text.append(at)
         values, text = np.concatenate(values), np.concatenate(text)
-        order = np.lexsort((values, text))
+        order = _by_text(values, text)
         values, text = values[order], text[order]
         new = np.r_[True, (values[1:] != values[:-1]) | (text[1:] != text[:-1])] if len(values) else np.zeros(0, bool)
         self.values, self.text = values[new], text[new]
@@ -74,13 +103,15 @@ class Sets:
         a, b = self.keys()
         return [x.tobytes() for x in np.stack([a, b], axis=1).astype(">u8")]
 
-    def prefix(self, common: np.ndarray) -> np.ndarray:
+    def prefix(self, common: Common) -> np.ndarray:
         """Positions in ``values`` of the shingles of every set that must include one shared with any similar set."""
-        last = np.isin(self.values, common, kind="sort") if len(common) else np.zeros(len(self.values), bool)
-        order = np.lexsort((self.values, last, self.text))
-        rank = np.arange(len(order)) - self.offsets[:-1][self.text]  # ``text`` is sorted, so positions keep their text
-        need = self.n - -(-PERCENT * self.n // 100) + 1
-        return order[rank < need[self.text]]
+        need = (self.n - -(-PERCENT * self.n // 100) + 1)[self.text]
+        rank = np.arange(len(self.values)) - self.offsets[:-1][self.text]  # ``text`` is sorted and values are within it
+        last = common.has(self.values)
+        before = np.r_[0, np.cumsum(last)]
+        rank_rare = rank - (before[:-1] - before[self.offsets[:-1]][self.text])
+        n_rare = (self.n - np.diff(before[self.offsets]))[self.text]
+        return np.flatnonzero(np.where(last, n_rare + rank - rank_rare, rank_rare) < need)
 
     def signature(self, i: int) -> bytes:
         """Bitmap of set ``i``, about one bit per shingle: every shingle flips one bit, so two bitmaps differ in at most
@@ -123,9 +154,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(named, "doc_id long, n long, cls binary, signature binary")
 
 
-def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
-    """Prefix shingles dealt to buckets; a class counts once per batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int, known: np.ndarray | None = None) -> DataFrame:
+    """Prefix shingles dealt to buckets; a class counts once per batch. With ``known``, an earlier ``common``: only those
+    that weren't in the prefix then."""
+    shared = docs.sparkSession.sparkContext.broadcast((Common(common), known if known is None else Common(known)))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +172,10 @@ def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
                     if s.n[i] and k not in seen:
                         seen.add(k)
                         fresh[i] = True
-                at = s.prefix(shared.value)
+                now, then = shared.value
+                at = s.prefix(now)
+                if then is not None:
+                    at = np.setdiff1d(at, s.prefix(then), assume_unique=True)
                 at = at[fresh[s.text[at]]]
                 values.append(s.values[at])
                 owners.append(s.text[at] + held)
@@ -166,7 +201,10 @@ def _by_token(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def common_shingles(docs: DataFrame, n_buckets: int) -> np.ndarray:
-    """Shingles that stand in the hash-order prefixes of more than ``COMMON`` classes, at most ``MOST_COMMON``."""
+    """Shingles that stand in the prefixes of more than ``COMMON`` classes, at most ``MOST_COMMON``.
+
+    When these go last, others move into the prefixes; only those are counted next, until none of them is common.
+    """
 
     def counted(table: pa.Table) -> pa.Table:
         token, _, _ = _by_token(table)
@@ -175,34 +213,100 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> np.ndarray:
         many = count > COMMON
         return pa.table({"token": pa.array(token[head][many].view(np.int64)), "n": pa.array(count[many])})
 
-    found = land(_postings(docs, np.zeros(0, U64), n_buckets).groupBy("bucket").applyInArrow(counted, "token long, n long"), "common-shingles")
-    least = COMMON
-    while found.filter(F.col("n") > least).count() > MOST_COMMON:
-        least *= 2
-    rows = found.filter(F.col("n") > least).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(U64))
+    common, known = np.zeros(0, U64), None
+    while len(common) < MOST_COMMON:
+        found = land(_postings(docs, common, n_buckets, known).groupBy("bucket").applyInArrow(counted, "token long, n long"), "common-shingles")
+        least = COMMON
+        while found.filter(F.col("n") > least).count() > MOST_COMMON - len(common):
+            least *= 2
+        new = found.filter(F.col("n") > least).select("token").toPandas()["token"].to_numpy(np.int64).view(U64)
+        if not len(new):
+            break
+        common, known = np.union1d(common, new), common
+    return common
 
 
 def tiles(docs: DataFrame, common: np.ndarray, n_buckets: int) -> DataFrame:
-    """Shingles shared by several classes: ``token, key, n, band, hub`` per member, ``key`` being half of the class's
-    name, ``hub`` the key of the tile's hub: the member with the smallest key in the same band."""
+    """Shingles shared by several classes: ``token, key, n, band`` per member, ``key`` being half of the class's name."""
 
     def shared(table: pa.Table) -> pa.Table:
         token, owner, n = _by_token(table)
         head = heads(token)
         count = np.diff(np.r_[head, len(token)])
         keep = np.repeat(count > 1, count)
-        token, owner, n = token[keep], owner[keep], n[keep]
-        band = np.floor(np.log(np.maximum(n, 1)) / _BANDS).astype(np.int64)
-        order = np.lexsort((owner, band, token))
-        token, owner, n, band = token[order], owner[order], n[order], band[order]
-        head = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])]) if len(token) else np.zeros(0, np.int64)
-        hub = np.repeat(owner[head], np.diff(np.r_[head, len(token)]))
-        return pa.table({
-            "token": pa.array(token.view(np.int64)), "key": pa.array(owner.view(np.int64)), "n": pa.array(n), "band": pa.array(band), "hub": pa.array(hub.view(np.int64)),
-        })
+        band = np.floor(np.log(np.maximum(n[keep], 1)) / _BANDS).astype(np.int64)
+        return pa.table({"token": pa.array(token[keep].view(np.int64)), "key": pa.array(owner[keep].view(np.int64)), "n": pa.array(n[keep]), "band": pa.array(band)})
+
+    return _postings(docs, common, n_buckets).groupBy("bucket").applyInArrow(shared, "token long, key long, n long, band long")
+
 
-    return _postings(docs, common, n_buckets).groupBy("bucket").applyInArrow(shared, "token long, key long, n long, band long, hub long")
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Each member of ``members`` (``token, key, n, band``) with the hub it shares most tiles with: ``a`` (the hub), ``b``."""
+    share = members.groupBy("key").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
+    hubs = members.join(share, "key").groupBy("token", "band").agg(F.max(F.struct("share", "key", "n")).alias("top"))
+    hubs = hubs.select("token", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), F.col("top.key").alias("hub"), F.col("top.n").alias("hub_n"))
+    met = members.join(hubs, ["token", "band"]).filter(f"key <> hub AND 100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)")
+    best = met.groupBy("key", "hub").count().groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best"))
+    return best.select(F.col("best.hub").alias("a"), F.col("key").alias("b"))
+
+
+def cross_pairs_small(met: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of keys across roots in tiles of at most ``COMMON`` members, in the same or the next band."""
+    high = met.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    low = met.select("token", "band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    return low.join(high, ["token", "band"]).filter(
+        f"root_a <> root_b AND n_a <= n_b AND (n_a < n_b OR a < b) AND 100 * n_a >= {PERCENT} * n_b").select("a", "b").distinct()
+
+
+def _folded(signature: bytes, length: int) -> bytes:
+    while len(signature) > length:
+        half = len(signature) // 2
+        signature = (int.from_bytes(signature[:half], "little") ^ int.from_bytes(signature[half:], "little")).to_bytes(half, "little")
+    return signature
+
+
+def block_pairs(n: np.ndarray, root: np.ndarray, block: np.ndarray, signatures: list[bytes], tokens: list[np.ndarray], token: int) -> Iterator[tuple[int, int]]:
+    """Pairs of members of two blocks (or one) of a tile, from different roots, whose sizes and signatures leave room for
+    the overlap and that share no tile with a smaller token. Members are sorted by ``n``."""
+    lengths = np.array([len(s) for s in signatures])
+    upto = np.searchsorted(n, n * 100 // PERCENT, side="right")
+    two = block.min() != block.max()
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        bits = np.zeros((len(n), length // 8), np.uint64)
+        bits[at] = np.frombuffer(b"".join(_folded(signatures[i], length) for i in at), np.uint64).reshape(len(at), -1)
+        for i in np.flatnonzero(lengths == length).tolist():
+            j = np.arange(i + 1, upto[i])
+            j = j[(root[j] != root[i]) & ((block[j] != block[i]) if two else True)]
+            if len(j):
+                room = (n[i] + n[j] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
+                for k in j[100 * room >= PERCENT * (n[i] + n[j] - room)].tolist():
+                    shared = np.intersect1d(tokens[i], tokens[k], assume_unique=True)
+                    if shared[0] == token:
+                        yield i, k
+
+
+def cross_pairs_large(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same for larger tiles (``met`` has their size as ``c``), block by block."""
+    tokens = met.groupBy("key").agg(F.sort_array(F.collect_list("token")).alias("tokens"))  # of one prefix
+    rows = met.join(tokens, "key").join(classes.select("key", "cls", "signature"), "key")
+    rows = rows.withColumn("k", F.ceil(F.col("c") / BLOCK_MEMBERS)).withColumn("block", F.pmod(F.xxhash64("key"), F.col("k")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "root", "signature", "tokens")
+
+    def survivors(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("key", "ascending")])
+        key = table.column("key").to_numpy()
+        root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)[1]
+        block, i, j = (table.column(c).to_numpy() for c in ("block", "i", "j"))
+        pairs: list[tuple[int, int]] = []
+        if i[0] == j[0] or block.min() != block.max():
+            tokens = [np.array(t, np.int64) for t in table.column("tokens").to_pylist()]
+            pairs = list(block_pairs(table.column("n").to_numpy(), root, block, table.column("signature").to_pylist(), tokens, table.column("token")[0].as_py()))
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(key[a]), "b": pa.array(key[b])})
+
+    return rows.groupBy("token", "i", "j").applyInArrow(survivors, "a long, b long")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -283,19 +387,15 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = land(classes.withColumn("key", key), "classes")
     members = land(tiles(docs, common_shingles(docs, n_buckets), n_buckets), "tiles")
 
-    near_hub = members.filter("key <> hub").groupBy("key", "hub").count().groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best"))
-    first = land(bounded(near_hub.select(F.col("best.hub").alias("a"), F.col("key").alias("b")), classes), "hub-pairs")
+    first = land(bounded(hub_pairs(members), classes), "hub-pairs")
     links = verified(docs, first, classes)
     roots = components(links)
 
     names = classes.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", F.coalesce("root", "cls").alias("root"))
     met = members.join(names, "key").select("token", "key", "n", "band", "root")
-    several = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    met = land(met.join(several, "token", "left_semi"), "open-tiles")
-    high = met.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    low = met.select("token", "band", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    across = low.join(high, ["token", "band"]).filter(
-        f"root_a <> root_b AND n_a <= n_b AND (n_a < n_b OR a < b) AND 100 * n_a >= {PERCENT} * n_b").select("a", "b").distinct()
+    several = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("token", "c")
+    met = land(met.join(several, "token"), "open-tiles")
+    across = cross_pairs_small(met.filter(F.col("c") <= COMMON)).unionByName(cross_pairs_large(met.filter(F.col("c") > COMMON), classes)).distinct()
     tried = first.select("cls_a", "cls_b").unionByName(first.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b")))
     more = land(bounded(across, classes).join(tried, ["cls_a", "cls_b"], "left_anti"), "cross-pairs")
     links = links.unionByName(verified(docs, more, classes))
