@@ -20,13 +20,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; what still reads them fails from then on."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(run_folder(spark))
+    if store.get_file_info(base).type != fs.FileType.NotFound:
+        store.delete_dir(base)
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back.
 
     A table read by several branches is computed once, survives lost executors, and comes back with its true
     size, from which the optimizer chooses its joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
