@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from introspark.functions.chrom import Crop, assembly_length, chrom_order
+from introspark.functions.chrom import Crop, assembly_length
 from introspark.operators.classify import is_counted
 from introspark.operators.common import neighbours
-from introspark.schema import DEFAULT_COVERAGE, LISTED_PER_KIND, STATE_A, STATE_B, STATE_H
+from introspark.schema import DEFAULT_COVERAGE, STATE_A, STATE_B, STATE_H
 
 # Width of the position bins that bound every ordered window over markers.
 BIN_BP = 1_000_000
@@ -31,43 +31,10 @@ def chromosome_ends(markers: DataFrame, assembly: str, crop: Crop) -> DataFrame:
     )
 
 
-def end_warnings(ends: DataFrame, assembly: str, crop: Crop) -> DataFrame:
-    """The first five chromosomes of each unplaced kind in crop order, and how many more there are.
-
-    One row per chromosome goes in, so the ranking window is small by construction.
-    """
-    from pyspark.sql import Window
-
-    ranked = (
-        ends.filter("kind <> 'placed'")
-        .withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy(chrom_order(F.col("chrom"), crop))))
-        .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("kind")))
-    )
-    text = F.when(
-        F.col("kind") == "beyond",
-        F.format_string(
-            "chromosome %s: marker positions reach %d beyond the " + assembly + " length %d; check the assembly setting",
-            "chrom", "last_bp", F.coalesce("length_bp", F.lit(0)),
-        ),
-    ).otherwise(
-        F.format_string(
-            "chromosome %s: the assembly " + assembly
-            + " gives no length; the last marker is the chromosome end for drag bounds", "chrom",
-        )
-    )
-    more = F.when(
-        F.col("kind") == "beyond",
-        F.format_string(
-            "... and %d more chromosomes with marker positions beyond the " + assembly + " length", F.col("total") - LISTED_PER_KIND
-        ),
-    ).otherwise(
-        F.format_string(
-            "... and %d more chromosomes to which the assembly " + assembly + " gives no length", F.col("total") - LISTED_PER_KIND
-        )
-    )
-    shown = ranked.filter(F.col("seq") <= LISTED_PER_KIND).select("kind", "seq", text.alias("message"))
-    rest = ranked.filter(F.col("seq") == LISTED_PER_KIND + 1).select("kind", "seq", more.alias("message"))
-    return shown.unionByName(rest).orderBy("kind", "seq")
+def end_warnings(ends: DataFrame) -> DataFrame:
+    """(kind, chrom, last_bp, length_bp): every chromosome whose end the length table doesn't give. ``beyond``: markers lie
+    past its length; otherwise it has none, and its last marker is taken for its end. Sort by ``chrom_order`` to print."""
+    return ends.filter("kind <> 'placed'").select("kind", "chrom", "last_bp", "length_bp")
 
 
 def marker_weights(markers: DataFrame, ends: DataFrame, unit: str, max_coverage: float | None = None) -> DataFrame:

@@ -223,44 +223,31 @@ def parent_rates(parent_calls: DataFrame, markers: DataFrame) -> DataFrame:
     ).select("role", "sample_id", "het_rate", (F.lit(1.0) - F.col("n") / n_markers).alias("missing_rate"))
 
 
+# A parent with more missing calls, or a panel with fewer informative markers, is worth a warning.
+PARENT_MISSING = 0.1
+LEAST_INFORMATIVE = 0.2
+
+
 def parent_qc(parent_calls: DataFrame, markers: DataFrame, filters: Filters) -> DataFrame:
-    """Warnings about the parents: heterozygous, missing, or hardly different from each other."""
-    totals = markers.agg(F.count(F.lit(1)).alias("n_markers"), F.count_if("informative").alias("n_informative"))
-    rates = parent_rates(parent_calls, markers).select(
-        "role", "sample_id", F.col("het_rate").alias("het"), F.col("missing_rate").alias("missing"),
-        F.when(F.col("role") == "recurrent_parent", 1).otherwise(2).alias("seq"),
-    )
-    limit = filters.parent_max_het_rate
-    het = rates.filter(F.col("het") > limit).select(
-        "seq", F.lit(1).alias("part"),
-        F.format_string(f"%s %s: heterozygous call rate %.3f exceeds {limit}", "role", "sample_id", "het").alias("message"),
-    )
-    missing = rates.filter(F.col("missing") > 0.1).select(
-        "seq", F.lit(2).alias("part"), F.format_string("%s %s: missing rate %.3f", "role", "sample_id", "missing").alias("message")
-    )
-    few = F.when(
-        F.col("n_informative") == 0, F.lit("no informative markers: parents identical, heterozygous or missing everywhere")
-    ).when(
-        F.col("n_informative") < 0.2 * F.col("n_markers"),
-        F.format_string("only %d of %d markers are informative between the parents", "n_informative", "n_markers"),
-    )
-    panel = totals.select(F.lit(3).alias("seq"), F.lit(1).alias("part"), few.alias("message")).filter("message is not null")
-    return het.unionByName(missing).unionByName(panel).orderBy("seq", "part")
+    """(kind, role, sample_id, value): parents with many heterozygous or missing calls, and a panel on which they hardly
+    differ (its value is the share of informative markers)."""
+    rates = parent_rates(parent_calls, markers)
+    high = F.array_compact(F.array(
+        F.when(F.col("het_rate") > filters.parent_max_het_rate, F.struct(F.lit("heterozygous parent").alias("kind"), F.col("het_rate").alias("value"))),
+        F.when(F.col("missing_rate") > PARENT_MISSING, F.struct(F.lit("missing parent calls").alias("kind"), F.col("missing_rate").alias("value"))),
+    ))
+    parents = rates.select("role", "sample_id", F.inline(high)).select("kind", "role", "sample_id", F.col("value").cast("double").alias("value"))
+    share = F.count_if("informative") / F.count(F.lit(1))
+    none = F.lit(None).cast("string")
+    panel = markers.agg(share.alias("value")).filter(F.col("value") < LEAST_INFORMATIVE).select(F.lit("few informative markers").alias("kind"), none.alias("role"), none.alias("sample_id"), "value")
+    return parents.unionByName(panel)
 
 
 def sibling_caveat(samples: DataFrame) -> DataFrame:
-    """One row when the population is too advanced to tell duplicates from siblings, else none."""
+    """(n_backcross, sibling_ibs) when siblings are expected to be as alike as duplicates, else no row."""
     n = F.max(parse_generation(F.col("generation"))["n_backcross"])
-    return (
-        samples.agg(n.alias("n_backcross")).filter(F.col("n_backcross") >= SIBLING_MIN_BACKCROSS)
-        .select(
-            "n_backcross",
-            F.format_string(
-                "possible_duplicate cannot separate duplicates from BC%d siblings: expected sibling IBS %.3f is within 0.005 of the 0.995 threshold",
-                "n_backcross", 1 - F.pow(F.lit(2.0), -(F.col("n_backcross") + 1)),
-            ).alias("message"),
-        )
-    )
+    advanced = samples.agg(n.alias("n_backcross")).filter(F.col("n_backcross") >= SIBLING_MIN_BACKCROSS)
+    return advanced.select("n_backcross", (1 - F.pow(F.lit(2.0), -(F.col("n_backcross") + 1))).alias("sibling_ibs"))
 
 
 def validation_summary(markers: DataFrame, samples: DataFrame, flagged: DataFrame, n_duplicate_pairs: Column, n_warnings: Column) -> DataFrame:

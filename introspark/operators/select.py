@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from introspark.schema import MANIFEST_COLUMNS
 
-# Expected composition one generation on, from mean A/H/B: (A', H', B', carriers, note).
+# Expected composition one generation on, from mean A/H/B: (A', H', B'), and the share that carries a target. Loci are
+# taken to segregate freely and in Mendelian ratios.
 _STEPS = {
-    "backcross": (
-        lambda a, h, b: (a + h / 2, h / 2 + b, F.lit(0.0)), 0.5,
-        "next generation is BC(n+1)F1: donor content halves; every locus with donor is heterozygous",
-    ),
-    "self": (
-        lambda a, h, b: (a + h / 4, h / 2, b + h / 4), 0.75,
-        "next generation is BCnF(k+1): heterozygosity halves; RPP unchanged in expectation",
-    ),
+    "backcross": (lambda a, h, b: (a + h / 2, h / 2 + b, F.lit(0.0)), 0.5),
+    "self": (lambda a, h, b: (a + h / 4, h / 2, b + h / 4), 0.75),
 }
 
 
@@ -34,7 +29,7 @@ def project_next_generation(selected: DataFrame, step: str = "backcross") -> Dat
     """One row of expectations; no row when nothing is selected."""
     if step not in _STEPS:
         raise ValueError("step must be backcross or self")
-    change, carriers, note = _STEPS[step]
+    change, carriers = _STEPS[step]
     a2, h2, b2 = change(F.col("a"), F.col("h"), F.col("b"))
     return (
         selected.agg(F.count(F.lit(1)).alias("n_selected"), F.avg("frac_a").alias("a"), F.avg("frac_h").alias("h"), F.avg("frac_b").alias("b"))
@@ -43,7 +38,7 @@ def project_next_generation(selected: DataFrame, step: str = "backcross") -> Dat
             F.lit(step).alias("step"), "n_selected", (F.col("a") + F.col("h") / 2).alias("mean_rpp_selected"),
             (a2 + h2 / 2).alias("expected_rpp_next"), h2.alias("expected_het_next"),
             F.lit(carriers).alias("expected_target_carrier_fraction"),
-            F.format_string(note + "; assumes Mendelian segregation and unlinked loci (b'=%.3f)", b2).alias("note"),
+            b2.alias("expected_hom_donor_next"),
         )
     )
 

@@ -72,9 +72,9 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     background_unit, flank_unit = _unit(criteria.background.map_unit, complete), _unit(criteria.flank_unit, complete)
     notes = []
     if criteria.background.map_unit == "cm" and background_unit == "bp":
-        notes.append("background.map_unit is cm but the map has no cM; RPP weights computed in bp")
+        notes.append("background unit: bp, since the map lacks cM")
     if criteria.flank_unit == "cm" and flank_unit == "bp":
-        notes.append("flank_unit is cm but the map has no cM; windows interpreted in bp")
+        notes.append("flank unit: bp, since the map lacks cM")
 
     classified = classify.classified_markers(dataset)
     if criteria.background.model == "weighted":
@@ -82,7 +82,7 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
         weighed = background.marker_weights(classified, source_ends, background_unit, criteria.background.max_marker_coverage)
         if background_unit == "bp" and criteria.background.map_unit != "bp":
             cap = criteria.background.max_marker_coverage or DEFAULT_COVERAGE["bp"]
-            notes.append(f"weighted RPP in bp: no cM map, weights capped at {cap:.0f} bp per marker")
+            notes.append(f"background coverage: at most {cap:.0f} bp a marker")
     else:
         weighed = background.unit_weights(classified)
     # the marker table feeds every later step: computed once

@@ -23,7 +23,6 @@ OUTLIER_MIN_MEMBERS = 6
 OUTLIER_MIN_SCALE = 0.01
 OUTLIER_Z = 2.5
 MAD_TO_SIGMA = 1.4826
-LISTED_PER_KIND = 5
 
 # --- fixed values: marker coverage caps of the weighted background model ----------------------------
 DEFAULT_COVERAGE = {"cm": 10.0, "bp": 2_000_000.0}

@@ -378,16 +378,15 @@ def a11_parent_qc(spark, sf):
 
 
 @register("a11_parent_warnings", """
-    SELECT message FROM (
-        SELECT 1 AS seq, format('recurrent_parent s0: heterozygous call rate {:.3f} exceeds 0.01', h) AS message FROM (SELECT count(*) FILTER (rp1 <> rp2) / count(rp1) AS h FROM parents) WHERE h > 0.01
-        UNION ALL
-        SELECT 2, format('donor_parent s1: heterozygous call rate {:.3f} exceeds 0.01', h) FROM (SELECT count(*) FILTER (dp1 <> dp2) / count(dp1) AS h FROM parents) WHERE h > 0.01) ORDER BY seq""")
+    SELECT 'heterozygous parent' AS kind, role, sample_id, value FROM (
+        SELECT 'recurrent_parent' AS role, 's0' AS sample_id, count(*) FILTER (rp1 <> rp2) / count(rp1) AS value FROM parents
+        UNION ALL SELECT 'donor_parent', 's1', count(*) FILTER (dp1 <> dp2) / count(dp1) FROM parents) WHERE value > 0.01""")
 def a11_parent_warnings(spark, sf):
     data = binding.dataset(spark, sf)
     markers = classify.classified_markers(data)
     parents = data.with_(calls=binding.parent_calls(spark, sf)).parent_calls()
     filters = binding.criteria(filters={"parent_max_het_rate": 0.01}).filters
-    return qc.parent_qc(parents, markers, filters).select("message")
+    return qc.parent_qc(parents, markers, filters)
 
 
 def _scored(spark, sf):
@@ -490,7 +489,7 @@ def _projection(step, a2, h2, carrier):
 
 
 def _projected(spark, sf, step):
-    out = select.project_next_generation(select.top_n(_ranked(spark, sf), 2), step).drop("note")
+    out = select.project_next_generation(select.top_n(_ranked(spark, sf), 2), step).drop("expected_hom_donor_next")
     return out.withColumns({c: F.round(c, 9) for c in ("mean_rpp_selected", "expected_rpp_next", "expected_het_next")})
 
 
