@@ -16,7 +16,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 #: A batch is worked on in pieces of this many bytes of text (one text at least), which bounds memory.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _powers = {_BASE: np.ones(1, U64), _BASE_INVERSE: np.ones(1, U64)}
 
@@ -60,6 +60,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 @dataclass

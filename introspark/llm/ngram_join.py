@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import BLOCK, deal, gathered, heads
 from .bytewords import U64, inside, mixed, pieces, window_hashes, words
@@ -35,10 +36,13 @@ PERCENT = 75
 COMMON = 16
 #: Shingles that may go last; their list is sent to all tasks, so it is bounded (8 MB). If more are common, ``COMMON`` rises.
 MOST_COMMON = 1 << 20
+#: Shingles are counted in prefixes this much longer than needed, until a round finds at most one new in so many.
+LOOK_AHEAD = 2.0
+FEW_NEW = 8
 #: Members of one hub that meet in one task.
 HUB_MEMBERS = 2000
 #: Values of one batch of blocks; bounds the memory of a task.
-BLOCK_VALUES = 1 << 20
+BLOCK_VALUES = 1 << 18
 #: Members of one block of a large tile.
 BLOCK_MEMBERS = 4096
 _BANDS = math.log(100 / PERCENT)
@@ -103,9 +107,10 @@ class Sets:
         a, b = self.keys()
         return [x.tobytes() for x in np.stack([a, b], axis=1).astype(">u8")]
 
-    def prefix(self, common: Common) -> np.ndarray:
-        """Positions in ``values`` of the shingles of every set that must include one shared with any similar set."""
-        need = (self.n - -(-PERCENT * self.n // 100) + 1)[self.text]
+    def prefix(self, common: Common, stretch: float = 1.0) -> np.ndarray:
+        """Positions in ``values`` of the shingles of every set that must include one shared with any similar set, and as
+        many more as ``stretch`` says."""
+        need = np.ceil((self.n - -(-PERCENT * self.n // 100) + 1) * stretch)[self.text]
         rank = np.arange(len(self.values)) - self.offsets[:-1][self.text]  # ``text`` is sorted and values are within it
         last = common.has(self.values)
         before = np.r_[0, np.cumsum(last)]
@@ -154,7 +159,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(named, "doc_id long, n long, cls binary, signature binary")
 
 
-def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int, known: np.ndarray | None = None) -> DataFrame:
+def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int, known: np.ndarray | None = None, stretch: float = 1.0) -> DataFrame:
     """Prefix shingles dealt to buckets; a class counts once per batch. With ``known``, an earlier ``common``: only those
     that weren't in the prefix then."""
     shared = docs.sparkSession.sparkContext.broadcast((Common(common), known if known is None else Common(known)))
@@ -173,9 +178,9 @@ def _postings(docs: DataFrame, common: np.ndarray, n_buckets: int, known: np.nda
                         seen.add(k)
                         fresh[i] = True
                 now, then = shared.value
-                at = s.prefix(now)
+                at = s.prefix(now, stretch)
                 if then is not None:
-                    at = np.setdiff1d(at, s.prefix(then), assume_unique=True)
+                    at = np.setdiff1d(at, s.prefix(then, stretch), assume_unique=True)
                 at = at[fresh[s.text[at]]]
                 values.append(s.values[at])
                 owners.append(s.text[at] + held)
@@ -203,7 +208,8 @@ def _by_token(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def common_shingles(docs: DataFrame, n_buckets: int) -> np.ndarray:
     """Shingles that stand in the prefixes of more than ``COMMON`` classes, at most ``MOST_COMMON``.
 
-    When these go last, others move into the prefixes; only those are counted next, until none of them is common.
+    When these go last, others move into the prefixes; only those are counted next, until hardly any of them is common.
+    Prefixes are counted with what will probably move in, which saves rounds.
     """
 
     def counted(table: pa.Table) -> pa.Table:
@@ -215,14 +221,14 @@ def common_shingles(docs: DataFrame, n_buckets: int) -> np.ndarray:
 
     common, known = np.zeros(0, U64), None
     while len(common) < MOST_COMMON:
-        found = land(_postings(docs, common, n_buckets, known).groupBy("bucket").applyInArrow(counted, "token long, n long"), "common-shingles")
+        found = land(_postings(docs, common, n_buckets, known, LOOK_AHEAD).groupBy("bucket").applyInArrow(counted, "token long, n long"), "common-shingles")
         least = COMMON
         while found.filter(F.col("n") > least).count() > MOST_COMMON - len(common):
             least *= 2
         new = found.filter(F.col("n") > least).select("token").toPandas()["token"].to_numpy(np.int64).view(U64)
-        if not len(new):
-            break
         common, known = np.union1d(common, new), common
+        if FEW_NEW * len(new) <= len(common):
+            break
     return common
 
 
@@ -379,7 +385,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     null id takes part, but names a component only if all its rows have null ids. Rows that repeat an id are judged by
     their own texts. Other columns are not read. An empty table gives no rows.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = rooted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def rooted(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, cls, root`` of every row: its number of shingles, its class, and the smallest class of its component."""
     n_buckets = shuffle_partitions(docs.sparkSession)
     rows = land(document_sets(docs), "shingle-sets")
     key = F.conv(F.hex(F.substring("cls", 1, 8)), 16, -10).cast("bigint")
@@ -401,16 +413,30 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = links.unionByName(verified(docs, more, classes))
 
     found = rows.join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
-    found = land(found.select("doc_id", "n", F.coalesce("root", "cls").alias("root")), "rooted")
-    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return found.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return land(found.select("doc_id", "n", "cls", F.coalesce("root", "cls").alias("root")), "rooted")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every component, the one with the smallest id; columns unchanged. Rows that repeat that id all go but one."""
-    kept = similar_groups(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.lit(0)))).filter("_k = 1").select(*docs.columns)
+    """``docs`` with one row of every component, the one with the smallest id; columns unchanged.
+
+    Null ids rank last. Of rows that repeat that id and its set of shingles one stays. Texts without words all stay.
+    """
+    found = rooted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).filter("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls")).alias("first")
+    best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_best"), F.col("first.cls").alias("_best_cls"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                s = Sets(part.column(text))
+                names = [c if n else None for c, n in zip(s.classes(), s.n, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.binary())], names=[*part.schema.names, "_cls"])
+
+    rows = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("_cls", T.BinaryType())]))
+    wordless = rows.filter("_cls IS NULL").select(*docs.columns)
+    rows = rows.join(best, F.col(doc_id).eqNullSafe(F.col("_best")) & (F.col("_cls") == F.col("_best_cls")), "left_semi")
+    once = Window.partitionBy("_cls").orderBy(F.lit(0))  # what is left of a class: repeats of its best row
+    return rows.withColumn("_k", F.row_number().over(once)).filter("_k = 1").select(*docs.columns).unionByName(wordless)
 
 
 @registered("op5_ngram_jaccard_join")

@@ -8,8 +8,8 @@ import pyarrow as pa
 from .bytewords import _LOWER, text_buffers
 from .common import one_thread_libraries
 
-#: Stretches remembered by one worker process before it starts anew; bounds its memory to some 200 MB.
-REMEMBERED = 1_000_000
+#: Stretches remembered by one worker process before it starts anew; bounds its memory to some 150 MB.
+REMEMBERED = 600_000
 _SPACE_BEFORE = np.zeros(256, bool)
 _SPACE_BEFORE[0x21:0x7F] = True
 _SPACE_BEFORE[0xC3:0xE0] = True  # two-byte letters; no Unicode space starts with these bytes
