@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import land, registered, shared_folder, shuffle_partitions, table
+from .common import land, registered, shared_folder, table
+from .idfilter import parted
 from .token_files import new_folder
 
 #: Bytes of a record's block from which it goes on in continuation records.
@@ -104,14 +105,16 @@ def with_verdicts(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     """``page_id, url, html, record_type, refers_to``: of equal payloads, the largest page id is the response.
 
     Payloads are compared by their SHA-1 digest and length, as the format does. Only digests are shuffled to find the
-    groups; the large group is aggregated before.
+    groups; the large group is aggregated before. Pages are shuffled only where they may be revisits.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     slim = pages.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     slim = land(slim, "page-digests")
     kept = slim.filter(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     revisits = slim.join(kept, ["sha", "bytes"]).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    joined = pages.join(revisits, "page_id", "left")
+    revisits = land(revisits, "revisits")
+    maybe, never = parted(pages, revisits.select("page_id"), "page_id")
+    joined = maybe.join(revisits, "page_id", "left").unionByName(never.withColumn("refers_to", F.lit(None).cast("bigint")))
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -151,62 +154,77 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
     return land(pages.select("page_id", "url", "html", "record_type", "refers_to").mapInArrow(write, "path string"), "archive-list")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages of the archives below ``folder``: ``page_id, payload, payload_digest, record_type, refers_to``.
+def payload_of(block: bytes, told: str) -> bytes:
+    """The payload of a response's block; raises where it doesn't match its digest."""
+    head, body = block.split(CRLF + CRLF, 1)
+    payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if digest(payload) != told:
+        raise ValueError("payload doesn't match its digest")
+    return payload
 
-    Continuation records are grouped by the record they go on from, ordered by segment number and joined; a missing
-    segment, a wrong total length, a broken chunk or a payload that doesn't match its digest stops the job. Records in
-    one piece are not shuffled. A revisit has no payload of its own here.
+
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
+    """All pages of the archives below ``folder``: ``page_id, payload_digest, record_type, refers_to, payload_bytes, payload``.
+
+    Records in one piece are decoded where they are read. Continuation records are grouped by the record they go on
+    from, ordered by segment number and joined; a missing segment, a wrong total length, a broken chunk or a payload
+    that doesn't match its digest stops the job. A revisit has no payload of its own. Without ``with_payload`` only
+    the payloads' lengths leave a task, and nothing but segments is shuffled in full.
     """
+    names = [c.split()[0] for c in _PARSED.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _PARSED.split(", ")]
         for batch in batches:
-            for content in batch.column("content"):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for head, block in records(gzip.decompress(content.as_buffer())):
+                with gzip.open(io.BytesIO(content.as_buffer())) as archive:
+                    data = archive.read()
+                for n, (head, block) in enumerate(records(data)):
+                    segment, told = int(head.get("WARC-Segment-Number", 0)), head.get("WARC-Payload-Digest", "")[5:] or None
+                    name, length = head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]), None
+                    if not segment:
+                        name = f"{path}#{n}"
+                        payload = None if head["WARC-Type"] == "revisit" else payload_of(block, told)
+                        length, block = (None, None) if payload is None else (len(payload), payload if with_payload else None)
                     rows.append((
-                        head["WARC-Type"], head["WARC-Record-ID"], page_id_of(head["WARC-Record-ID"]), head.get("WARC-Payload-Digest", "")[5:] or None, None,
-                        page_id_of(head.get("WARC-Refers-To")), head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]),
-                        int(head.get("WARC-Segment-Number", 0)), int(head["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in head else None, block,
+                        head["WARC-Type"], head["WARC-Record-ID"], page_id_of(head["WARC-Record-ID"]), told, length, page_id_of(head.get("WARC-Refers-To")), name,
+                        segment, int(head["WARC-Segment-Total-Length"]) if "WARC-Segment-Total-Length" in head else None, block,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    parsed = files.mapInArrow(parse, _PARSED)
-    whole = parsed.filter("segment = 0").select("page_id", "payload_digest", "record_type", "refers_to", "block")
-    segments = F.array_sort(F.collect_list(F.struct("segment", "block")))  # of one record: bounded by one page
-    joined = parsed.filter("segment > 0").groupBy("origin").agg(
-        segments.alias("s"), F.max("total").alias("total"), F.max("payload_digest").alias("payload_digest"), F.min("page_id").alias("page_id"),
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content")
+    records_of = files.mapInArrow(parse, _PARSED).groupBy("origin").agg(
+        F.array_sort(F.array_distinct(F.collect_list(F.struct("segment", "block")))).alias("s"),  # of one record: bounded by one page
+        F.max("total").alias("total"), F.max("payload_digest").alias("payload_digest"), F.min("page_id").alias("page_id"), F.max("refers_to").alias("refers_to"),
+        F.max("payload_bytes").alias("payload_bytes"), F.count_if(F.col("segment") <= 1).alias("copies"), F.max("record_type").alias("record_type"),
     )
     block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     numbered = F.forall(F.arrays_zip(F.col("s.segment").alias("k"), F.sequence(F.lit(1), F.size("s")).alias("i")), lambda x: x["k"] == x["i"])
-    joined = joined.withColumn("block", block).withColumn(
-        "block", F.when(numbered & (F.octet_length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.lit("segments missing or of wrong length")).cast("binary"))
-    )
-    joined = joined.select("page_id", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "block")
+    segmented = F.element_at("s.segment", 1) > 0
+    whole = F.when(numbered & (F.octet_length(block) == F.col("total")), block).otherwise(F.raise_error(F.lit("segments missing or of wrong length")).cast("binary"))
+    joined = records_of.withColumn("segmented", segmented).withColumn("block", F.when(segmented, whole).otherwise(F.element_at("s.block", 1)))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
+        "page_id", "payload_digest", "record_type", "refers_to", "payload_bytes", "segmented", "block")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads = []
-            for kind, told, block in zip(*[batch.column(c).to_pylist() for c in ("record_type", "payload_digest", "block")], strict=True):
-                if kind == "revisit":
-                    payloads.append(None)
-                    continue
-                head, body = block.split(CRLF + CRLF, 1)
-                payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if digest(payload) != told:
-                    raise ValueError("payload doesn't match its digest")
-                payloads.append(payload)
-            yield batch.select(["page_id", "payload_digest", "record_type", "refers_to"]).append_column("payload", pa.array(payloads, pa.binary()))
+            payloads, lengths = [], []
+            for cut, told, length, one in zip(*[batch.column(c).to_pylist() for c in ("segmented", "payload_digest", "payload_bytes", "block")], strict=True):
+                payload = payload_of(one, told) if cut else one
+                lengths.append(len(payload) if cut else length)
+                payloads.append(payload if with_payload else None)
+            yield pa.RecordBatch.from_arrays([
+                *[batch.column(c) for c in ("page_id", "payload_digest")], pa.array(["response" if x != "revisit" else x for x in batch.column("record_type").to_pylist()]),
+                batch.column("refers_to"), pa.array(lengths, pa.int64()), pa.array(payloads, pa.binary()),
+            ], names=["page_id", "payload_digest", "record_type", "refers_to", "payload_bytes", "payload"])
 
-    return whole.unionByName(joined).mapInArrow(decode, "page_id long, payload_digest string, record_type string, refers_to long, payload binary")
+    return joined.mapInArrow(decode, "page_id long, payload_digest string, record_type string, refers_to long, payload_bytes long, payload binary")
 
 
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
 
-def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, with_payload: bool = True) -> DataFrame:
     """Write ``pages`` as archives in a new folder of the cluster's shared folder and read them back.
 
     Null html is an empty payload. A row without a page id is a response under a random name and comes back with a null
@@ -217,7 +235,7 @@ def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     new_folder(spark, folder)
     write_archives(with_verdicts(pages), folder, segment_bytes)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, with_payload)
 
 
 @registered("op2_warc", r"""
@@ -235,8 +253,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN
 FROM b
 """)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = land(round_trip(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_digest", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes")), "archived-pages")
+    read = land(round_trip(table(spark, sf_dir, "pages"), with_payload=False).drop("payload"), "archived-pages")
     lengths = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("referred")).distinct()
     found = read.join(lengths, "refers_to", "left")
     return found.select("page_id", F.coalesce("payload_bytes", "referred").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -72,7 +72,10 @@ def test_warc_round_trip(spark):
         data = (p or "").encode()
         assert by_id[i]["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
         assert (by_id[i]["record_type"], by_id[i]["refers_to"]) == (("response", None) if i == last else ("revisit", last))
+        assert by_id[i]["payload_bytes"] == (None if i != last else len(data))
         assert by_id[i]["payload"] is None if i != last else bytes(by_id[i]["payload"]) == data
+    twice = warc.round_trip(table(spark, [(4, None, "ab" * 900)] * 2, "page_id long, url string, html string"), segment_bytes=700).collect()
+    assert [bytes(r["payload"]) for r in twice] == [b"ab" * 900] * 2
     assert warc.round_trip(table(spark, [], "page_id long, url string, html string")).count() == 0
     assert warc.dechunked(warc.chunked(b"ab" * 9000)) == b"ab" * 9000
     with pytest.raises(ValueError):
@@ -199,7 +202,10 @@ def test_ngram_join_odd_rows(spark):
     rows = [(None, text, None), (4, text, None), (4, "other words here", None), (9, text + " more", None), (2, None, None), (None, "", None)]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(table(spark, rows)).collect())
     assert got == Counter([(None, 26, 4), (4, 26, 4), (4, 1, 4), (9, 27, 4), (2, 0, 2), (None, 0, None)])
+    left = Counter(r["doc_id"] for r in ngram_join.keep_one_of_each(table(spark, [*rows, (None, "just this here", None)])).collect())
+    assert left == Counter([4, 4, 2, None, None])  # both texts of id 4; the texts without words; the null id's own text
     assert ngram_join.similar_groups(table(spark, [])).count() == 0
+    assert ngram_join.keep_one_of_each(table(spark, [])).count() == 0
 
 
 def test_signatures_bound_the_overlap():
