@@ -169,11 +169,16 @@ class Model:
 PRIOR = Model(np.array([2, -2, -3, -2, -2, -2, -1, -2, -3, -1, 0, 0, 0.5, 0, 0.5]), np.array([[0.5, 0.0], [0.0, 0.5]]))
 
 
-def train(features: np.ndarray, text: np.ndarray, label: np.ndarray, penalty: float = 1.0, rounds: int = 100) -> Model:
-    """Penalised maximum likelihood by Adam; deterministic. ``label`` is 0 or 1 per line."""
+def train(
+    features: np.ndarray, text: np.ndarray, label: np.ndarray, penalty: float = 1.0, rounds: int = 100, held: np.ndarray | None = None
+) -> Model:
+    """Penalised maximum likelihood by Adam; deterministic. ``label`` is 0 or 1 per line. With ``held`` as the weights of
+    the features, only the transitions are fitted."""
     n, k = features.shape
     x, y = features.astype(float), label.astype(int)
     params, m, v = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
+    if held is not None:
+        params[:k] = held
     inner = text[1:] == text[:-1]
     pair = np.zeros((2, 2))
     np.add.at(pair, (y[:-1][inner], y[1:][inner]), 1)
@@ -188,11 +193,24 @@ def train(features: np.ndarray, text: np.ndarray, label: np.ndarray, penalty: fl
         joint = forward[follow][:, :, None] + jump[None] + (emit + backward)[follow + 1][:, None, :] - log_z[follow][:, None, None]
         gradient = np.concatenate([seen - x.T @ p1, (pair - np.exp(joint).sum(axis=0)).ravel()]) - penalty * params
         gradient /= max(n, 1)
+        if held is not None:
+            gradient[:k] = 0
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         params = params + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(params[:k], params[k:].reshape(2, 2))
 
 
+def train_by_line(features: np.ndarray, text: np.ndarray, label: np.ndarray) -> Model:
+    """Fit where ``label`` is the text's and not the line's, for labels of single lines.
+
+    Such labels never switch within a text, so transitions fitted on them forbid switches. Here the line scores are
+    fitted first, every line on its own; the labels they give switch where lines differ, and the transitions are fitted
+    to those with the scores held.
+    """
+    weights = train(features, np.arange(len(text)), label).weights
+    return train(features, text, features @ weights >= 0, held=weights)
+
+
 def repeated_window_words(w: Runs, size: int) -> np.ndarray:
     """Per text: words inside windows of ``size`` words that occur twice or more in it, the first occurrence included."""
     from .bytewords import covered, inside, window_hashes
@@ -220,4 +238,4 @@ def symbols(w: Runs) -> np.ndarray:
     return count_between(_LUT["symbol"][w.data], w.offsets[:-1], w.offsets[1:])
 
 
-__all__ = ["FEATURES", "PRIOR", "SYMBOLS", "LineTable", "Model", "U64", "code_points_in_words", "line_table", "repeated_window_words", "symbols", "train", "with_neighbours"]
+__all__ = ["FEATURES", "PRIOR", "SYMBOLS", "LineTable", "Model", "U64", "code_points_in_words", "line_table", "repeated_window_words", "symbols", "train", "train_by_line", "with_neighbours"]

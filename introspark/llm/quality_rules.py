@@ -38,6 +38,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAINING_DOCUMENT
 def fit(docs: DataFrame, labels: DataFrame, neighbours: bool, n: int = TRAINING_DOCUMENTS, max_lines: int = 50) -> crf.Model:
     """Fit the CRF: every line of a labelled document carries the document's label.
 
+    With ``neighbours`` the model scores whole documents and is fitted to these labels as they stand. Without, it
+    labels single lines, which may differ from their document: ``crf.train_by_line``.
+
     Executors compute the features of the drawn documents' lines (the first ``max_lines`` of each); the driver gets
     those numbers only, at most ``n * max_lines`` rows. Without both labels the stated prior scores are used.
     """
@@ -62,7 +65,8 @@ def fit(docs: DataFrame, labels: DataFrame, neighbours: bool, n: int = TRAINING_
     width = len(crf.FEATURES) * (3 if neighbours else 1)
     parts = [np.frombuffer(r["x"], "f4").reshape(-1, width) for r in rows]
     counts = [len(p) for p in parts]
-    return crf.train(np.concatenate(parts), np.repeat(np.arange(len(parts)), counts), np.repeat([r["quality"] for r in rows], counts))
+    train = crf.train if neighbours else crf.train_by_line
+    return train(np.concatenate(parts), np.repeat(np.arange(len(parts)), counts), np.repeat([r["quality"] for r in rows], counts))
 
 
 def assess(docs: DataFrame, model: crf.Model, content_share: float = CONTENT_SHARE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

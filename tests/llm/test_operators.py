@@ -128,6 +128,29 @@ def test_quality_rules(spark):
     assert quality_rules.assess(table(spark, []), crf.PRIOR).count() == 0
 
 
+def test_lines_of_mixed_documents_are_labelled_one_by_one(spark):
+    rng = random.Random(13)
+
+    def line(good):
+        w = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(rng.randint(6, 14))]
+        return (" ".join(w) + ".").capitalize() if good else " ".join(x + rng.choice(["###", "***", "$$$", "%%%"]) for x in w)
+
+    rows = [(i, "\n".join(line(i % 4) for _ in range(rng.randint(2, 12))), None) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _, _ in rows], "doc_id long, quality int")
+    model = quality_rules.fit(table(spark, rows), labels, neighbours=False)
+    mixed, share = [], {}
+    for i in range(300):
+        lines = [(line(k >= i % 9), k >= i % 9) for k in range(8)]  # 0 to 8 boilerplate lines
+        rng.shuffle(lines)
+        n = [len(text.split()) for text, _ in lines]
+        share[i] = sum(k for k, (_, good) in zip(n, lines, strict=True) if good) / sum(n)
+        mixed.append((i, "\n".join(text for text, _ in lines), None))
+    got = quality_rules.assess(table(spark, mixed), model).collect()
+    assert len(got) == 300 and all(r["content_share"] == pytest.approx(share[r["doc_id"]]) for r in got)
+    assert all(r["kept"] == (share[r["doc_id"]] >= quality_rules.CONTENT_SHARE) for r in got)
+    assert model.jump[0, 0] + model.jump[1, 1] > model.jump[0, 1] + model.jump[1, 0]  # neighbours still speak for equal labels
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     from introspark.llm.common import QUERIES
     from introspark.llm.common import table as read
