@@ -81,7 +81,7 @@ class Ledger:
         new = new.withColumn("version", _version()).join(self.scanned(), ["blob", "rule", "version"], "left_anti")
         new = land(new.groupBy("blob").agg(F.min("path").alias("path"), F.collect_set("rule").alias("wanted")), "new-blobs")
         same = addressed["path"].eqNullSafe(new["path"]) & (addressed["blob"] == new["blob"])
-        texts = addressed.join(new, same).select(addressed["blob"], "text", "wanted")
+        texts = addressed.join(new, same).select(addressed["blob"], "text", "wanted").dropDuplicates(["blob"])  # rows may repeat path and text
         scan(texts).withColumn("version", _version()).select("blob", "rule", "version", "start", "end").write.mode("append").parquet(f"{self.folder}/findings")
         marks = new.select("blob", F.explode("wanted").alias("rule")).withColumn("version", _version())
         marks.write.mode("append").parquet(f"{self.folder}/scanned")

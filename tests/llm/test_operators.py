@@ -300,6 +300,12 @@ def test_secret_scan(spark):
     assert secrets.scan_documents(table(spark, [])).count() == 0
 
 
+def test_secret_scan_of_repeated_rows(spark):
+    rows = [(5, SECRET_TEXTS[0], None)] * 2 + [(None, SECRET_TEXTS[3], None)] * 2 + [(5, SECRET_TEXTS[2], None), (None, SECRET_TEXTS[2], None)]
+    got = Counter(map(tuple, secrets.scan_documents(table(spark, rows)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()))
+    assert got == Counter((i, *brute.secrets(t)) for i, t, _ in rows)
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     ledger = secrets.Ledger.create(spark, f"file://{tmp_path}/ledger")
     secrets.scan_documents(table(spark, [(1, SECRET_TEXTS[0], None), (2, SECRET_TEXTS[3], None)]), ledger).count()
