@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .bytewords import pieces, words
-from .common import documents, registered, table
+from .common import documents, land, registered, table
 
 #: Bound of the labelled sample a model is fitted on.
 TRAINING_DOCUMENTS = 3000
+#: Bound of that sample's lines: documents come in whole, in drawn order, until their lines together reach it.
+TRAINING_LINES = 150_000
 #: Share of a document's words that must lie in content lines.
 CONTENT_SHARE = 0.5
 SCHEMA = (
@@ -35,14 +38,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, n: int = TRAINING_DOCUMENT
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, neighbours: bool, n: int = TRAINING_DOCUMENTS, max_lines: int = 50) -> crf.Model:
+def whole_documents(lines: dict[int, int], most: int) -> list[int]:
+    """The ids, in drawn order, up to the one whose lines make the total reach ``most``."""
+    out, total = [], 0
+    for i in sorted(lines, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+        if total >= most:
+            break
+        out.append(i)
+        total += lines[i]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, neighbours: bool, n: int = TRAINING_DOCUMENTS, most_lines: int = TRAINING_LINES) -> crf.Model:
     """Fit the CRF: every line of a labelled document carries the document's label.
 
     With ``neighbours`` the model scores whole documents and is fitted to these labels as they stand. Without, it
     labels single lines, which may differ from their document: ``crf.train_by_line``.
 
-    Executors compute the features of the drawn documents' lines (the first ``max_lines`` of each); the driver gets
-    those numbers only, at most ``n * max_lines`` rows. Without both labels the stated prior scores are used.
+    Executors compute the features of all lines of the drawn documents; the driver gets those numbers only, of fewer
+    than ``most_lines`` lines and one more document. Without both labels the stated prior scores are used.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +66,15 @@ def fit(docs: DataFrame, labels: DataFrame, neighbours: bool, n: int = TRAINING_
                 x = crf.with_neighbours(lines.features, lines.runs.text) if neighbours else lines.features
                 ids, quality = part.column("doc_id").to_pylist(), part.column("quality").to_pylist()
                 bounds = np.searchsorted(lines.runs.text, np.arange(part.num_rows + 1))
-                rows = [x[a : min(b, a + max_lines)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [x[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64()), "quality": pa.array(quality, pa.int32()), "x": pa.array([r.astype("f4").tobytes() for r in rows], pa.binary()),
+                    "doc_id": pa.array(ids, pa.int64()), "quality": pa.array(quality, pa.int32()), "n_lines": pa.array([len(r) for r in rows], pa.int64()), "x": pa.array([r.astype("f4").tobytes() for r in rows], pa.binary()),
                 })
 
-    rows = training_rows(docs, labels, n).mapInArrow(features, "doc_id long, quality int, x binary").collect()
+    drawn = land(training_rows(docs, labels, n).mapInArrow(features, "doc_id long, quality int, n_lines long, x binary"), "training-lines")
+    lines = {r["doc_id"]: r["n_lines"] for r in drawn.select("doc_id", "n_lines").collect()}  # at most n rows
+    chosen = whole_documents(lines, most_lines)
+    rows = (drawn if len(chosen) == len(lines) else drawn.filter(F.col("doc_id").isin(chosen))).collect()
     rows.sort(key=lambda r: r["doc_id"])
     if len({r["quality"] for r in rows}) < 2:
         weights = np.concatenate([crf.PRIOR.weights, np.zeros(2 * len(crf.FEATURES))]) if neighbours else crf.PRIOR.weights

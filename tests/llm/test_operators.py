@@ -151,6 +151,26 @@ def test_lines_of_mixed_documents_are_labelled_one_by_one(spark):
     assert model.jump[0, 0] + model.jump[1, 1] > model.jump[0, 1] + model.jump[1, 0]  # neighbours still speak for equal labels
 
 
+@pytest.mark.parametrize("neighbours", [False, True])
+def test_training_reads_whole_documents(spark, monkeypatch, neighbours):
+    texts = {i: "\n".join(["plain words of a sentence."] * 60 + ["junk### of### marks### here###"] * (90 if i % 2 == 0 else 0)) for i in range(40)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    seen = []
+    for name in ("train", "train_by_line"):
+        monkeypatch.setattr(crf, name, lambda x, text, label: seen.append((x, text, label)))
+    docs = table(spark, [(i, t, None) for i, t in texts.items()])
+    quality_rules.fit(docs, labels, neighbours)
+    quality_rules.fit(docs, labels, neighbours, most_lines=500)
+    drawn = sorted((i for i in texts if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    size = {i: texts[i].count("\n") + 1 for i in drawn}
+    x, text, label = seen[0]
+    assert np.bincount(text).tolist() == [size[i] for i in sorted(drawn)]
+    assert x[:, crf.FEATURES.index("symbols > 3 %")].sum() == sum(90 for i in drawn if i % 2 == 0)
+    assert len(label) == len(x) == sum(size.values())
+    k = next(k for k in range(len(drawn)) if sum(size[i] for i in drawn[:k]) >= 500)
+    assert np.bincount(seen[1][1]).tolist() == [size[i] for i in sorted(drawn[:k])]
+
+
 def test_quality_classifier_on_held_out_rows(spark):
     from introspark.llm.common import QUERIES
     from introspark.llm.common import table as read
