@@ -178,8 +178,8 @@ class Pair:
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
-def aligned_pieces(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Rows of ``_PIECES`` for ``docs`` (``doc_id, text``): documents of about ``PIECE`` bytes, with their own list of id pairs."""
+def aligned_pieces(docs: DataFrame, a_path: str, b_path: str, piece: int = PIECE) -> DataFrame:
+    """Rows of ``_PIECES`` for ``docs`` (``doc_id, text``): documents of about ``piece`` bytes, with their own list of id pairs."""
     schema = pa.schema([
         ("piece", pa.int64()), *[(c, pa.list_(pa.int64())) for c in _LISTS], ("digests", pa.list_(pa.string())), ("n_units", pa.list_(pa.int64())),
         *[(c, pa.binary()) for c in ("units", "unit_pairs", "unit_links")], ("pairs", pa.list_(pa.int32())), ("pair_n", pa.list_(pa.int64())),
@@ -190,14 +190,14 @@ def aligned_pieces(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             _pairs[a_path, b_path] = Pair(a_path, b_path)
         pair, n = _pairs[a_path, b_path], TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(batch, "text", piece):
                 yield pa.RecordBatch.from_pydict({"piece": [n]} | pair.align(part.column("doc_id").to_pylist(), part.column("text")), schema)
                 n += 1
 
     return docs.mapInArrow(align, _PIECES)
 
 
-def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
     """Align the tokens of two tokenizers in every row of ``docs``: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum,
     groups_sha256, n_overlaps``.
 
@@ -216,7 +216,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_i
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     filled = F.coalesce(F.col("text") != "", F.lit(False))
-    found = land(aligned_pieces(rows.filter(filled), a_path, b_path), "aligned-pieces")
+    found = land(aligned_pieces(rows.filter(filled), a_path, b_path, piece), "aligned-pieces")
     listed = found.select("piece", F.posexplode(F.arrays_zip("pairs", "pair_n")).alias("at", "p")).select("piece", "at", "p.pairs", "p.pair_n")
     counts = listed.groupBy("pairs").agg(F.sum("pair_n").alias("count"))
     counts = land(counts.withColumn("b", F.col("pairs").bitwiseAND((1 << B_BITS) - 1)), "pair-counts")
