@@ -423,7 +423,7 @@ def w2_weighted_rank_by_ranges(spark, sf):
         FROM scored WHERE passes_filters) o USING (sample_id)""")
 def w3_staged_rank(spark, sf):
     run = _run(spark, sf, ranking={"mode": "staged"})
-    return ranking.ranked_samples(run, False).select("sample_id", "rank_overall", "rank_in_family")
+    return ranking.ranked_samples(run).select("sample_id", "rank_overall", "rank_in_family")
 
 
 @register("t1_result_order", """
