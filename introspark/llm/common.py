@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import shutil
@@ -9,6 +10,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(columns: list[str], *stems: str) -> list[str]:
+    """The stems, with as many underscores added as it takes to clash with no column."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def prefix_sums(df: DataFrame, order: list[Column], values: list[str], name: str) -> DataFrame:
     """Add ``<value>_before`` for every value: its sum over all earlier rows in ``order``, without one global window.
 
@@ -91,6 +103,15 @@ def registered(name: str, sql: str | None = None):
     return keep
 
 
+def give_back_memory() -> None:
+    """Hand freed memory back to the system: a worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def one_thread_libraries() -> None:
     """Inside a task: one core per task, so a library must not start a thread per core of the machine."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -51,14 +51,20 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all rows but one of every class, columns unchanged. Of rows that repeat the kept id and text one stays."""
-    kept = exact_groups(docs, doc_id, text).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha")
-    ).distinct()
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(normalised(text), 256))).withColumn("_n", F.length(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    first = Window.partitionBy("_sha").orderBy(F.col("_n").desc())  # what is left of a class: repeats of its kept row
-    return rows.withColumn("_k", F.row_number().over(first)).filter("_k = 1").select(*docs.columns)
+    """``docs`` without all rows but one of every class of ``exact_groups``, columns unchanged, whatever their names.
+
+    Null and empty texts are one class. Of rows that repeat the kept id and text, or have a null id, one with the most
+    code points stays. An empty table stays empty.
+    """
+    kept = exact_groups(docs, doc_id, text).filter("kept").select("keep_id", F.unhex("text_sha256").alias("keep_sha")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.unhex(F.sha2(normalised(text), 256)).alias("sha"),
+        F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"),
+    )
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    first = Window.partitionBy("sha").orderBy(F.col("n").desc())  # what is left of a class: repeats of its kept row
+    rows = rows.withColumn("k", F.row_number().over(first)).filter("k = 1")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @registered("op8_exact_dedup", r"""

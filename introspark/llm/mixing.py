@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, land, prefix_sums, registered
@@ -42,25 +42,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return shares.select("source", "source_size", "source_start", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """What the mix takes of every row: ``doc_id, size, source_size, target, taken``.
-
-    Rows are range-sorted by source and a hash of (seed, id); prefix sums of sizes then place every row inside its
-    source. Each epoch takes the whole source, the last one is cut at the exact budget (the target, rounded), so one
-    row per source is taken in part. Rows that agree in source, id and size are interchangeable: reruns agree.
-
-    A null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; a null id has
-    the key of the empty id. Repeated rows are rows of their own. Other columns are not read. No rows give no rows.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str, doc_id: str, text: str, source: str, carried: list[Column]) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row, and what is ``carried``."""
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("tie"), *carried,
+    )
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")]
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("tie")]
     placed = prefix_sums(rows.withColumn("key", key), order, ["size"], "mix-rows")
     targets = source_targets(placed.select("source", "size"), weights, max_epochs)
     # A source may hold a third of all rows: both sides carry a salt, the small one once for each of its values.
     salted = targets.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    placed = placed.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    placed = placed.withColumn("salt", F.pmod(F.hash("doc_id", "tie"), F.lit(SALTS)))
     no_name, t_no_name = F.col("p.source").isNull(), F.col("t.source").isNull()
     joined = placed.alias("p").join(
         salted.alias("t"),
@@ -70,26 +63,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size") - (F.col("size_before") - F.col("source_start"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    kept = [F.col(c) for c in rows.columns[4:]]
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *kept)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
+        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """What the mix takes of every row: ``doc_id, size, source_size, target, taken``.
+
+    Rows are range-sorted by source and a hash of (seed, id); prefix sums of sizes then place every row inside its
+    source. Each epoch takes the whole source, the last one is cut at the exact budget (the target, rounded), so one
+    row per source is taken in part. Rows of a source that repeat an id go by size and a hash of the text: reruns agree.
+
+    A null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; a null id has
+    the key of the empty id. Repeated rows are rows of their own. Other columns are not read. No rows give no rows.
+    """
+    return _mixed(docs, weights, max_epochs, seed, doc_id, text, source, [])
 
 
-def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix",
+               doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed corpus with the columns of ``docs``: each row once per whole epoch, and the cut row's words up to the cut.
 
-    A cut text is its first words joined by one space. Rows taken 0 times go. Rows that repeat an id are matched with
-    their shares by size.
+    A cut text is its first words joined by one space. Rows taken 0 times go, so rows without words do. Every row travels
+    with its share, as one struct: ids may repeat, within a source or across, and columns may have any name. Null ids,
+    null sources and repeated rows are as in ``mix``. An empty table stays empty.
     """
-    plan = mix(docs, doc_id=doc_id, text=text, source=source, **options)
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.col("taken").desc())))
-    rows = docs.withColumn("_size", word_count(text))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_size").orderBy(F.lit(0))))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), F.col("_n").alias("_m"), F.col("taken").alias("_taken"))
-    rows = rows.join(plan, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_n") == F.col("_m")))
-    rows = rows.filter("_taken > 0").withColumn("_whole", F.expr("_taken div _size")).withColumn("_part", F.expr("_taken % _size"))
-    copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("_whole").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_cut", F.explode(copies))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), 1, F.col("_cut").cast("int")), " ")
-    out = {c: F.col(c) for c in docs.columns} | {text: F.when(F.col("_cut") > 0, words).otherwise(F.col(text))}
+    plan = _mixed(docs, weights, max_epochs, seed, doc_id, text, source, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
+    plan = plan.filter("taken > 0").select("row", F.expr("taken div size").cast("int").alias("whole"), F.expr("taken % size").alias("part"))
+    copies = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("whole")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    rows = plan.select("row", F.explode(copies).alias("cut"))
+    body = F.col("row")[text]
+    words = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), 1, F.col("cut").cast("int")), " ")
+    out = {c: F.col("row")[c] for c in docs.columns} | {text: F.when(F.col("cut") > 0, words).otherwise(body)}
     return rows.select(*[column.alias(c) for c, column in out.items()])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .blocks import BLOCK, deal, gathered, heads
 from .bytewords import U64, inside, mixed, pieces, window_hashes, words
-from .common import documents, land, registered, shuffle_partitions
+from .common import documents, free_names, land, registered, shuffle_partitions
 from .graph import components
 from .idfilter import probably
 
@@ -423,20 +423,22 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = rooted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).filter("root IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls")).alias("first")
-    best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_best"), F.col("first.cls").alias("_best_cls"))
+    cls, nth, best_id, best_cls = free_names(docs.columns, "cls", "nth", "best_id", "best_cls")
+    best = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(best_id), F.col("first.cls").alias(best_cls))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
                 s = Sets(part.column(text))
                 names = [c if n else None for c, n in zip(s.classes(), s.n, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.binary())], names=[*part.schema.names, "_cls"])
-
-    rows = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("_cls", T.BinaryType())]))
-    wordless = rows.filter("_cls IS NULL").select(*docs.columns)
-    rows = rows.join(best, F.col(doc_id).eqNullSafe(F.col("_best")) & (F.col("_cls") == F.col("_best_cls")), "left_semi")
-    once = Window.partitionBy("_cls").orderBy(F.lit(0))  # what is left of a class: repeats of its best row
-    return rows.withColumn("_k", F.row_number().over(once)).filter("_k = 1").select(*docs.columns).unionByName(wordless)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.binary())], names=[*part.schema.names, cls])
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField(cls, T.BinaryType())]))
+    wordless = rows.filter(F.col(cls).isNull()).select(*own)
+    rows = rows.join(best, F.col(doc_id).eqNullSafe(F.col(best_id)) & (F.col(cls) == F.col(best_cls)), "left_semi")
+    once = Window.partitionBy(cls).orderBy(F.xxhash64(F.col(text)))  # what is left of a class: repeats of its best row
+    return rows.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*own).unionByName(wordless)
 
 
 @registered("op5_ngram_jaccard_join")

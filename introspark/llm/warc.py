@@ -82,11 +82,12 @@ def page_id_of(urn: str | None) -> int | None:
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, record_type: str, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response in as many segments as it needs."""
-    stem = f"urn:page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
+    told = digest(payload)
+    stem = f"urn:page:{page_id}:{told}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     name = f"<{stem}>"
-    fields = {"WARC-Target-URI": url and url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{digest(payload)}"}
+    fields = {"WARC-Target-URI": url and url.replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{told}"}
     if record_type == "revisit":
-        refers = {"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Refers-To": f"<urn:page:{refers_to}>",
+        refers = {"WARC-Type": "revisit", "WARC-Record-ID": name, "WARC-Refers-To": f"<urn:page:{refers_to}:{told}>",
                   "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
         yield record(refers | fields, b"HTTP/1.1 200 OK\r\n\r\n")
         return
@@ -111,10 +112,12 @@ def with_verdicts(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> D
     slim = pages.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     slim = land(slim, "page-digests")
     kept = slim.filter(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = slim.join(kept, ["sha", "bytes"]).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    revisits = slim.join(kept, ["sha", "bytes"]).filter("page_id <> refers_to").select("page_id", "sha", "bytes", "refers_to").distinct()
     revisits = land(revisits, "revisits")
     maybe, never = parted(pages, revisits.select("page_id"), "page_id")
-    joined = maybe.join(revisits, "page_id", "left").unionByName(never.withColumn("refers_to", F.lit(None).cast("bigint")))
+    maybe = maybe.withColumns({"sha": F.unhex(F.sha1("html")), "bytes": F.octet_length("html").cast("long")})  # an id may have several payloads
+    maybe = maybe.join(revisits, ["page_id", "sha", "bytes"], "left").drop("sha", "bytes")
+    joined = maybe.unionByName(never.withColumn("refers_to", F.lit(None).cast("bigint")))
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
@@ -198,20 +201,21 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
         F.max("total").alias("total"), F.max("payload_digest").alias("payload_digest"), F.min("page_id").alias("page_id"), F.max("refers_to").alias("refers_to"),
         F.max("payload_bytes").alias("payload_bytes"), F.count_if(F.col("segment") <= 1).alias("copies"), F.max("record_type").alias("record_type"),
     )
-    block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    numbered = F.forall(F.arrays_zip(F.col("s.segment").alias("k"), F.sequence(F.lit(1), F.size("s")).alias("i")), lambda x: x["k"] == x["i"])
-    segmented = F.element_at("s.segment", 1) > 0
-    whole = F.when(numbered & (F.octet_length(block) == F.col("total")), block).otherwise(F.raise_error(F.lit("segments missing or of wrong length")).cast("binary"))
-    joined = records_of.withColumn("segmented", segmented).withColumn("block", F.when(segmented, whole).otherwise(F.element_at("s.block", 1)))
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
-        "page_id", "payload_digest", "record_type", "refers_to", "payload_bytes", "segmented", "block")
+    joined = records_of.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(
+        "page_id", "payload_digest", "record_type", "refers_to", "payload_bytes", "total", F.col("s.segment").alias("segments"), F.col("s.block").alias("blocks"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads, lengths = [], []
-            for cut, told, length, one in zip(*[batch.column(c).to_pylist() for c in ("segmented", "payload_digest", "payload_bytes", "block")], strict=True):
-                payload = payload_of(one, told) if cut else one
-                lengths.append(len(payload) if cut else length)
+            for told, length, total, segments, blocks in zip(*[batch.column(c) for c in ("payload_digest", "payload_bytes", "total", "segments", "blocks")], strict=True):
+                length, numbers, payload = length.as_py(), segments.as_py(), blocks[0].as_py()
+                if numbers[0] > 0:
+                    block = b"".join(blocks.as_py())
+                    if numbers != list(range(1, len(numbers) + 1)) or len(block) != total.as_py():
+                        raise ValueError("segments missing or of wrong length")
+                    payload = payload_of(block, told.as_py())
+                    length = len(payload)
+                lengths.append(length)
                 payloads.append(payload if with_payload else None)
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in ("page_id", "payload_digest")], pa.array(["response" if x != "revisit" else x for x in batch.column("record_type").to_pylist()]),
@@ -228,8 +232,9 @@ def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, with_payloa
     """Write ``pages`` as archives in a new folder of the cluster's shared folder and read them back.
 
     Null html is an empty payload. A row without a page id is a response under a random name and comes back with a null
-    id. Rows that repeat a page id must repeat its html too, for they share a record name; each is written with the
-    verdict of the id. Other columns are not read. No rows give no archive and no rows.
+    id. Rows may repeat a page id: a record is named by page id and payload, and each row has the verdict of its own
+    payload; rows that repeat both are records of one name, and come back as often as they were written. Other columns
+    are not read. No rows give no archive and no rows.
     """
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -254,6 +259,6 @@ FROM b
 """)
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = land(round_trip(table(spark, sf_dir, "pages"), with_payload=False).drop("payload"), "archived-pages")
-    lengths = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("referred")).distinct()
-    found = read.join(lengths, "refers_to", "left")
+    lengths = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("referred")).distinct()
+    found = read.join(lengths, ["refers_to", "payload_digest"], "left")
     return found.select("page_id", F.coalesce("payload_bytes", "referred").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
