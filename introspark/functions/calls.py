@@ -157,20 +157,29 @@ def _allele_index(text: Column) -> Column:
     )
 
 
-def genotype_field(gt: Column, n_alleles: Column) -> Column:
-    """STRUCT(a1, a2, problem) of one GT text. NULL is a missing side, a haploid call counts twice."""
-    first, second = F.regexp_extract(gt, GT, 1), F.regexp_extract(gt, GT, 2)
+def genotype_sides(gt: Column) -> dict[str, Column]:
+    """The two sides of one GT text, both empty where it isn't one. Behind the first stand a separator and the second."""
+    first = F.regexp_extract(gt, GT, 1)
+    return {"first": first, "second": F.when(first != "", F.substring(gt, F.length(first) + 2, F.length(gt))).otherwise(F.lit(""))}
+
+
+def genotype_of(gt: Column, first: Column, second: Column, n_alleles: Column) -> Column:
+    """STRUCT(a1, a2, problem) of one GT text and its sides. NULL is a missing side, a haploid call counts twice."""
     a1 = _allele_index(first)
     a2 = F.when(second == "", a1).otherwise(_allele_index(second))
-    top = F.greatest(a1, a2)
     problem = (
-        F.when((gt != "") & ~gt.rlike(GT), F.lit("invalid GT"))
+        F.when((gt != "") & (first == ""), F.lit("invalid GT"))
         .when((a1 > HIGHEST_ALLELE) | (a2 > HIGHEST_ALLELE), F.lit("allele index above 127"))
-        .when(top >= n_alleles, F.lit("allele index beyond the record's alleles"))
+        .when(F.greatest(a1, a2) >= n_alleles, F.lit("allele index beyond the record's alleles"))
     )
     return F.struct(a1.alias("a1"), a2.alias("a2"), problem.alias("problem"))
 
 
+def genotype_field(gt: Column, n_alleles: Column) -> Column:
+    """STRUCT(a1, a2, problem) of one GT text; for many cells, ``genotype_sides`` first and ``genotype_of`` from them."""
+    return genotype_of(gt, *genotype_sides(gt).values(), n_alleles)
+
+
 # KASP export vocabulary.
 KASP_PAIR = r"^[ACGT][:\-.]?[ACGT]$"
 KASP_MISSING = ("Uncallable", "Missing", "Bad", "Dupe", "NTC")

@@ -134,11 +134,16 @@ def require_resolved(run: Analysis) -> None:
         raise DataContractError(f"locus {bad[0]['locus_id']}: {bad[0]['problem']}")
 
 
-def require_free_names(chroms: list[str]) -> None:
-    """Refuse chromosome names that would overwrite fixed result columns."""
-    for chrom in chroms:
-        if f"rpp_{chrom}" in RESULT_PREFIX:
-            raise DataContractError(f"chromosome {chrom!r}: its results column collides with a fixed column")
+def is_reserved(chrom: Column) -> Column:
+    """Whether the results column of a chromosome would overwrite a fixed one."""
+    return F.concat(F.lit("rpp_"), chrom).isin(*RESULT_PREFIX)
+
+
+def require_free_names(chroms: DataFrame) -> None:
+    """Refuse chromosome names that would overwrite fixed result columns; ``chroms`` has one row per chromosome."""
+    bad = chroms.filter(is_reserved(F.col("chrom"))).agg(F.min("chrom").alias("chrom")).first()["chrom"]
+    if bad is not None:
+        raise DataContractError(f"chromosome {bad!r}: its results column collides with a fixed column")
 
 
 def locus_summary(run: Analysis) -> DataFrame:
@@ -199,7 +204,7 @@ def results(run: Analysis, chroms: list[str] | None = None) -> DataFrame:
     if chroms is None:
         listed = run.ends.orderBy(chrom_order(F.col("chrom"), run.dataset.crop)).select("chrom").collect()
         chroms = [r["chrom"] for r in listed]
-    require_free_names(chroms)
+    require_free_names(run.ends)
     weighted = run.criteria.background.model == "weighted"
     cap = run.criteria.background.max_marker_coverage
     coverage = float(DEFAULT_COVERAGE[run.background_unit] if cap is None else cap) if weighted else None

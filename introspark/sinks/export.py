@@ -77,10 +77,12 @@ def position_table_text(table: DataFrame) -> DataFrame:
     ])
 
 
-def wide_lines(wide: DataFrame) -> DataFrame:
-    """(marker_id, chrom, pos_bp, value): one CSV line per marker of a wide table."""
-    line = F.concat_ws(",", "marker_id", "chrom", F.col("pos_bp").cast("string"), F.array_join("cells", ","))
-    return wide.select("marker_id", "chrom", "pos_bp", line.alias("value"))
+def wide_lines(wide: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(header, lines) of a wide table and its sample order: a one-row table and one line per marker, both with ``value``."""
+    line = F.concat_ws(",", "marker_id", "chrom", F.col("pos_bp").cast("string"), "cells")
+    names = order.groupBy(F.expr("place div 512").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sample_id"))), lambda s: s["sample_id"]), ",").alias("part"))
+    head = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda s: s["part"]), ",").alias("names"))
+    return head.select(F.concat_ws(",", F.lit("marker_id,chrom,pos_bp"), "names").alias("value")), wide.select("marker_id", "chrom", "pos_bp", line.alias("value"))
 
 
 def map_text(markers: DataFrame) -> DataFrame:

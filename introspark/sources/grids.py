@@ -41,7 +41,7 @@ def _genotypes(rows: DataFrame, early: DataFrame, parse, seeds: Column, coded: b
             "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"
         ),
         calls=exploded.filter("cell.c.kind <> 'bad'").select("marker_id", F.col("cell.names").alias("sample_id"), a1.alias("a1"), a2.alias("a2")),
-        samples=rows.groupBy("file").agg(F.first("names").alias("names")).select(F.explode("names").alias("sample_id")).distinct(),
+        samples=rows.select("names").distinct().select(F.explode("names").alias("sample_id")).distinct(),
         violations=violations.unionByName(early),
         coded=coded,
         token_profile=label,
@@ -101,7 +101,11 @@ def _wide_text(lines: DataFrame) -> DataFrame:
 
 
 def wide_rows(lines: DataFrame, crop: Crop = SOYBEAN) -> DataFrame:
-    rows = data_rows(_wide_text(lines)).withColumn("header", F.transform("header", strip))
+    return _wide_rows(_wide_text(lines), crop)
+
+
+def _wide_rows(text: DataFrame, crop: Crop) -> DataFrame:
+    rows = data_rows(text).withColumn("header", F.transform("header", strip))
     cell = [F.try_element_at("cells", F.lit(i)) for i in (1, 2, 3)]
     header_ok = (F.slice(F.transform("header", F.lower), 1, 3) == F.array(*[F.lit(c) for c in WIDE_FIXED])) & (F.size("header") > 3)
     return _judged(rows, 3, header_ok, strip(cell[0]), cell[1], cell[2], crop)
@@ -110,7 +114,8 @@ def wide_rows(lines: DataFrame, crop: Crop = SOYBEAN) -> DataFrame:
 def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop = SOYBEAN) -> Genotypes:
     """``coding`` is nucleotide, abh or auto; auto takes one aggregate over all cells to decide."""
     vocabulary = C.profile(profile)
-    rows = wide_rows(lines, crop)
+    text = _wide_text(lines)
+    rows = _wide_rows(text, crop)
     if coding == "auto":
         if vocabulary is not None and vocabulary.base == "none":
             coding = "nucleotide"
@@ -118,7 +123,7 @@ def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop
             coding = "abh" if detect_coding(rows, vocabulary.tokens() if vocabulary else []).first()["coded"] else "nucleotide"
     if vocabulary is not None and coding == "abh":
         raise SourceError(f"token profile {vocabulary.profile_id} does not apply to an A/B/H-coded file")
-    none, early = F.array().cast("array<string>"), early_rows(_wide_text(lines))
+    none, early = F.array().cast("array<string>"), early_rows(text)
     if coding == "abh":
         return _genotypes(rows, early, C.coded_call, none, True, "default")
     return _genotypes(rows, early, lambda t: C.nucleotide_call(t, False, vocabulary), none, False, vocabulary.label if vocabulary else "default")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from introspark.functions.calls import kasp_call
 from introspark.functions.text import strip
-from introspark.sources.lines import data_rows, first_by, headed
+from introspark.operators.common import land
+from introspark.operators.rank import positions
+from introspark.sources.lines import data_rows, first_by, first_lines, headed, per_file
+
+#: Samples of one stretch of a wide line.
+WIDE_CHUNK = 512
 
 
 def parse_long(lines: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
@@ -18,7 +23,7 @@ def parse_long(lines: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[
     low = F.lower("value")
     rows = headed(lines, low.contains("subjectid") & low.rlike(r"\bsnpid\b") & low.rlike(r"\bcall\b"))
     data = data_rows(rows)
-    bare = rows.filter("head_ord is null").groupBy("file").agg(F.min("ord").alias("ord")).select("file", "ord", F.lit("no header row").alias("kind"), F.lit("").alias("detail"))
+    bare = rows.filter("head_ord is null").groupBy("file").agg(F.min("ord").alias("ord")).select("file", "ord", F.lit("no header row").alias("kind"), F.lit("").alias("detail"))  # only files without a header
     names = F.transform("header", lambda c: F.lower(strip(c)))
     data = data.withColumn("names", names)
 
@@ -38,32 +43,32 @@ def _calls(cells: DataFrame) -> DataFrame:
     )
 
 
-def grid_orientation(rows: DataFrame, markers: DataFrame) -> DataFrame:
-    """Per file: how many header cells and how many first cells are known markers. Columns win ties."""
+def grid_orientation(rows: DataFrame, markers: DataFrame, heads: DataFrame) -> DataFrame:
+    """Per file: how many header cells and how many first cells are known markers. Columns win ties.
+
+    Names meet the markers by name; what is grouped by file are counts. The result is written: a row per file.
+    """
     known = markers.select(F.col("marker_id").alias("id")).distinct()
-    heads = rows.groupBy("file").agg(F.first("header").alias("header")).select(
-        "file", F.explode(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("id")
-    )
-    across = heads.select("file", strip(F.col("id")).alias("id")).join(known, "id", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n_columns"))
-    down = rows.select("file", strip(F.element_at("cells", 1)).alias("id")).join(known, "id", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = rows.select("file").distinct().join(across, "file", "left").join(down, "file", "left")
-    counts = counts.select("file", F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
-    return counts.withColumn("markers_across", F.when((F.col("n_columns") > 0) | (F.col("n_rows") > 0), F.col("n_columns") >= F.col("n_rows")))
+    across = heads.select("file", F.explode(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("id")).select("file", strip(F.col("id")).alias("id"), F.lit(1).alias("column"))
+    down = rows.select("file", strip(F.element_at("cells", 1)).alias("id"), F.lit(0).alias("column"))
+    counts = across.unionByName(down).join(known.withColumn("known", F.lit(1)), "id", "left").groupBy("file").agg(
+        F.count_if((F.col("column") == 1) & F.col("known").isNotNull()).alias("n_columns"), F.count_if((F.col("column") == 0) & F.col("known").isNotNull()).alias("n_rows"),
+        F.count_if(F.col("column") == 0).alias("n"),
+    ).filter("n > 0").drop("n")
+    return land(counts.withColumn("markers_across", F.when((F.col("n_columns") > 0) | (F.col("n_rows") > 0), F.col("n_columns") >= F.col("n_rows"))), "grid-orientation")
 
 
 def parse_grid(lines: DataFrame, markers: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
-    """(calls, violations) of a grid with samples on one axis and markers on the other."""
-    # the first line of a grid has no fixed word in it; it is the one with the smallest id
-    first = lines.groupBy("file").agg(F.min("ord").alias("_first"))
-    marked = lines.join(first, "file").withColumn("value", F.when(F.col("ord") == F.col("_first"), F.concat(F.lit("\u0001"), "value")).otherwise(F.col("value")))
-    rows = data_rows(headed(marked.drop("_first"), F.col("value").startswith("\u0001")))
-    facing = grid_orientation(rows, markers)
+    """(calls, violations) of a grid with samples on one axis and markers on the other; its first line is the header."""
+    heads = first_lines(lines)
+    rows = data_rows(headed(lines, heads))
+    facing = grid_orientation(rows, markers, heads)
     violations = facing.filter("markers_across is null").select(
         "file", F.lit(0).alias("ord"), F.lit("no axis of the grid matches the markers").alias("kind"), F.lit("").alias("detail")
     )
     width = F.greatest(F.size("header") - 1, F.lit(0))
     cells = (
-        rows.join(facing.select("file", "markers_across"), "file").filter("markers_across is not null")
+        per_file(rows, facing.filter("markers_across is not null").select("file", "markers_across"), "inner")
         .select(
             "file", "ord", "markers_across", strip(F.element_at("cells", 1)).alias("down"),
             F.posexplode(F.arrays_zip(F.slice("header", 2, width).alias("name"), F.slice("cells", 2, width).alias("cell"))).alias("at", "x"),
@@ -105,29 +110,39 @@ def unplaced(calls: DataFrame, markers: DataFrame) -> DataFrame:
     return calls.select("marker_id").distinct().join(markers.select("marker_id"), "marker_id", "left_anti")
 
 
-def sample_order(calls: DataFrame) -> DataFrame:
-    """Samples in first-seen order."""
-    return calls.groupBy("sample_id").agg(F.min(F.struct("file", "ord")).alias("first_seen"))
+def sample_places(calls: DataFrame) -> DataFrame:
+    """(sample_id, place): samples in first-seen order, counted from 0; written, a row per sample."""
+    seen = calls.groupBy("sample_id").agg(F.min(F.struct("file", "ord")).alias("first_seen"))
+    placed = positions(seen, [F.col("first_seen"), F.col("sample_id")], "place")
+    return land(placed.select("sample_id", (F.col("place") - 1).alias("place")), "sample-places")
 
 
-def wide_table(calls: DataFrame, markers: DataFrame) -> DataFrame:
-    """(marker_id, chrom, pos_bp, cells): one row per placed SNP, a cell per sample in first-seen order, ``N`` where absent.
+def _joined(entries: str, width: Column, absent) -> Column:
+    """The texts of a map from places 0, 1, ... as one, with a filler where a place is absent."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda i: F.coalesce(F.try_element_at(entries, i), absent(i))), ",")
 
-    The list of sample columns is one array, as wide as a line of the file to be written.
+
+def wide_table(calls: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((marker_id, chrom, pos_bp, cells), (sample_id, place)): a line of cells per placed SNP, ``N`` where a sample has none.
+
+    Cells stand in first-seen order of their samples. A line is put together from stretches of ``WIDE_CHUNK`` samples, so
+    no list of all samples is made and a task holds no more than the lines it writes.
     """
-    order = sample_order(calls).agg(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "sample_id"))), lambda s: s["sample_id"]).alias("ids"))
-    per_marker = consolidated(calls).groupBy("marker_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("sample_id", F.coalesce("call", F.lit("N"))))).alias("m")
-    )
-    return (
-        per_marker.join(markers.select("marker_id", "chrom", "pos_bp"), "marker_id")
-        .withColumn("ids", order.scalar())
-        .select("marker_id", "chrom", "pos_bp", F.transform("ids", lambda s: F.coalesce(F.try_element_at("m", s), F.lit("N"))).alias("cells"))
+    order = sample_places(calls)
+    n = order.count()
+    width = lambda k: F.least(F.lit(WIDE_CHUNK), F.lit(n) - k * WIDE_CHUNK)
+    cells = consolidated(calls).join(order, "sample_id").select(
+        "marker_id", F.expr(f"cast(place div {WIDE_CHUNK} as int)").alias("k"), (F.col("place") % WIDE_CHUNK).cast("int").alias("at"), F.coalesce("call", F.lit("N")).alias("call")
     )
+    parts = cells.groupBy("marker_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("at", "call"))).alias("m"))
+    parts = parts.select("marker_id", "k", _joined("m", width(F.col("k")), lambda i: F.lit("N")).alias("part"))
+    whole = parts.groupBy("marker_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "part"))).alias("m"))
+    line = _joined("m", F.lit(-(-n // WIDE_CHUNK)), lambda k: F.array_join(F.array_repeat(F.lit("N"), width(k).cast("int")), ","))
+    return whole.join(markers.select("marker_id", "chrom", "pos_bp"), "marker_id").select("marker_id", "chrom", "pos_bp", line.alias("cells")), order
 
 
-def wide_job(calls: DataFrame, markers: DataFrame, drop_unplaced: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(table, counts, violations) of one export: the whole job from parsed calls to the wide table.
+def wide_job(calls: DataFrame, markers: DataFrame, drop_unplaced: bool = False) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
+    """(table with sample order, counts, violations) of one export: the whole job from parsed calls to the wide table.
 
     Calls of one cell that disagree are violations. So are SNPs without a map entry, unless ``drop_unplaced`` asks to
     leave them out; they are counted either way. ``counts`` has the columns what, n.

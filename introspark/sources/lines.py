@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from introspark.functions.text import cells, chomp, is_blank, sniff_delimiter, strip
+from introspark.operators.common import land
 
 
 class SourceError(ValueError):
@@ -39,18 +40,58 @@ def encoding_audit(lines: DataFrame) -> DataFrame:
     )
 
 
-def headed(lines: DataFrame, looks_like_header: Column, delimiter: str | None = None) -> DataFrame:
-    """(file, ord, value, head_ord, header, delimiter): content lines with the header of their file.
+#: Facts of files are broadcast up to this size (of their JSON text), measured before.
+PER_FILE_BYTES = 32 << 20
+#: Beyond it, the lines of a file are spread over so many parts.
+FILE_SALTS = 32
+
+
+def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a written table of at most one row per file.
+
+    A file may hold most of the rows, so they are never dealt by file alone: the facts are sent to every executor if they
+    measure at most ``most_bytes`` (``PER_FILE_BYTES`` by default); else rows are dealt by file and a salt, and the facts
+    are repeated for each salt.
+    """
+    measured = facts.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    if measured <= (PER_FILE_BYTES if most_bytes is None else most_bytes):
+        return rows.join(F.broadcast(facts), "file", how)
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(FILE_SALTS)).cast("int"))
+    return salted.join(repeated, ["file", "_salt"], how).drop("_salt")
+
+
+def _filled(text: DataFrame) -> DataFrame:
+    return content(text).filter(~F.col("value").rlike(r'^[ \t,"]*$'))
+
 
-    The header is the first line that looks like one. Candidates are filtered by their text, so nothing but a few
-    lines per file is aggregated. ``head_ord`` is NULL in a file without a header, and rows that are blank
-    in every cell are skipped.
+def headers(lines: DataFrame, looks_like_header: Column, delimiter: str | None = None) -> DataFrame:
+    """(file, head_ord, delimiter, header): the header dictionary, written: the first line of each file that looks like one.
+
+    Candidates are filtered by their text and aggregated where they are read: a few lines per file meet.
     """
-    text = content(lines).filter(~F.col("value").rlike(r'^[ \t,"]*$'))
-    heads = text.filter(looks_like_header).groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("head_ord"))
+    heads = _filled(lines).filter(looks_like_header).groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("head_ord"))
     d = sniff_delimiter(F.col("head")) if delimiter is None else F.lit(delimiter)
-    heads = heads.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header"))
-    return text.join(heads, "file", "left")
+    return land(heads.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header")), "headers")
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The same dictionary for formats whose header is the first line, whatever it says; a blank one is no header."""
+    first = lines.groupBy("file").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    first = _filled(first).withColumnsRenamed({"value": "head", "ord": "head_ord"})
+    d = sniff_delimiter(F.col("head"))
+    return land(first.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header")), "headers")
+
+
+def headed(lines: DataFrame, heads: DataFrame | Column, delimiter: str | None = None) -> DataFrame:
+    """(file, ord, value, head_ord, header, delimiter): content lines with the header of their file.
+
+    ``heads`` is a header dictionary, or says which lines look like a header. ``head_ord`` is NULL in a file without a
+    header, and rows that are blank in every cell are skipped.
+    """
+    if isinstance(heads, Column):
+        heads = headers(lines, heads, delimiter)
+    return per_file(_filled(lines), heads)
 
 
 def data_rows(headed_lines: DataFrame) -> DataFrame:
@@ -87,9 +128,9 @@ def named_rows(lines: DataFrame, columns: tuple[str, ...], delimiter: str | None
 def table_problems(lines: DataFrame, columns: tuple[str, ...], required: tuple[str, ...], delimiter: str | None = None) -> DataFrame:
     """Violations of a table read by ``named_rows``: rows before its header, files without one, required columns it lacks,
     and an input without any row."""
-    rows = headed(lines, F.lower("value").contains(columns[0].lower()), delimiter)
-    names = F.transform("header", lambda h: F.lower(strip(h)))
-    heads = rows.filter("head_ord is not null").select("file", F.col("head_ord").alias("ord"), names.alias("names")).dropDuplicates(["file"])
+    found = headers(lines, F.lower("value").contains(columns[0].lower()), delimiter)
+    rows = headed(lines, found)
+    heads = found.select("file", F.col("head_ord").alias("ord"), F.transform("header", lambda h: F.lower(strip(h))).alias("names"))
     lacking = heads.select("file", "ord", F.explode(F.array_except(F.array(*[F.lit(c) for c in required]), "names")).alias("detail"))
     lacking = lacking.select("file", "ord", F.lit("missing column").alias("kind"), "detail")
     none = rows.agg(F.count_if(F.col("ord") > F.col("head_ord")).alias("n")).filter("n = 0").select(
@@ -132,6 +173,6 @@ def require_clean(violations: DataFrame) -> None:
 
 
 __all__ = [
-    "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "headed", "named_rows",
-    "read_lines", "require_clean", "table_problems",
+    "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "first_lines", "headed", "headers",
+    "named_rows", "per_file", "read_lines", "require_clean", "table_problems",
 ]

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from introspark.functions.text import after_last_dot
-from introspark.sources.lines import content, first_by, named_rows
+from introspark.operators.common import computed_once, land
+from introspark.sources.lines import content, first_by, named_rows, per_file
+from introspark.sources.vcf import FIXED, file_headers
 
 PEDIGREE_COLUMNS = ("Line", "Female Parent", "Male Parent")
+# The columns of a VCF before its samples.
+VCF_COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 # Fixed value: canonical chromosome names kept by the extraction.
 CHROMOSOME = "^Gm(0[1-9]|1[0-9]|20)$"
 
@@ -60,33 +64,63 @@ def family_manifest(present: DataFrame, recurrent: str, recurrent_id: str, donor
     ))
 
 
-def extract_records(lines: DataFrame, sample_ids: list[str]) -> DataFrame:
-    """(file, ord, chrom, pos, id, ref, alt, gts, reject): the family's columns of a VCF, rejects named.
+def family_cuts(heads: DataFrame, families: DataFrame) -> DataFrame:
+    """(file, family, samples, at, lost): where the members of ``families`` (family, sample_id, place, parent) stand in each file.
 
-    ``sample_ids`` is one family: the parents and its lines.
+    ``heads`` has file, header_ord and names. Members go by ``place``; lines without a column are left out, ``lost`` names
+    the parents without one. Only names meet: a row per sample column and per member.
+    """
+    columns = heads.select("file", F.posexplode("names").alias("i", "sample_id")).select("file", "sample_id", (F.col("i") + FIXED + 1).alias("at"))
+    columns = columns.groupBy("file", "sample_id").agg(F.min("at").alias("at"))
+    found = columns.join(families, "sample_id").groupBy("file", "family").agg(F.array_sort(F.collect_list(F.struct("place", "sample_id", "at", "parent"))).alias("m"))
+    parents = families.filter("parent").groupBy("family").agg(F.array_sort(F.collect_set("sample_id")).alias("parents"))
+    there = F.transform(F.filter("m", lambda x: x["parent"]), lambda x: x["sample_id"])
+    return found.join(parents, "family", "left").select(
+        "file", "family", F.col("m.sample_id").alias("samples"), F.col("m.at").alias("at"),
+        F.array_except(F.coalesce("parents", F.array().cast("array<string>")), there).alias("lost"),
+    )
+
+
+def extract_families(lines: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, heads, violations): all families' columns of VCF files, cut in one pass over the lines.
+
+    ``families`` has family, sample_id, place and parent; a file gives every family of which it has a member. records:
+    family, file, ord, chrom, pos, id, ref, alt, gts, reject, where ``reject`` names the first step a record fails. heads:
+    family, file, samples. violations: a family whose parent has no column in a file that holds its lines, and a family in
+    no file at all; such families give no records.
     """
     text = content(lines).filter(~F.col("value").startswith("##"))
-    headers = text.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.split(F.min_by("value", "ord"), "\t", -1).alias("header"))
-    rows = text.filter(~F.col("value").startswith("#")).join(headers, "file").withColumn("f", F.split("value", "\t", -1))
-    at = F.array(*[F.array_position("header", s) for s in sample_ids])
-    gts = F.transform(at, lambda i: F.element_at(F.split(F.element_at("f", i.cast("int")), ":"), 1))
-    alt = F.element_at("f", 5)
-    n_alt = F.when(alt == ".", 0).otherwise(F.size(F.split(alt, ",")))
-    chrom = after_last_dot(F.element_at("f", 1))
-    beyond = F.exists("gts", lambda g: F.exists(F.split(g, "[/|]"), lambda a: a.try_cast("int") > F.col("n_alt")))
-    picked = rows.select(
-        "file", "ord", chrom.alias("chrom"), F.element_at("f", 2).alias("pos"), F.element_at("f", 3).alias("id"), F.element_at("f", 4).alias("ref"),
-        alt.alias("alt"), gts.alias("gts"), n_alt.alias("n_alt"),
+    headed = file_headers(text, None)
+    cuts = land(family_cuts(headed, families), "family-cuts")
+    whole = cuts.filter(F.size("lost") == 0)
+    per = land(headed.select("file", "header_ord").join(whole.groupBy("file").agg(F.collect_list(F.struct("family", "at")).alias("cuts")), "file"), "file-cuts")
+    rows = per_file(text, per, "inner").filter((F.col("ord") > F.col("header_ord")) & ~F.col("value").startswith("#"))
+    rows = computed_once(rows, ["file", "ord", "cuts"], f=F.split("value", "\t", -1))
+    field = lambda i: F.try_element_at("f", F.lit(i))
+    rows = rows.select(
+        "file", "ord", after_last_dot(field(1)).alias("chrom"), field(2).alias("pos"), field(3).alias("id"), field(4).alias("ref"), field(5).alias("alt"), "f", F.inline("cuts"),
     )
+    gts = F.transform("at", lambda i: F.element_at(F.split(F.try_element_at("f", i), ":"), 1))
+    picked = computed_once(rows, ["family", "file", "ord", "chrom", "pos", "id", "ref", "alt"], gts=gts)
+    n_alt = F.when(F.col("alt") == ".", 0).otherwise(F.size(F.split("alt", ",")))
+    beyond = F.exists(F.flatten(F.transform("gts", lambda g: F.split(g, "[/|]"))), lambda a: a.try_cast("int") > n_alt)
     reject = F.when(~F.col("chrom").rlike(CHROMOSOME), "off canonical chromosomes").when(beyond, "allele index exceeds ALT")
-    return picked.withColumn("reject", reject).drop("n_alt")
+    nowhere = families.select("family").distinct().join(cuts.select("family"), "family", "left_anti")
+    violations = cuts.filter(F.size("lost") > 0).select(
+        "file", F.lit(0).alias("ord"), F.lit("parent has no genotype column").alias("kind"), F.concat_ws(" ", "family", F.array_join("lost", " ")).alias("detail")
+    ).unionByName(nowhere.select(F.lit("").alias("file"), F.lit(0).alias("ord"), F.lit("family in no file").alias("kind"), F.col("family").alias("detail")))
+    return picked.withColumn("reject", reject), whole.select("family", "file", "samples"), violations
 
 
-def record_lines(records: DataFrame) -> DataFrame:
-    """(file, ord, value): kept records as VCF lines."""
+def record_lines(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """(family, file, ord, value): every family as a VCF of its own: two header lines, then the kept records in file order."""
     fixed = ["chrom", "pos", "id", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT")]
-    return records.filter("reject is null").select("file", "ord", F.concat_ws("\t", *fixed, F.array_join("gts", "\t")).alias("value"))
+    body = records.filter("reject is null").select("family", "file", F.col("ord").cast("bigint").alias("ord"), F.concat_ws("\t", *fixed, F.array_join("gts", "\t")).alias("value"))
+    names = F.concat(F.lit("\t".join(VCF_COLUMNS)), F.lit("\t"), F.array_join("samples", "\t"))
+    top = F.array(F.struct(F.lit(-2).cast("bigint").alias("ord"), F.lit("##fileformat=VCFv4.2").alias("value")), F.struct(F.lit(-1).cast("bigint").alias("ord"), names.alias("value")))
+    return body.unionByName(heads.select("family", "file", F.inline(top)))
 
 
-def reject_counts(records: DataFrame) -> DataFrame:
-    return records.groupBy(F.coalesce("reject", F.lit("written")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+def reject_counts(records: DataFrame, *by: str) -> DataFrame:
+    """Records by the step that rejects them, or ``written``."""
+    return records.groupBy(*by, F.coalesce("reject", F.lit("written")).alias("step")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introspark.functions.calls import genotype_field
+from introspark.functions.calls import genotype_of, genotype_sides
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position
-from introspark.operators.common import computed_once
-from introspark.sources.lines import Genotypes, content, read_lines
+from introspark.operators.common import computed_once, land
+from introspark.sources.lines import Genotypes, content, per_file, read_lines
 
 FIXED = 9
 
@@ -18,30 +18,35 @@ def read_vcf(spark: SparkSession, path: str, crop: Crop = SOYBEAN, manifest: Dat
     return parse_vcf(read_lines(spark, path), crop, manifest)
 
 
-def _headers(lines: DataFrame, manifest: DataFrame | None) -> DataFrame:
-    """Per file: the header line's place, its width, and the sample columns wanted from it."""
-    first = lines.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(
-        F.min("ord").alias("header_ord"), F.split(F.min_by("value", "ord"), "\t", -1).alias("header")
+def file_headers(text: DataFrame, manifest: DataFrame | None) -> DataFrame:
+    """(file, header_ord, width, formed, names, wanted): a written row per file of ``text``.
+
+    The header line's place (NULL without one) and width, whether it has FORMAT and a sample column, its sample names, and
+    the sample columns wanted from it. Header lines are aggregated where they are read.
+    """
+    head = F.min(F.when(F.col("value").startswith("#CHROM"), F.struct("ord", "value")))
+    first = text.groupBy("file").agg(head.alias("h")).select("file", F.col("h.ord").alias("header_ord"), F.split("h.value", "\t", -1).alias("header"))
+    names = F.slice("header", FIXED + 1, F.greatest(F.size("header") - FIXED, F.lit(0)))
+    out = first.select(
+        "file", "header_ord", F.size("header").alias("width"), ((F.size("header") > FIXED) & (F.try_element_at("header", F.lit(9)) == "FORMAT")).alias("formed"), names.alias("names"),
     )
-    names = F.transform(F.slice("header", FIXED + 1, F.greatest(F.size("header") - FIXED, F.lit(0))), lambda s, i: F.struct((i + FIXED + 1).alias("at"), s.alias("sample_id")))
-    out = first.withColumn("wanted", names)
+    columns = F.transform("names", lambda s, i: F.struct((i + FIXED + 1).alias("at"), s.alias("sample_id")))
+    out = land(out.withColumn("wanted", columns), "vcf-headers")
     if manifest is not None:
         # columns outside the manifest are dropped before any cell is exploded
         listed = (
             out.select("file", F.inline("wanted")).join(manifest.select("sample_id"), "sample_id", "left_semi")
             .groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "sample_id"))).alias("wanted"))
         )
-        out = out.drop("wanted").join(listed, "file", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast("array<struct<at:int,sample_id:string>>")))
+        listed = out.drop("wanted").join(listed, "file", "left")
+        out = land(listed.withColumn("wanted", F.coalesce("wanted", F.array().cast("array<struct<at:int,sample_id:string>>"))), "vcf-wanted")
     return out
 
 
-def _whole_input(text: DataFrame, markers: DataFrame) -> DataFrame:
+def _whole_input(heads: DataFrame, markers: DataFrame) -> DataFrame:
     """Violations no single line shows: a file without its header, a sample column that occurs twice, an input without records."""
-    head = F.min_by("value", "ord")
-    files = text.groupBy("file").agg(F.max(F.col("value").startswith("#CHROM")).alias("headed"))
-    bare = files.filter("not headed").select("file", F.lit("no #CHROM header").alias("kind"), F.lit("").alias("detail"))
-    heads = text.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(F.split(head, "\t", -1).alias("header"))
-    names = heads.select("file", F.explode(F.slice("header", FIXED + 1, F.greatest(F.size("header") - FIXED, F.lit(0)))).alias("detail"))
+    bare = heads.filter("header_ord is null").select("file", F.lit("no #CHROM header").alias("kind"), F.lit("").alias("detail"))
+    names = heads.select("file", F.explode("names").alias("detail"))
     twice = names.groupBy("file", "detail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("file", F.lit("sample column occurs twice").alias("kind"), "detail")
     empty = markers.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("").alias("file"), F.lit("no records").alias("kind"), F.lit("").alias("detail"))
     return bare.unionByName(twice).unionByName(empty).withColumn("ord", F.lit(0))
@@ -50,11 +55,14 @@ def _whole_input(text: DataFrame, markers: DataFrame) -> DataFrame:
 def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None = None) -> Genotypes:
     """Records become markers; every wanted sample column of a record becomes one call.
 
-    A broken line is a row of ``violations`` and yields no marker and no call.
+    A broken line is a row of ``violations`` and yields no marker and no call. Of its file's header a line meets no more
+    than what judges it and the columns wanted.
     """
     text = content(lines).filter(~F.col("value").startswith("##"))
-    rows = text.join(_headers(text, manifest), "file", "left").filter(F.col("header_ord").isNull() | (F.col("ord") != F.col("header_ord")))
-    rows = computed_once(rows, ["file", "ord", "value", "header_ord", "header", "wanted"], f=F.split("value", "\t", -1))
+    heads = file_headers(text, manifest)
+    rows = per_file(text, heads.select("file", "header_ord", "width", "formed", "wanted"))
+    rows = rows.filter(F.col("header_ord").isNull() | (F.col("ord") != F.col("header_ord")))
+    rows = computed_once(rows, ["file", "ord", "value", "header_ord", "width", "formed", "wanted"], f=F.split("value", "\t", -1))
 
     def column(i: int):
         return F.try_element_at("f", F.lit(i))
@@ -67,8 +75,8 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
     kind = (
         F.when(F.col("header_ord").isNull() | (F.col("ord") < F.col("header_ord")), "data line before the #CHROM header")
         .when(F.col("value").startswith("#"), "line beginning with # after the header")
-        .when((F.size("header") < FIXED + 1) | (F.try_element_at("header", F.lit(9)) != "FORMAT"), "header needs FORMAT and a sample column")
-        .when(F.size("f") != F.size("header"), "wrong number of columns")
+        .when(~F.col("formed"), "header needs FORMAT and a sample column")
+        .when(F.size("f") != F.col("width"), "wrong number of columns")
         .when(F.coalesce("gt_at", F.lit(0)) == 0, "FORMAT has no GT")
         .when(F.col("pos_bp").isNull(), "invalid position")
     )
@@ -83,12 +91,13 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
         ),
     )
     cells = records.select("file", "ord", "marker_id", F.size("alleles").alias("n"), F.inline(tokens))
-    cells = computed_once(cells, ["file", "ord", "marker_id", "sample_id", "gt"], call=genotype_field(F.col("gt"), F.col("n")))
+    cells = computed_once(cells, cells.columns, **genotype_sides(F.col("gt")))
+    cells = computed_once(cells, ["file", "ord", "marker_id", "sample_id", "gt"], call=genotype_of(*[F.col(c) for c in ("gt", "first", "second", "n")]))
     broken = judged.filter("kind is not null").select("file", "ord", "kind", F.substring("value", 1, 60).alias("detail"))
     bad_cells = cells.filter("call.problem is not null").select("file", "ord", F.col("call.problem").alias("kind"), F.concat_ws(" ", "marker_id", "sample_id", "gt").alias("detail"))
     return Genotypes(
         markers=records.select("marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"),
         calls=cells.filter("call.problem is null").select("marker_id", "sample_id", "call.a1", "call.a2"),
-        samples=_headers(text, manifest).select(F.explode("wanted.sample_id").alias("sample_id")).distinct(),
-        violations=broken.unionByName(bad_cells).unionByName(_whole_input(text, records)),
+        samples=heads.select(F.explode("wanted.sample_id").alias("sample_id")).distinct(),
+        violations=broken.unionByName(bad_cells).unionByName(_whole_input(heads, records)),
     )

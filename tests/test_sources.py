@@ -1,5 +1,7 @@
 """Text inputs: accepted spellings, and the violations of broken ones."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,8 @@ from introspark.functions.calls import genotype_field, linked_call, nucleotide_c
 from introspark.functions.chrom import CROPS, canonical_chrom, chrom_order
 from introspark.functions.generation import parse_generation
 from introspark.functions.text import position
-from introspark.sinks.export import number_text
-from introspark.sources import grids, kasp, lines, manifest, vcf
+from introspark.sinks.export import number_text, wide_lines
+from introspark.sources import grids, kasp, linkage, lines, manifest, pedigree, vcf
 
 
 def as_lines(spark, *texts, file="f"):
@@ -102,8 +104,9 @@ def test_kasp_grid_orientation(spark):
     assert {(r["marker_id"], r["sample_id"], r["call"], r["reason"]) for r in calls.collect()} == {
         ("m1", "s1", "AA", None), ("m1", "s2", "AG", None), ("m2", "s1", None, "?"), ("m2", "s2", None, "unrecognized")}
     assert bad.count() == 0
-    wide = kasp.wide_table(calls, markers).orderBy("pos_bp").collect()
-    assert [(r["marker_id"], r["cells"]) for r in wide] == [("m2", ["N", "N"]), ("m1", ["AA", "AG"])]
+    wide, order = kasp.wide_table(calls, markers)
+    assert [(r["marker_id"], r["cells"]) for r in wide.orderBy("pos_bp").collect()] == [("m2", "N,N"), ("m1", "AA,AG")]
+    assert [r["sample_id"] for r in order.orderBy("place").collect()] == ["s1", "s2"]
     assert kasp.parse_grid(as_lines(spark, "dna,p,q", "r,A:A,A:G"), markers)[1].count() == 1
 
 
@@ -136,8 +139,83 @@ def test_kasp_job_refuses_conflicts_and_unplaced_snps(spark):
     calls, clean = kasp.parse_long(as_lines(spark, "SubjectID,SNPID,Call", "a,m1,A:A", "a,m1,G:G", "b,m1,A:G", "b,m9,A:A"))
     assert kinds(clean) == set()
     markers = spark.createDataFrame([("m1", "Gm01", 5)], "marker_id string, chrom string, pos_bp long")
-    table, counts, violations = kasp.wide_job(calls, markers)
+    (table, order), counts, violations = kasp.wide_job(calls, markers)
     assert {(r["kind"], r["detail"]) for r in violations.collect()} == {("conflicting calls", "a m1"), ("SNP not on the map", "m9")}
     assert kinds(kasp.wide_job(calls, markers, drop_unplaced=True)[2]) == {"conflicting calls"}
     assert {r["what"]: r["n"] for r in counts.collect()} == {"unplaced SNPs": 1}
-    assert [(r["marker_id"], r["cells"]) for r in table.collect()] == [("m1", ["AA", "AG"])]
+    assert [(r["marker_id"], r["cells"]) for r in table.collect()] == [("m1", "AA,AG")]
+    head, body = wide_lines(table, order)
+    assert [head.first()["value"], body.first()["value"]] == ["marker_id,chrom,pos_bp,a,b", "m1,Gm01,5,AA,AG"]
+
+
+def test_wide_lines_of_many_samples(spark, monkeypatch):
+    """Lines put together from several stretches of samples, with absent cells and absent stretches."""
+    monkeypatch.setattr(kasp, "WIDE_CHUNK", 3)
+    rows = [(f"s{i:02d}", m, "f", i, "AG" if i % 2 else None) for i in range(11) for m in ("m1", "m2") if m == "m1" or i in (4, 10)]
+    calls = spark.createDataFrame(rows, "sample_id string, marker_id string, file string, ord long, call string")
+    wide, order = kasp.wide_table(calls, spark.createDataFrame([("m1", "Gm01", 5), ("m2", "Gm01", 9)], "marker_id string, chrom string, pos_bp long"))
+    got = {r["marker_id"]: r["cells"] for r in wide.collect()}
+    assert got == {"m1": ",".join("AG" if i % 2 else "N" for i in range(11)), "m2": ",".join(["N"] * 11)}
+    assert [r["place"] for r in order.orderBy("sample_id").collect()] == list(range(11))
+
+
+def many_files(spark, n=40):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    rows = []
+    for k in range(n):
+        rows += [(f"f{k}", 0, "##x"), (f"f{k}", 1, f"{head}\ta{k}\tb{k}")] if k % 5 else []
+        rows += [(f"f{k}", 2 + j, f"Gm01\t{j + 1}\tm{j}\tA\tC\t.\t.\t.\tGT\t0/0\t0/{k % 2}") for j in range(6)]
+    return spark.createDataFrame(rows, "file string, ord long, value string")
+
+
+def test_facts_of_files_are_broadcast_or_salted(spark):
+    text = many_files(spark)
+    facts = lines.headers(text, F.col("value").startswith("#CHROM"), "\t")
+    small, large = lines.per_file(text, facts), lines.per_file(text, facts, most_bytes=0)
+    assert sorted(map(repr, small.collect())) == sorted(map(repr, large.select(*small.columns).collect()))
+    assert small.filter("head_ord is null").count() == 8 * 6
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+
+
+@pytest.mark.parametrize("name", ["vcf", "vcf_manifest", "hapmap", "wide", "grid", "long", "linkage", "pedigree", "families"])
+def test_lines_are_never_dealt_by_file(spark, name):
+    """With automatic broadcasts off, no exchange of a reader's plan is keyed by the file alone."""
+    text = many_files(spark, 6)
+    markers = spark.createDataFrame([("m1", "Gm01", 5)], "marker_id string, chrom string, pos_bp bigint")
+    families = spark.createDataFrame([("F", "a1", 0, True), ("F", "b1", 1, False)], "family string, sample_id string, place int, parent boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {
+            "vcf": lambda: vcf.parse_vcf(text).calls, "vcf_manifest": lambda: vcf.parse_vcf(text, manifest=families).calls, "hapmap": lambda: grids.parse_hapmap(text).calls,
+            "wide": lambda: grids.parse_wide(text, coding="nucleotide").calls, "grid": lambda: kasp.parse_grid(text, markers)[0], "long": lambda: kasp.parse_long(text)[0],
+            "linkage": lambda: linkage.parse_linkage(text)[0], "pedigree": lambda: pedigree.parse_pedigrees(text), "families": lambda: pedigree.extract_families(text, families)[0],
+        }[name]()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(file#\d+, \d+\)", plan), plan
+
+
+def test_families_of_any_size_in_one_pass(spark):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    text = as_lines(
+        spark, "##fileformat=VCFv4.2", f"{head}\tL2\tR\tX\tL1\tD\tM1", "x.Gm01\t5\tm1\tA\tC\t.\t.\t.\tGT:DP\t0/1:3\t0/0:1\t1/1:2\t.:0\t1/1:9\t0|1:1",
+        "scaffold_9\t6\tm2\tA\tC\t.\t.\t.\tGT\t0/0\t0/0\t0/0\t0/0\t0/0\t0/0", "Gm02\t7\tm3\tA\t.\t.\t.\t.\tGT\t0/0\t0/0\t0/0\t1/0\t0/0\t0/0",
+    )
+    members = [("F1", "R", 0, True), ("F1", "D", 1, True), ("F1", "L1", 2, False), ("F1", "L2", 3, False), ("F1", "L9", 4, False), ("F2", "R", 0, True), ("F2", "D", 1, True), ("F2", "L2", 2, False),
+               ("F3", "M1", 1, False), ("F3", "P", 0, True), ("F4", "Q", 0, True)]
+    families = spark.createDataFrame(members, "family string, sample_id string, place int, parent boolean")
+    records, heads, violations = pedigree.extract_families(text, families)
+    got = {(r["family"], r["id"]): (r["gts"], r["reject"]) for r in records.collect()}
+    assert got == {
+        ("F1", "m1"): (["0/0", "1/1", ".", "0/1"], None), ("F1", "m2"): (["0/0"] * 4, "off canonical chromosomes"), ("F1", "m3"): (["0/0", "0/0", "1/0", "0/0"], "allele index exceeds ALT"),
+        ("F2", "m1"): (["0/0", "1/1", "0/1"], None), ("F2", "m2"): (["0/0"] * 3, "off canonical chromosomes"), ("F2", "m3"): (["0/0"] * 3, None),
+    }
+    assert {(r["kind"], r["detail"]) for r in violations.collect()} == {("parent has no genotype column", "F3 P"), ("family in no file", "F4")}
+    with pytest.raises(lines.SourceError):
+        lines.require_clean(violations)
+    own = pedigree.record_lines(records, heads).filter("family = 'F1'").orderBy("ord").collect()
+    assert [r["value"] for r in own] == ["##fileformat=VCFv4.2", f"{head}\tR\tD\tL1\tL2", "Gm01\t5\tm1\tA\tC\t.\t.\t.\tGT\t0/0\t1/1\t.\t0/1"]
+    again = vcf.parse_vcf(pedigree.record_lines(records, heads).filter("family = 'F2'").select("file", "ord", "value"))  # what is written can be read
+    assert again.violations.count() == 0 and again.calls.count() == 6

@@ -68,14 +68,15 @@ def p16_kasp_call_classes(spark, sf):
 
 
 @register("k7_wide_markers", """
-    SELECT 'm' || p AS marker_id, 'Gm' || lpad(CAST(1 + p % 20 AS VARCHAR), 2, '0') AS chrom, (p // 20 + 1) * 30000 AS pos_bp,
-           (SELECT count(DISTINCT s) FROM progeny_calls) AS n_cells, count(*) FILTER (a1 IS NOT NULL AND a2 IS NOT NULL) AS n_called
-    FROM progeny_calls GROUP BY p""")
+    SELECT 'm' || p AS marker_id, 'Gm' || lpad(CAST(1 + p % 20 AS VARCHAR), 2, '0') AS chrom, (p // 20 + 1) * 30000 AS pos_bp, 's' || s AS sample_id,
+           substr('ACG', CAST(a1 AS INT) + 1, 1) || substr('ACG', CAST(a2 AS INT) + 1, 1) AS cell, (SELECT count(DISTINCT s) FROM progeny_calls) AS n_cells
+    FROM progeny_calls WHERE a1 IS NOT NULL AND a2 IS NOT NULL""")
 def k7_wide_markers(spark, sf):
-    wide = kasp.wide_table(kasp.parse_long(texts.kasp_long_lines(spark, sf))[0], binding.markers(spark, sf))
-    return wide.select(
-        "marker_id", "chrom", "pos_bp", F.size("cells").cast("bigint").alias("n_cells"), F.size(F.filter("cells", lambda c: c != "N")).cast("bigint").alias("n_called")
-    )
+    """The called cells of the wide lines, read back by the place of their sample in the header line."""
+    wide, order = kasp.wide_table(kasp.parse_long(texts.kasp_long_lines(spark, sf))[0], binding.markers(spark, sf))
+    cells = F.split("cells", ",")
+    rows = wide.select("marker_id", "chrom", "pos_bp", F.size(cells).cast("bigint").alias("n_cells"), F.posexplode(cells).alias("place", "cell")).filter("cell <> 'N'")
+    return rows.join(order, "place").select("marker_id", "chrom", "pos_bp", "sample_id", "cell", "n_cells")
 
 
 # --- positions of several assemblies -----------------------------------------------------------------------------------------
@@ -265,18 +266,34 @@ def k9_family_manifest(spark, sf):
     return pedigree.family_manifest(_family(spark, sf), "Clark", "PI548533", "PI86024", "PI86024", "RP*{n}/D")
 
 
-@register("p17_family_records", f""", {GRID}, g AS (SELECT p, b, bool_or(s % 4 = 2 AND p % 89 = 7) AS beyond FROM grid GROUP BY p, b)
-    SELECT CASE WHEN p % 3 = 0 THEN 'off canonical chromosomes' WHEN beyond THEN 'allele index exceeds ALT' ELSE 'written' END AS step, count(*) AS n FROM g
-    WHERE b IN (SELECT s_suppkey // 4 FROM supplier GROUP BY 1 HAVING count(*) = 4) GROUP BY 1""")
+def _batch_families(spark, sf):
+    """Each batch file holds a family of its own: its first sample is the recurrent parent, the others are lines."""
+    members = texts.batches(spark, sf).select(F.concat(F.lit("batch"), F.col("b").cast("string")).alias("family"), F.posexplode("names").alias("place", "sample_id"))
+    return pedigree.extract_families(texts.vcf_lines(spark, sf, broken=True), members.withColumn("parent", F.col("place") == 0))
+
+
+@register("p17_family_records", f""", {GRID}, g AS (SELECT p, b, bool_or(s % 4 = 2 AND p % 89 = 7 AND p % 3 <> 0) AS beyond FROM grid GROUP BY p, b)
+    SELECT 'batch' || b AS family, CASE WHEN p % 3 = 0 THEN 'off canonical chromosomes' WHEN beyond THEN 'allele index exceeds ALT' ELSE 'written' END AS step, count(*) AS n FROM g
+    GROUP BY ALL""")
 def p17_family_records(spark, sf):
-    """Each batch file as its own family: the third sample of a batch carries the planted index."""
-    lines = texts.vcf_lines(spark, sf, broken=True).filter("value not like '##%'")
-    full = texts.batches(spark, sf).filter("size(names) = 4").select(F.concat(F.lit("batch"), F.col("b").cast("string"), F.lit(".vcf")).alias("file"))
-    renamed = lines.join(full, "file", "left_semi").withColumn(
-        "value", F.when(F.col("value").startswith("#CHROM"), F.concat(F.array_join(F.slice(F.split("value", "\t"), 1, 9), "\t"), F.lit("\tA\tB\tC\tD"))).otherwise(F.col("value"))
-    )
-    gt_first = renamed.withColumn("value", F.when(F.col("value").contains("\tDP:GT\t"), F.regexp_replace(F.col("value"), "\t12:", "\t")).otherwise(F.col("value")))
-    return pedigree.reject_counts(pedigree.extract_records(gt_first, ["A", "B", "C", "D"]))
+    """Records of every family by the step that rejects them: the third sample of a batch carries the planted index."""
+    return pedigree.reject_counts(_batch_families(spark, sf)[0], "family")
+
+
+@register("k9_family_lines", """, cell AS (
+        SELECT k.p, k.b, s_suppkey AS s, CASE WHEN k.p % 97 = 5 AND s_suppkey % 4 = 1 THEN '0/01' WHEN k.p % 89 = 7 AND s_suppkey % 4 = 2 THEN '0/3' WHEN k.p % 7 = 0 AND a1 = a2 THEN a1::VARCHAR
+            WHEN c.s IS NULL THEN '.' ELSE coalesce(a1::VARCHAR, '.') || CASE s_suppkey % 2 WHEN 1 THEN '|' ELSE '/' END || coalesce(a2::VARCHAR, '.') END AS gt
+        FROM (SELECT DISTINCT p, s // 4 AS b FROM progeny_calls) k JOIN supplier ON s_suppkey // 4 = k.b LEFT JOIN progeny_calls c ON c.p = k.p AND c.s = s_suppkey),
+    rec AS (SELECT p, b, string_agg(gt, chr(9) ORDER BY s) AS gts, bool_or(gt = '0/3') AS beyond FROM cell WHERE p % 3 <> 0 GROUP BY p, b)
+    SELECT 'batch' || b AS family, p + 3 AS ord, concat_ws(chr(9), 'Gm' || lpad(CAST(1 + p % 20 AS VARCHAR), 2, '0'), CASE WHEN p % 101 = 9 THEN '3e4' ELSE ((p // 20 + 1) * 30000)::VARCHAR END,
+        CASE WHEN p % 11 = 0 THEN '.' ELSE 'm' || p END, 'A', 'C,G', '.', '.', '.', 'GT', gts) AS value FROM rec WHERE NOT beyond
+    UNION ALL SELECT 'batch' || (s_suppkey // 4), -2, '##fileformat=VCFv4.2' FROM supplier GROUP BY s_suppkey // 4
+    UNION ALL SELECT 'batch' || (s_suppkey // 4), -1, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', string_agg('s' || s_suppkey, chr(9) ORDER BY s_suppkey))
+    FROM supplier GROUP BY s_suppkey // 4""")
+def k9_family_lines(spark, sf):
+    """Every family as the lines of a VCF of its own."""
+    records, heads, _ = _batch_families(spark, sf)
+    return pedigree.record_lines(records, heads).select("family", "ord", "value")
 
 
 # --- variant-set pages -------------------------------------------------------------------------------------------------------------
@@ -472,12 +489,12 @@ def a30_validation_summary(spark, sf):
     return qc.validation_summary(run.markers, run.dataset.samples, flagged, n_pairs, F.lit(0)).drop("n_warnings")
 
 
-@register("f13_reserved_chromosome_names", "SELECT p_partkey AS p, p_size % 4 IN (0, 1, 2) AS reserved FROM part")
+@register("f13_reserved_chromosome_names", """
+    SELECT DISTINCT p_size % 4 <> 3 AS reserved, (['total', 'carrier', 'noncarrier', 'Gm01'])[CAST(p_size % 4 AS INT) + 1] AS chrom FROM part""")
 def f13_reserved_chromosome_names(spark, sf):
-    name = F.expr("element_at(array('total', 'carrier', 'noncarrier', 'Gm01'), cast(p_size % 4 as int) + 1)")
-    return binding.table(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.concat(F.lit("rpp_"), name).isin(*ranking.RESULT_PREFIX).alias("reserved"))
-
-
+    """The chromosome names of the data, and whether the results refuse each."""
+    names = binding.table(spark, sf, "part").select(F.expr("element_at(array('total', 'carrier', 'noncarrier', 'Gm01'), cast(p_size % 4 as int) + 1)").alias("chrom")).distinct()
+    return names.select(ranking.is_reserved(F.col("chrom")).alias("reserved"), "chrom")
 
 
 # --- further forms of operators registered above ---------------------------------------------------------------------------------------
@@ -519,8 +536,12 @@ def s11d_page_tokens(spark, sf):
     return binding.table(spark, sf, "part").select(F.col("p_partkey").alias("p"), call.alias("c")).select("p", "c.a1", "c.a2", F.col("c.problem").isNotNull().alias("invalid"))
 
 
-@register("p9_allele_indices", f""", {GRID} SELECT 'm' || p || 'b' || b AS marker_id, 's' || s AS sample_id,
-    CASE WHEN {SILENT} THEN NULL ELSE (SELECT count(DISTINCT x) FROM (SELECT h.a1 AS x FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL
-        UNION SELECT h.a2 FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL) WHERE x < least(g.a1, g.a2)) END AS a1 FROM grid g""")
+def _allele_place(side: str) -> str:
+    """SQL: how many of the marker's symbols sort before the call's smaller or larger one."""
+    return f"""CASE WHEN {SILENT} THEN NULL ELSE (SELECT count(DISTINCT x) FROM (SELECT h.a1 AS x FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL
+        UNION SELECT h.a2 FROM grid h WHERE h.p = g.p AND h.b = g.b AND h.a1 IS NOT NULL AND h.a2 IS NOT NULL) WHERE x < {side}(g.a1, g.a2)) END"""
+
+
+@register("p9_allele_indices", f""", {GRID} SELECT 'm' || p || 'b' || b AS marker_id, 's' || s AS sample_id, {_allele_place('least')} AS a1, {_allele_place('greatest')} AS a2 FROM grid g""")
 def p9_allele_indices(spark, sf):
-    return grids.parse_hapmap(texts.hapmap_lines(spark, sf)).calls.select("marker_id", "sample_id", "a1")
+    return grids.parse_hapmap(texts.hapmap_lines(spark, sf)).calls.select("marker_id", "sample_id", "a1", "a2")
