@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back_memory
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,7 +62,7 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE_BYTES) -> Itera
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    give_back_memory()
 
 
 @dataclass

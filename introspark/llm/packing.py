@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import pieces
 from .common import documents, land, registered
-from .tokens import encoder
+from .tokens import PIECE, encoder
 
 CAPACITY = 2048
 #: Pieces of one randomised group, on average.
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
         own = encoder(tokenizer, end_id, fold_case=True)
         row = 0
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 ids, offsets = own.encode(part.column("text"))
                 total = np.diff(offsets)
                 count = -(-total // capacity)

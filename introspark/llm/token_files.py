@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import pieces
 from .common import documents, land, prefix_sums, registered, shared_folder, shuffle_partitions
-from .tokens import encoder
+from .tokens import PIECE, encoder
 
 SEQUENCE = 1024
 END_ID = 2
@@ -53,17 +53,37 @@ def to_file(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, par
     return out.getvalue()
 
 
-def from_file(content: bytes | pa.Buffer) -> tuple[dict, np.ndarray, list[int | None], np.ndarray]:
-    """Metadata, flat ids without padding, document ids and lengths of a file; the ids of a batch are not copied on access."""
-    reader = pa.ipc.open_file(pa.py_buffer(content))
-    meta = {k.decode(): v.decode() for k, v in reader.schema.metadata.items()}
-    batches = [reader.get_batch(i) for i in range(reader.num_record_batches)]
-    ids = [b.column("ids").flatten().to_numpy(zero_copy_only=True) for b in batches]
-    masks = [b.column("mask").flatten().to_numpy(zero_copy_only=False) for b in batches]
-    flat = np.concatenate(ids)[np.concatenate(masks)] if ids else np.zeros(0, np.uint16)
-    doc_ids = np.frombuffer(bytes.fromhex(meta["doc_ids"]), "<i8")
-    null = np.unpackbits(np.frombuffer(bytes.fromhex(meta["null_ids"]), np.uint8))[: len(doc_ids)]
-    return meta, flat, [None if x else int(i) for i, x in zip(doc_ids, null, strict=True)], np.frombuffer(bytes.fromhex(meta["lengths"]), "<i8")
+class TokenFile:
+    """Random access to the bytes of one file, or to a mapped file: what it returns are views of the record batches' buffers."""
+
+    def __init__(self, content: bytes | pa.Buffer | pa.NativeFile):
+        self._reader = pa.ipc.open_file(content if isinstance(content, pa.NativeFile) else pa.py_buffer(content))
+        meta = {k.decode(): v.decode() for k, v in self._reader.schema.metadata.items()}
+        self.part, self.shard, self.n_tokens = int(meta["part"]), int(meta["shard"]), int(meta["n_tokens"])
+        self.sequence_length = self._reader.schema.field("ids").type.list_size
+        doc_ids = np.frombuffer(bytes.fromhex(meta["doc_ids"]), "<i8")
+        null = np.unpackbits(np.frombuffer(bytes.fromhex(meta["null_ids"]), np.uint8))[: len(doc_ids)]
+        self.doc_ids = [None if x else int(i) for i, x in zip(doc_ids, null, strict=True)]
+        self.lengths = np.frombuffer(bytes.fromhex(meta["lengths"]), "<i8")
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def ids(self, start: int, n: int) -> list[np.ndarray]:
+        """``n`` ids from place ``start``, as one view for each record batch they lie in."""
+        out, size = [], BATCH * self.sequence_length  # all batches but the last have as many
+        while n > 0:
+            flat = self._reader.get_batch(start // size).column("ids").flatten().to_numpy(zero_copy_only=True)
+            view = flat[start % size : start % size + n]
+            out.append(view)
+            start, n = start + len(view), n - len(view)
+        return out
+
+    def document(self, k: int) -> list[np.ndarray]:
+        return self.ids(int(self.starts[k]), int(self.lengths[k]))
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask of one padded sequence."""
+        batch = self._reader.get_batch(i // BATCH)
+        return batch.column("ids")[i % BATCH].values.to_numpy(zero_copy_only=True), batch.column("mask")[i % BATCH].values.to_numpy(zero_copy_only=False)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int = END_ID,
@@ -73,11 +93,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
     Documents are range-partitioned and sorted by id; a task writes the files of its range one after the other, each
     under a name of its attempt first, then moved to its own, so that a lost or repeated task leaves whole files only.
 
-    Null and empty texts are the end id alone. A null id comes first. Rows that repeat an id follow each other in no
-    fixed order. Other columns are not read. An empty table writes no file.
+    Null and empty texts are the end id alone. A null id comes first. Rows that repeat an id follow each other by a
+    hash of their texts. Other columns are not read. An empty table writes no file.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -98,7 +118,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
             })
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 flat, offsets = own.encode(piece.column("text"))
                 doc_ids += piece.column("doc_id").to_pylist()
                 ids.append(flat)
@@ -114,17 +134,24 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of the files below ``folder``: ``doc_id, start, n_tokens, ids_crc32``, ``start`` counting over all files in order."""
+    """Documents of the files below ``folder``: ``doc_id, start, n_tokens, ids_crc32``, ``start`` counting over all files in order.
+
+    Every document is read as slices of its file's record batches.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                meta, flat, doc_ids, lengths = from_file(content.as_buffer())
-                ends = np.cumsum(lengths)
-                wide = flat.astype("<u4")
+                file = TokenFile(content.as_buffer())
+                sums, n = [], len(file.doc_ids)
+                for k in range(n):
+                    crc = 0
+                    for view in file.document(k):
+                        crc = zlib.crc32(view.astype("<u4"), crc)
+                    sums.append(crc)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([int(meta["part"])] * len(doc_ids), pa.int32()), pa.array([int(meta["shard"])] * len(doc_ids), pa.int32()), pa.array(doc_ids, pa.int64()),
-                    pa.array(ends - lengths), pa.array(lengths), pa.array([zlib.crc32(wide[a:b]) for a, b in zip(ends - lengths, ends, strict=True)], pa.int64()),
+                    pa.array([file.part] * n, pa.int32()), pa.array([file.shard] * n, pa.int32()), pa.array(file.doc_ids, pa.int64()),
+                    pa.array(file.starts), pa.array(file.lengths), pa.array(sums, pa.int64()),
                 ], names=[c.split()[0] for c in _READ.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(folder).select("content")

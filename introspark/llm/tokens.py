@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .bytewords import _LOWER, text_buffers
 from .common import one_thread_libraries
-
-#: Stretches remembered by one worker process before it starts anew; bounds its memory to some 150 MB.
-REMEMBERED = 600_000
+from .stretches import Flat, Seen, different, strings
+
+#: Stretches remembered by one worker process before it starts anew, at some 80 bytes each, and their bytes.
+REMEMBERED = 1_200_000
+REMEMBERED_BYTES = 1 << 25
+#: Text encoded at once, and new stretches handed to the library at once.
+PIECE = 1 << 19
+LEARNED = 2048
 _SPACE_BEFORE = np.zeros(256, bool)
 _SPACE_BEFORE[0x21:0x7F] = True
 _SPACE_BEFORE[0xC3:0xE0] = True  # two-byte letters; no Unicode space starts with these bytes
@@ -20,12 +28,13 @@ _POINT[[ord(c) for c in ".,!"]] = True
 
 
 class Encoder:
-    """Encodes Arrow string columns with a tokenizer file of the ``tokenizers`` library.
+    """Encodes Arrow string columns with a tokenizer file of the ``tokenizers`` library, as the library does by default.
 
     Both vocabularies used here split a text before merging, always before a space that stands before a visible
     character and always between an ASCII letter and a point, comma or exclamation mark, so a text may be cut there:
     the ids of the stretches, joined, are the ids of the text. ``fold_case`` maps A-Z to a-z first, for a tokenizer
-    that does so itself. Strings that look like special tokens are ordinary text. ``end_id`` follows every text.
+    that does so itself. The library finds its special strings before it does anything else: a text that holds one, in
+    letters of either case, is one stretch and isn't folded. ``end_id`` follows every text.
     """
 
     def __init__(self, path: str, end_id: int, fold_case: bool = False):
@@ -33,60 +42,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.fold_case = end_id, fold_case
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._flat = np.zeros(1 << 16, np.uint32)
-        self._start = np.zeros(1 << 15, np.int64)
-        self._length = np.zeros(1 << 15, np.int64)
-        self._used = 0
-
-    @staticmethod
-    def _room(array: np.ndarray, n: int) -> np.ndarray:
-        if n <= len(array):
-            return array
-        out = np.zeros(max(n, 2 * len(array)), array.dtype)
-        out[: len(array)] = array
+        self._seen, self._ids = Seen(), Flat(np.uint32)
+
+    def _learn(self, units: list[bytes], hashes: np.ndarray) -> None:
+        for at in range(0, len(units), LEARNED):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units[at : at + LEARNED]], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._ids.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        self._seen.add(np.frombuffer(b"".join(units), np.uint8), np.fromiter(map(len, units), np.int64, len(units)), hashes)
+
+    def _whole(self, column: pa.Array, data: np.ndarray) -> np.ndarray:
+        """Which texts hold a special string."""
+        out = np.zeros(len(column), bool)
+        for text in self.special:
+            first = ord(text[0])
+            if (data[np.flatnonzero(data[:-1] == first) + 1] == ord(text[1])).any():  # two ASCII characters, of no case
+                out |= pc.match_substring(column, text, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
         return out
 
-    def _learn(self, units: list[bytes]) -> None:
-        first, n = len(self._known), len(self._known) + len(units)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(lengths.sum()))
-        self._start, self._length = self._room(self._start, n), self._room(self._length, n)
-        self._flat = self._room(self._flat, self._used + len(flat))
-        self._start[first:n] = self._used + np.cumsum(lengths) - lengths
-        self._length[first:n] = lengths
-        self._flat[self._used : self._used + len(flat)] = flat
-        self._used += len(flat)
-        self._known.update(zip(units, range(first, n), strict=True))
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts, each followed by the end id, and the offsets of the texts in them."""
         data, offsets = text_buffers(column)
         n_texts = len(offsets) - 1
+        whole = [(offsets[i], offsets[i + 1]) for i in np.flatnonzero(self._whole(column, data))]
         if self.fold_case:
-            data = _LOWER[data]
+            folded = _LOWER[data]
+            for a, b in whole:
+                folded[a:b] = data[a:b]
+            data = folded
         begins = np.zeros(len(data), bool)
         begins[:-1] |= (data[:-1] == 0x20) & _SPACE_BEFORE[data[1:]]
         begins[1:] |= _LETTER[data[:-1]] & _POINT[data[1:]]
+        for a, b in whole:
+            begins[a:b] = False
         begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(begins)
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
-        coded = units.dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self._known) + len(different) > REMEMBERED and self._known:
+        content, bounds, unit = different(data, starts)
+        if len(self._seen) > REMEMBERED or self._seen.bytes.used > REMEMBERED_BYTES:
             self._forget()
-        self._learn([u for u in different if u not in self._known])
-        at = np.fromiter(map(self._known.__getitem__, different), np.int64, len(different))[coded.indices.to_numpy(zero_copy_only=False)]
-        length = self._length[at]
-        ends = np.cumsum(length)
-        ids = self._flat[np.repeat(self._start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        row, hashes = self._seen.find(content, bounds)
+        new = np.flatnonzero(row < 0)
+        row[new] = len(self._seen) + np.arange(len(new))
+        self._learn(strings(content, bounds, new), hashes[new])
+        ids, length = self._ids.rows(row[unit])
         text = np.searchsorted(offsets, starts, side="right") - 1
         per_text = np.bincount(text, length, n_texts).astype(np.int64)
         out_offsets = np.zeros(n_texts + 1, np.int64)

@@ -12,14 +12,16 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from introspark.llm import stretches, tokens
 from introspark.llm import crf, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_files, warc
 from introspark.llm.common import ship_package
 from introspark.llm.tokens import Encoder
+from tokenizers import Tokenizer
 
 from . import brute
 
 #: Columns that operators use inside; an input may have them too.
-CLASHING = "key int, n int, group int, size int, cls int, own int, rule int, blob int, norm int, sha int, _part int, salt int"
+CLASHING = "_n int, _size int, _cut int, _sha int, _k int, _cls int, `row` int, cut int, tie int, nth int, best_id int, taken int, key int, n int, group int, size int, cls int, own int, rule int, blob int, norm int, sha int, _part int, salt int"
 
 
 def table(spark, rows, schema="doc_id long, text string, source string"):
@@ -74,6 +76,11 @@ def test_warc_round_trip(spark):
         assert (by_id[i]["record_type"], by_id[i]["refers_to"]) == (("response", None) if i == last else ("revisit", last))
         assert by_id[i]["payload_bytes"] == (None if i != last else len(data))
         assert by_id[i]["payload"] is None if i != last else bytes(by_id[i]["payload"]) == data
+    shared = [(4, None, "A" * 900), (4, None, "B" * 900), (8, None, "A" * 900), (9, None, "B" * 900)]
+    back = warc.round_trip(table(spark, shared, "page_id long, url string, html string"), segment_bytes=700).collect()
+    told = {c: base64.b32encode(hashlib.sha1(c.encode() * 900).digest()).decode() for c in "AB"}
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in back) == Counter(
+        [(4, told["A"], "revisit", 8), (4, told["B"], "revisit", 9), (8, told["A"], "response", None), (9, told["B"], "response", None)])
     twice = warc.round_trip(table(spark, [(4, None, "ab" * 900)] * 2, "page_id long, url string, html string"), segment_bytes=700).collect()
     assert [bytes(r["payload"]) for r in twice] == [b"ab" * 900] * 2
     assert warc.round_trip(table(spark, [], "page_id long, url string, html string")).count() == 0
@@ -263,16 +270,35 @@ def test_signatures_bound_the_overlap():
             assert ngram_join.differing_bits(sets.signature(i), sets.signature(j)) <= len(a ^ b)
 
 
-ODD_TEXTS = [None, "", "a", "  x 　y  z\n\n w", " <|endoftext|> hi", "Ünïcode\tx\x1cq", "a\n b  \n c ", "it's 3.14!! don't", "A.B,c !d", "long " * 3000, "Kİ Ã."]
+ODD_TEXTS = [None, "", "a", "  x 　y  z\n\n w", " <|endoftext|> hi", "a\n <|startoftext|>b C<|ENDOFTEXT|> d", "hello <|endoftext|> world", "x <|EndOfText|>y. <|endoftext|", "Ünïcode\tx\x1cq", "a\n b  \n c ", "it's 3.14!! don't", "A.B,c !d", "long " * 3000, "Kİ Ã."]
 
 
 @pytest.mark.parametrize(("path", "end_id", "fold"), [(token_files.byte_bpe(), 2, False), (packing.word_bpe(), 1, True)])
 def test_encoder_equals_the_library(path, end_id, fold):
     texts = [*ODD_TEXTS, *some_texts(7)]
-    own = Encoder(path, end_id, fold)
-    ids, offsets = own.encode(pa.array(texts))
-    for k, text in enumerate(texts):
-        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*own.tokenizer.encode(text or "", add_special_tokens=False).ids, end_id]
+    own, plain = Encoder(path, end_id, fold), Tokenizer.from_file(path)
+    for _ in range(2):  # learned, and remembered
+        ids, offsets = own.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, end_id]
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    own, texts = Encoder(token_files.byte_bpe(), 2), some_texts(3)
+    for _ in range(2):
+        assert [own.encode(pa.array([t]))[0].tolist() for t in texts] == [own.encode(pa.array([t]))[0].tolist() for t in texts]
+
+
+def test_seen_compares_bytes(monkeypatch):
+    """Strings of one hash: the first keeps its row, the others are new each time."""
+    monkeypatch.setattr(stretches, "spread_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    seen, words = stretches.Seen(), np.frombuffer(b"aabbaacc", np.uint8)
+    bounds = np.array([0, 2, 4])
+    row, hashes = seen.find(words, bounds)
+    assert row.tolist() == [-1, -1]
+    seen.add(words[:4], np.array([2, 2]), hashes)
+    assert seen.find(words, np.array([0, 2, 4, 6, 8]))[0].tolist() == [0, -1, 0, -1] and len(seen) == 2
 
 
 def test_token_files(spark, tmp_path):
@@ -283,12 +309,20 @@ def test_token_files(spark, tmp_path):
     listed = token_files.write_token_files(table(spark, rows), folder, token_files.byte_bpe(), 50257, file_ids=2000).collect()
     assert len(listed) > 3 and all(r["path"].endswith(".arrow") for r in listed)
     got = {r["doc_id"]: r for r in token_files.read_token_files(spark, folder).collect()}
-    plain, start = Encoder(token_files.byte_bpe(), 2).tokenizer, 0
+    plain, start = Tokenizer.from_file(token_files.byte_bpe()), 0
     for i, text, _ in sorted(rows):
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    with pa.memory_map(listed[0]["path"]) as file:  # fixed-size lists: sequence k is a slice of the mapped file
+    with pa.memory_map(listed[0]["path"]) as file:  # documents and sequences are slices of the mapped file
+        held = token_files.TokenFile(file)
+        by_id = {i: t for i, t, _ in rows}
+        for k, i in enumerate(held.doc_ids):
+            views = held.document(k)
+            assert np.concatenate(views).tolist() == [*plain.encode(by_id[i] or "", add_special_tokens=False).ids, 2] and not any(v.flags.owndata for v in views)
+        flat = np.concatenate([np.concatenate(held.document(k)) for k in range(len(held.doc_ids))])
+        ids, mask = held.sequence(len(flat) // held.sequence_length)
+        assert ids[mask].tolist() == flat[-mask.sum() :].tolist() and mask.sum() == len(flat) % held.sequence_length
         first = pa.ipc.open_file(file).get_batch(0)
         assert first.schema.field("ids").type == pa.list_(pa.uint16(), token_files.SEQUENCE) and len(first.column("mask")[0]) == token_files.SEQUENCE
     assert token_files.token_files(table(spark, []), token_files.byte_bpe(), 50257).count() == 0
@@ -360,7 +394,7 @@ def test_packing(spark):
     rows = [*with_ids(texts), (None, "x y", None), (3, texts[1], None)]
     packed = packing.pack(table(spark, rows), packing.word_bpe(), group=50, with_ids=True)
     got = packed.collect()
-    plain = Encoder(packing.word_bpe(), 1).tokenizer
+    plain = Tokenizer.from_file(packing.word_bpe())
     want = Counter()
     for i, text, _ in rows:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -380,3 +414,30 @@ def test_packing(spark):
     for r in packing.sequences(packed).collect():
         assert len(r["ids"]) == 4 * sum(n for _, n in by_sequence[r["sequence_id"]])
     assert packing.pack(table(spark, []), packing.word_bpe()).count() == 0
+
+
+def test_mixed_rows_keep_their_source(spark):
+    """Sources that share ids: every row is taken as often as its own source's target says, and keeps its other columns."""
+    rows = [(i, " ".join(f"{s}{i}_{k}" for k in range(15)), s) for s in "abc" for i in range(20)] + [(None, "x y z", None), (None, "", "a"), (3, None, "b")]
+    docs = table(spark, rows)
+    got = mixing.mixed_rows(docs)
+    assert got.columns == docs.columns
+    words = Counter()
+    for r in got.collect():
+        assert r["_n"] == r["_size"] == r["taken"] == r["cut"] == 7
+        assert r["source"] is None or r["text"].startswith(r["source"])
+        words[r["source"]] += len(brute.WORD.findall(r["text"]))
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(docs.select("source", mixing.word_count("text").alias("size"))).collect()}
+    assert words == {s: int(t + 0.5) for s, t in targets.items()}
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, mixing.mixed_rows(docs).collect()))
+    assert mixing.mixed_rows(table(spark, [])).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    rows = [*with_ids(some_texts(21)), (None, "w1 w2", None), (None, "w1 w2", None)]
+    docs = table(spark, rows)
+    for stage in (exact_dedup.drop_copies, ngram_join.keep_one_of_each, mixing.mixed_rows):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c.split()[0].strip("`")] == 7 for c in CLASHING.split(", "))
