@@ -4,19 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introspark.functions.calls import shared_alleles
+from introspark.operators import bitplanes
+from introspark.operators.common import land
 from introspark.schema import DUPLICATE_IBS, DUPLICATE_OVERLAP_FRACTION
 
-# Calls of one sample block at most, and columns of one matrix product: two blocks and their products fit in one task.
-BLOCK_CALLS = 1 << 22
-MOST_SAMPLES = 256
-CHUNK = 2048
-
 
 def ibs_to_parents(calls: DataFrame, markers: DataFrame) -> DataFrame:
     """(sample_id, ibs_rp, ibs_donor): mean shared allele share over markers called in both."""
@@ -37,81 +32,40 @@ def compared_markers(markers: DataFrame) -> DataFrame:
     return markers.select("marker_id").distinct()
 
 
-def _pair_kernel(min_ibs: float, floor: int):
-    """All pairs of two sample blocks: overlap and shared alleles summed over chunks of the markers."""
-
-    def flat(block: pd.DataFrame, markers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(block)), block["ms"].str.len())
-        column = np.searchsorted(markers, np.concatenate(block["ms"].to_list()))
-        order = np.argsort(column, kind="stable")
-        calls = [np.concatenate(block[c].to_list()).astype(np.int16)[order] for c in ("xs", "ys")]
-        return row[order], column[order], *calls
-
-    def grid(calls: tuple, n: int, start: int) -> np.ndarray:
-        row, column, x, y = calls
-        part = slice(*np.searchsorted(column, (start, start + CHUNK)))
-        out = np.full((n, CHUNK, 2), -1, dtype=np.int16)
-        out[row[part], column[part] - start, 0], out[row[part], column[part] - start, 1] = x[part], y[part]
-        return out
-
-    def pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        group = group.sort_values(["sample_ord", "sample_id"], kind="stable").reset_index(drop=True)
-        left, right = (group[group["block"] == k] for k in (i, j))
-        overlap, shared = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
-        if len(left) and len(right):
-            markers = np.unique(np.concatenate(group["ms"].to_list()))
-            calls_l, calls_r = flat(left, markers), flat(right, markers)
-            for start in range(0, len(markers), CHUNK):
-                l, r = grid(calls_l, len(left), start), grid(calls_r, len(right), start)
-                overlap += (l[:, :, 0] >= 0).astype(np.float32) @ (r[:, :, 0] >= 0).astype(np.float32).T
-                for allele in np.unique(np.concatenate([l[l >= 0], r[r >= 0]])):
-                    n_l, n_r = ((g == allele).sum(axis=2) for g in (l, r))
-                    for copies in (1, 2):  # the multiset intersection, one copy at a time
-                        shared += (n_l >= copies).astype(np.float32) @ (n_r >= copies).astype(np.float32).T
-        at_l, at_r = left.index.to_numpy(), right.index.to_numpy()
-        wanted = at_l[:, None] < at_r[None, :] if i == j else np.ones(overlap.shape, bool)
-        assessed = wanted & (overlap >= floor)
-        # the quotient of two whole numbers, as the threshold is defined
-        ibs = np.divide(shared, 2.0 * overlap, out=np.zeros(overlap.shape), where=overlap > 0)
-        rows, cols = np.nonzero(assessed & (overlap > 0) & (ibs >= min_ibs))
-        first, second = np.minimum(at_l[rows], at_r[cols]), np.maximum(at_l[rows], at_r[cols])
-        ids = group["sample_id"].to_numpy(dtype=object)
-        found = pd.DataFrame({
-            "sample_a": ids[first], "sample_b": ids[second], "n_overlap": overlap[rows, cols].astype(np.int64),
-            "n_shared": shared[rows, cols].astype(np.int64), "n_assessed": 0,
-        })
-        total = pd.DataFrame({"sample_a": [None], "sample_b": [None], "n_overlap": [0], "n_shared": [0], "n_assessed": [int(assessed.sum())]})
-        return pd.concat([found, total]) if len(found) else total
-
-    return pairs
-
-
 def similar_pairs(calls: DataFrame, markers: DataFrame, samples: DataFrame, min_ibs: float, floor: int, n_markers: int, n_samples: int) -> DataFrame:
     """Pairs of samples of one ``scope`` with IBS of at least ``min_ibs`` over at least ``floor`` common markers.
 
-    Each sample becomes one row with its calls at all ``markers``, named by a 64-bit hash. Samples are dealt to blocks
-    small enough for their calls to fit in a task; blocks meet block by block, and a task multiplies two blocks chunk
-    by chunk of their markers. Only pairs above the threshold leave it, and one row (without samples) with the number
-    of pairs that reached the floor. The work is that of all pairs of a scope, as the definition asks.
+    Samples are dealt to blocks and ``markers`` to chunks, and numbered inside them. Every call is shuffled once, to its
+    block and chunk, where it becomes a few bits: planes of presence and of allele copies (``bitplanes``), which are
+    written. Blocks meet block by block as planes, and bounds end a comparison as soon as no pair of it is open. Only
+    pairs above the threshold leave a task, and one row (without samples) with the number of pairs that reach the floor.
+    The work is that of all pairs of a scope, as the definition asks.
+
+    A sample has at most one call per marker. Absent and half-missing calls are no calls.
     """
-    per_block = min(MOST_SAMPLES, max(1, BLOCK_CALLS // max(1, n_markers)))
-    n_blocks = max(1, math.ceil(n_samples / per_block))
-    vectors = (
-        calls.filter("a1 is not null and a2 is not null")
-        .join(markers, "marker_id").join(samples.select("sample_id", "sample_ord", "scope"), "sample_id")
-        .groupBy("scope", "sample_id", "sample_ord").agg(F.collect_list(F.struct(F.xxhash64("marker_id").alias("m"), "a1", "a2")).alias("v"))
-        .select(
-            "scope", "sample_id", "sample_ord", F.pmod(F.hash("sample_id"), F.lit(n_blocks)).alias("block"),
-            F.col("v.m").alias("ms"), F.col("v.a1").alias("xs"), F.col("v.a2").alias("ys"),
-        )
-    )
-    met = (
-        vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    )
-    schema = "sample_a string, sample_b string, n_overlap long, n_shared long, n_assessed long"
-    return met.groupBy("scope", "i", "j").applyInPandas(_pair_kernel(min_ibs, floor), schema)
+    def dealt(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+        """Places 0, 1, ... inside each part: parts are small by choice."""
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+    per_block = bitplanes.block_size(n_markers, n_samples)
+    n_chunks = max(1, -(-n_markers // bitplanes.CHUNK))
+    sizes = samples.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("n_blocks"))
+    own = samples.select("scope", "sample_ord", "sample_id").join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("sample_id"), "n_blocks"))
+    own = land(dealt(own.drop("n_blocks"), ["scope", "block"], ["sample_ord", "sample_id"], "row"), "sample-places")
+    places = dealt(markers.withColumn("chunk", F.pmod(F.xxhash64("marker_id"), F.lit(n_chunks))), ["chunk"], ["marker_id"], "at")
+    places = places.withColumn("n_at", F.count(F.lit(1)).over(Window.partitionBy("chunk")).cast("int"))
+    placed = calls.filter("a1 is not null and a2 is not null").join(places, "marker_id").join(own.drop("sample_ord"), "sample_id")
+    packed = placed.select("scope", "block", "chunk", "row", "at", "n_at", "a1", "a2").groupBy("scope", "block", "chunk").applyInArrow(bitplanes.pack, bitplanes.PACKED)
+    packed = land(packed, "bit-planes")
+    blocks = packed.select("scope", "block").distinct()
+    met = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "scope").filter("i <= j")
+    met = met.select("scope", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    kernel = bitplanes.pair_kernel(min_ibs, floor, n_markers)
+    found = met.join(packed, ["scope", "block"]).groupBy("scope", "i", "j").applyInArrow(kernel, bitplanes.PAIRS)
+    side = lambda block, row, name: own.select("scope", F.col("block").alias(block), F.col("row").alias(row), F.struct("sample_ord", "sample_id").alias(name))
+    named = found.join(side("i", "a", "x"), ["scope", "i", "a"], "left").join(side("j", "b", "y"), ["scope", "j", "b"], "left")
+    pair = F.array_sort(F.array("x", "y"))
+    return named.select(pair[0]["sample_id"].alias("sample_a"), pair[1]["sample_id"].alias("sample_b"), "n_overlap", "n_shared", "n_assessed")
 
 
 def overlap_floor(pool: int, fraction: float = DUPLICATE_OVERLAP_FRACTION) -> int:

@@ -3,13 +3,14 @@
 import itertools
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from introspark.config import CriteriaError, criteria_from_dict
 from introspark.functions.chrom import SOYBEAN
-from introspark.operators import background, classify, dataset, drag, loci, maps, qc, rank, similarity, strips
+from introspark.operators import background, bitplanes, classify, dataset, drag, loci, maps, qc, rank, similarity, strips
 
 STATES = "AAHHHNHAAB"
 PAIR = {"A": (0, 0), "H": (0, 1), "B": (1, 1), "X": (0, 2), "N": (None, None)}
@@ -243,3 +244,65 @@ def test_each_parent_role_is_named_once(spark):
     with pytest.raises(ValueError):
         twice.parent_calls()
     assert {r["role"] for r in data.parent_calls().collect()} == {"recurrent_parent", "donor_parent"}
+
+
+@pytest.mark.parametrize(("seed", "density", "min_ibs", "floor"), [(1, 0.9, 0.995, 100), (2, 0.3, 0.8, 20), (3, 0.5, 0.6, 1), (4, 0.97, 0.9, 190), (5, 0.02, 0.9, 3)])
+def test_bit_planes_and_bounds(monkeypatch, seed, density, min_ibs, floor):
+    """Blocks of several chunks and steps, with copies, near copies, rare alleles and samples without calls, against all pairs counted plainly."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(bitplanes, "CHUNK", 128)
+    monkeypatch.setattr(bitplanes, "STEP", 64)
+    rng, n, m, per_block = np.random.default_rng(seed), 23, 300, 10
+    calls = rng.choice([0, 1, 1, 2, 126], (n, m, 2)) if seed % 2 else rng.integers(0, 2, (n, m, 2))
+    known = rng.random((n, m)) < density
+    for copy, of in ((5, 2), (17, 2), (22, 21)):
+        calls[copy], known[copy] = calls[of], known[of] & (rng.random(m) < 0.98)
+    calls[17, :2] = 1 - np.minimum(calls[17, :2], 1)
+    known[9] = False
+    packed = []
+    for block in range(3):
+        for chunk in range(-(-m // 128)):
+            at = [(r, c) for r in range(per_block) for c in range(128) if block * per_block + r < n and chunk * 128 + c < m and known[block * per_block + r, chunk * 128 + c]]
+            if at:
+                values = np.array([calls[block * per_block + r, chunk * 128 + c] for r, c in at], np.int32)
+                table = pa.table({"row": pa.array([r for r, _ in at], pa.int32()), "at": pa.array([c for _, c in at], pa.int32()), "n_at": pa.array([min(128, m - chunk * 128)] * len(at), pa.int32()), "a1": values[:, 0], "a2": values[:, 1]})
+                packed.append(bitplanes.pack((pa.scalar("x"), pa.scalar(block), pa.scalar(chunk)), table))
+    table, kernel = pa.concat_tables(packed), bitplanes.pair_kernel(min_ibs, floor, m)
+    got, assessed = {}, 0
+    for i in range(3):
+        for j in range(i, 3):
+            part = table.filter(pc.is_in(table.column("block"), value_set=pa.array([i, j])))
+            for r in kernel((pa.scalar("x"), pa.scalar(i), pa.scalar(j)), part).to_pylist():
+                assessed += r["n_assessed"]
+                if r["a"] is not None:
+                    got[i * per_block + r["a"], j * per_block + r["b"]] = (r["n_overlap"], r["n_shared"])
+    want, reached = {}, 0
+    for a, b in itertools.combinations(range(n), 2):
+        both = np.flatnonzero(known[a] & known[b])
+        shared = sum((Counter(calls[a, k].tolist()) & Counter(calls[b, k].tolist())).total() for k in both)
+        reached += len(both) >= floor
+        if len(both) >= floor and shared / (2 * len(both)) >= min_ibs:
+            want[a, b] = (len(both), shared)
+    assert got == want and assessed == reached and (want or density < 0.1)
+
+
+def test_bounds_end_a_scan_early(monkeypatch):
+    """Unlike samples with all calls are settled after one step: no later plane is read."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(bitplanes, "CHUNK", 128)
+    monkeypatch.setattr(bitplanes, "STEP", 64)
+    parts = []
+    for chunk in range(4):
+        row, at = np.repeat(np.arange(6, dtype=np.int32), 128), np.tile(np.arange(128, dtype=np.int32), 6)
+        parts.append(bitplanes.pack((pa.scalar(""), pa.scalar(0), pa.scalar(chunk)), pa.table({"row": row, "at": at, "n_at": np.full(len(row), 128, np.int32), "a1": row, "a2": row})))
+    read = []
+    plain = bitplanes.Block.plane
+    monkeypatch.setattr(bitplanes.Block, "plane", lambda self, chunk, name, words: (read.append((chunk, words.start, name)), plain(self, chunk, name, words))[1])
+    out = bitplanes.pair_kernel(0.995, 300, 512)((pa.scalar(""), pa.scalar(0), pa.scalar(0)), pa.concat_tables(parts)).to_pylist()
+    assert [r["n_assessed"] for r in out] == [15]
+    assert {(c, w) for c, w, name in read if name != "present"} <= {(0, 0)}
