@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,12 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def land_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """``land``, and aggregates of the rows that are observed while they are written: no job of their own."""
+    seen = Observation()
+    return land(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name), seen.get
+
+
 def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """Add columns that later filters and projections read without evaluating their expressions again.
 

@@ -19,6 +19,7 @@ class Dataset:
     markers: marker_id, chrom, pos_bp, cm, file_ord. samples: the manifest. calls: one row per
     (marker_id, sample_id) that was read; a cell without a row is a missing call, as is a NULL side. parents: the
     parents' calls as a table of their own, where the source can give it, so that looking them up reads no other call.
+    violations and warnings: what the assembly from files found, as of ``plans.assemble``; None for tables made elsewhere.
     """
 
     markers: DataFrame
@@ -29,6 +30,8 @@ class Dataset:
     coded: bool = False
     call_sets: DataFrame | None = None
     parents: DataFrame | None = None
+    violations: DataFrame | None = None
+    warnings: DataFrame | None = None
 
     def with_(self, **changes) -> Dataset:
         return replace(self, **changes)

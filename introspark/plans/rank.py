@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from introspark import __version__
 from introspark.config import Criteria, resolved_assembly
 from introspark.operators import background, classify, drag, loci, qc, rank, similarity
-from introspark.operators.common import land, pinned
+from introspark.operators.common import land, land_counted, pinned
 from introspark.operators.dataset import Dataset, has_cm, keep_manifest
+from introspark.plans.assemble import WARNINGS, require_clean, warning_rows
 from introspark.schema import (
     DEFAULT_COVERAGE,
     RESULT_LAST,
@@ -26,7 +27,7 @@ MARKER_COLUMNS = (
 
 
 class DataContractError(ValueError):
-    """Input that breaks the file contract."""
+    """A run that its data can't support."""
 
 
 @dataclass
@@ -46,14 +47,14 @@ class Analysis:
     status: DataFrame
     drag: DataFrame
     metrics: DataFrame
-    notes: list[str] = field(default_factory=list)
+    calls: DataFrame
+    progeny: DataFrame
+    notes: list[tuple[str, str, float | None]] = field(default_factory=list)  # kind, subject, value: decided on the driver
+    n_progeny: int = 0
+    n_pool: int = 0
     pair_options: dict = field(default_factory=dict)
     pairs: DataFrame | None = None
 
-    @property
-    def progeny(self) -> DataFrame:
-        return self.dataset.progeny
-
 
 def _unit(requested: str, map_complete: bool) -> str:
     return "cm" if requested in ("auto", "cm") and map_complete else "bp"
@@ -62,19 +63,20 @@ def _unit(requested: str, map_complete: bool) -> str:
 def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     """Lay out the whole analysis.
 
-    Three tables are written because several branches read them: the markers, the calls near loci, and the
-    per-sample metrics. Everything after them is lazy. ``pair_options`` go to the duplicate scan.
+    Tables that several branches read are written: the markers, the progeny's calls, the calls near loci, and the
+    per-sample metrics. Counts are observed as they are written. Everything after them is lazy. ``pair_options`` go to the
+    duplicate scan. A dataset whose assembly found violations is refused.
     """
-    spark = dataset.markers.sparkSession
+    spark = require_clean(dataset).markers.sparkSession
     assembly = resolved_assembly(criteria, dataset.crop)
     asks_for_cm = criteria.flank_unit == "cm" or criteria.background.map_unit != "bp"
     complete = bool(has_cm(dataset.markers).first()["has_cm"]) if asks_for_cm else False
     background_unit, flank_unit = _unit(criteria.background.map_unit, complete), _unit(criteria.flank_unit, complete)
     notes = []
     if criteria.background.map_unit == "cm" and background_unit == "bp":
-        notes.append("background unit: bp, since the map lacks cM")
+        notes.append(("unit falls back to bp, since the map lacks cM", "background", None))
     if criteria.flank_unit == "cm" and flank_unit == "bp":
-        notes.append("flank unit: bp, since the map lacks cM")
+        notes.append(("unit falls back to bp, since the map lacks cM", "flank", None))
 
     classified = classify.classified_markers(dataset)
     if criteria.background.model == "weighted":
@@ -82,11 +84,11 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
         weighed = background.marker_weights(classified, source_ends, background_unit, criteria.background.max_marker_coverage)
         if background_unit == "bp" and criteria.background.map_unit != "bp":
             cap = criteria.background.max_marker_coverage or DEFAULT_COVERAGE["bp"]
-            notes.append(f"background coverage: at most {cap:.0f} bp a marker")
+            notes.append(("a marker stands for at most so many bp", "background", float(cap)))
     else:
         weighed = background.unit_weights(classified)
     # the marker table feeds every later step: computed once
-    markers = land(weighed.select(*MARKER_COLUMNS), "markers")
+    markers, counted = land_counted(weighed.select(*MARKER_COLUMNS), "markers", n=F.count(F.lit(1)), n_pool=F.count_if("informative"))
     ends = background.chromosome_ends(markers, assembly, dataset.crop)
 
     table = loci.locus_table(spark, criteria.loci, dataset.crop)
@@ -94,8 +96,8 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     resolved = pinned(drag.locus_edges(markers, loci.resolved_loci(table, members), ends, flank_unit))
     flanks = drag.flank_markers(markers, members, resolved, flank_unit)
 
-    progeny = dataset.progeny
-    calls = keep_manifest(dataset.calls, progeny)
+    progeny, people = land_counted(dataset.progeny, "progeny", n=F.count(F.lit(1)))
+    calls = land(keep_manifest(dataset.calls, progeny), "calls")
     fact = classify.states(calls, markers)
     # loci and drag read only counted calls on the chromosomes that carry a locus, several times
     chroms = sorted({r["chrom"] for r in resolved.select("chrom").collect()} - {None})
@@ -105,11 +107,10 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     bounds = drag.drag_bounds(near, progeny, criteria.targets, flanks, resolved, criteria)
 
     carrier = resolved.filter("section = 'target'").select("chrom").distinct()
-    n_markers = F.lit(markers.count())
-    metrics = qc.sample_metrics(qc.metrics_by_chromosome(fact), progeny, n_markers, carrier)
+    metrics = qc.sample_metrics(qc.metrics_by_chromosome(fact), progeny, F.lit(counted["n"]), carrier)
     return Analysis(
         dataset, criteria, assembly, background_unit, flank_unit, markers, ends, fact, members, resolved, status, bounds,
-        land(metrics, "sample_metrics"), notes, pair_options,
+        land(metrics, "sample_metrics"), calls, progeny, notes, people["n"], counted["n_pool"], pair_options,
     )
 
 
@@ -121,12 +122,37 @@ def duplicate_pairs(run: Analysis) -> DataFrame:
         progeny = run.progeny
         if "sample_ord" not in progeny.columns:
             progeny = progeny.withColumn("sample_ord", F.col("sample_id"))
-        calls = keep_manifest(run.dataset.calls, progeny)
-        found = similarity.duplicate_scan(calls, pool, progeny, pool.count(), progeny.count(), **run.pair_options)
+        found = similarity.duplicate_scan(run.calls, pool, progeny, run.n_pool, run.n_progeny, **run.pair_options)
         run.pairs = land(found, "sample_pairs")
     return run.pairs
 
 
+def run_warnings(run: Analysis) -> DataFrame:
+    """All that the run warns of, from its assembly to its pairs, in one table: part, kind, subject, value."""
+    none = F.lit(None).cast("string")
+    parents = qc.parent_qc(run.dataset.parent_calls(), run.markers, run.criteria.filters)
+    ends, siblings = background.end_warnings(run.ends), qc.sibling_caveat(run.progeny)
+    skipped = similarity.skipped_pairs(duplicate_pairs(run), run.n_progeny).filter("n_skipped > 0")
+    parts = [
+        run.markers.sparkSession.createDataFrame([("units", *note) for note in run.notes], WARNINGS),
+        warning_rows(parents, "parents", F.col("kind"), F.coalesce("sample_id", none), F.col("value")),
+        warning_rows(ends, "chromosomes", F.col("kind"), F.col("chrom"), F.col("last_bp")),
+        warning_rows(siblings, "pairs", F.lit("siblings are as alike as duplicates"), none, F.col("sibling_ibs")),
+        warning_rows(skipped, "pairs", F.lit("too few common calls to compare"), none, F.col("n_skipped")),
+    ]
+    out = parts[0] if run.dataset.warnings is None else parts[0].unionByName(run.dataset.warnings)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def validation_summary(run: Analysis) -> DataFrame:
+    """One row of counts of the run, its warnings included."""
+    n_pairs = duplicate_pairs(run).agg(F.count("sample_a").alias("n")).scalar()
+    n_warnings = run_warnings(run).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return qc.validation_summary(run.markers, run.dataset.samples, flagged_samples(run), n_pairs, n_warnings)
+
+
 def require_resolved(run: Analysis) -> None:
     """Refuse loci that match nothing."""
     bad = run.resolved.filter("problem is not null").orderBy("ord").select("locus_id", "problem").collect()

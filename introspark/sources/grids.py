@@ -13,13 +13,13 @@ from introspark.functions import calls as C
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position, strip
 from introspark.operators.common import computed_once
-from introspark.sources.lines import Genotypes, SourceError, data_rows, early_rows, headed, read_lines
+from introspark.sources.lines import Genotypes, SourceError, data_rows, early_rows, headed, headers, read_lines, repeated_columns
 
 HAPMAP_FIXED = 11
 WIDE_FIXED = ("marker_id", "chrom", "pos_bp")
 
 
-def _genotypes(rows: DataFrame, early: DataFrame, parse, seeds: Column, coded: bool, label: str) -> Genotypes:
+def _genotypes(rows: DataFrame, whole: DataFrame, parse, seeds: Column, coded: bool, label: str) -> Genotypes:
     """From rows(file, ord, kind, marker_id, chrom, pos_bp, names, tokens): alleles, calls and violations."""
     read = C.resolve_marker(F.transform(F.transform("tokens", C.token), parse), seeds)
     valid = rows.filter("kind is null")
@@ -42,7 +42,7 @@ def _genotypes(rows: DataFrame, early: DataFrame, parse, seeds: Column, coded: b
         ),
         calls=exploded.filter("cell.c.kind <> 'bad'").select("marker_id", F.col("cell.names").alias("sample_id"), a1.alias("a1"), a2.alias("a2")),
         samples=rows.select("names").distinct().select(F.explode("names").alias("sample_id")).distinct(),
-        violations=violations.unionByName(early),
+        violations=violations.unionByName(whole),
         coded=coded,
         token_profile=label,
     )
@@ -70,7 +70,8 @@ def read_hapmap(spark: SparkSession, path: str, profile=None, crop: Crop = SOYBE
 
 def parse_hapmap(lines: DataFrame, profile=None, crop: Crop = SOYBEAN) -> Genotypes:
     vocabulary = C.profile(profile)
-    text = headed(lines, F.lower("value").startswith("rs#"), "\t")
+    heads = headers(lines, F.lower("value").startswith("rs#"), "\t")
+    text = headed(lines, heads)
     rows = data_rows(text)
 
     def column(i: int) -> Column:
@@ -81,7 +82,13 @@ def parse_hapmap(lines: DataFrame, profile=None, crop: Crop = SOYBEAN) -> Genoty
     listed = F.transform(F.split(F.try_element_at("cells", F.lit(2)), "/"), lambda a: F.upper(strip(a)))
     seeds = F.filter(listed, lambda a: ~a.isin("", "N"))
     label = vocabulary.label if vocabulary else "default"
-    return _genotypes(judged, early_rows(text), lambda t: C.nucleotide_call(t, True, vocabulary), seeds, False, label)
+    return _genotypes(judged, _whole(text, heads, HAPMAP_FIXED), lambda t: C.nucleotide_call(t, True, vocabulary), seeds, False, label)
+
+
+def _whole(text: DataFrame, heads: DataFrame, fixed: int) -> DataFrame:
+    """Violations no row shows: content before a header, and sample columns that occur twice."""
+    names = F.transform(F.slice("header", fixed + 1, F.greatest(F.size("header") - fixed, F.lit(0))), strip)
+    return early_rows(text).unionByName(repeated_columns(heads.select("file", names.alias("names"))))
 
 
 def detect_coding(rows: DataFrame, claimed: list[str]) -> DataFrame:
@@ -96,12 +103,12 @@ def read_wide(spark: SparkSession, path: str, coding: str = "auto", profile=None
     return parse_wide(read_lines(spark, path), coding, profile, crop)
 
 
-def _wide_text(lines: DataFrame) -> DataFrame:
-    return headed(lines, F.lower("value").rlike(r'^[\s"]*marker_id'))
+def _wide_heads(lines: DataFrame) -> DataFrame:
+    return headers(lines, F.lower("value").rlike(r'^[\s"]*marker_id'))
 
 
 def wide_rows(lines: DataFrame, crop: Crop = SOYBEAN) -> DataFrame:
-    return _wide_rows(_wide_text(lines), crop)
+    return _wide_rows(headed(lines, _wide_heads(lines)), crop)
 
 
 def _wide_rows(text: DataFrame, crop: Crop) -> DataFrame:
@@ -114,7 +121,8 @@ def _wide_rows(text: DataFrame, crop: Crop) -> DataFrame:
 def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop = SOYBEAN) -> Genotypes:
     """``coding`` is nucleotide, abh or auto; auto takes one aggregate over all cells to decide."""
     vocabulary = C.profile(profile)
-    text = _wide_text(lines)
+    heads = _wide_heads(lines)
+    text = headed(lines, heads)
     rows = _wide_rows(text, crop)
     if coding == "auto":
         if vocabulary is not None and vocabulary.base == "none":
@@ -123,7 +131,7 @@ def parse_wide(lines: DataFrame, coding: str = "auto", profile=None, crop: Crop
             coding = "abh" if detect_coding(rows, vocabulary.tokens() if vocabulary else []).first()["coded"] else "nucleotide"
     if vocabulary is not None and coding == "abh":
         raise SourceError(f"token profile {vocabulary.profile_id} does not apply to an A/B/H-coded file")
-    none, early = F.array().cast("array<string>"), early_rows(text)
+    none, whole = F.array().cast("array<string>"), _whole(text, heads, len(WIDE_FIXED))
     if coding == "abh":
-        return _genotypes(rows, early, C.coded_call, none, True, "default")
-    return _genotypes(rows, early, lambda t: C.nucleotide_call(t, False, vocabulary), none, False, vocabulary.label if vocabulary else "default")
+        return _genotypes(rows, whole, C.coded_call, none, True, "default")
+    return _genotypes(rows, whole, lambda t: C.nucleotide_call(t, False, vocabulary), none, False, vocabulary.label if vocabulary else "default")

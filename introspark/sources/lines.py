@@ -139,6 +139,12 @@ def table_problems(lines: DataFrame, columns: tuple[str, ...], required: tuple[s
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def repeated_columns(names: DataFrame) -> DataFrame:
+    """Violations: sample columns that occur twice in a file, from its (file, names)."""
+    twice = names.select("file", F.explode("names").alias("detail")).groupBy("file", "detail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return twice.select("file", F.lit(0).cast("bigint").alias("ord"), F.lit("sample column occurs twice").alias("kind"), "detail")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in input order, without ordering the whole key: a minimum over structs."""
     rest = [c for c in df.columns if c not in keys]
@@ -174,5 +180,5 @@ def require_clean(violations: DataFrame) -> None:
 
 __all__ = [
     "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "first_lines", "headed", "headers",
-    "named_rows", "per_file", "read_lines", "require_clean", "table_problems",
+    "named_rows", "per_file", "read_lines", "repeated_columns", "require_clean", "table_problems",
 ]

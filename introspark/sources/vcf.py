@@ -9,7 +9,7 @@ from introspark.functions.calls import genotype_of, genotype_sides
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position
 from introspark.operators.common import computed_once, land
-from introspark.sources.lines import Genotypes, content, per_file, read_lines
+from introspark.sources.lines import Genotypes, content, per_file, read_lines, repeated_columns
 
 FIXED = 9
 
@@ -46,10 +46,8 @@ def file_headers(text: DataFrame, manifest: DataFrame | None) -> DataFrame:
 def _whole_input(heads: DataFrame, markers: DataFrame) -> DataFrame:
     """Violations no single line shows: a file without its header, a sample column that occurs twice, an input without records."""
     bare = heads.filter("header_ord is null").select("file", F.lit("no #CHROM header").alias("kind"), F.lit("").alias("detail"))
-    names = heads.select("file", F.explode("names").alias("detail"))
-    twice = names.groupBy("file", "detail").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("file", F.lit("sample column occurs twice").alias("kind"), "detail")
     empty = markers.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("").alias("file"), F.lit("no records").alias("kind"), F.lit("").alias("detail"))
-    return bare.unionByName(twice).unionByName(empty).withColumn("ord", F.lit(0))
+    return bare.unionByName(empty).withColumn("ord", F.lit(0)).unionByName(repeated_columns(heads))
 
 
 def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None = None) -> Genotypes:

@@ -33,6 +33,12 @@ def test_query_matches_sql(spark, db, name):
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.LLM_QUERIES)))
+def test_every_plan_is_built(spark, name):
+    """Registered names and arguments fit the library: each query gives a plan with columns."""
+    assert entry.queries()[name](spark, FOLDER).columns
+
+
 def test_every_query_is_described():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = set(entry.queries()) - set(entry.LLM_QUERIES)

@@ -8,13 +8,14 @@ from introspark.functions.calls import AMBIGUITY, kasp_call, linked_call, nucleo
 from introspark.functions.chrom import SOYBEAN
 from introspark.functions.text import after_last_dot, decimal_number
 from introspark.operators import background, classify, drag, loci, maps, qc, select
+from introspark.plans import assemble
 from introspark.plans import rank as ranking
 from introspark.sinks import export
-from introspark.sources import grids, kasp, linkage, pedigree, positions, results, variant_pages
+from introspark.sources import grids, kasp, linkage, manifest, pedigree, positions, results, variant_pages, vcf
 from introspark.sources.lines import first_by
 from workload import binding, texts
 from workload.queries import CHROMS, _drag, _ranked, _resolved, _run, register
-from workload.source_queries import GRID
+from workload.source_queries import CHROM, GRID, NAME
 
 # --- KASP ----------------------------------------------------------------------------------------------------------------
 
@@ -478,15 +479,41 @@ def j14_chromosome_lengths(spark, sf):
     return binding.markers(spark, sf).select("marker_id", assembly_length(F.col("chrom"), "Wm82.a4").alias("length_bp"))
 
 
-@register("a30_validation_summary", """
+def _run_warnings_sql(het: float, overlap: float, ends: str, advance: int) -> str:
+    """SQL: the warnings of a run, as ``w``."""
+    return f"""
+    , w AS (
+        SELECT 'parents' AS part, kind, sample_id AS subject, value FROM (
+            SELECT 'heterozygous parent' AS kind, 's0' AS sample_id, count(*) FILTER (rp1 <> rp2) / count(rp1) AS value, {het} AS most FROM parents
+            UNION ALL SELECT 'heterozygous parent', 's1', count(*) FILTER (dp1 <> dp2) / count(dp1), {het} FROM parents
+            UNION ALL SELECT 'missing parent calls', 's0', 1.0 - count(rp1) / count(*), 0.1 FROM parents
+            UNION ALL SELECT 'missing parent calls', 's1', 1.0 - count(dp1) / count(*), 0.1 FROM parents) WHERE value > most
+        UNION ALL SELECT 'parents', 'few informative markers', NULL, v FROM (SELECT count(*) FILTER (informative) / count(*) AS v FROM classified) WHERE v < 0.2
+        UNION ALL SELECT 'chromosomes', CASE WHEN length_bp IS NULL THEN 'missing' ELSE 'beyond' END, chrom, last_bp FROM (SELECT chrom, last_bp, {ends} AS length_bp FROM ends)
+                  WHERE length_bp IS NULL OR last_bp > length_bp
+        UNION ALL SELECT 'pairs', 'siblings are as alike as duplicates', NULL, 1 - pow(2.0, -(n + 1)) FROM (SELECT max(n_bc) + {advance} AS n FROM generations) WHERE n >= 6
+        UNION ALL SELECT 'pairs', 'too few common calls to compare', NULL, n FROM (
+            SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM progeny) - count(*) AS n FROM pairs
+            WHERE n_overlap >= (SELECT greatest(1, ceil({overlap}::DOUBLE * count(*))) FROM pool)) WHERE n > 0)"""
+
+
+@register("a30_run_warnings", f"{_run_warnings_sql(0.01, 0.02, 'NULL', 4)} SELECT part, kind, subject, round(CAST(value AS DOUBLE), 9) AS value FROM w")
+def a30_run_warnings(spark, sf):
+    """A run with warnings of every kind: no chromosome lengths, advanced generations, a strict limit for parents and a high floor for pairs."""
+    data = binding.dataset(spark, sf)
+    label = F.col("generation")
+    samples = data.samples.withColumn("generation", F.when(label == "BC2F1", "BC6F1").when(label == "BC3F1", "BC7F1").otherwise(label))
+    criteria = binding.criteria(assembly="none", filters={**binding.CRITERIA["filters"], "parent_max_het_rate": 0.01})
+    run = ranking.analyse(data.with_(samples=samples), criteria, min_overlap=0.02)
+    return ranking.run_warnings(run).withColumn("value", F.round("value", 9))
+
+
+@register("a30_validation_summary", f"""{_run_warnings_sql(0.02, 0.001, 'length_bp', 0)}
     SELECT (SELECT count(*) FROM classified) AS n_markers, (SELECT count(*) FROM pool) AS n_informative, (SELECT count(*) FROM samples) AS n_samples,
            (SELECT count(*) FROM flagged) AS n_progeny, (SELECT count(*) FROM flagged WHERE qc_flags <> '') AS n_flagged,
-           (SELECT count(*) FROM duplicate_pairs) AS n_duplicate_pairs""")
+           (SELECT count(*) FROM duplicate_pairs) AS n_duplicate_pairs, (SELECT count(*) FROM w) AS n_warnings""")
 def a30_validation_summary(spark, sf):
-    run = _run(spark, sf)
-    flagged = ranking.flagged_samples(run)
-    n_pairs = ranking.duplicate_pairs(run).agg(F.count("sample_a").alias("n")).scalar()
-    return qc.validation_summary(run.markers, run.dataset.samples, flagged, n_pairs, F.lit(0)).drop("n_warnings")
+    return ranking.validation_summary(_run(spark, sf))
 
 
 @register("f13_reserved_chromosome_names", """
@@ -545,3 +572,51 @@ def _allele_place(side: str) -> str:
 @register("p9_allele_indices", f""", {GRID} SELECT 'm' || p || 'b' || b AS marker_id, 's' || s AS sample_id, {_allele_place('least')} AS a1, {_allele_place('greatest')} AS a2 FROM grid g""")
 def p9_allele_indices(spark, sf):
     return grids.parse_hapmap(texts.hapmap_lines(spark, sf)).calls.select("marker_id", "sample_id", "a1", "a2")
+
+
+# --- assembly from files --------------------------------------------------------------------------------------------------------------
+
+
+def _assembled(spark, sf):
+    """VCF files, manifest and map with a fault of each kind planted: repeated and moved markers, broken cells, a sample without
+    a column and a column without a sample, a repeated sample, an unknown role, a repeated and an unreadable map row."""
+    def more(lines, file, *rows):
+        return lines.unionByName(spark.createDataFrame([(file, 10**9 + i, row) for i, row in enumerate(rows)], "file string, ord long, value string"))
+
+    record = "Gm01\t{}\t{}\tA\tC\t.\t.\t.\tGT\t0/0\t0/1\t0/0\t1/1"
+    text = more(texts.vcf_lines(spark, sf, broken=True), "batch1.vcf", record.format(7, "twice"), record.format(7, "twice"), record.format(8, "apart"))
+    people = texts.manifest_lines(spark, sf).filter("value not like 's9,%'")
+    people = more(people, "samples.csv", "ghost,ghost,progeny,,,", "s5,again,progeny,,,", "odd,odd,parent,,,")
+    places = more(texts.map_lines(spark, sf), "markers.csv", "again,Gm01,5,1", "again,Gm01,5,1", "bad,Gm01,6,one")
+    found = vcf.parse_vcf(more(text, "batch0.vcf", record.format(9, "apart")))
+    return assemble.assemble(found, manifest.parse_samples(people), manifest.parse_marker_map(places))
+
+
+@register("j2_assembly_findings", f"""
+    , rec AS (SELECT DISTINCT p, s // 4 AS b FROM progeny_calls), mk AS (SELECT DISTINCT p, p_size FROM rec JOIN part ON p_partkey = p WHERE p % 101 <> 9),
+    n AS (SELECT b, count(*) AS size FROM (SELECT s_suppkey // 4 AS b FROM supplier) GROUP BY b)
+    SELECT * FROM (
+        SELECT 'violation' AS side, 'genotypes' AS part, 'invalid position' AS kind, count(*) AS n, NULL::DOUBLE AS value FROM rec WHERE p % 101 = 9
+        UNION ALL SELECT 'violation', 'genotypes', 'invalid GT', count(*), NULL FROM rec JOIN n USING (b) WHERE p % 101 <> 9 AND p % 97 = 5 AND size >= 2
+        UNION ALL SELECT 'violation', 'genotypes', 'allele index beyond the record''s alleles', count(*), NULL FROM rec JOIN n USING (b) WHERE p % 101 <> 9 AND p % 89 = 7 AND size >= 3
+        UNION ALL SELECT 'warning', 'map', 'moved', count(*), sum((p // 20 + 1) * 30000 + 500) FROM mk WHERE p % 11 <> 0 AND p_size = 7
+        UNION ALL SELECT 'warning', 'map', 'not on the map', 1, 2 + count(*) FROM mk WHERE p % 11 = 0 OR p_size = 9
+        UNION ALL SELECT * FROM (VALUES ('violation', 'samples', 'duplicate sample_id', 1, NULL), ('violation', 'samples', 'unknown role', 1, NULL),
+            ('violation', 'map', 'duplicate marker_id', 1, NULL), ('violation', 'map', 'invalid cm', 1, NULL), ('violation', 'dataset', 'duplicate marker_id', 1, NULL),
+            ('violation', 'dataset', 'marker with two places or allele lists', 1, NULL), ('violation', 'dataset', 'two calls of one sample at one marker', 4, NULL),
+            ('violation', 'dataset', 'sample without genotype column', 2, NULL), ('warning', 'dataset', 'columns not in the manifest', 1, 1.0)) v(side, part, kind, n, value)
+    ) WHERE n > 0""")
+def j2_assembly_findings(spark, sf):
+    """Violations and warnings of an assembly, by part and kind."""
+    data = _assembled(spark, sf)
+    bad = data.violations.groupBy(F.lit("violation").alias("side"), "part", "kind").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("value"))
+    return bad.unionByName(data.warnings.groupBy(F.lit("warning").alias("side"), "part", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")))
+
+
+@register("j1_assembled_markers", f"""
+    , mk AS (SELECT DISTINCT p FROM progeny_calls WHERE p % 101 <> 9), mapped AS (SELECT p_partkey AS p, p_size FROM part WHERE p_size <> 9)
+    SELECT {{NAME}} AS marker_id, {{CHROM}} AS chrom, (p // 20 + 1) * 30000 + CASE WHEN p % 11 <> 0 AND p_size = 7 THEN 500 ELSE 0 END AS pos_bp,
+           CASE WHEN p % 11 <> 0 AND p_size NOT IN (11, 12) THEN (p // 20 + 1) * CAST(0.075 AS DOUBLE) END AS cm FROM mk LEFT JOIN mapped USING (p)""".replace("{NAME}", NAME).replace("{CHROM}", CHROM))
+def j1_assembled_markers(spark, sf):
+    """The markers of the assembled dataset, one row each, in their places on the map."""
+    return _assembled(spark, sf).markers.filter("marker_id not in ('twice', 'apart')").select("marker_id", "chrom", "pos_bp", "cm")

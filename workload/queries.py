@@ -33,7 +33,7 @@ def register(name: str, oracle: str | None = None):
 def _run(spark: SparkSession, sf: str, **changes) -> ranking.Analysis:
     data = binding.dataset(spark, sf)
     # the bound calls come out of an aggregate over lineitem and are read three times
-    return ranking.analyse(data.with_(calls=land(data.calls, "calls")), binding.criteria(**changes), min_overlap=OVERLAP)
+    return ranking.analyse(data, binding.criteria(**changes), min_overlap=OVERLAP)
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
