@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, registered
+from .common import documents, land, registered
 
 #: Letters, digits and everything beyond ASCII; A-Z count as a-z.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -108,6 +108,7 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     votes = hits.groupBy("doc_id", "key", *of_template, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("tpos"))).alias("mask"), F.min("pos").alias("first"), (F.max("pos") + GRAM).alias("end"),
     )
+    votes = land(votes, "license-votes")  # read twice: for whole and for merged spans
     in_order = Window.partitionBy("doc_id", "key", "t").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(in_order) > F.col("slack"), F.lit(True))
     numbered = votes.withColumn("apart", apart.cast("int")).withColumn("cluster", F.sum("apart").over(in_order))
