@@ -1,11 +1,14 @@
-"""Text outputs. Every writer leaves a folder of CSV parts; Parquet is the native form of every table."""
+"""Text outputs. Every writer leaves a folder of numbered CSV parts, whole or not at all; Parquet is the native form of every table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from introspark import __version__
+from introspark.functions.chrom import SOYBEAN, Crop, chrom_order
 from introspark.operators.rank import result_order
 from introspark.operators.select import selection_order
 from introspark.schema import CALL_SET_COLUMNS, RESULTS_SCHEMA, SELECTION_COLUMNS, TOOL_NAME
@@ -35,12 +38,38 @@ def results_text(results: DataFrame) -> DataFrame:
     return results.select(*[cell_text(results, c) for c in results.columns])
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.option("header", header).option("emptyValue", "").option("escape", '"').csv(path)
+def csv_cell(c: Column) -> Column:
+    """A cell as it stands in a line: quoted where it must be, empty for NULL."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def write_lines(head: DataFrame, body: DataFrame, path: str) -> None:
+    """Write a folder of text parts: first ``head``, then ``body`` (both with ``value``) in the order it is sorted in.
+
+    The parts are written beside ``path`` and renamed to it when all are whole, so a run that broke off leaves nothing
+    there. An existing ``path`` is refused. ``read_lines(..., parts=True)`` reads the parts as one file.
+    """
+    spark = body.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, held = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}.writing"))
+    store = target.getFileSystem(conf)
+    if store.exists(target):
+        raise FileExistsError(path)
+    head.select("value").unionByName(body.select("value")).write.text(held.toString())
+    if not store.rename(held, target):
+        raise OSError(f"{held.toString()} can't be renamed to {path}")
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A sorted table of text cells as CSV lines under one header line."""
+    names = [c if not set(c) & set('",') else '"' + c.replace('"', '""') + '"' for c in df.columns]
+    head = df.sparkSession.range(1).select(F.lit(",".join(names)).alias("value"))
+    write_lines(head, df.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in df.columns]).alias("value")), path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    write_csv(results_text(results.orderBy(*result_order())), path)
+    write_table(results_text(results.orderBy(*result_order())), path)
 
 
 def selection_table(selected: DataFrame, notes: DataFrame | None = None) -> DataFrame:
@@ -58,15 +87,29 @@ def selection_table(selected: DataFrame, notes: DataFrame | None = None) -> Data
 
 
 def write_selection(selected: DataFrame, path: str, notes: DataFrame | None = None, per_family: bool = True) -> None:
-    write_csv(selection_table(selected.orderBy(*selection_order(per_family)), notes), path)
+    listed = selection_table(selected, notes)
+    order = selected.select(F.col("sample_id").alias("_id"), *[k.alias(f"_k{i}") for i, k in enumerate(selection_order(per_family))])
+    sorted_rows = listed.join(order, listed["sample_id"] == order["_id"]).orderBy(*[F.col(f"_k{i}").asc_nulls_last() for i in range(len(order.columns) - 1)])
+    write_table(sorted_rows.select(*listed.columns), path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    write_csv(manifest, path)
+    """Parents first, then the others by id."""
+    write_table(manifest.orderBy(F.col("role").endswith("_parent").desc(), F.col("role").desc(), "sample_id"), path)
 
 
 def write_call_sets(call_sets: DataFrame, path: str) -> None:
-    write_csv(call_sets.select(*CALL_SET_COLUMNS), path)
+    write_table(call_sets.select(*CALL_SET_COLUMNS).orderBy("sample_id", "call_set_db_id"), path)
+
+
+def write_map(markers: DataFrame, path: str, crop: Crop = SOYBEAN) -> None:
+    write_table(map_text(markers.orderBy(chrom_order(F.col("chrom"), crop), "pos_bp", "marker_id")), path)
+
+
+def write_wide(wide: DataFrame, order: DataFrame, path: str, crop: Crop = SOYBEAN) -> None:
+    """A wide table in map order under its header of samples."""
+    head, body = wide_lines(wide, order)
+    write_lines(head, body.orderBy(chrom_order(F.col("chrom"), crop), "pos_bp", "marker_id"), path)
 
 
 def position_table_text(table: DataFrame) -> DataFrame:

@@ -19,13 +19,17 @@ class SourceError(ValueError):
     """The first broken line of an input."""
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Lines of text files (plain or gzip). A gzip file is one split: land large ones as Parquet first.
 
     Row ids grow within a partition and the splits of a file are laid out in offset order, so ``ord`` follows the file.
+    With ``parts`` the folder ``path``, as Spark writes one, is one file: its numbered parts follow each other.
     """
-    rows = spark.read.text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
+    rows = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    if not parts:
+        return rows.select("file", "ord", "value")
+    number = F.regexp_extract("file", r"/part-([0-9]+)[^/]*$", 1).cast("bigint")
+    return rows.select(F.lit(path).alias("file"), (number * (1 << 47) + F.col("ord")).alias("ord"), "value")
 
 
 def content(lines: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from introspark.schema import MANIFEST_COLUMNS, SAMPLE_ROLES
 from introspark.sources.lines import named_rows, read_lines, table_problems
 
 
-def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_samples(read_lines(spark, path))
+def read_samples(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    return parse_samples(read_lines(spark, path, parts))
 
 
 def parse_samples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +50,8 @@ def sample_violations(samples: DataFrame) -> DataFrame:
     return per_row.unionByName(repeated).unionByName(whole).select(none.alias("file"), F.lit(0).alias("ord"), "kind", "detail")
 
 
-def read_marker_map(spark: SparkSession, path: str, crop: Crop = SOYBEAN) -> tuple[DataFrame, DataFrame]:
-    return parse_marker_map(read_lines(spark, path), crop)
+def read_marker_map(spark: SparkSession, path: str, crop: Crop = SOYBEAN, parts: bool = False) -> tuple[DataFrame, DataFrame]:
+    return parse_marker_map(read_lines(spark, path, parts), crop)
 
 
 def parse_marker_map(lines: DataFrame, crop: Crop = SOYBEAN) -> tuple[DataFrame, DataFrame]:

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from introspark.functions.text import cells
 from introspark.schema import NUMERIC_RESULT_COLUMNS, RESULT_LAST, RESULT_PREFIX
+from introspark.sources.lines import read_lines
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Text cells of a folder that ``sinks.export.write_table`` has written, under the names in its header line."""
+    rows = read_lines(spark, path, parts=True)
+    head = rows.agg(F.min(F.struct("ord", "value")).alias("h")).select("h.ord", cells(F.col("h.value"), F.lit(",")).alias("names")).first()
+    body = rows.filter(F.col("ord") > head["ord"]).select(cells(F.col("value"), F.lit(",")).alias("c"))
+    return body.select(*[F.get("c", F.lit(i)).alias(name) for i, name in enumerate(head["names"])])
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_results(spark.read.option("header", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    return parse_results(read_table(spark, path))
 
 
 def parse_results(text: DataFrame) -> DataFrame:

@@ -70,18 +70,20 @@ def call_sets(pages: DataFrame) -> DataFrame:
 
 
 def variants(pages: DataFrame, crop: Crop = SOYBEAN, marker_map: DataFrame | None = None) -> DataFrame:
-    """variant_db_id, marker_id, position, alleles and the variant's problem, if any.
+    """variant_db_id, marker_id, position, alleles, file_ord and the variant's problem, if any.
 
-    Positions are 0-based in the pages. A variant without one takes the marker map's.
+    Positions are 0-based in the pages. A variant without one takes the marker map's. ``file_ord`` orders variants by the
+    number of their page (the last one in its name), the page's name, and their place in it.
     """
-    rows = pages.select("file", F.inline("result.data"))
+    rows = pages.select("file", F.posexplode("result.data").alias("place", "v")).select("file", "place", "v.*")
     names = F.filter("variantNames", lambda x: ~_text(x).isin("", "."))
     reference = _text(F.col("referenceBases"))
     others = F.transform(F.coalesce("alternateBases", F.array().cast("array<string>")), lambda b, i: F.coalesce(F.nullif(_text(b), F.lit("")), (i + 1).cast("string")))
     whole = F.col("start") == F.floor("start")
     placed = (_text(F.col("referenceName")) != "") & whole & (F.col("start") >= 0)
+    number = F.coalesce(F.regexp_extract("file", r"([0-9]+)[^0-9/]*$", 1).try_cast("bigint"), F.lit(0))
     out = rows.select(
-        "file", _text(F.col("variantDbId")).alias("variant_db_id"), F.coalesce(strip(F.try_element_at(names, F.lit(1))), _text(F.col("variantDbId"))).alias("marker_id"),
+        "file", F.struct(number.alias("page"), "file", "place").alias("file_ord"), _text(F.col("variantDbId")).alias("variant_db_id"), F.coalesce(strip(F.try_element_at(names, F.lit(1))), _text(F.col("variantDbId"))).alias("marker_id"),
         F.when(placed, canonical_chrom(F.col("referenceName"), crop)).alias("chrom"), F.when(placed, F.col("start").cast("bigint") + 1).alias("pos_bp"),
         F.when(reference != "", F.concat(F.array(reference), others)).alias("alleles"), (F.col("start").isNotNull() & ~whole).alias("fractional"),
     )
@@ -156,7 +158,7 @@ def parse_pages(
     top = good.groupBy("marker_id").agg(F.max(F.greatest("call.a1", "call.a2")).alias("top"))
     numbers = F.transform(F.sequence(F.lit(0), F.greatest(F.coalesce("top", F.lit(0)), F.lit(0))), lambda i: i.cast("string"))
     markers = listed.filter("problem is null").join(top, "marker_id", "left").select(
-        "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.col("variant_db_id").alias("file_ord"), F.coalesce("alleles", numbers).alias("alleles")
+        "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), "file_ord", F.coalesce("alleles", numbers).alias("alleles")
     )
     warnings = _warnings(sets, listed, cells)
     return VariantSet(markers, good.select("marker_id", "sample_id", "call.a1", "call.a2"), sets.select(*CALL_SET_COLUMNS), violations, warnings)

@@ -14,8 +14,8 @@ from introspark.sources.lines import Genotypes, content, per_file, read_lines, r
 FIXED = 9
 
 
-def read_vcf(spark: SparkSession, path: str, crop: Crop = SOYBEAN, manifest: DataFrame | None = None) -> Genotypes:
-    return parse_vcf(read_lines(spark, path), crop, manifest)
+def read_vcf(spark: SparkSession, path: str, crop: Crop = SOYBEAN, manifest: DataFrame | None = None, parts: bool = False) -> Genotypes:
+    return parse_vcf(read_lines(spark, path, parts), crop, manifest)
 
 
 def file_headers(text: DataFrame, manifest: DataFrame | None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from introspark.functions.calls import AMBIGUITY, kasp_call, linked_call, nucleotide_call, token
 from introspark.functions.chrom import SOYBEAN
 from introspark.functions.text import after_last_dot, decimal_number
-from introspark.operators import background, classify, drag, loci, maps, qc, select
+from introspark.operators import background, classify, drag, loci, maps, qc, rank, select
 from introspark.plans import assemble
 from introspark.plans import rank as ranking
 from introspark.sinks import export
@@ -323,6 +323,12 @@ def s11a_call_sets(spark, sf):
 VARIANT = "CASE WHEN p_size = 8 THEN 'v' || p_partkey ELSE 'm' || p_partkey END"
 
 
+@register("s11_page_order", f"SELECT {VARIANT} AS marker_id, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
+def s11_page_order(spark, sf):
+    """Markers in the order of their pages and of their places in them: page 9 before page 10."""
+    return rank.positions(_variant_set(spark, sf).markers, [F.col("file_ord")], "place").select("marker_id", "place")
+
+
 @register("s11b_variant_positions", f"""
     SELECT {VARIANT} AS marker_id, 'Gm' || lpad(CAST(1 + p_partkey % 20 AS VARCHAR), 2, '0') AS chrom, (p_partkey // 20 + 1) * 30000 AS pos_bp FROM part""")
 def s11b_variant_positions(spark, sf):

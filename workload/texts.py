@@ -301,14 +301,14 @@ def variant_set_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     Every tenth sample shares its name with its neighbour; variants of one size have no position; tokens mix both separators.
     """
     s = binding.table(spark, sf, "supplier").select(
-        F.expr("s_suppkey div 10").alias("page"),
+        F.expr("s_suppkey div 10").alias("page"), F.col("s_suppkey").alias("k"),
         F.struct(
             F.expr("concat('cs', s_suppkey)").alias("callSetDbId"), F.expr("if(s_suppkey % 10 < 2, concat('name', s_suppkey div 10), concat('s', s_suppkey))").alias("callSetName"),
             F.expr("concat('db', s_suppkey)").alias("sampleDbId"),
         ).alias("x"),
     )
     v = binding.table(spark, sf, "part").select(
-        F.expr("p_partkey div 100").alias("page"),
+        F.expr("p_partkey div 100").alias("page"), F.col("p_partkey").alias("k"),
         F.struct(
             F.expr("concat('v', p_partkey)").alias("variantDbId"), F.expr("if(p_size = 8, array('.', ''), array('.', concat('m', p_partkey)))").alias("variantNames"),
             F.expr("if(p_size = 9, null, concat('Gm', 1 + p_partkey % 20))").alias("referenceName"), F.expr("(p_partkey div 20 + 1) * 30000 - 1").alias("start"),
@@ -317,7 +317,7 @@ def variant_set_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     )
 
     def listed(rows: DataFrame, prefix: str) -> DataFrame:
-        data = rows.groupBy("page").agg(F.collect_list("x").alias("data"))
+        data = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("data"))
         return data.select(F.concat(F.lit(prefix), F.col("page").cast("string")).alias("file"), F.to_json(F.struct(F.struct("data").alias("result"))).alias("value"))
 
     token = lambda c: F.when(c.isNull() | (c["a1"].isNull() & c["a2"].isNull()), F.lit(None)).when(c["a2"].isNull(), F.concat(c["a1"].cast("string"), F.lit("/N"))).when(
