@@ -151,7 +151,8 @@ def linkage_map(table: DataFrame, markers_in: DataFrame | None = None) -> dict[s
     """Clean a linkage-map table and, given markers, supply their cM.
 
     ``table`` has marker_id, snp_id, chrom, pos_bp, cm, reject, file_ord. Returns ``mapped`` (kept anchors at
-    the mean cM of their position), ``markers`` (the output map), ``counts`` and ``problems``.
+    the mean cM of their position), ``markers`` (the output map), ``counts`` (of every step) and ``problems``: markers whose
+    position differs from the table's, and what makes the whole map useless (no anchor kept, no marker matched).
     """
     table = land(table, "linkage_table")
     judged = land(monotone_anchors(table.filter("reject is null")), "judged_anchors")
@@ -161,13 +162,16 @@ def linkage_map(table: DataFrame, markers_in: DataFrame | None = None) -> dict[s
     rejects = table.select(F.explode(F.array_compact(F.array(F.lit("rows read"), "reject"))).alias("step"))
     steps = rejects.unionByName(judged.select(F.when(F.col("kept"), "mapped").otherwise("non-monotone dropped").alias("step")))
     out = {"mapped": mapped}
+    nothing = F.lit(None).cast("string").alias("marker_id")
+    useless = judged.agg(F.count_if("kept").alias("n")).filter("n = 0").select(nothing, F.lit("no marker kept on any chromosome").alias("problem"))
     if markers_in is None:
         out["markers"] = mapped
-        out["problems"] = mapped.filter("false").select(F.col("marker_id"), F.lit("").alias("problem"))
+        out["problems"] = useless
     else:
         matched = land(match_markers(markers_in, table), "matched_markers")
         differs = (F.col("t_pos").isNotNull()) & ((F.col("t_chrom") != F.col("chrom")) | (F.col("t_pos") != F.col("pos_bp")))
-        out["problems"] = matched.filter(differs).select("marker_id", F.lit("position differs from the table's").alias("problem"))
+        unmatched = matched.agg(F.count(F.lit(1)).alias("n"), F.count("table_id").alias("m")).filter("n > 0 and m = 0").select(nothing, F.lit("no marker matches the table").alias("problem"))
+        out["problems"] = matched.filter(differs).select("marker_id", F.lit("position differs from the table's").alias("problem")).unionByName(useless).unionByName(unmatched)
         known = mapped.select(F.col("marker_id").alias("table_id"), F.col("cm").alias("table_cm"))
         sourced = matched.join(known, "table_id", "left").withColumn("own_cm", F.col("cm"))
         given = sourced.withColumn("cm", F.coalesce("own_cm", "table_cm")).filter("cm is not null")
@@ -193,6 +197,14 @@ def linkage_map(table: DataFrame, markers_in: DataFrame | None = None) -> dict[s
     return out
 
 
+def require_usable(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A map without problems; else the first of them, with their number, is raised."""
+    row = made["problems"].agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("problem", "marker_id")).alias("p")).first()
+    if row["n"]:
+        raise ValueError(f"{row['p']['problem']}: {row['p']['marker_id'] or 'the whole map'} ({row['n']} problems)")
+    return made
+
+
 def match_markers(markers_in: DataFrame, table: DataFrame) -> DataFrame:
     """Each marker with the table row it names, by its own id, else by SNP id (first table row wins)."""
     by_id = table.select(F.col("marker_id"), F.col("marker_id").alias("_by_id"))

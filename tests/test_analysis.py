@@ -306,3 +306,17 @@ def test_bounds_end_a_scan_early(monkeypatch):
     out = bitplanes.pair_kernel(0.995, 300, 512)((pa.scalar(""), pa.scalar(0), pa.scalar(0)), pa.concat_tables(parts)).to_pylist()
     assert [r["n_assessed"] for r in out] == [15]
     assert {(c, w) for c, w, name in read if name != "present"} <= {(0, 0)}
+
+
+def test_map_job_refuses_what_is_useless(spark):
+    schema = "marker_id string, snp_id string, chrom string, pos_bp long, cm double, placed boolean, reject string, file_ord int"
+    table = spark.createDataFrame([("ss1", "a", "Gm01", 5, 1.0, True, None, 0), ("ss2", "b", "Gm01", 9, 2.0, True, None, 1), ("ss3", "c", "Gm01", 7, None, True, "LG mismatch", 2)], schema)
+    asked = lambda *rows: spark.createDataFrame(rows, "marker_id string, chrom string, pos_bp long, cm double")
+    made = maps.require_usable(maps.linkage_map(table, asked(("a", "Gm01", 5, None), ("x", "Gm01", 7, None))))
+    assert {(r["marker_id"], r["cm"]) for r in made["markers"].collect()} == {("a", 1.0), ("x", 1.5), ("ss2", 2.0)}
+    with pytest.raises(ValueError, match="position differs.*ss2 \\(1 problems"):
+        maps.require_usable(maps.linkage_map(table, asked(("ss2", "Gm01", 8, None))))
+    with pytest.raises(ValueError, match="no marker matches"):
+        maps.require_usable(maps.linkage_map(table, asked(("x", "Gm01", 8, None))))
+    with pytest.raises(ValueError, match="no marker kept"):
+        maps.require_usable(maps.linkage_map(table.filter("reject is not null")))

@@ -42,4 +42,4 @@ def test_every_plan_is_built(spark, name):
 def test_every_query_is_described():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     own = set(entry.queries()) - set(entry.LLM_QUERIES)
-    assert own - set(entry.oracle_sql()) == {"k8_linkage_map"}
+    assert own - set(entry.oracle_sql()) == set()

@@ -218,12 +218,44 @@ def a22_tied_anchor_means(spark, sf):
     return maps.tied_means(tied).withColumn("cm", F.round("cm", 6))
 
 
-@register("k8_linkage_map")
+def _map_job(spark, sf):
+    """The map job over markers named by ss id, by SNP id or by neither; every seventh brings its own cM."""
+    table, _ = linkage.parse_linkage(texts.linkage_lines(spark, sf))
+    p = F.col("file_ord")
+    name = F.concat(F.when(p % 5 == 0, "ss").when(p % 5 == 1, "snp").otherwise("m"), p.cast("string"))
+    asked = binding.markers(spark, sf).select(name.alias("marker_id"), "chrom", "pos_bp", F.when(p % 7 == 0, F.col("cm")).alias("cm"))
+    return maps.require_usable(maps.linkage_map(table, asked))
+
+
+MAP_JOB = f"""{MONOTONE},
+    kept AS (SELECT marker_id, anchor.chrom, pos_bp, cm FROM anchor JOIN pick ON pick.chrom = anchor.chrom AND pick.i = anchor.i AND k > 0),
+    asked AS (SELECT CASE p % 5 WHEN 0 THEN 'ss' WHEN 1 THEN 'snp' ELSE 'm' END || p AS marker_id, m.chrom, m.pos_bp, CASE WHEN p % 7 = 0 THEN m.cm END AS own, t.cm AS given
+              FROM markers m LEFT JOIN kept t ON p % 5 <= 1 AND t.marker_id = 'ss' || p),
+    sought AS (SELECT q.*, (SELECT max(struct_pack(pos_bp := a.pos_bp, cm := a.cm)) FROM kept a WHERE a.chrom = q.chrom AND a.pos_bp <= q.pos_bp) AS lo,
+                      (SELECT min(struct_pack(pos_bp := a.pos_bp, cm := a.cm)) FROM kept a WHERE a.chrom = q.chrom AND a.pos_bp >= q.pos_bp) AS hi FROM asked q WHERE own IS NULL AND given IS NULL)"""
+
+
+@register("k8_linkage_map", f""", {MAP_JOB}
+    SELECT marker_id, chrom, pos_bp::VARCHAR AS pos_bp, CASE WHEN cm IS NULL THEN '' ELSE regexp_replace(printf('%.6f', round(cm, 6)), '(\\.[0-9]+?)0+$', '\\1') END AS cm FROM (
+        SELECT marker_id, chrom, pos_bp, cm FROM kept WHERE substr(marker_id, 3)::BIGINT % 5 > 1
+        UNION ALL SELECT marker_id, chrom, pos_bp, coalesce(own, given) FROM asked WHERE own IS NOT NULL OR given IS NOT NULL
+        UNION ALL SELECT marker_id, chrom, pos_bp,
+            CASE WHEN lo IS NULL THEN hi.cm WHEN hi IS NULL THEN lo.cm WHEN hi.pos_bp = lo.pos_bp THEN lo.cm ELSE (hi.cm - lo.cm) / (hi.pos_bp - lo.pos_bp) * (pos_bp - lo.pos_bp) + lo.cm END FROM sought)""")
 def k8_linkage_map(spark, sf):
     """The cleaned map plus cM for every bound marker the table lacks."""
-    table, _ = linkage.parse_linkage(texts.linkage_lines(spark, sf))
-    asked = binding.markers(spark, sf).select("marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"))
-    return export.map_text(maps.linkage_map(table, asked)["markers"])
+    return export.map_text(_map_job(spark, sf)["markers"])
+
+
+@register("a27_map_steps", f""", {MAP_JOB}
+    SELECT step, count(*) AS n FROM (
+        SELECT 'rows read' AS step FROM lm UNION ALL SELECT reject FROM lm WHERE reject IS NOT NULL UNION ALL SELECT 'mapped' FROM kept
+        UNION ALL SELECT 'non-monotone dropped' FROM anchor WHERE marker_id NOT IN (SELECT marker_id FROM kept)
+        UNION ALL SELECT 'cM kept from --markers-in' FROM asked WHERE own IS NOT NULL
+        UNION ALL SELECT CASE WHEN lo IS NULL AND hi IS NULL THEN 'unplaced' ELSE 'interpolated' END FROM sought
+        UNION ALL SELECT 'clamped' FROM sought WHERE (lo IS NULL) <> (hi IS NULL)) GROUP BY step""")
+def a27_map_steps(spark, sf):
+    """How many rows every step of the map job took, dropped or made."""
+    return _map_job(spark, sf)["counts"]
 
 
 @register("p18_plain_numbers", "SELECT p_partkey AS p, CASE p_size % 4 WHEN 0 THEN p_retailprice WHEN 1 THEN -p_size WHEN 2 THEN p_size * 100 END AS x, CASE WHEN p_size <= 20 AND p_size % 2 = 0 THEN 'Gm' || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS chrom FROM part")
