@@ -6,6 +6,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ from .common import documents, land, one_thread_libraries, registered
 from .stretches import Flat, Seen, different, strings
 
 #: Text that shares one list of id pairs: fewer of them are counted the longer it is.
-PIECE = 1 << 22
-#: Stretches remembered by one worker, some 100 MB.
-REMEMBERED = 600_000
+PIECE = 1 << 21
+#: Stretches remembered by one worker, some 150 MB.
+REMEMBERED = 1_000_000
+#: New stretches handed to the library at once.
+LEARNED = 2048
 #: An id pair as one int: the second tokenizer's ids have so many bits.
 B_BITS = 15
 
@@ -52,11 +55,12 @@ def common_ends(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return out
 
 
-def groups(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[list[int], list[int]]]:
+def groups(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> list[tuple[list[int], list[int]]]:
     """The ids of either side between places where tokens of both end; both sides spell the same bytes."""
-    ends = [np.cumsum([len(table[i]) for i in ids]).tolist() for ids, table in ((a, a_bytes), (b, b_bytes))]
+    if len(a) == 1 or len(b) == 1:
+        return [(a, b)]
     out, i, j = [], 0, 0
-    for x, y in common_ends(*ends):
+    for x, y in common_ends(list(accumulate(map(a_size.__getitem__, a))), list(accumulate(map(b_size.__getitem__, b)))):
         out.append((a[i : x + 1], b[j : y + 1]))
         i, j = x + 1, y + 1
     return out
@@ -92,6 +96,7 @@ class Pair:
             self.b_bytes.append(bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode())
             if re.search("[^▁]▁", name) or len(self.b_bytes) > 1 << B_BITS:
                 raise ValueError(f"this model can't be cut at spaces: {name}")
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self._forget()
 
     def _forget(self) -> None:
@@ -99,7 +104,9 @@ class Pair:
 
     def encode(self, spaced: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of texts that begin with a space."""
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a = []
+        for at in range(0, len(spaced), LEARNED):
+            a += [e.ids for e in self.a.encode_batch_fast(spaced[at : at + LEARNED], add_special_tokens=False)]
         return list(zip(a, self.b.encode([s[1:] for s in spaced], num_threads=1), strict=True))
 
     def _learn(self, units: list[bytes], hashes: np.ndarray) -> None:
@@ -107,7 +114,7 @@ class Pair:
         sizes, pairs, n_pairs, spelling = [], [], [], []
         for unit, (a, b) in zip(units, self.encode([u.decode() for u in units]), strict=True):
             whole = b"".join([self.a_bytes[i] for i in a]) == unit == b"".join([self.b_bytes[i] for i in b])
-            found = groups(a, b, self.a_bytes, self.b_bytes) if whole else []
+            found = groups(a, b, self.a_size, self.b_size) if whole else []
             sizes += [len(a), len(b), len(found) if whole else -1]
             pairs += [x[-1] << B_BITS | y[-1] for x, y in found]
             n_pairs.append(len(found))
@@ -150,7 +157,7 @@ class Pair:
             whole = data[offsets[k] : offsets[k + 1]].tobytes()
             a, b = self.encode([whole.decode()])[0]
             alike = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            found = groups(a, b, self.a_bytes, self.b_bytes) if alike else []
+            found = groups(a, b, self.a_size, self.b_size) if alike else []
             n_a[k], n_b[k], n_groups[k] = (len(a), len(b), len(found)) if alike else (0, 0, 0)
             digests.append(hashlib.sha256(spelled(found)).hexdigest() if alike else "")
             n_units[k] = 0
