@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introspark.config import Criteria, Locus
@@ -65,37 +65,35 @@ def flank_markers(markers: DataFrame, members: DataFrame, edges: DataFrame, unit
     )
 
 
-def drag_bounds(
-    state_rows: DataFrame, samples: DataFrame, targets: Sequence[Locus], flanks: DataFrame, edges: DataFrame, criteria: Criteria
-) -> DataFrame:
+def drag_bounds(near: DataFrame, samples: DataFrame, targets: Sequence[Locus], edges: DataFrame, criteria: Criteria) -> DataFrame:
     """(sample_id, locus_id, left/right min/max, recombinant flags, totals) for every sample and target.
 
     Outward from the locus, the segment ends at the first recurrent-parent call (or the chromosome
-    end) and reaches at least to the last donor call before it. Two grouped aggregates instead of an
-    ordered walk: the first finds the ending calls, the second the farthest donor calls before them, so
-    no group is ever held in one task.
+    end) and reaches at least to the last donor call before it. ``near`` are ``loci.locus_calls``. Two unordered
+    aggregates instead of an ordered walk, both on one shuffle: the ending calls of a group are found in a window
+    over it, the farthest donor calls before them in its aggregate. A group is one sample's calls beside one
+    target (a chromosome at most), and spills.
     """
     key = ["sample_id", "locus_id"]
-    walk = state_rows.filter(F.col("state") <= STATE_B).select("sample_id", "marker_id", "state").join(flanks, "marker_id")
+    walk = near.filter(F.col("side").isin("left", "right")).select(*key, "state", "side", "step")
 
     def on(side: str, condition: Column) -> Column:
         return F.when((F.col("side") == side) & condition, F.col("step"))
 
-    ending = walk.groupBy(*key).agg(*[F.min(on(x, F.col("state") == STATE_A)).alias(f"{x}_a") for x in ("left", "right")])
+    group = Window.partitionBy(*key)
+    ended = walk.select("*", *[F.min(on(x, F.col("state") == STATE_A)).over(group).alias(f"{x}_a") for x in ("left", "right")])
 
     def before_end(side: str) -> Column:
-        return F.max(on(side, F.col(f"{side}_a").isNull() | (F.col("step") < F.col(f"{side}_a"))))["distance"]
+        donor = F.col("state").isin(STATE_H, STATE_B)
+        return F.max(on(side, donor & (F.col(f"{side}_a").isNull() | (F.col("step") < F.col(f"{side}_a")))))["distance"]
 
-    donor = (
-        walk.filter(F.col("state").isin(STATE_H, STATE_B)).join(ending, key)
-        .groupBy(*key).agg(*[before_end(x).alias(f"{x}_d") for x in ("left", "right")])
-    )
+    reached = ended.groupBy(*key).agg(*[f(x).alias(f"{x}_{n}") for x in ("left", "right") for f, n in ((lambda x: F.first(f"{x}_a"), "a"), (before_end, "d"))])
     zero, window = F.lit(0.0), F.lit(float(criteria.flank_window))
     span = edges.select("locus_id", "ord", "left_edge", "right_edge", "far_end", "flank_left", "flank_right")
     bounds = (
         every_sample_at_every_locus(samples, targets)
         .join(F.broadcast(span), "locus_id")  # one row per target
-        .join(ending, key, "left").join(donor, key, "left")
+        .join(reached, key, "left")
         .select(
             *key, "ord", "far_end", "flank_left", "flank_right",
             F.coalesce("left_d", zero).alias("left_min"),

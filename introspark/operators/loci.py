@@ -88,25 +88,47 @@ def every_sample_at_every_locus(samples: DataFrame, loci: Sequence[Locus]) -> Da
     return samples.select("sample_id", F.explode(F.array(*[F.lit(x.locus_id) for x in loci])).alias("locus_id"))
 
 
-def member_rows(state_rows: DataFrame, members: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Counted calls at locus members, with whether they satisfy their locus."""
+SPOT = "struct<locus_id:string,side:string,step:struct<distance:double,pos_bp:bigint,file_ord:bigint>>"
+
+
+def with_spots(markers: DataFrame, members: DataFrame, flanks: DataFrame | None = None) -> DataFrame:
+    """Markers with ``spots``: the loci they decide (side ``member``) or flank (``left``, ``right``), with their step.
+
+    Null where a marker concerns no locus; else about one spot per locus of the criteria that it concerns. The spots ride
+    on the marker's calls through the one join of calls with markers, so that no later step joins calls by marker again.
+    """
+    step = F.struct(F.lit(0.0).alias("distance"), F.col("pos_bp").cast("bigint").alias("pos_bp"), F.col("file_ord").cast("bigint").alias("file_ord"))
+    spots = members.select("marker_id", F.struct("locus_id", F.lit("member").alias("side"), step.alias("step")).cast(SPOT).alias("spot"))
+    if flanks is not None:
+        spots = spots.unionByName(flanks.select("marker_id", F.struct("locus_id", "side", "step").cast(SPOT).alias("spot")))
+    return markers.join(spots.groupBy("marker_id").agg(F.collect_list("spot").alias("spots")), "marker_id", "left")
+
+
+def locus_calls(state_rows: DataFrame) -> DataFrame:
+    """(sample_id, state, locus_id, side, step): counted calls at the spots of their markers."""
+    return state_rows.filter(F.col("spots").isNotNull() & is_counted(F.col("state"))).select("sample_id", "state", F.inline("spots"))
+
+
+def member_rows(near: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Counted calls at locus members (of ``locus_calls``), with whether they satisfy their locus."""
     rules = resolved.select("locus_id", "rule", "satisfying", "anchor_bp", "tolerate_isolated")
     return (
-        state_rows.filter(is_counted(F.col("state"))).select("sample_id", "marker_id", "state")
-        .join(members.select("locus_id", "marker_id", "pos_bp", "file_ord"), "marker_id")
+        near.filter("side = 'member'").select("sample_id", "state", "locus_id", "step.pos_bp", "step.file_ord")
         .join(F.broadcast(rules), "locus_id")  # one row per locus
         .withColumn("satisfied", F.array_contains("satisfying", F.col("state").cast("int")))
     )
 
 
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_counted"), F.count_if(F.col("satisfied")).alias("n_satisfied")]
+
+
 def member_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("sample_id", "locus_id").agg(
-        F.count(F.lit(1)).alias("n_counted"), F.count_if(F.col("satisfied")).alias("n_satisfied")
-    )
+    return rows.groupBy("sample_id", "locus_id").agg(*_counts())
 
 
 def member_runs(rows: DataFrame) -> DataFrame:
-    """Length of the joined run through the anchor, per sample and run locus.
+    """Counts and the length of the joined run through the anchor, per sample and run locus.
 
     A row is joined when it satisfies the locus, or is the only exception between two that do. The
     run is whatever lies strictly between the nearest unjoined rows on both sides of the anchor span.
@@ -131,7 +153,7 @@ def member_runs(rows: DataFrame) -> DataFrame:
     in_run = (F.col("left_fence").isNull() | (k > F.col("left_fence"))) & (F.col("right_fence").isNull() | (k < F.col("right_fence")))
     in_span = (k >= F.least(a, b)) & (k <= F.greatest(a, b))
     return fenced.groupBy("sample_id", "locus_id").agg(
-        F.every(a.isNotNull() & b.isNotNull() & (~in_span | F.col("joined"))).alias("span_joined"),
+        *_counts(), F.every(a.isNotNull() & b.isNotNull() & (~in_span | F.col("joined"))).alias("span_joined"),
         F.count_if(sat & in_run).alias("run_length"),
     )
 
@@ -146,22 +168,21 @@ def status_column() -> Column:
     return F.when(n < F.col("min_markers"), "unknown").when(F.coalesce(passes, F.lit(False)), "pass").otherwise("fail")
 
 
-def locus_status(
-    state_rows: DataFrame, samples: DataFrame, loci: Sequence[Locus], members: DataFrame, resolved: DataFrame
-) -> DataFrame:
-    """(sample_id, locus_id, section, ord, status, n_counted, n_satisfied) for every sample and locus."""
-    rows = member_rows(state_rows, members, resolved)
+def locus_status(near: DataFrame, samples: DataFrame, loci: Sequence[Locus], resolved: DataFrame) -> DataFrame:
+    """(sample_id, locus_id, section, ord, status, n_counted, n_satisfied) for every sample and locus.
+
+    ``near`` are ``locus_calls``. Only run loci shuffle their calls; the others are counted before the shuffle.
+    """
+    rows = member_rows(near, resolved)
     rules = resolved.select("locus_id", "section", "ord", "rule", "min_markers", "min_run")
     out = (
         every_sample_at_every_locus(samples, loci)
         .join(F.broadcast(rules), "locus_id")  # one row per locus
-        .join(member_counts(rows), ["sample_id", "locus_id"], "left")
     )
+    judged = member_counts(rows.filter("rule <> 'run'")).withColumns({"span_joined": F.lit(None).cast("boolean"), "run_length": F.lit(None).cast("bigint")})
     if any(x.effective_rule[0] == "run" for x in loci):
-        out = out.join(member_runs(rows), ["sample_id", "locus_id"], "left")
-    else:
-        out = out.withColumns({"span_joined": F.lit(None).cast("boolean"), "run_length": F.lit(None).cast("bigint")})
-    return out.select(
+        judged = judged.unionByName(member_runs(rows))
+    return out.join(judged, ["sample_id", "locus_id"], "left").select(
         "sample_id", "locus_id", "section", "ord", status_column().alias("status"),
         F.coalesce("n_counted", F.lit(0)).alias("n_counted"), F.coalesce("n_satisfied", F.lit(0)).alias("n_satisfied"),
     )

@@ -24,6 +24,8 @@ from introspark.schema import (
 MARKER_COLUMNS = (
     "marker_id", "chrom", "pos_bp", "cm", "file_ord", "rp1", "rp2", "dp1", "dp2", "informative", "reason", "weight2",
 )
+#: What a written call keeps of its marker.
+STATE_COLUMNS = ("chrom", "rp1", "rp2", "dp1", "dp2", "weight2")
 
 
 class DataContractError(ValueError):
@@ -47,7 +49,6 @@ class Analysis:
     status: DataFrame
     drag: DataFrame
     metrics: DataFrame
-    calls: DataFrame
     progeny: DataFrame
     notes: list[tuple[str, str, float | None]] = field(default_factory=list)  # kind, subject, value: decided on the driver
     n_progeny: int = 0
@@ -63,8 +64,8 @@ def _unit(requested: str, map_complete: bool) -> str:
 def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     """Lay out the whole analysis.
 
-    Tables that several branches read are written: the markers, the progeny's calls, the calls near loci, and the
-    per-sample metrics. Counts are observed as they are written. Everything after them is lazy. ``pair_options`` go to the
+    Tables that several branches read are written: the markers, the progeny's calls with their states and what later
+    steps need of their markers, and the per-sample metrics. Counts are observed as they are written. Everything after them is lazy. ``pair_options`` go to the
     duplicate scan. A dataset whose assembly found violations is refused.
     """
     spark = require_clean(dataset).markers.sparkSession
@@ -97,20 +98,18 @@ def analyse(dataset: Dataset, criteria: Criteria, **pair_options) -> Analysis:
     flanks = drag.flank_markers(markers, members, resolved, flank_unit)
 
     progeny, people = land_counted(dataset.progeny, "progeny", n=F.count(F.lit(1)))
-    calls = land(keep_manifest(dataset.calls, progeny), "calls")
-    fact = classify.states(calls, markers)
-    # loci and drag read only counted calls on the chromosomes that carry a locus, several times
-    chroms = sorted({r["chrom"] for r in resolved.select("chrom").collect()} - {None})
-    near = fact.filter(F.col("chrom").isin(chroms) & classify.is_counted(F.col("state")))
-    near = land(near.select("sample_id", "marker_id", "state"), "locus_states")
-    status = loci.locus_status(near, progeny, criteria.loci, members, resolved)
-    bounds = drag.drag_bounds(near, progeny, criteria.targets, flanks, resolved, criteria)
+    # the only join of calls with markers: everything later reads the written states
+    fact = classify.states(keep_manifest(dataset.calls, progeny), loci.with_spots(markers, members, flanks))
+    fact = land(fact.select("sample_id", "marker_id", "a1", "a2", "state", *STATE_COLUMNS, "spots"), "states")
+    near = loci.locus_calls(fact)
+    status = loci.locus_status(near, progeny, criteria.loci, resolved)
+    bounds = drag.drag_bounds(near, progeny, criteria.targets, resolved, criteria)
 
     carrier = resolved.filter("section = 'target'").select("chrom").distinct()
     metrics = qc.sample_metrics(qc.metrics_by_chromosome(fact), progeny, F.lit(counted["n"]), carrier)
     return Analysis(
         dataset, criteria, assembly, background_unit, flank_unit, markers, ends, fact, members, resolved, status, bounds,
-        land(metrics, "sample_metrics"), calls, progeny, notes, people["n"], counted["n_pool"], pair_options,
+        land(metrics, "sample_metrics"), progeny, notes, people["n"], counted["n_pool"], pair_options,
     )
 
 
@@ -122,7 +121,7 @@ def duplicate_pairs(run: Analysis) -> DataFrame:
         progeny = run.progeny
         if "sample_ord" not in progeny.columns:
             progeny = progeny.withColumn("sample_ord", F.col("sample_id"))
-        found = similarity.duplicate_scan(run.calls, pool, progeny, run.n_pool, run.n_progeny, **run.pair_options)
+        found = similarity.duplicate_scan(run.states, pool, progeny, run.n_pool, run.n_progeny, **run.pair_options)
         run.pairs = land(found, "sample_pairs")
     return run.pairs
 

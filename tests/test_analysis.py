@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from introspark.config import CriteriaError, criteria_from_dict
 from introspark.functions.chrom import SOYBEAN
 from introspark.operators import background, bitplanes, classify, dataset, drag, loci, maps, qc, rank, similarity, strips
+from introspark.plans import rank as ranking
 
 STATES = "AAHHHNHAAB"
 PAIR = {"A": (0, 0), "H": (0, 1), "B": (1, 1), "X": (0, 2), "N": (None, None)}
@@ -36,6 +38,11 @@ def states_of(data):
     return classify.states(dataset.keep_manifest(data.calls, data.progeny), markers), markers
 
 
+def near_loci(data, markers, members, flanks=None):
+    calls = dataset.keep_manifest(data.calls, data.progeny)
+    return loci.locus_calls(classify.states(calls, loci.with_spots(markers, members, flanks)))
+
+
 def test_uninformative_reasons_in_order(spark):
     data = build(spark, {"x": "AAAAAA"})
     calls = data.calls.filter("sample_id = 'x'").unionByName(spark.createDataFrame(
@@ -59,10 +66,11 @@ def test_ten_markers_rpp_and_drag(spark):
     ends = background.chromosome_ends(data.markers, "none", SOYBEAN)
     edges = drag.locus_edges(data.markers, resolved, ends, "bp")
     flanks = drag.flank_markers(data.markers, members, edges, "bp")
-    row = drag.drag_bounds(fact, data.progeny, criteria.targets, flanks, edges, criteria).first()
+    near = near_loci(data, markers, members, flanks)
+    row = drag.drag_bounds(near, data.progeny, criteria.targets, edges, criteria).first()
     assert (row["left_min"], row["left_max"], row["right_min"], row["right_max"]) == (0, MB, 0, MB)
     assert row["recombinant_left"] and row["recombinant_right"]
-    status = loci.locus_status(fact, data.progeny, criteria.loci, members, resolved).first()
+    status = loci.locus_status(near, data.progeny, criteria.loci, resolved).first()
     assert (status["status"], status["n_counted"]) == ("pass", 4)
 
 
@@ -103,24 +111,42 @@ def test_run_rule_against_a_plain_loop(spark, tolerate):
     data = build(spark, rows, positions)
     spec = {"id": "T", "chrom": "1", "start_bp": 1, "end_bp": 14, "rule": "run", "min_run": 3, "anchor_bp": 7, "tolerate_isolated": tolerate}
     criteria = criteria_from_dict({"targets": [spec], "assembly": "none"})
-    fact, _ = states_of(data)
     table = loci.locus_table(spark, criteria.loci)
     members = loci.locus_members(data.markers, table)
-    status = loci.locus_status(fact, data.progeny, criteria.loci, members, loci.resolved_loci(table, members))
+    near = near_loci(data, classify.classified_markers(data), members)
+    status = loci.locus_status(near, data.progeny, criteria.loci, loci.resolved_loci(table, members))
     got = {r["sample_id"]: r["status"] for r in status.collect()}
     assert got == {s: run_rule(t, positions, "HB", 7, 3, tolerate) for s, t in rows.items()}
 
 
+def test_only_the_written_states_join_calls_with_markers(spark):
+    """With automatic broadcasts off, nothing after the states is dealt by marker, and each of both outcomes has one shuffle of calls."""
+    rng = random.Random(3)
+    data = build(spark, {f"s{i}": "".join(rng.choice("AAHBN") for _ in range(10)) for i in range(6)})
+    criteria = criteria_from_dict({"targets": [{"id": "T", "region": "1:3,000,000-7000000", "rule": "any"}], "flank_unit": "bp", "flank_window": MB, "assembly": "none"})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = ranking.analyse(data, criteria)
+        plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in
+                 (("status", run.status), ("drag", run.drag), ("sums", qc.metrics_by_chromosome(run.states)))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for name, plan in plans.items():
+        assert not re.search(r"hashpartitioning\(marker_id", plan), (name, plan)
+        # one exchange of calls and, for outcomes per locus, one of the samples
+        assert plan.count("Exchange hashpartitioning") == (1 if name == "sums" else 2), (name, plan)
+
+
 def test_drag_against_a_plain_walk(spark):
     rng = random.Random(8)
     rows = {f"s{i:02d}": "".join(rng.choice("AAHHBNX") for _ in range(12)) for i in range(40)}
     data = build(spark, rows)
     criteria = criteria_from_dict({"targets": [{"id": "T", "marker_id": "m5"}], "flank_unit": "bp", "flank_window": 2 * MB, "assembly": "none"})
-    fact, _ = states_of(data)
     table = loci.locus_table(spark, criteria.loci)
     members = loci.locus_members(data.markers, table)
     edges = drag.locus_edges(data.markers, loci.resolved_loci(table, members), background.chromosome_ends(data.markers, "none", SOYBEAN), "bp")
-    bounds = drag.drag_bounds(fact, data.progeny, criteria.targets, drag.flank_markers(data.markers, members, edges, "bp"), edges, criteria)
+    near = near_loci(data, classify.classified_markers(data), members, drag.flank_markers(data.markers, members, edges, "bp"))
+    bounds = drag.drag_bounds(near, data.progeny, criteria.targets, edges, criteria)
 
     def walk(steps, end):
         inner = 0
@@ -214,7 +240,6 @@ def test_segments_tile_the_chromosome(spark):
 
 
 def test_results_do_not_depend_on_partitioning(spark):
-    from introspark.plans import rank as ranking
 
     rng = random.Random(6)
     rows = {f"s{i:02d}": "".join(rng.choice("AAAHHB-") for _ in range(20)) for i in range(12)}

@@ -440,8 +440,9 @@ def p12_required_states(spark, sf):
     wanted = binding.criteria(targets=[{"id": r, "required_state": r, **region} for r in ("hom_donor", "het", "either")], avoid=[]).loci
     table = loci.locus_table(spark, wanted)
     members = loci.locus_members(data.markers, table)
-    fact = classify.states(binding.progeny_calls(spark, sf), classify.classified_markers(data))
-    rows = loci.member_rows(fact, members, loci.resolved_loci(table, members))
+    markers = loci.with_spots(classify.classified_markers(data), members).filter("spots is not null")
+    near = loci.locus_calls(classify.states(binding.progeny_calls(spark, sf), markers))
+    rows = loci.member_rows(near, loci.resolved_loci(table, members))
     return rows.groupBy(F.col("locus_id").alias("required")).agg(F.count_if("satisfied").alias("n"))
 
 

@@ -158,8 +158,15 @@ def _status(spark, sf):
     data = binding.dataset(spark, sf)
     markers = classify.classified_markers(data)
     _, members, resolved = _resolved(spark, sf)
-    fact = classify.states(binding.progeny_calls(spark, sf), markers)
-    return loci.locus_status(fact, data.progeny, binding.criteria().loci, members, resolved)
+    resolved = pinned(resolved)
+    near = _near(spark, sf, loci.with_spots(markers, members))
+    return loci.locus_status(near, data.progeny, binding.criteria().loci, resolved)
+
+
+def _near(spark, sf, markers):
+    """Calls near loci, written since several aggregates read them; only calls of markers with a spot are joined."""
+    calls = classify.states(binding.progeny_calls(spark, sf), markers.filter("spots is not null"))
+    return land(loci.locus_calls(calls), "locus_calls")
 
 
 def _drag(spark, sf, **changes):
@@ -169,8 +176,8 @@ def _drag(spark, sf, **changes):
     ends = background.chromosome_ends(data.markers, "Wm82.a4", data.crop)
     edges = pinned(drag.locus_edges(data.markers, resolved, ends, criteria.flank_unit))
     flanks = drag.flank_markers(data.markers, members, edges, criteria.flank_unit)
-    fact = classify.states(binding.progeny_calls(spark, sf), classify.classified_markers(data))
-    return drag.drag_bounds(fact, data.progeny, criteria.targets, flanks, edges, criteria)
+    near = _near(spark, sf, loci.with_spots(classify.classified_markers(data), members, flanks))
+    return drag.drag_bounds(near, data.progeny, criteria.targets, edges, criteria)
 
 
 def _resolved(spark, sf):
