@@ -1,9 +1,10 @@
 """Removal of repeated word windows, found by level-wise doubling of the window length.
 
-The first level looks at windows of half the length asked for. Those that repeat are extended to twice their length,
-until the length is reached or no candidate survives. Below the last level a window of full length stands for itself
-by the smallest hash among the shorter windows inside it: equal windows agree in it, so none is lost, and neighbours
-mostly share it, so a level ships a fraction of the positions.
+The first level looks at windows of about a quarter of the length asked for. Those that repeat are extended to twice their
+length, level by level, until the length is reached or no candidate survives: for 13 words the levels are 4, 7 and 13.
+A window of full length starts from the short window inside it that has the smallest hash, and this one is extended to
+the right where that stays inside, else to the left. Equal windows make the same choices, so none is lost, and
+neighbours mostly share them, so a level ships a fraction of the positions.
 """
 
 from __future__ import annotations
@@ -24,40 +25,55 @@ from .idfilter import parted
 WINDOW = 13
 #: Values of one batch of blocks; bounds the memory of a task.
 BATCH_VALUES = 1 << 19
+#: Text that one bucket of values answers for, about; bounds what the task of a bucket holds, at any size of the input.
+BUCKET_BYTES = 1 << 26
 #: Stands for a null id: after all ids.
 LAST_ID = (1 << 63) - 1
 _KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def levels(window: int) -> list[int]:
-    """Lengths from which doubling (with an overlap where the length is odd) leads to ``window``: half of it, then all."""
-    return [(window + 1) // 2, window] if window > 3 else [window]
+    """Lengths from which doubling (overlapping by one where the length is odd) leads to ``window``, from 4 words or fewer on."""
+    out = [window]
+    while out[0] > 4:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
-def _stand_ins(h: np.ndarray, length: int, window: int) -> np.ndarray:
-    """For every window: the smallest hash of a window of ``length`` inside it."""
-    short = window_hashes(h, length)
-    n = len(h) - window + 1
-    if n <= 0:
-        return short[:0]
-    out = short[:n].copy()
+def _elected(h: np.ndarray, length: int, window: int) -> np.ndarray:
+    """For every window: where inside it the window of ``length`` with the smallest hash begins, the first of equal ones."""
+    short, n = window_hashes(h, length), len(h) - window + 1
+    best, at = short[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, window - length + 1):
-        np.minimum(out, short[j : j + n], out=out)
-    return out
+        less = short[j : j + n] < best
+        np.copyto(best, short[j : j + n], where=less)
+        at[less] = j
+    return at
+
+
+def _extended(h: np.ndarray, lengths: list[int], level: int) -> np.ndarray:
+    """For every window of full length: the hash of the part of it that a level looks at."""
+    window, n = lengths[-1], len(h) - lengths[-1] + 1
+    if n <= 0 or level == len(lengths) - 1:
+        return window_hashes(h, window)
+    at = _elected(h, lengths[0], window)
+    for shorter, length in zip(lengths[:level], lengths[1 : level + 1], strict=True):
+        at = np.where(at + length <= window, at, at + shorter - length)
+    return window_hashes(h, lengths[level])[np.arange(n) + at]
 
 
 class _Windows:
     """Windows of the texts of a batch, with the values found repeated at the level before."""
 
-    def __init__(self, part: pa.RecordBatch, window: int):
+    def __init__(self, part: pa.RecordBatch, lengths: list[int]):
         self.words = words(part.column("text"))
         self.h = self.words.hashes()
-        self.window = window
-        self.at = np.flatnonzero(inside(self.words.text, window))
+        self.lengths = lengths
+        self.at = np.flatnonzero(inside(self.words.text, lengths[-1]))
         self.text = self.words.text[self.at]
 
-    def values(self, length: int) -> np.ndarray:
-        return _stand_ins(self.h, length, self.window)[self.at]
+    def values(self, level: int) -> np.ndarray:
+        return _extended(self.h, self.lengths, level)[self.at]
 
     def hit(self, values: np.ndarray, hits: pa.Array) -> np.ndarray:
         """Which windows have a value in their own text's list of hits."""
@@ -95,16 +111,16 @@ def _repeated(docs: DataFrame, level: int, lengths: list[int], n_buckets: int) -
 
     At the last level "repeats" means that a smaller id has the window; before it, that any other has.
     """
-    window, last = lengths[-1], level == len(lengths) - 1
+    last = level == len(lengths) - 1
 
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, owner, ids, held, size = [], [], [], 0, 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                w = _Windows(part, window)
-                now, text = w.values(lengths[level]), w.text
+                w = _Windows(part, lengths)
+                now, text = w.values(level), w.text
                 if level:
-                    alive = w.hit(w.values(lengths[level - 1]), part.column("hits"))
+                    alive = w.hit(w.values(level - 1), part.column("hits"))
                     now, text = now[alive], text[alive]
                 first = np.r_[True, (now[1:] != now[:-1]) | (text[1:] != text[:-1])] if len(now) else np.zeros(0, bool)
                 values.append(now[first])
@@ -155,8 +171,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
 
     Returns ``doc_id, n_words, n_removed, kept`` (the words left, joined by one space). Windows are judged on the
     input. A batch answers for its own documents before anything is shuffled, so a window that a third of all
-    documents share is shipped once per batch. Windows are compared by 64-bit hashes inside buckets dealt by further
-    bits; texts are shuffled only where a window was found.
+    documents share is shipped once per batch. Windows are compared by 64-bit hashes. There are as many buckets of them
+    as the measured size of all texts asks for; texts are shuffled only where a window was found.
 
     Null and empty texts have no words. A null id ranks after all others. Rows that repeat an id don't count as
     repeats of each other. Texts shorter than a window stay whole. Other columns are not read. An empty table gives no rows.
@@ -164,7 +180,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST_ID))
     docs = docs.select(own.alias("own"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     lengths = levels(window)
-    n_buckets = shuffle_partitions(docs.sparkSession)
+    text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n_buckets = max(shuffle_partitions(docs.sparkSession), -(-text_bytes // BUCKET_BYTES))
     concerned: DataFrame = docs
     for level in range(len(lengths)):
         replies = land(_repeated(concerned, level, lengths, n_buckets), f"windows-{lengths[level]}")
@@ -181,8 +198,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                     removed = np.zeros(len(texts), np.int64)
                     gone = None
                     if with_hits:
-                        w = _Windows(part, window)
-                        gone = covered(w.at[w.hit(w.values(window), part.column("hits"))], window, len(w.h))
+                        w = _Windows(part, lengths)
+                        gone = covered(w.at[w.hit(w.values(len(lengths) - 1), part.column("hits"))], window, len(w.h))
                         bounds = np.searchsorted(w.words.text, np.arange(len(texts) + 1))
                     kept = []
                     for i, one in enumerate(texts):

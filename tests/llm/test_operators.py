@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from introspark.llm import stretches, tokens
 from introspark.llm import crf, exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_files, warc
+from introspark.llm.bytewords import window_hashes
 from introspark.llm.common import ship_package
 from introspark.llm.tokens import Encoder
 from tokenizers import Tokenizer
@@ -51,8 +52,23 @@ def with_ids(texts, source="s"):
     return [(i * 3 % (len(texts) * 3 + 1), t, f"{source}{i % 5}" if i % 7 else None) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("window", [13, 20, 2])
-def test_substring_dedup(spark, window):
+def test_windows_double():
+    assert [substring_dedup.levels(n) for n in (2, 4, 5, 13, 20)] == [[2], [4], [3, 5], [4, 7, 13], [3, 5, 10, 20]]
+    h = np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64)
+    h[200:240] = h[20:60]
+    for lengths in map(substring_dedup.levels, (5, 13, 20, 31)):
+        for level, length in enumerate(lengths):
+            got = substring_dedup._extended(h, lengths, level)
+            assert len(got) == len(h) - lengths[-1] + 1
+            assert (got[200 : 241 - lengths[-1]] == got[20 : 61 - lengths[-1]]).all()
+            inner = window_hashes(h, length)
+            assert all(v in inner[i : i + lengths[-1] - length + 1] for i, v in enumerate(got))
+    assert len(substring_dedup._extended(h[:3], [4, 7, 13], 0)) == 0
+
+
+@pytest.mark.parametrize(("window", "bucket_bytes"), [(13, 1 << 26), (13, 64), (20, 1 << 26), (2, 1 << 26)])
+def test_substring_dedup(spark, window, bucket_bytes, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket_bytes)
     rows = [*with_ids(some_texts(1)), (None, " ".join(f"w{i}" for i in range(40)), None), (10**12, " ".join(f"w{i}" for i in range(40)), None)]
     rows.append(rows[0])
     got = substring_dedup.remove_repeats(table(spark, rows), window=window).collect()
