@@ -88,19 +88,16 @@ def every_sample_at_every_locus(samples: DataFrame, loci: Sequence[Locus]) -> Da
     return samples.select("sample_id", F.explode(F.array(*[F.lit(x.locus_id) for x in loci])).alias("locus_id"))
 
 
-SPOT = "struct<locus_id:string,side:string,step:struct<distance:double,pos_bp:bigint,file_ord:bigint>>"
-
-
 def with_spots(markers: DataFrame, members: DataFrame, flanks: DataFrame | None = None) -> DataFrame:
     """Markers with ``spots``: the loci they decide (side ``member``) or flank (``left``, ``right``), with their step.
 
     Null where a marker concerns no locus; else about one spot per locus of the criteria that it concerns. The spots ride
     on the marker's calls through the one join of calls with markers, so that no later step joins calls by marker again.
     """
-    step = F.struct(F.lit(0.0).alias("distance"), F.col("pos_bp").cast("bigint").alias("pos_bp"), F.col("file_ord").cast("bigint").alias("file_ord"))
-    spots = members.select("marker_id", F.struct("locus_id", F.lit("member").alias("side"), step.alias("step")).cast(SPOT).alias("spot"))
+    step = F.struct(F.lit(0.0).alias("distance"), "pos_bp", "file_ord")
+    spots = members.select("marker_id", F.struct("locus_id", F.lit("member").alias("side"), step.alias("step")).alias("spot"))
     if flanks is not None:
-        spots = spots.unionByName(flanks.select("marker_id", F.struct("locus_id", "side", "step").cast(SPOT).alias("spot")))
+        spots = spots.unionByName(flanks.select("marker_id", F.struct("locus_id", "side", "step").alias("spot")))
     return markers.join(spots.groupBy("marker_id").agg(F.collect_list("spot").alias("spots")), "marker_id", "left")
 
 
