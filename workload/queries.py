@@ -492,7 +492,8 @@ def t2_select_top_n_overall(spark, sf):
 def _projection(step, a2, h2, carrier):
     return f"""
     SELECT '{step}' AS step, count(*) AS n_selected, round(avg(frac_a) + avg(frac_h) / 2, 9) AS mean_rpp_selected, round({a2} + {h2} / 2, 9) AS expected_rpp_next,
-           round({h2}, 9) AS expected_het_next, CAST({carrier} AS DOUBLE) AS expected_target_carrier_fraction FROM ranked WHERE rank_in_family <= 2"""
+           round({h2}, 9) AS expected_het_next, CAST({carrier} AS DOUBLE) AS expected_target_carrier_fraction FROM ranked WHERE rank_in_family <= 2
+    HAVING count(*) > 0"""
 
 
 def _projected(spark, sf, step):
