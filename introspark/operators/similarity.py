@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from introspark.functions.calls import shared_alleles
 from introspark.operators import bitplanes
-from introspark.operators.common import land
+from introspark.operators.common import land, land_counted
 from introspark.schema import DUPLICATE_IBS, DUPLICATE_OVERLAP_FRACTION
 
 
@@ -32,14 +32,15 @@ def compared_markers(markers: DataFrame) -> DataFrame:
     return markers.select("marker_id").distinct()
 
 
-def similar_pairs(calls: DataFrame, markers: DataFrame, samples: DataFrame, min_ibs: float, floor: int, n_markers: int, n_samples: int) -> DataFrame:
+def similar_pairs(calls: DataFrame, markers: DataFrame, samples: DataFrame, min_ibs: float, floor: int, n_markers: int) -> DataFrame:
     """Pairs of samples of one ``scope`` with IBS of at least ``min_ibs`` over at least ``floor`` common markers.
 
     Samples are dealt to blocks and ``markers`` to chunks, and numbered inside them. Every call is shuffled once, to its
-    block and chunk, where it becomes a few bits: planes of presence and of allele copies (``bitplanes``), which are
-    written. Blocks meet block by block as planes, and bounds end a comparison as soon as no pair of it is open. Only
-    pairs above the threshold leave a task, and one row (without samples) with the number of pairs that reach the floor.
-    The work is that of all pairs of a scope, as the definition asks.
+    block and chunk, where it becomes a few bits: planes of presence and of allele copies, or, where few calls are known, a
+    list (``bitplanes``), which are written. Blocks meet block by block, and bounds end a comparison as soon as no pair of it
+    is open. Only pairs above the threshold leave a task, and one row (without samples) with the number of pairs that reach
+    the floor. Samples with fewer calls than the floor are in no such pair and are left out before. The work is that of all
+    pairs of the others in a scope, as the definition asks.
 
     A sample has at most one call per marker. Absent and half-missing calls are no calls.
     """
@@ -47,16 +48,20 @@ def similar_pairs(calls: DataFrame, markers: DataFrame, samples: DataFrame, min_
         """Places 0, 1, ... inside each part: parts are small by choice."""
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
-    per_block = bitplanes.block_size(n_markers, n_samples)
     n_chunks = max(1, -(-n_markers // bitplanes.CHUNK))
-    sizes = samples.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("n_blocks"))
-    own = samples.select("scope", "sample_ord", "sample_id").join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("sample_id"), "n_blocks"))
-    own = land(dealt(own.drop("n_blocks"), ["scope", "block"], ["sample_ord", "sample_id"], "row"), "sample-places")
     places = dealt(markers.withColumn("chunk", F.pmod(F.xxhash64("marker_id"), F.lit(n_chunks))), ["chunk"], ["marker_id"], "at")
     places = places.withColumn("n_at", F.count(F.lit(1)).over(Window.partitionBy("chunk")).cast("int"))
-    placed = calls.filter("a1 is not null and a2 is not null").join(places, "marker_id").join(own.drop("sample_ord"), "sample_id")
-    packed = placed.select("scope", "block", "chunk", "row", "at", "n_at", "a1", "a2").groupBy("scope", "block", "chunk").applyInArrow(bitplanes.pack, bitplanes.PACKED)
-    packed = land(packed, "bit-planes")
+    placed = calls.filter("a1 is not null and a2 is not null").join(places, "marker_id").select("sample_id", "chunk", "at", "n_at", "a1", "a2")
+    placed = land(placed, "placed-calls")
+    # a sample with fewer calls than the floor is in no pair that reaches it
+    able = placed.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_calls")).filter(F.col("n_calls") >= floor)
+    able, seen = land_counted(samples.select("scope", "sample_ord", "sample_id").join(able, "sample_id"), "able-samples", n=F.count(F.lit(1)), n_calls=F.sum("n_calls"))
+    per_block = bitplanes.block_size(n_markers, seen["n"], seen["n_calls"] or 0)
+    sizes = able.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("n_blocks"))
+    own = able.drop("n_calls").join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("sample_id"), "n_blocks"))
+    own = land(dealt(own.drop("n_blocks"), ["scope", "block"], ["sample_ord", "sample_id"], "row"), "sample-places")
+    packed = placed.join(own.drop("sample_ord"), "sample_id").select("scope", "block", "chunk", "row", "at", "n_at", "a1", "a2")
+    packed = land(packed.groupBy("scope", "block", "chunk").applyInArrow(bitplanes.pack, bitplanes.PACKED), "bit-planes")
     blocks = packed.select("scope", "block").distinct()
     met = blocks.withColumnRenamed("block", "i").join(blocks.withColumnRenamed("block", "j"), "scope").filter("i <= j")
     met = met.select("scope", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
@@ -93,7 +98,7 @@ def duplicate_scan(
     scope = F.coalesce("family_id", F.lit("")) if pair_scope == "family" else F.lit("")
     pairs = similar_pairs(
         calls, compared_markers(pool), progeny.select("sample_id", "sample_ord", scope.alias("scope")), threshold,
-        overlap_floor(n_pool, min_overlap), n_pool, n_samples,
+        overlap_floor(n_pool, min_overlap), n_pool,
     )
     return pairs.select("sample_a", "sample_b", F.try_divide(F.col("n_shared"), 2 * F.col("n_overlap")).alias("ibs"), "n_overlap", "n_assessed")
 
