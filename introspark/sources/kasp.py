@@ -9,7 +9,7 @@ from introspark.functions.calls import kasp_call
 from introspark.functions.text import strip
 from introspark.operators.common import land
 from introspark.operators.rank import positions
-from introspark.sources.lines import data_rows, first_by, first_lines, headed, per_file
+from introspark.sources.lines import data_rows, first_by, first_lines, headed
 
 #: Samples of one stretch of a wide line.
 WIDE_CHUNK = 512
@@ -43,13 +43,14 @@ def _calls(cells: DataFrame) -> DataFrame:
     )
 
 
-def grid_orientation(rows: DataFrame, markers: DataFrame, heads: DataFrame) -> DataFrame:
+def grid_orientation(lines: DataFrame, markers: DataFrame, heads: DataFrame) -> DataFrame:
     """Per file: how many header cells and how many first cells are known markers. Columns win ties.
 
     Names meet the markers by name; what is grouped by file are counts. The result is written: a row per file.
     """
     known = markers.select(F.col("marker_id").alias("id")).distinct()
     across = heads.select("file", F.explode(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("id")).select("file", strip(F.col("id")).alias("id"), F.lit(1).alias("column"))
+    rows = data_rows(headed(lines, heads.withColumn("header", F.lit(None))))
     down = rows.select("file", strip(F.element_at("cells", 1)).alias("id"), F.lit(0).alias("column"))
     counts = across.unionByName(down).join(known.withColumn("known", F.lit(1)), "id", "left").groupBy("file").agg(
         F.count_if((F.col("column") == 1) & F.col("known").isNotNull()).alias("n_columns"), F.count_if((F.col("column") == 0) & F.col("known").isNotNull()).alias("n_rows"),
@@ -59,17 +60,20 @@ def grid_orientation(rows: DataFrame, markers: DataFrame, heads: DataFrame) -> D
 
 
 def parse_grid(lines: DataFrame, markers: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
-    """(calls, violations) of a grid with samples on one axis and markers on the other; its first line is the header."""
+    """(calls, violations) of a grid with samples on one axis and markers on the other; its first line is the header.
+
+    The way a file faces becomes one of its facts, beside its header: lines meet both in one join.
+    """
     heads = first_lines(lines)
-    rows = data_rows(headed(lines, heads))
-    facing = grid_orientation(rows, markers, heads)
+    facing = grid_orientation(lines, markers, heads)
+    turned = facing.filter("markers_across is not null").select("file", "markers_across")
+    rows = data_rows(headed(lines, land(heads.join(turned.hint("merge"), "file"), "grid-headers")), "markers_across")
     violations = facing.filter("markers_across is null").select(
         "file", F.lit(0).alias("ord"), F.lit("no axis of the grid matches the markers").alias("kind"), F.lit("").alias("detail")
     )
     width = F.greatest(F.size("header") - 1, F.lit(0))
     cells = (
-        per_file(rows, facing.filter("markers_across is not null").select("file", "markers_across"), "inner")
-        .select(
+        rows.select(
             "file", "ord", "markers_across", strip(F.element_at("cells", 1)).alias("down"),
             F.posexplode(F.arrays_zip(F.slice("header", 2, width).alias("name"), F.slice("cells", 2, width).alias("cell"))).alias("at", "x"),
         )

@@ -45,24 +45,27 @@ def encoding_audit(lines: DataFrame) -> DataFrame:
 
 
 #: Facts of files are broadcast up to this size (of their JSON text), measured before.
-PER_FILE_BYTES = 32 << 20
-#: Beyond it, the lines of a file are spread over so many parts.
+PER_FILE_BYTES = 4 << 20
+#: Beyond it, a file of more lines than this is spread over so many parts.
+FILE_LINES = 1 << 20
 FILE_SALTS = 32
 
 
 def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``facts``, a written table of at most one row per file.
 
-    A file may hold most of the rows, so they are never dealt by file alone: the facts are sent to every executor if they
-    measure at most ``most_bytes`` (``PER_FILE_BYTES`` by default); else rows are dealt by file and a salt, and the facts
-    are repeated for each salt.
+    The facts are sent to every executor if they measure at most ``most_bytes`` (``PER_FILE_BYTES`` by default). Beyond that
+    there are many files, and rows meet the facts by file and a salt. A file may hold most of the rows, so the lines of files
+    are counted, the large ones (few by their number of lines) are spread over salts, and only their facts are repeated.
     """
     measured = facts.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
     if measured <= (PER_FILE_BYTES if most_bytes is None else most_bytes):
         return rows.join(F.broadcast(facts), "file", how)
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(FILE_SALTS)).cast("int"))
-    return salted.join(repeated, ["file", "_salt"], how).drop("_salt")
+    large = [r["file"] for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FILE_LINES).select("file").collect()]
+    salts = F.when(F.col("file").isin(large or [""]), F.lit(FILE_SALTS)).otherwise(F.lit(1))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), salts).cast("int"))
+    return salted.join(repeated.hint("merge"), ["file", "_salt"], how).drop("_salt")
 
 
 def _filled(text: DataFrame) -> DataFrame:
@@ -98,10 +101,10 @@ def headed(lines: DataFrame, heads: DataFrame | Column, delimiter: str | None =
     return per_file(_filled(lines), heads)
 
 
-def data_rows(headed_lines: DataFrame) -> DataFrame:
-    """(file, ord, cells, header): the rows after the header."""
+def data_rows(headed_lines: DataFrame, *facts: str) -> DataFrame:
+    """(file, ord, cells, header and further ``facts`` of the file): the rows after the header."""
     after = headed_lines.filter(F.col("ord") > F.col("head_ord"))
-    return after.select("file", "ord", cells(F.col("value"), F.col("delimiter")).alias("cells"), "header")
+    return after.select("file", "ord", cells(F.col("value"), F.col("delimiter")).alias("cells"), "header", *facts)
 
 
 def early_rows(headed_lines: DataFrame) -> DataFrame:
