@@ -121,28 +121,52 @@ def sample_places(calls: DataFrame) -> DataFrame:
     return land(placed.select("sample_id", (F.col("place") - 1).alias("place")), "sample-places")
 
 
-def _joined(entries: str, width: Column, absent) -> Column:
-    """The texts of a map from places 0, 1, ... as one, with a filler where a place is absent."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), width.cast("int") - 1), lambda i: F.coalesce(F.try_element_at(entries, i), absent(i))), ",")
+def wide_stretches(calls: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """((marker_id, k, cells), (sample_id, place), number of samples): what a wide table holds, without its absent cells.
+
+    Cells stand in first-seen order of their samples. Stretch ``k`` of a marker's line begins at place ``k`` times
+    ``WIDE_CHUNK``; ``cells`` are its calls (at, call) in order, and every place it leaves out is ``N``. A marker whose cells
+    are all silent has stretches without calls. The stretches grow with the calls, the lines with markers times samples.
+    """
+    order = sample_places(calls)
+    n = order.count()
+    placed = consolidated(calls).join(order, "sample_id").select(
+        "marker_id", F.expr(f"cast(place div {WIDE_CHUNK} as int)").alias("k"),
+        F.when(F.col("call").isNotNull(), F.struct((F.col("place") % WIDE_CHUNK).cast("int").alias("at"), "call")).alias("cell"),
+    )
+    return placed.groupBy("marker_id", "k").agg(F.array_sort(F.collect_list("cell")).alias("cells")), order, n
+
+
+def _stretch_text(cells: str, width: Column) -> Column:
+    """The cells of one stretch as text: before each call, and behind the last, an ``N`` for every place left out."""
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col(cells), i - 1)["at"])
+    called = F.transform(cells, lambda c, i: F.concat(F.repeat(F.lit("N,"), c["at"] - before(i) - 1), c["call"], F.lit(",")))
+    last = F.coalesce(F.get(F.col(cells), F.size(cells) - 1)["at"], F.lit(-1))
+    text = F.concat(F.array_join(called, ""), F.repeat(F.lit("N,"), width.cast("int") - 1 - last))
+    return F.substring(text, F.lit(1), F.length(text) - 1)
 
 
 def wide_table(calls: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((marker_id, chrom, pos_bp, cells), (sample_id, place)): a line of cells per placed SNP, ``N`` where a sample has none.
 
-    Cells stand in first-seen order of their samples. A line is put together from stretches of ``WIDE_CHUNK`` samples, so
-    no list of all samples is made and a task holds no more than the lines it writes.
+    A line is put together from stretches of ``WIDE_CHUNK`` samples, so no list of all samples is made and a task holds no
+    more than the lines it writes. The text has a cell for every marker and sample, as the format asks.
     """
-    order = sample_places(calls)
-    n = order.count()
+    stretches, order, n = wide_stretches(calls)
     width = lambda k: F.least(F.lit(WIDE_CHUNK), F.lit(n) - k * WIDE_CHUNK)
-    cells = consolidated(calls).join(order, "sample_id").select(
-        "marker_id", F.expr(f"cast(place div {WIDE_CHUNK} as int)").alias("k"), (F.col("place") % WIDE_CHUNK).cast("int").alias("at"), F.coalesce("call", F.lit("N")).alias("call")
-    )
-    parts = cells.groupBy("marker_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("at", "call"))).alias("m"))
-    parts = parts.select("marker_id", "k", _joined("m", width(F.col("k")), lambda i: F.lit("N")).alias("part"))
+    parts = stretches.select("marker_id", "k", _stretch_text("cells", width(F.col("k"))).alias("part"))
     whole = parts.groupBy("marker_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "part"))).alias("m"))
-    line = _joined("m", F.lit(-(-n // WIDE_CHUNK)), lambda k: F.array_join(F.array_repeat(F.lit("N"), width(k).cast("int")), ","))
-    return whole.join(markers.select("marker_id", "chrom", "pos_bp"), "marker_id").select("marker_id", "chrom", "pos_bp", line.alias("cells")), order
+    every = F.transform(F.sequence(F.lit(0), F.lit(-(-n // WIDE_CHUNK) - 1)), lambda k: F.coalesce(
+        F.try_element_at("m", k), F.array_join(F.array_repeat(F.lit("N"), width(k).cast("int")), ",")))
+    return whole.join(markers.select("marker_id", "chrom", "pos_bp"), "marker_id").select("marker_id", "chrom", "pos_bp", F.array_join(every, ",").alias("cells")), order
+
+
+def wide_calls(stretches: DataFrame, order: DataFrame, markers: DataFrame, n: int) -> DataFrame:
+    """(marker_id, chrom, pos_bp, sample_id, cell, n_cells): the called cells of a wide table by the place of their sample."""
+    place = F.col("k").cast("bigint") * WIDE_CHUNK + F.col("c.at")
+    cells = stretches.select("marker_id", "k", F.explode("cells").alias("c")).select("marker_id", place.alias("place"), F.col("c.call").alias("cell"))
+    placed = cells.join(order, "place").join(markers.select("marker_id", "chrom", "pos_bp"), "marker_id")
+    return placed.select("marker_id", "chrom", "pos_bp", "sample_id", "cell", F.lit(n).cast("bigint").alias("n_cells"))
 
 
 def wide_job(calls: DataFrame, markers: DataFrame, drop_unplaced: bool = False) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
