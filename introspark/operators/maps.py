@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -85,19 +87,59 @@ def independent_stretches(anchors: DataFrame) -> DataFrame:
     return running(marked, ["chrom"], "_bin", order, F.max, F.col("_cut"), "stretch").drop("_bin", "_below", "_above", "_cut")
 
 
-def monotone_anchors(anchors: DataFrame) -> DataFrame:
-    """Add ``kept``: membership in each chromosome's longest non-decreasing run of cM along bp.
+#: What tells a stretch: its chromosome and its first anchor.
+_PIECE = ["chrom", "_pos_bp", "_cm", "_marker_id"]
 
-    The solver runs per independent stretch, in grouped pandas.
+
+def _solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with ``kept``, from rows sorted by stretch and inside it: many short stretches are solved in one step.
+
+    A stretch that goes on in the next frame waits for its end, so a task holds one frame and one stretch.
     """
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["pos_bp", "cm", "marker_id"])
-        return ordered[["marker_id", "chrom", "pos_bp", "cm"]].assign(kept=_keep_earliest(ordered["cm"].to_numpy(dtype=float)))
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        out = np.ones(len(rows), dtype=bool)
+        out[1:] = np.any([(rows[c].to_numpy()[1:] != rows[c].to_numpy()[:-1]) for c in _PIECE], axis=0)
+        return out
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        values, kept = rows["cm"].to_numpy(dtype=float), np.ones(len(rows), dtype=bool)
+        first = np.flatnonzero(starts(rows))
+        number = np.repeat(np.arange(len(first)), np.diff(first, append=len(rows)))
+        # a stretch without a fall is kept whole
+        falls = np.flatnonzero((number[1:] == number[:-1]) & ~(values[1:] >= values[:-1]))
+        ends = np.append(first[1:], len(rows))
+        for at in np.unique(number[falls]).tolist():
+            kept[first[at] : ends[at]] = _keep_earliest(values[first[at] : ends[at]])
+        return rows[["marker_id", "chrom", "pos_bp", "cm"]].assign(kept=kept)
+
+    held: list[pd.DataFrame] = []
+    for rows in frames:
+        if not len(rows):
+            continue
+        begins = np.flatnonzero(starts(rows))
+        if held and tuple(held[-1][_PIECE].iloc[-1]) == tuple(rows[_PIECE].iloc[0]):
+            begins = begins[1:]
+        if len(begins):
+            done = [*held, rows.iloc[: begins[-1]]]
+            held = []
+            if sum(map(len, done)):
+                yield solve(pd.concat(done))
+            rows = rows.iloc[begins[-1] :]
+        held.append(rows)
+    if held:
+        yield solve(pd.concat(held))
+
+
+def monotone_anchors(anchors: DataFrame) -> DataFrame:
+    """Add ``kept``: membership in each chromosome's longest non-decreasing run of cM along bp.
 
+    The solver runs per independent stretch; stretches are dealt to tasks and stream through them in order.
+    """
     rows = independent_stretches(anchors.select("marker_id", "chrom", "pos_bp", "cm"))
-    flat = rows.select("*", F.struct("chrom", "stretch").cast("string").alias("piece")).drop("stretch")
-    return flat.groupBy("piece").applyInPandas(solve, "marker_id string, chrom string, pos_bp long, cm double, kept boolean")
+    flat = rows.select("marker_id", "chrom", "pos_bp", "cm", *[F.col("stretch")[c].alias(f"_{c}") for c in ("pos_bp", "cm", "marker_id")])
+    dealt = flat.repartition(*_PIECE).sortWithinPartitions(*_PIECE, "pos_bp", "cm", "marker_id")
+    return dealt.mapInPandas(_solved, "marker_id string, chrom string, pos_bp long, cm double, kept boolean")
 
 
 def tied_means(kept: DataFrame) -> DataFrame:
