@@ -15,13 +15,23 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(_SPACES))
 
 
+def _begins_in(line: Column, characters: str) -> Column:
+    """Whether a line is empty or begins with one of the characters or an end of line: a cheap test before a pattern."""
+    return F.substring(line, 1, 1).isin("", *characters, *"\n\r\u0085\u2028\u2029")
+
+
+def only_of(line: Column, characters: str) -> Column:
+    """Whether a line holds nothing but the characters."""
+    return _begins_in(line, characters) & line.rlike(f"^[{characters}]*$")
+
+
 def is_blank(line: Column) -> Column:
     """Only spaces and tabs make a line blank."""
-    return line.rlike(r"^[ \t]*\r?$")
+    return _begins_in(line, " \t") & line.rlike(r"^[ \t]*\r?$")
 
 
 def chomp(line: Column) -> Column:
-    return F.regexp_replace(line, r"\r+$", "")
+    return F.when(line.contains("\r"), F.regexp_replace(line, r"\r+$", "")).otherwise(line)
 
 
 def cells(line: Column, delimiter: Column) -> Column:

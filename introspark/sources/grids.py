@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from introspark.functions import calls as C
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import position, strip
-from introspark.operators.common import computed_once
+from introspark.operators.common import computed_once, land
 from introspark.sources.lines import Genotypes, SourceError, data_rows, early_rows, headed, headers, read_lines, repeated_columns
 
 HAPMAP_FIXED = 11
@@ -20,28 +20,32 @@ WIDE_FIXED = ("marker_id", "chrom", "pos_bp")
 
 
 def _genotypes(rows: DataFrame, whole: DataFrame, parse, seeds: Column, coded: bool, label: str) -> Genotypes:
-    """From rows(file, ord, kind, marker_id, chrom, pos_bp, names, tokens): alleles, calls and violations."""
-    read = C.resolve_marker(F.transform(F.transform("tokens", C.token), parse), seeds)
-    valid = rows.filter("kind is null")
-    parsed = computed_once(valid, ["file", "ord", "marker_id", "chrom", "pos_bp", "names", "tokens"], c=read)
+    """From rows(file, ord, kind, marker_id, chrom, pos_bp, names, tokens): alleles, calls and violations.
+
+    Markers, calls, samples and violations read the parsed rows, which are written once.
+    """
+    fixed = ["file", "ord", "kind", "marker_id", "chrom", "pos_bp", "names"]
+    good = F.col("kind").isNull()
+    parsed = computed_once(rows.withColumn("seeds", seeds), [*fixed, "seeds", "tokens"], c=F.when(good, F.transform(F.transform("tokens", C.token), parse)))
+    parsed = computed_once(parsed, [*fixed, "tokens"], c=C.resolve_marker(F.col("c"), F.col("seeds")))
+    bad = F.filter(F.arrays_zip("tokens", "c"), lambda x: x["c"]["kind"] == "bad")
     parsed = computed_once(
-        parsed, parsed.columns,
-        alleles=F.array(F.lit("A"), F.lit("B")) if coded else C.marker_alleles(F.col("c")), broken=F.exists("c", lambda x: x["kind"] == "bad"),
+        parsed, [*fixed, "c"], alleles=F.array(F.lit("A"), F.lit("B")) if coded else C.marker_alleles(F.col("c")),
+        broken=F.when(F.exists("c", lambda x: x["kind"] == "bad"), F.coalesce(F.element_at(bad, 1)["tokens"], F.lit(""))),
     )
-    bad = F.filter(F.arrays_zip("tokens", "c"), lambda x: x["c"]["kind"] == "bad")
+    everything = land(parsed, "parsed-rows")
+    parsed = everything.filter("kind is null")
     a1, a2 = C.encode(F.col("cell.c"), F.col("alleles"))
     exploded = parsed.select("marker_id", "alleles", F.explode(F.arrays_zip("names", "c")).alias("cell"))
-    violations = rows.filter("kind is not null").select("file", "ord", "kind", F.coalesce("marker_id", F.lit("")).alias("detail")).unionByName(
-        parsed.filter("broken").select(
-            "file", "ord", F.lit("unrecognised call").alias("kind"), F.concat_ws(" ", "marker_id", F.element_at(bad, 1)["tokens"]).alias("detail")
-        )
+    violations = everything.filter("kind is not null").select("file", "ord", "kind", F.coalesce("marker_id", F.lit("")).alias("detail")).unionByName(
+        parsed.filter("broken is not null").select("file", "ord", F.lit("unrecognised call").alias("kind"), F.concat_ws(" ", "marker_id", "broken").alias("detail"))
     )
     return Genotypes(
-        markers=parsed.filter("not broken").select(
+        markers=parsed.filter("broken is null").select(
             "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"
         ),
         calls=exploded.filter("cell.c.kind <> 'bad'").select("marker_id", F.col("cell.names").alias("sample_id"), a1.alias("a1"), a2.alias("a2")),
-        samples=rows.select("names").distinct().select(F.explode("names").alias("sample_id")).distinct(),
+        samples=everything.select("names").distinct().select(F.explode("names").alias("sample_id")).distinct(),
         violations=violations.unionByName(whole),
         coded=coded,
         token_profile=label,

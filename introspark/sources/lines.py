@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introspark.functions.text import cells, chomp, is_blank, sniff_delimiter, strip
+from introspark.functions.text import cells, chomp, is_blank, only_of, sniff_delimiter, strip
 from introspark.operators.common import land
 
 
@@ -69,7 +69,7 @@ def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: i
 
 
 def _filled(text: DataFrame) -> DataFrame:
-    return content(text).filter(~F.col("value").rlike(r'^[ \t,"]*$'))
+    return content(text).filter(~only_of(F.col("value"), ' \t,"'))
 
 
 def headers(lines: DataFrame, looks_like_header: Column, delimiter: str | None = None) -> DataFrame:

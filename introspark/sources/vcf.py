@@ -79,8 +79,7 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
         .when(F.col("pos_bp").isNull(), "invalid position")
     )
     name = F.when(column(3).isin(".", ""), F.concat_ws("_", column(1), F.col("pos_bp").cast("string"))).otherwise(column(3))
-    judged = rows.select("file", "ord", "value", "wanted", "gt_at", "f", kind.alias("kind"), name.alias("marker_id"), "chrom", "pos_bp", "alleles")
-    records = judged.filter("kind is null")
+    judged = computed_once(rows, rows.columns, kind=kind, marker_id=name)
     tokens = F.transform(
         "wanted",
         lambda w: F.struct(
@@ -88,10 +87,16 @@ def parse_vcf(lines: DataFrame, crop: Crop = SOYBEAN, manifest: DataFrame | None
             F.coalesce(F.try_element_at(F.split(F.element_at("f", w["at"]), ":"), F.col("gt_at")), F.lit(".")).alias("gt"),
         ),
     )
-    cells = records.select("file", "ord", "marker_id", F.size("alleles").alias("n"), F.inline(tokens))
+    # markers, calls and violations read the split records
+    good = F.col("kind").isNull()
+    judged = land(judged.select(
+        "file", "ord", "kind", F.when(~good, F.substring("value", 1, 60)).alias("detail"), "marker_id", "chrom", "pos_bp", "alleles", F.when(good, tokens).alias("cells"),
+    ), "vcf-records")
+    records = judged.filter("kind is null")
+    cells = records.select("file", "ord", "marker_id", F.size("alleles").alias("n"), F.inline("cells"))
     cells = computed_once(cells, cells.columns, **genotype_sides(F.col("gt")))
     cells = computed_once(cells, ["file", "ord", "marker_id", "sample_id", "gt"], call=genotype_of(*[F.col(c) for c in ("gt", "first", "second", "n")]))
-    broken = judged.filter("kind is not null").select("file", "ord", "kind", F.substring("value", 1, 60).alias("detail"))
+    broken = judged.filter("kind is not null").select("file", "ord", "kind", "detail")
     bad_cells = cells.filter("call.problem is not null").select("file", "ord", F.col("call.problem").alias("kind"), F.concat_ws(" ", "marker_id", "sample_id", "gt").alias("detail"))
     return Genotypes(
         markers=records.select("marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), F.struct("file", "ord").alias("file_ord"), "alleles"),
