@@ -99,8 +99,8 @@ def variants(pages: DataFrame, crop: Crop = SOYBEAN, marker_map: DataFrame | Non
     return out.withColumn("problem", problem).drop("fractional")
 
 
-def matrix_cells(pages: DataFrame) -> DataFrame:
-    """One row per cell of the GT matrices: ids, token and the page's separators. Misshapen pages yield none."""
+def _shaped(pages: DataFrame) -> DataFrame:
+    """The pages whose GT matrix has the shape of its ids, with their separators."""
     gt = F.try_element_at(F.filter("result.dataMatrices", lambda m: m["dataMatrixAbbreviation"] == "GT"), F.lit(1))["dataMatrix"]
     shaped = pages.select(
         "file", F.transform("result.variantDbIds", strip).alias("v"), F.transform("result.callSetDbIds", strip).alias("c"), gt.alias("gt"),
@@ -109,7 +109,12 @@ def matrix_cells(pages: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(_text(F.col("result.unknownString")), F.lit("")), F.lit(".")).alias("unknown"),
     )
     good = (F.size("gt") == F.size("v")) & F.forall("gt", lambda row: F.size(row) == F.size(F.col("c")))
-    rows = shaped.filter(good).select("file", "c", "phased", "unphased", "unknown", F.inline(F.arrays_zip("v", "gt")))
+    return shaped.filter(good)
+
+
+def matrix_cells(pages: DataFrame) -> DataFrame:
+    """One row per cell of the GT matrices: ids, token and the page's separators. Misshapen pages yield none."""
+    rows = _shaped(pages).select("file", "c", "phased", "unphased", "unknown", F.inline(F.arrays_zip("v", "gt")))
     return rows.select("file", "phased", "unphased", "unknown", F.col("v").alias("variant_db_id"), F.inline(F.arrays_zip("c", "gt"))).select(
         "file", "variant_db_id", F.col("c").alias("call_set_db_id"), F.col("gt").alias("token"), "phased", "unphased", "unknown"
     )
@@ -160,19 +165,28 @@ def parse_pages(
     markers = listed.filter("problem is null").join(top, "marker_id", "left").select(
         "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), "file_ord", F.coalesce("alleles", numbers).alias("alleles")
     )
-    warnings = _warnings(sets, listed, cells)
+    warnings = _warnings(sets, listed, carried_ids(matrix_pages))
     return VariantSet(markers, good.select("marker_id", "sample_id", "call.a1", "call.a2"), sets.select(*CALL_SET_COLUMNS), violations, warnings)
 
 
-def uncovered(listed: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+def carried_ids(pages: DataFrame) -> DataFrame:
+    """(key, id): the ids that matrix pages carry a cell of, once each: from the ids of the pages, not from their cells."""
+    def marked(ids: str, key: str) -> Column:
+        return F.transform(ids, lambda x: F.struct(F.lit(key).alias("key"), x.alias("id")))
+
+    full = _shaped(pages).filter((F.size("v") > 0) & (F.size("c") > 0))
+    return full.select(F.inline(F.concat(marked("v", "variant_db_id"), marked("c", "call_set_db_id")))).distinct()
+
+
+def uncovered(listed: DataFrame, carried: DataFrame, key: str) -> DataFrame:
     """Listed ids no matrix page carries: all their calls are missing."""
-    return listed.select(key).join(cells.select(key).distinct(), key, "left_anti")
+    return listed.select(key).join(carried.filter(F.col("key") == key).select(F.col("id").alias(key)), key, "left_anti")
 
 
-def _warnings(sets: DataFrame, listed: DataFrame, cells: DataFrame) -> DataFrame:
+def _warnings(sets: DataFrame, listed: DataFrame, carried: DataFrame) -> DataFrame:
     names = sets.filter("n_sharing > 1 and call_set_name <> ''").groupBy("call_set_name").agg(F.count(F.lit(1)).alias("n"))
     return (
         names.select(F.lit("shared call set name").alias("kind"), F.col("call_set_name").alias("subject"))
-        .unionByName(uncovered(listed, cells, "variant_db_id").select(F.lit("variant absent from every page").alias("kind"), F.col("variant_db_id").alias("subject")))
-        .unionByName(uncovered(sets, cells, "call_set_db_id").select(F.lit("call set absent from every page").alias("kind"), F.col("call_set_db_id").alias("subject")))
+        .unionByName(uncovered(listed, carried, "variant_db_id").select(F.lit("variant absent from every page").alias("kind"), F.col("variant_db_id").alias("subject")))
+        .unionByName(uncovered(sets, carried, "call_set_db_id").select(F.lit("call set absent from every page").alias("kind"), F.col("call_set_db_id").alias("subject")))
     )
