@@ -100,16 +100,18 @@ def extract_families(lines: DataFrame, families: DataFrame) -> tuple[DataFrame,
     rows = rows.select(
         "file", "ord", after_last_dot(field(1)).alias("chrom"), field(2).alias("pos"), field(3).alias("id"), field(4).alias("ref"), field(5).alias("alt"), "f", F.inline("cuts"),
     )
-    gts = F.transform("at", lambda i: F.element_at(F.split(F.try_element_at("f", i), ":"), 1))
-    picked = computed_once(rows, ["family", "file", "ord", "chrom", "pos", "id", "ref", "alt"], gts=gts)
+    gts = F.transform("at", lambda i: F.substring_index(F.try_element_at("f", i), ":", 1))
     n_alt = F.when(F.col("alt") == ".", 0).otherwise(F.size(F.split("alt", ",")))
-    beyond = F.exists(F.flatten(F.transform("gts", lambda g: F.split(g, "[/|]"))), lambda a: a.try_cast("int") > n_alt)
+    picked = computed_once(rows, ["family", "file", "ord", "chrom", "pos", "id", "ref", "alt"], gts=gts, n_alt=n_alt)
+    # most alleles may be missing, and a cast that fails costs many times one that does not
+    index = lambda a: F.when(~a.isin(".", ""), a.try_cast("int"))
+    beyond = F.exists(F.flatten(F.transform("gts", lambda g: F.split(F.translate(g, "|", "/"), "/"))), lambda a: index(a) > F.col("n_alt"))
     reject = F.when(~F.col("chrom").rlike(CHROMOSOME), "off canonical chromosomes").when(beyond, "allele index exceeds ALT")
     nowhere = families.select("family").distinct().join(cuts.select("family"), "family", "left_anti")
     violations = cuts.filter(F.size("lost") > 0).select(
         "file", F.lit(0).alias("ord"), F.lit("parent has no genotype column").alias("kind"), F.concat_ws(" ", "family", F.array_join("lost", " ")).alias("detail")
     ).unionByName(nowhere.select(F.lit("").alias("file"), F.lit(0).alias("ord"), F.lit("family in no file").alias("kind"), F.col("family").alias("detail")))
-    return picked.withColumn("reject", reject), whole.select("family", "file", "samples"), violations
+    return picked.withColumn("reject", reject).drop("n_alt"), whole.select("family", "file", "samples"), violations
 
 
 def record_lines(records: DataFrame, heads: DataFrame) -> DataFrame:

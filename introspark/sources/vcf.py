@@ -24,8 +24,11 @@ def file_headers(text: DataFrame, manifest: DataFrame | None) -> DataFrame:
     The header line's place (NULL without one) and width, whether it has FORMAT and a sample column, its sample names, and
     the sample columns wanted from it. Header lines are aggregated where they are read.
     """
-    head = F.min(F.when(F.col("value").startswith("#CHROM"), F.struct("ord", "value")))
-    first = text.groupBy("file").agg(head.alias("h")).select("file", F.col("h.ord").alias("header_ord"), F.split("h.value", "\t", -1).alias("header"))
+    # numbers alone meet per file, so the lines are not sorted for it; the header lines themselves are few
+    head = F.col("value").startswith("#CHROM")
+    files = text.groupBy("file").agg(F.min(F.when(head, F.col("ord"))).alias("header_ord"))
+    said = text.filter(head).groupBy("file").agg(F.min_by("value", "ord").alias("header"))
+    first = files.join(said, "file", "left").withColumn("header", F.split("header", "\t", -1))
     names = F.slice("header", FIXED + 1, F.greatest(F.size("header") - FIXED, F.lit(0)))
     out = first.select(
         "file", "header_ord", F.size("header").alias("width"), ((F.size("header") > FIXED) & (F.try_element_at("header", F.lit(9)) == "FORMAT")).alias("formed"), names.alias("names"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from introspark.config import Criteria, criteria_from_dict
+from introspark.operators.common import computed_once
 from introspark.operators.dataset import Dataset
 
 
@@ -58,6 +59,12 @@ def parent_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.selectExpr("concat('m', p) as marker_id", "concat('s', s) as sample_id", "a1", "a2")
 
 
+#: What a line says about its call, and the haplotype of a marker's block in a sample.
+_FACTS = {"dropped": "l_returnflag = 'R' and l_linenumber = 7", "half": "l_returnflag = 'A' and l_linenumber = 1 and l_quantity <= 2", "odd": "l_quantity = 50"}
+_SOURCE = "if(s % 10 = 4, s - 1, s)"
+_HAPLOTYPE = "((p % 20) * 7 + ((p div 20) div 10) * 13 + g * 29 + (g div 7) * 3) % 16"
+
+
 def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One call per (part, supplier) pair of lineitem; the aggregate reads five of its columns.
 
@@ -67,16 +74,12 @@ def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = (
         table(spark, sf_dir, "lineitem").filter("l_suppkey >= 2")
         .groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-        .agg(
-            F.bool_or(F.expr("l_returnflag = 'R' and l_linenumber = 7")).alias("dropped"),
-            F.bool_or(F.expr("l_returnflag = 'A' and l_linenumber = 1 and l_quantity <= 2")).alias("half"),
-            F.bool_or(F.expr("l_quantity = 50")).alias("odd"),
-        )
+        .agg(*[F.bool_or(F.expr(said)).alias(name) for name, said in _FACTS.items()])
     )
     state = """case when s % 9 = 0 and odd then 'X' when h < 4 then 'H' when h = 4 and s % 4 = 2 then 'B' else 'A' end"""
     return (
-        cells.withColumn("g", F.expr("if(s % 10 = 4, s - 1, s)"))
-        .withColumn("h", F.expr("((p % 20) * 7 + ((p div 20) div 10) * 13 + g * 29 + (g div 7) * 3) % 16"))
+        cells.withColumn("g", F.expr(_SOURCE))
+        .withColumn("h", F.expr(_HAPLOTYPE))
         .withColumn("state", F.expr(state))
         .selectExpr(
             "concat('m', p) as marker_id", "concat('s', s) as sample_id",
@@ -86,6 +89,34 @@ def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def batch_calls(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+    """(b, p, c0, c1, ...): the calls of ``progeny_calls`` per batch of neighbouring samples and marker: STRUCT(s, a1, a2), or NULL.
+
+    A line gives its call a few bits (there is one, dropped, half, third allele, heterozygous, donor), and the bits of a
+    batch's lines at a marker meet by OR, in one shuffle.
+    """
+    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey >= 2").selectExpr("l_partkey as p", "l_suppkey as s", *[f"{said} as {name}" for name, said in _FACTS.items()])
+    lines = lines.withColumn("g", F.expr(_SOURCE)).withColumn("h", F.expr(_HAPLOTYPE))
+    bits = """1 | if(dropped, 2, 0) | if(half, 4, 0) | if(s % 9 = 0 and odd, 8, 0) | case when h < 4 then 16 when h = 4 and s % 4 = 2 then 32 else 0 end"""
+    met = lines.selectExpr(f"s div {batch} as b", "p", f"shiftleft({bits}, cast(s % {batch} as int) * 6) as bits").groupBy("b", "p").agg(F.bit_or("bits").alias("bits"))
+    # the two alleles by the parity of the marker and the bits of a call: most places are of bits that do not occur together
+    sides = [_sides(x, r) for r in range(2) for x in range(64)]
+    first, second = (F.array(*[F.lit(side[k]).cast("int") for side in sides]) for k in range(2))
+    places = computed_once(met, ["b", "p"], **{f"x{k}": F.expr(f"cast(p % 2 as int) * 64 + (shiftright(bits, {6 * k}) & 63)") for k in range(batch)})
+    return computed_once(places, ["b", "p"], **{
+        f"c{k}": F.when(F.expr(f"x{k} & 1 = 1"), F.struct(F.expr(f"b * {batch} + {k}").alias("s"), F.get(first, f"x{k}").alias("a1"), F.get(second, f"x{k}").alias("a2")))
+        for k in range(batch)
+    })
+
+
+def _sides(bits: int, r: int) -> tuple[int | None, int | None]:
+    """The alleles that the bits of a call stand for, where the recurrent parent has allele ``r``."""
+    dropped, half, third, het, donor = (bits & 1 << k for k in range(1, 6))
+    base = r if third else 0 if het else 1 - r if donor else r
+    other = 2 if third else 1 if het else base
+    return None if dropped else base, None if dropped or half else other
+
+
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     parents = parent_calls(spark, sf_dir)
     return Dataset(markers(spark, sf_dir), samples(spark, sf_dir), parents.unionByName(progeny_calls(spark, sf_dir)), parents=parents)

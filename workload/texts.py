@@ -6,10 +6,13 @@ the text grows linearly with lineitem.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from introspark.operators.common import land
+from introspark.sources.lines import per_file
 from workload import binding
 
 BATCH = 4
@@ -22,16 +25,26 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """(b, p, names, c): per batch and marker, an array of the batch's calls (NULL where none was made)."""
-    calls = binding.progeny_calls(spark, sf).selectExpr(
-        "cast(substr(marker_id, 2) as bigint) as p", "cast(substr(sample_id, 2) as bigint) as s", "a1", "a2"
-    )
-    call = F.struct("s", "a1", "a2")
-    slots = [F.max(F.when(F.col("s") % BATCH == k, call)).alias(f"c{k}") for k in range(BATCH)]
-    cells = calls.groupBy((F.expr("s div 4")).alias("b"), "p").agg(*slots)
-    return cells.join(batches(spark, sf), "b").select(
-        "b", "p", "names", F.slice(F.array(*[f"c{k}" for k in range(BATCH)]), 1, F.size("names")).alias("c")
-    )
+    """(b, p, n, c0, c1, ...): per batch and marker, the calls of the batch's ``n`` samples (NULL where none was made)."""
+    sizes = land(batches(spark, sf).select(F.col("b").alias("file"), F.size("names").alias("n")), "batch-sizes")
+    cells = binding.batch_calls(spark, sf, BATCH).withColumnsRenamed({"b": "file", "p": "ord"})
+    return per_file(cells, sizes, "inner").withColumnsRenamed({"file": "b", "ord": "p"})
+
+
+def _each(made: Callable[[Column, int], Column]) -> Column:
+    """What ``made`` gives for the call and the number of each of the batch's samples, as an array."""
+    return F.slice(F.array(*[made(F.col(f"c{k}"), k) for k in range(BATCH)]), 1, F.col("n"))
+
+
+def _spelled(c: Column, style: Column, absent: str | None, *rules: Callable[[int | None, int | None], str | None]) -> Column:
+    """The text of a call by the rule numbered ``style``: looked up among the texts of all calls.
+
+    ``absent`` stands for a call that was not made; without it that is read as one with both sides missing.
+    """
+    sides = (None, 0, 1, 2)
+    listed = [text for rule in rules for text in [*[rule(x, y) for x in sides for y in sides], rule(None, None) if absent is None else absent]]
+    place = F.when(c.isNull(), 16).otherwise(F.coalesce(c["a1"] + 1, F.lit(0)) * 4 + F.coalesce(c["a2"] + 1, F.lit(0)))
+    return F.get(F.array(*[F.lit(text).cast("string") for text in listed]), style * 17 + place)
 
 
 def _file(prefix: str, extension: str) -> Column:
@@ -47,16 +60,18 @@ def _lines(body: DataFrame, *heads: DataFrame) -> DataFrame:
 
 
 def vcf_lines(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
-    gt = lambda c: F.when(c.isNull(), F.lit(".")).otherwise(
-        F.concat(
-            F.coalesce(c["a1"].cast("string"), F.lit(".")), F.when(c["s"] % 2 == 1, "|").otherwise("/"), F.coalesce(c["a2"].cast("string"), F.lit("."))
-        )
-    )
-    plain = F.transform("c", lambda c: F.when((F.col("p") % 7 == 0) & (c["a1"] == c["a2"]), c["a1"].cast("string")).otherwise(gt(c)))
-    if broken:
-        plain = F.transform(plain, lambda g, i: F.when((F.col("p") % 97 == 5) & (i == 1), "0/01").when((F.col("p") % 89 == 7) & (i == 2), "0/3").otherwise(g))
     layout = F.expr("p % 3")
-    cell = F.transform(plain, lambda g: F.when(layout == 0, F.concat(F.lit("12:"), g)).when(layout == 1, F.concat(g, F.lit(":7"))).otherwise(g))
+    before, after = F.when(layout == 0, "12:").otherwise(""), F.when(layout == 1, ":7").otherwise("")
+    short = F.when(F.col("p") % 7 == 0, 1).otherwise(0)
+
+    def cell(c: Column, k: int) -> Column:
+        def both(x: int | None, y: int | None) -> str:
+            return "|/"[k % 2 == 0].join("." if a is None else str(a) for a in (x, y))
+
+        g = _spelled(c, short, ".", both, lambda x, y: str(x) if x is not None and x == y else both(x, y))
+        planted = {1: F.when(F.col("p") % 97 == 5, "0/01"), 2: F.when(F.col("p") % 89 == 7, "0/3")} if broken else {}
+        return F.concat(before, planted[k].otherwise(g) if k in planted else g, after)
+
     form = F.when(layout == 0, "DP:GT").when(layout == 1, "GT:DP").otherwise("GT")
     chrom = F.when(layout == 0, F.expr("concat('Chr', 1 + p % 20)")).when(layout == 1, F.expr("concat('Gm', lpad(cast(1 + p % 20 as string), 2, '0'))")).otherwise(
         F.expr("concat('glyma.Wm82.gnm4.Gm', lpad(cast(1 + p % 20 as string), 2, '0'))")
@@ -67,7 +82,7 @@ def vcf_lines(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     name = F.when(F.col("p") % 11 == 0, ".").otherwise(F.concat(F.lit("m"), F.col("p").cast("string")))
     body = batch_cells(spark, sf).select(
         _file("batch", ".vcf").alias("file"), (F.col("p") + 3).alias("ord"),
-        F.concat_ws("\t", chrom, position, name, F.lit("A"), F.lit("C,G"), F.lit("."), F.lit("PASS"), F.lit("."), form, F.array_join(cell, "\t")).alias("value"),
+        F.concat_ws("\t", chrom, position, name, F.lit("A"), F.lit("C,G"), F.lit("."), F.lit("PASS"), F.lit("."), form, F.array_join(_each(cell), "\t")).alias("value"),
     )
     fixed = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
     per_file = batches(spark, sf)
@@ -88,19 +103,23 @@ def _symbol(a: Column) -> Column:
 def _nucleotides() -> Column:
     """Batch calls as nucleotide cells in several accepted spellings."""
 
-    def cell(c: Column) -> Column:
-        x, y, style = _symbol(c["a1"]), _symbol(c["a2"]), c["s"] % 3
-        return (
-            F.when(c.isNull() | (c["a1"].isNull() & c["a2"].isNull()), F.lit("NN"))
-            .when(c["a2"].isNull(), F.concat(x, F.lit("/N")))
-            .when((x == y) & (style == 0), x)
-            .when((style == 1) & (F.least(x, y) == "A") & (F.greatest(x, y) == "C"), F.lit("m"))
-            .when(style == 1, F.concat(x, F.lit("|"), y))
-            .when(style == 2, F.concat(y, F.lit("/"), x))
-            .otherwise(F.concat(x, y))
-        )
+    def spelling(style: int) -> Callable[[int | None, int | None], str | None]:
+        def cell(x: int | None, y: int | None) -> str | None:
+            if y is None:
+                return "NN" if x is None else "ACG"[x] + "/N"
+            if x is None:
+                return None
+            x, y = "ACG"[x], "ACG"[y]
+            if style == 1:
+                return "m" if {x, y} == {"A", "C"} else f"{x}|{y}"
+            return f"{y}/{x}" if style == 2 else x if x == y else x + y
+
+        return cell
 
-    return F.transform("c", cell)
+    def cell(c: Column, k: int) -> Column:
+        return _spelled(c, F.expr(f"cast((b * {BATCH} + {k}) % 3 as int)"), "NN", *[spelling(style) for style in range(3)])
+
+    return _each(cell)
 
 
 def _marker_name() -> Column:
@@ -124,25 +143,21 @@ def hapmap_lines(spark: SparkSession, sf: str) -> DataFrame:
 def wide_lines(spark: SparkSession, sf: str, tokens: str = "nucleotide") -> DataFrame:
     """tokens: nucleotide, coded (A/B/H/N by parental state), kasp (X:Y tokens) or het (one symbol, H for a heterozygote)."""
 
-    def coded(c: Column) -> Column:
-        r = (F.col("p") % 2).cast("int")
-        return (
-            F.when(c.isNull() | c["a1"].isNull() | c["a2"].isNull() | (c["a2"] == 2), "N")
-            .when((c["a1"] == r) & (c["a2"] == r), "a").when(c["a1"] == c["a2"], "B").otherwise("H")
-        )
-
-    def kasp(c: Column) -> Column:
-        side = lambda a: F.when(a == 0, "X").otherwise("Y")
-        silent = c.isNull() | c["a1"].isNull() | c["a2"].isNull() | (c["a2"] == 2)
-        return F.when(silent & (F.col("p") % 2 == 0), "?").when(silent, "uncallable").otherwise(F.concat(side(c["a1"]), F.lit(":"), side(c["a2"])))
-
-    def het(c: Column) -> Column:
-        return (
-            F.when(c.isNull() | c["a1"].isNull() | c["a2"].isNull() | (c["a2"] == 2), "U")
-            .when(c["a1"] == c["a2"], _symbol(c["a1"])).otherwise("H")
-        )
-
-    cells = {"nucleotide": _nucleotides, "coded": lambda: F.transform("c", coded), "kasp": lambda: F.transform("c", kasp), "het": lambda: F.transform("c", het)}[tokens]()
+    def silent(x: int | None, y: int | None) -> bool:
+        return x is None or y is None or y == 2
+
+    def coded(c: Column, k: int) -> Column:
+        rules = [lambda x, y, r=r: "N" if silent(x, y) else "a" if x == y == r else "B" if x == y else "H" for r in range(2)]
+        return _spelled(c, F.expr("cast(p % 2 as int)"), "N", *rules)
+
+    def kasp(c: Column, k: int) -> Column:
+        rules = [lambda x, y, none=none: none if silent(x, y) else f"{'YX'[x == 0]}:{'YX'[y == 0]}" for none in ("?", "uncallable")]
+        return _spelled(c, F.expr("cast(p % 2 as int)"), None, *rules)
+
+    def het(c: Column, k: int) -> Column:
+        return _spelled(c, F.lit(0), "U", lambda x, y: "U" if silent(x, y) else "ACG"[x] if x == y else "H")
+
+    cells = {"nucleotide": _nucleotides, "coded": lambda: _each(coded), "kasp": lambda: _each(kasp), "het": lambda: _each(het)}[tokens]()
     chrom = F.when(F.col("p") % 3 == 0, F.expr("concat('\"chr ', 1 + p % 20, '\"')")).otherwise(F.expr("concat('LG', 1 + p % 20)"))
     body = batch_cells(spark, sf).select(
         _file("batch", ".csv").alias("file"), (F.col("p") + 2).alias("ord"),
@@ -188,7 +203,7 @@ def map_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def kasp_long_lines(spark: SparkSession, sf: str, conflicting: bool = False) -> DataFrame:
     """Sectioned long exports: preamble, then one row per call; some rows are repeated with the alleles swapped."""
-    calls = batch_cells(spark, sf).select("b", "p", F.posexplode("c").alias("k", "c")).filter("c is not null")
+    calls = batch_cells(spark, sf).select("b", "p", F.posexplode(_each(lambda c, k: c)).alias("k", "c")).filter("c is not null")
     x, y = _symbol(F.col("c.a1")), _symbol(F.col("c.a2"))
     silent = F.col("c.a1").isNull() | F.col("c.a2").isNull()
     missing = F.when(F.col("p") % 3 == 0, "?").when(F.col("p") % 3 == 1, "UNCALLABLE").otherwise(F.concat(F.lit("bad call "), (F.col("p") % 7).cast("string")))
@@ -216,8 +231,9 @@ def kasp_long_lines(spark: SparkSession, sf: str, conflicting: bool = False) ->
 
 def page_cells(spark: SparkSession, sf: str) -> DataFrame:
     """(b, page, names, rows): the batch cells of up to 100 neighbouring markers, as one array."""
-    cells = batch_cells(spark, sf)
-    return cells.groupBy("b", F.expr("p div 100").alias("page"), "names").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("rows"))
+    cells = batch_cells(spark, sf).select("b", "p", _each(lambda c, k: c).alias("c"))
+    pages = cells.groupBy("b", F.expr("p div 100").alias("page")).agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("rows"))
+    return pages.join(batches(spark, sf), "b")
 
 
 def kasp_grid_lines(spark: SparkSession, sf: str) -> DataFrame:
