@@ -197,15 +197,25 @@ def kasp_call(cell: Column) -> Column:
     return F.struct(pair.alias("call"), reason.alias("reason"))
 
 
+def linked_parts(token: Column, phased: Column, unphased: Column) -> Column:
+    """The sides of a call from a variant-set page, by the page's own separators."""
+    text = strip(token)
+    one = F.when(phased != "", F.replace(text, phased, F.lit("\u0001"))).otherwise(text)
+    two = F.when(unphased != "", F.replace(one, unphased, F.lit("\u0001"))).otherwise(one)
+    return F.split(two, "\u0001")
+
+
 def linked_call(token: Column, phased: Column, unphased: Column, unknown: Column) -> Column:
-    """STRUCT(a1, a2, problem) of a call from a variant-set page, with the page's own separators.
+    """``linked_call_of`` the parts of a call; for many cells, ``linked_parts`` first and ``linked_call_of`` from them."""
+    return linked_call_of(token, linked_parts(token, phased, unphased), unknown)
+
+
+def linked_call_of(token: Column, parts: Column, unknown: Column) -> Column:
+    """STRUCT(a1, a2, problem) of a call from a variant-set page and its parts.
 
     One missing side makes the whole call missing; index 127 is already refused here.
     """
     text = strip(token)
-    one = F.when(phased != "", F.replace(text, phased, F.lit("\u0001"))).otherwise(text)
-    two = F.when(unphased != "", F.replace(one, unphased, F.lit("\u0001"))).otherwise(one)
-    parts = F.split(two, "\u0001")
     x, y = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.size(parts))
     silent = F.coalesce(text, F.lit("")).isin("") | (text == unknown)
 

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introspark.functions.calls import linked_call
+from introspark.functions.calls import linked_call_of, linked_parts
 from introspark.functions.chrom import SOYBEAN, Crop, canonical_chrom
 from introspark.functions.text import strip
-from introspark.operators.common import duplicates
+from introspark.operators.common import computed_once, duplicates, land
 from introspark.schema import CALL_SET_COLUMNS
 
 CALL_SET_PAGE = "result struct<data: array<struct<callSetDbId: string, callSetName: string, sampleDbId: string>>>"
@@ -112,14 +112,23 @@ def _shaped(pages: DataFrame) -> DataFrame:
     return shaped.filter(good)
 
 
-def matrix_cells(pages: DataFrame) -> DataFrame:
-    """One row per cell of the GT matrices: ids, token and the page's separators. Misshapen pages yield none."""
-    rows = _shaped(pages).select("file", "c", "phased", "unphased", "unknown", F.inline(F.arrays_zip("v", "gt")))
-    return rows.select("file", "phased", "unphased", "unknown", F.col("v").alias("variant_db_id"), F.inline(F.arrays_zip("c", "gt"))).select(
-        "file", "variant_db_id", F.col("c").alias("call_set_db_id"), F.col("gt").alias("token"), "phased", "unphased", "unknown"
+def matrix_rows(pages: DataFrame) -> DataFrame:
+    """One row per variant of the GT matrices: its id, the page's call sets, tokens and separators. Misshapen pages yield none."""
+    return _shaped(pages).select("file", "c", "phased", "unphased", "unknown", F.inline(F.arrays_zip("v", "gt")))
+
+
+def row_cells(rows: DataFrame, *kept: str) -> DataFrame:
+    """One row per cell of ``matrix_rows``, with the columns ``kept`` of its row."""
+    return rows.select("file", "phased", "unphased", "unknown", F.col("v").alias("variant_db_id"), *kept, F.inline(F.arrays_zip("c", "gt"))).select(
+        "file", "variant_db_id", F.col("c").alias("call_set_db_id"), F.col("gt").alias("token"), "phased", "unphased", "unknown", *kept
     )
 
 
+def matrix_cells(pages: DataFrame) -> DataFrame:
+    """One row per cell of the GT matrices: ids, token and the page's separators."""
+    return row_cells(matrix_rows(pages))
+
+
 def page_problems(pages: DataFrame) -> DataFrame:
     """Pages without a GT matrix, misshapen, with a repeated id, or read twice."""
     gt = F.try_element_at(F.filter("result.dataMatrices", lambda m: m["dataMatrixAbbreviation"] == "GT"), F.lit(1))["dataMatrix"]
@@ -139,15 +148,15 @@ def page_problems(pages: DataFrame) -> DataFrame:
 def parse_pages(
     call_set_pages: DataFrame, variant_pages: DataFrame, matrix_pages: DataFrame, crop: Crop = SOYBEAN, marker_map: DataFrame | None = None
 ) -> VariantSet:
-    sets, listed = call_sets(call_set_pages), variants(variant_pages, crop, marker_map)
-    cells = matrix_cells(matrix_pages)
-    known = cells.join(listed.select("variant_db_id", "marker_id", F.size("alleles").alias("n_alleles")), "variant_db_id", "left").join(
-        sets.select("call_set_db_id", "sample_id"), "call_set_db_id", "left"
-    )
-    call = linked_call(F.col("token"), F.col("phased"), F.col("unphased"), F.col("unknown"))
+    # written: every call meets both lists, and their sizes decide how
+    sets, listed = land(call_sets(call_set_pages), "call-sets"), land(variants(variant_pages, crop, marker_map), "variants")
+    rows = matrix_rows(matrix_pages).join(listed.select(F.col("variant_db_id").alias("v"), "marker_id", F.size("alleles").alias("n_alleles")), "v", "left")
+    known = row_cells(rows, "marker_id", "n_alleles").join(sets.select("call_set_db_id", "sample_id"), "call_set_db_id", "left")
+    known = computed_once(known, [c for c in known.columns if c not in ("phased", "unphased")], parts=linked_parts(F.col("token"), F.col("phased"), F.col("unphased")))
+    call = linked_call_of(F.col("token"), F.col("parts"), F.col("unknown"))
     # a variant without listed bases has no allele count to exceed (size of NULL is -1 or NULL)
     beyond = (F.col("n_alleles") > 0) & (F.greatest("call.a1", "call.a2") >= F.col("n_alleles"))
-    judged = known.withColumn("call", call).withColumn(
+    judged = computed_once(known, known.columns, call=call).withColumn(
         "kind",
         F.when(F.col("marker_id").isNull(), "variant not in the variant list").when(F.col("sample_id").isNull(), "call set not in the call set list")
         .when(F.col("call.problem").isNotNull(), F.col("call.problem")).when(beyond, "allele index beyond the variant's alleles"),
