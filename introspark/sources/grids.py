@@ -98,6 +98,8 @@ def _whole(text: DataFrame, heads: DataFrame, fixed: int) -> DataFrame:
 def detect_coding(rows: DataFrame, claimed: list[str]) -> DataFrame:
     """One row: whether every voting cell is A, B or H and some cell is B or H."""
     voting = F.filter(F.transform("tokens", C.token), lambda t: C.votes_for_coding(t, claimed))
+    rows = computed_once(rows, [], voting=voting)
+    voting = F.col("voting")
     return rows.select(
         F.forall(voting, lambda t: t.isin("A", "B", "H")).alias("only"), F.exists(voting, lambda t: t.isin("B", "H")).alias("some")
     ).agg((F.coalesce(F.every("only"), F.lit(False)) & F.coalesce(F.some("some"), F.lit(False))).alias("coded"))
@@ -115,6 +117,12 @@ def wide_rows(lines: DataFrame, crop: Crop = SOYBEAN) -> DataFrame:
     return _wide_rows(headed(lines, _wide_heads(lines)), crop)
 
 
+def wide_tokens(lines: DataFrame) -> DataFrame:
+    """(tokens): the sample cells of every row of ``wide_rows``, whose places and names are not read."""
+    rows = data_rows(headed(lines, _wide_heads(lines)))
+    return rows.select(F.slice("cells", len(WIDE_FIXED) + 1, F.greatest(F.size("header") - len(WIDE_FIXED), F.lit(0))).alias("tokens"))
+
+
 def _wide_rows(text: DataFrame, crop: Crop) -> DataFrame:
     rows = data_rows(text).withColumn("header", F.transform("header", strip))
     cell = [F.try_element_at("cells", F.lit(i)) for i in (1, 2, 3)]

@@ -96,7 +96,7 @@ def p7_wide_coded_calls(spark, sf):
     SELECT * FROM (VALUES ('coded', true), ('nucleotide', false)) t(tokens, coded) WHERE (SELECT count(*) FROM progeny_calls) > 0""")
 def p8_detect_coding(spark, sf):
     found = [
-        grids.detect_coding(grids.wide_rows(texts.wide_lines(spark, sf, t)), []).select(F.lit(t).alias("tokens"), "coded") for t in ("coded", "nucleotide")
+        grids.detect_coding(grids.wide_tokens(texts.wide_lines(spark, sf, t)), []).select(F.lit(t).alias("tokens"), "coded") for t in ("coded", "nucleotide")
     ]
     return found[0].unionByName(found[1])
 
