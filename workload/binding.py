@@ -76,17 +76,13 @@ def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
         .agg(*[F.bool_or(F.expr(said)).alias(name) for name, said in _FACTS.items()])
     )
-    state = """case when s % 9 = 0 and odd then 'X' when h < 4 then 'H' when h = 4 and s % 4 = 2 then 'B' else 'A' end"""
-    return (
-        cells.withColumn("g", F.expr(_SOURCE))
-        .withColumn("h", F.expr(_HAPLOTYPE))
-        .withColumn("state", F.expr(state))
-        .selectExpr(
-            "concat('m', p) as marker_id", "concat('s', s) as sample_id",
-            """cast(case when dropped then null when state = 'H' then 0 when state = 'B' then 1 - p % 2 else p % 2 end as int) as a1""",
-            """cast(case when dropped or half then null when state = 'X' then 2 when state = 'H' then 1 when state = 'B' then 1 - p % 2 else p % 2 end as int) as a2""",
-        )
-    )
+    state = F.expr("case when s % 9 = 0 and odd then 'X' when h < 4 then 'H' when h = 4 and s % 4 = 2 then 'B' else 'A' end")
+    a1 = "cast(case when dropped then null when state = 'H' then 0 when state = 'B' then 1 - p % 2 else p % 2 end as int)"
+    a2 = "cast(case when dropped or half then null when state = 'X' then 2 when state = 'H' then 1 when state = 'B' then 1 - p % 2 else p % 2 end as int)"
+    # a filter on the alleles would repeat all of this, in a method too long for the JVM to compile
+    stated = computed_once(cells.withColumn("g", F.expr(_SOURCE)).withColumn("h", F.expr(_HAPLOTYPE)), ["p", "s", "dropped", "half"], state=state)
+    called = computed_once(stated, ["p", "s"], a1=F.expr(a1), a2=F.expr(a2))
+    return called.selectExpr("concat('m', p) as marker_id", "concat('s', s) as sample_id", "a1", "a2")
 
 
 def batch_calls(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
