@@ -25,11 +25,12 @@ PIECE = 1 << 21
 REMEMBERED = 1_000_000
 #: New stretches handed to the library at once.
 LEARNED = 2048
+#: Stretches, and id pairs, of one row of a piece's lists.
+LISTED = 8192
 #: An id pair as one int: the second tokenizer's ids have so many bits.
 B_BITS = 15
 
-_LISTS = ["doc_ids", "n_a", "n_b", "n_groups"]
-_PIECES = "piece long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, n_units array<long>, units binary, unit_pairs binary, unit_links binary, pairs array<int>, pair_n array<long>"
+_PIECES = "piece long, doc_id long, n_a long, n_b long, n_groups long, digest string, units binary, chunk int, unit_pairs binary, unit_links binary, pairs array<int>, pair_n array<long>"
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_overlaps long"
 _BEFORE_WORD = np.zeros(256, bool)
 _BEFORE_WORD[0x21:0x7F] = True
@@ -124,8 +125,8 @@ class Pair:
         self.pairs.append(np.array(pairs, np.int32), np.array(n_pairs, np.int64))
         self.spelling.append(np.frombuffer(b"".join(spelling), np.uint8), np.fromiter(map(len, spelling), np.int64, len(units)))
 
-    def align(self, doc_ids: list[int | None], texts: pa.Array) -> dict[str, list]:
-        """One row of ``_PIECES`` but for ``piece``, for texts that are neither null nor empty."""
+    def align(self, doc_ids: pa.Array | list, texts: pa.Array) -> dict[str, pa.Array | np.ndarray | list]:
+        """Of texts that are neither null nor empty: counts, digest and stretches per text, and the lists of stretches and id pairs they share."""
         data, offsets = text_buffers(pc.binary_join_element_wise(pa.scalar(" "), texts.cast(pa.string()), pa.scalar("")))
         begins = np.zeros(len(data), bool)
         begins[1:-1] = (data[1:-1] == 0x20) & _BEFORE_WORD[data[2:]] & (data[:-2] != 0x20)
@@ -177,20 +178,52 @@ class Pair:
         used, place = np.unique(pairs, return_inverse=True)
         counts = np.bincount(place, weight, len(used)).astype(np.int64)
         return {
-            "doc_ids": [doc_ids], "n_a": [n_a], "n_b": [n_b], "n_groups": [n_groups], "digests": [digests], "n_units": [n_units], "units": [at.astype("<i4").tobytes()],
-            "unit_pairs": [place.astype("<i4").tobytes()], "unit_links": [n_pairs.astype("<i4").tobytes()], "pairs": [used.astype(np.int32)], "pair_n": [counts],
+            "doc_id": doc_ids, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "digests": digests, "n_units": n_units, "units": at,
+            "unit_pairs": place, "unit_links": n_pairs, "pairs": used, "pair_n": counts,
         }
 
 
+_SCHEMA = pa.schema([
+    ("piece", pa.int64()), *[(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups")], ("digest", pa.string()), ("units", pa.binary()), ("chunk", pa.int32()),
+    ("unit_pairs", pa.binary()), ("unit_links", pa.binary()), ("pairs", pa.list_(pa.int32())), ("pair_n", pa.list_(pa.int64())),
+])
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of whole numbers, as little-endian 32-bit ones."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(values.astype("<i4").tobytes())])
+
+
+def _rows(piece: int, n: int, **columns: pa.Array | np.ndarray | list) -> pa.RecordBatch:
+    """Rows of ``_SCHEMA``; columns that aren't given are null."""
+    given = columns | {"piece": np.full(n, piece)}
+    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def piece_rows(piece: int, found: dict) -> Iterator[pa.RecordBatch]:
+    """What ``Pair.align`` found as rows of ``_PIECES``: one per document, and the lists they share, in chunks of ``LISTED``."""
+    def upto(lengths: np.ndarray) -> np.ndarray:
+        return np.append(0, np.cumsum(lengths))
+
+    per_text = {c: found[c] for c in ("doc_id", "n_a", "n_b", "n_groups")}
+    yield _rows(piece, len(found["digests"]), **per_text, digest=found["digests"], units=_cut(found["units"], upto(found["n_units"])))
+    links, pairs = found["unit_links"], found["pairs"].astype(np.int32)
+    chunks = np.arange(-(-max(len(links), len(pairs)) // LISTED))
+    of_units, of_pairs = (np.minimum(LISTED * np.arange(len(chunks) + 1), n) for n in (len(links), len(pairs)))
+    yield _rows(
+        piece, len(chunks), chunk=chunks, unit_pairs=_cut(found["unit_pairs"], upto(links)[of_units]), unit_links=_cut(links, of_units),
+        **{c: pa.ListArray.from_arrays(pa.array(of_pairs, pa.int32()), pa.array(values)) for c, values in (("pairs", pairs), ("pair_n", found["pair_n"]))},
+    )
+
+
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
 def aligned_pieces(docs: DataFrame, a_path: str, b_path: str, piece: int = PIECE) -> DataFrame:
-    """Rows of ``_PIECES`` for ``docs`` (``doc_id, text``): documents of about ``piece`` bytes, with their own list of id pairs."""
-    schema = pa.schema([
-        ("piece", pa.int64()), *[(c, pa.list_(pa.int64())) for c in _LISTS], ("digests", pa.list_(pa.string())), ("n_units", pa.list_(pa.int64())),
-        *[(c, pa.binary()) for c in ("units", "unit_pairs", "unit_links")], ("pairs", pa.list_(pa.int32())), ("pair_n", pa.list_(pa.int64())),
-    ])
+    """Rows of ``_PIECES`` for ``docs`` (``doc_id, text``): documents of about ``piece`` bytes share their lists of stretches and id pairs.
+
+    No row holds a piece: writers, readers and sorts look at the size of what they hold once in so many rows.
+    """
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _pairs:
@@ -198,7 +231,7 @@ def aligned_pieces(docs: DataFrame, a_path: str, b_path: str, piece: int = PIECE
         pair, n = _pairs[a_path, b_path], TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in pieces(batch, "text", piece):
-                yield pa.RecordBatch.from_pydict({"piece": [n]} | pair.align(part.column("doc_id").to_pylist(), part.column("text")), schema)
+                yield from piece_rows(n, pair.align(part.column("doc_id"), part.column("text")))
                 n += 1
 
     return docs.mapInArrow(align, _PIECES)
@@ -224,7 +257,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_i
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     filled = F.coalesce(F.col("text") != "", F.lit(False))
     found = land(aligned_pieces(rows.filter(filled), a_path, b_path, piece), "aligned-pieces")
-    listed = found.select("piece", F.posexplode(F.arrays_zip("pairs", "pair_n")).alias("at", "p")).select("piece", "at", "p.pairs", "p.pair_n")
+    listed = found.filter("chunk is not null").select("piece", "chunk", F.posexplode(F.arrays_zip("pairs", "pair_n")).alias("at", "p")).select(
+        "piece", (F.col("chunk") * LISTED + F.col("at")).alias("at"), "p.pairs", "p.pair_n")
     counts = listed.groupBy("pairs").agg(F.sum("pair_n").alias("count"))
     counts = land(counts.withColumn("b", F.col("pairs").bitwiseAND((1 << B_BITS) - 1)), "pair-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
@@ -232,12 +266,14 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_i
     answers = listed.join(known, "pairs").select(F.col("piece").alias("of"), "at", "count", "best")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        one = {c: left.column(c)[0] for c in left.column_names}
+        docs = left.filter(pc.is_null(left.column("chunk")))
+        lists = left.filter(pc.is_valid(left.column("chunk"))).sort_by("chunk")
         order = np.argsort(right.column("at").to_numpy())
         count, best = right.column("count").to_numpy()[order], right.column("best").to_numpy(zero_copy_only=False)[order]
-        place, links, units = (np.frombuffer(one[c].as_py(), "<i4") for c in ("unit_pairs", "unit_links", "units"))
-        n_units = np.array(one["n_units"].as_py(), np.int64)
-        lists = {c: np.array(one[c].as_py(), np.int64) for c in _LISTS[1:]}
+        place, links, units = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<i4") for t, c in ((lists, "unit_pairs"), (lists, "unit_links"), (docs, "units")))
+        n_units = pc.binary_length(docs.column("units")).to_numpy() // 4
+        n_a, n_b, n_groups = (docs.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups"))
+
         def added(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             """Exact sums of runs of values."""
             upto = np.append(0, np.cumsum(values, dtype=np.int64))
@@ -246,8 +282,8 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_i
 
         count_sum, n_best = (added(added(x[place], links)[units], n_units) for x in (count, best))
         return pa.table({
-            "doc_id": one["doc_ids"].values, **lists, "n_links": lists["n_groups"], "n_best": n_best, "count_sum": count_sum, "groups_sha256": one["digests"].values,
-            "n_overlaps": lists["n_a"] + lists["n_b"] - lists["n_groups"],
+            "doc_id": docs.column("doc_id"), "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups, "n_best": n_best, "count_sum": count_sum,
+            "groups_sha256": docs.column("digest"), "n_overlaps": n_a + n_b - n_groups,
         }).cast(pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in _ALIGNED.split(", ")]))
 
     done = found.drop("pairs", "pair_n").groupBy("piece").cogroup(answers.groupBy("of")).applyInArrow(finish, _ALIGNED)

@@ -233,3 +233,25 @@ def test_galloping(seed):
     for n, m in ((0, 5), (1, 1), (3, 400), (400, 3), (50, 60), (200, 200)):
         a, b = sorted(rng.sample(range(500), n)), sorted(rng.sample(range(500), m))
         assert alignment.common_ends(a, b) == [(a.index(x), b.index(x)) for x in sorted(set(a) & set(b))]
+
+
+def test_no_row_holds_a_piece(spark, monkeypatch):
+    """Documents are rows of their own, and the lists of a piece come in chunks that give the same lists again."""
+    import numpy as np
+    import pyarrow as pa
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    texts = [f"word{i} {i * i} and again word{i // 2}, some more" for i in range(200)]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = alignment.aligned_pieces(data, *paths).collect()
+    assert len({r["piece"] for r in rows}) == 1
+    documents = [r for r in rows if r["chunk"] is None]
+    assert sorted(r["doc_id"] for r in documents) == list(range(200)) and max(len(r["units"]) for r in documents) < 100
+    monkeypatch.setattr(alignment, "LISTED", 7)
+    found = alignment.Pair(*paths).align(list(range(200)), pa.array(texts))
+    _, lists = alignment.piece_rows(3, found)
+    assert lists["chunk"].to_pylist() == list(range(lists.num_rows)) and lists.num_rows > 20
+    assert max(map(len, lists["pairs"].to_pylist())) == 7 and max(len(x) for x in lists["unit_links"].to_pylist()) == 28
+    assert lists["pairs"].flatten().to_pylist() == found["pairs"].tolist() and lists["pair_n"].flatten().to_pylist() == found["pair_n"].tolist()
+    for name in ("unit_pairs", "unit_links"):
+        assert np.frombuffer(b"".join(lists[name].to_pylist()), "<i4").tolist() == found[name].tolist()
