@@ -46,8 +46,11 @@ def read_pages(spark: SparkSession, folder: str, crop: Crop = SOYBEAN, marker_ma
 
 
 def page_from_json(lines: DataFrame, schema: str) -> DataFrame:
-    """(file, result) from lines that each hold one page."""
-    return lines.select("file", F.from_json("value", schema)["result"].alias("result"))
+    """(file, result) from lines that each hold one page.
+
+    A generated column: every later use of a part of the page would otherwise parse the page again.
+    """
+    return lines.select("file", F.explode(F.array(F.from_json("value", schema)["result"])).alias("result"))
 
 
 def _text(c: Column) -> Column:
@@ -99,17 +102,20 @@ def variants(pages: DataFrame, crop: Crop = SOYBEAN, marker_map: DataFrame | Non
     return out.withColumn("problem", problem).drop("fractional")
 
 
-def _shaped(pages: DataFrame) -> DataFrame:
-    """The pages whose GT matrix has the shape of its ids, with their separators."""
+def _shaped(pages: DataFrame, filled: bool = False) -> DataFrame:
+    """The pages whose GT matrix has the shape of its ids, with their separators; with ``filled``, those that have a cell."""
     gt = F.try_element_at(F.filter("result.dataMatrices", lambda m: m["dataMatrixAbbreviation"] == "GT"), F.lit(1))["dataMatrix"]
-    shaped = pages.select(
-        "file", F.transform("result.variantDbIds", strip).alias("v"), F.transform("result.callSetDbIds", strip).alias("c"), gt.alias("gt"),
+    # by the ids as they stand: a filter above the selection would trim them once more
+    v, c = F.size("result.variantDbIds"), F.size("result.callSetDbIds")
+    good = pages.withColumn("gt", gt).filter((F.size("gt") == v) & F.forall("gt", lambda row: F.size(row) == c))
+    if filled:
+        good = good.filter((v > 0) & (c > 0))
+    return good.select(
+        "file", F.transform("result.variantDbIds", strip).alias("v"), F.transform("result.callSetDbIds", strip).alias("c"), "gt",
         F.coalesce(F.nullif(_text(F.col("result.sepPhased")), F.lit("")), F.lit("|")).alias("phased"),
         F.coalesce(F.nullif(_text(F.col("result.sepUnphased")), F.lit("")), F.lit("/")).alias("unphased"),
         F.coalesce(F.nullif(_text(F.col("result.unknownString")), F.lit("")), F.lit(".")).alias("unknown"),
     )
-    good = (F.size("gt") == F.size("v")) & F.forall("gt", lambda row: F.size(row) == F.size(F.col("c")))
-    return shaped.filter(good)
 
 
 def matrix_rows(pages: DataFrame) -> DataFrame:
@@ -174,28 +180,37 @@ def parse_pages(
     markers = listed.filter("problem is null").join(top, "marker_id", "left").select(
         "marker_id", "chrom", "pos_bp", F.lit(None).cast("double").alias("cm"), "file_ord", F.coalesce("alleles", numbers).alias("alleles")
     )
-    warnings = _warnings(sets, listed, carried_ids(matrix_pages))
+    warnings = _warnings(sets, listed, carried_marks(matrix_pages))
     return VariantSet(markers, good.select("marker_id", "sample_id", "call.a1", "call.a2"), sets.select(*CALL_SET_COLUMNS), violations, warnings)
 
 
 def carried_ids(pages: DataFrame) -> DataFrame:
-    """(key, id): the ids that matrix pages carry a cell of, once each: from the ids of the pages, not from their cells."""
-    def marked(ids: str, key: str) -> Column:
-        return F.transform(ids, lambda x: F.struct(F.lit(key).alias("key"), x.alias("id")))
+    """(key, id): the ids that matrix pages carry a cell of, once each."""
+    return carried_marks(pages).distinct()
 
-    full = _shaped(pages).filter((F.size("v") > 0) & (F.size("c") > 0))
-    return full.select(F.inline(F.concat(marked("v", "variant_db_id"), marked("c", "call_set_db_id")))).distinct()
 
+def carried_marks(pages: DataFrame) -> DataFrame:
+    """(key, id) per page and id that it carries a cell of: from the ids of the pages, not from their cells."""
+    def marked(ids: str, key: str) -> Column:
+        return F.transform(ids, lambda x: F.struct(F.lit(key).alias("key"), x.alias("id")))
 
-def uncovered(listed: DataFrame, carried: DataFrame, key: str) -> DataFrame:
-    """Listed ids no matrix page carries: all their calls are missing."""
-    return listed.select(key).join(carried.filter(F.col("key") == key).select(F.col("id").alias(key)), key, "left_anti")
+    return _shaped(pages, filled=True).select(F.inline(F.concat(marked("v", "variant_db_id"), marked("c", "call_set_db_id"))))
 
 
 def _warnings(sets: DataFrame, listed: DataFrame, carried: DataFrame) -> DataFrame:
     names = sets.filter("n_sharing > 1 and call_set_name <> ''").groupBy("call_set_name").agg(F.count(F.lit(1)).alias("n"))
     return (
         names.select(F.lit("shared call set name").alias("kind"), F.col("call_set_name").alias("subject"))
-        .unionByName(uncovered(listed, carried, "variant_db_id").select(F.lit("variant absent from every page").alias("kind"), F.col("variant_db_id").alias("subject")))
-        .unionByName(uncovered(sets, carried, "call_set_db_id").select(F.lit("call set absent from every page").alias("kind"), F.col("call_set_db_id").alias("subject")))
+        .unionByName(absent(carried, variant_db_id=(listed, "variant absent from every page"), call_set_db_id=(sets, "call set absent from every page")))
     )
+
+
+def absent(carried: DataFrame, **lists: tuple[DataFrame, str]) -> DataFrame:
+    """(kind, subject) of listed ids that no matrix page carries: all their calls are missing. Given per key are its list and the
+    name of the kind; ids of all keys meet in one aggregate, so that the pages are read once."""
+    ids = carried.select("key", "id", F.lit(0).alias("n"), F.lit(True).alias("carried"))
+    for key, (listed, _) in lists.items():
+        ids = ids.unionByName(listed.select(F.lit(key).alias("key"), F.col(key).alias("id"), F.lit(1).alias("n"), F.lit(False).alias("carried")))
+    silent = ids.groupBy("key", "id").agg(F.sum("n").cast("int").alias("n"), F.bool_or("carried").alias("carried")).filter("n > 0 and not carried")
+    kind = F.create_map(*[F.lit(x) for key, (_, kind) in lists.items() for x in (key, kind)])[F.col("key")]
+    return silent.select(kind.alias("kind"), F.explode(F.array_repeat("id", F.col("n"))).alias("subject"))

@@ -85,21 +85,27 @@ def progeny_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.selectExpr("concat('m', p) as marker_id", "concat('s', s) as sample_id", "a1", "a2")
 
 
-def batch_calls(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+def batch_calls(spark: SparkSession, sf_dir: str, batch: int, page: int | None = None) -> DataFrame:
     """(b, p, c0, c1, ...): the calls of ``progeny_calls`` per batch of neighbouring samples and marker: STRUCT(s, a1, a2), or NULL.
 
     A line gives its call a few bits (there is one, dropped, half, third allele, heterozygous, donor), and the bits of a
-    batch's lines at a marker meet by OR, in one shuffle.
+    batch's lines at a marker meet by OR, in one shuffle. With ``page`` that shuffle is by batch and page of so many markers, a
+    column more: what is then gathered per page is not shuffled again.
     """
     lines = table(spark, sf_dir, "lineitem").filter("l_suppkey >= 2").selectExpr("l_partkey as p", "l_suppkey as s", *[f"{said} as {name}" for name, said in _FACTS.items()])
     lines = lines.withColumn("g", F.expr(_SOURCE)).withColumn("h", F.expr(_HAPLOTYPE))
     bits = """1 | if(dropped, 2, 0) | if(half, 4, 0) | if(s % 9 = 0 and odd, 8, 0) | case when h < 4 then 16 when h = 4 and s % 4 = 2 then 32 else 0 end"""
-    met = lines.selectExpr(f"s div {batch} as b", "p", f"shiftleft({bits}, cast(s % {batch} as int) * 6) as bits").groupBy("b", "p").agg(F.bit_or("bits").alias("bits"))
+    met = lines.selectExpr(f"s div {batch} as b", "p", f"shiftleft({bits}, cast(s % {batch} as int) * 6) as bits")
+    keys = ["b", "p"]
+    if page is not None:
+        keys = ["b", "page", "p"]
+        met = met.withColumn("page", F.expr(f"p div {page}")).repartition("b", "page")
+    met = met.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
     # the two alleles by the parity of the marker and the bits of a call: most places are of bits that do not occur together
     sides = [_sides(x, r) for r in range(2) for x in range(64)]
     first, second = (F.array(*[F.lit(side[k]).cast("int") for side in sides]) for k in range(2))
-    places = computed_once(met, ["b", "p"], **{f"x{k}": F.expr(f"cast(p % 2 as int) * 64 + (shiftright(bits, {6 * k}) & 63)") for k in range(batch)})
-    return computed_once(places, ["b", "p"], **{
+    places = computed_once(met, keys, **{f"x{k}": F.expr(f"cast(p % 2 as int) * 64 + (shiftright(bits, {6 * k}) & 63)") for k in range(batch)})
+    return computed_once(places, keys, **{
         f"c{k}": F.when(F.expr(f"x{k} & 1 = 1"), F.struct(F.expr(f"b * {batch} + {k}").alias("s"), F.get(first, f"x{k}").alias("a1"), F.get(second, f"x{k}").alias("a2")))
         for k in range(batch)
     })

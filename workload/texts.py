@@ -16,6 +16,8 @@ from introspark.sources.lines import per_file
 from workload import binding
 
 BATCH = 4
+#: Markers of a page.
+PAGE = 100
 
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,10 +26,10 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("b").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.concat(F.lit("s"), x.cast("string"))).alias("names"))
 
 
-def batch_cells(spark: SparkSession, sf: str) -> DataFrame:
+def batch_cells(spark: SparkSession, sf: str, page: int | None = None) -> DataFrame:
     """(b, p, n, c0, c1, ...): per batch and marker, the calls of the batch's ``n`` samples (NULL where none was made)."""
     sizes = land(batches(spark, sf).select(F.col("b").alias("file"), F.size("names").alias("n")), "batch-sizes")
-    cells = binding.batch_calls(spark, sf, BATCH).withColumnsRenamed({"b": "file", "p": "ord"})
+    cells = binding.batch_calls(spark, sf, BATCH, page).withColumnsRenamed({"b": "file", "p": "ord"})
     return per_file(cells, sizes, "inner").withColumnsRenamed({"file": "b", "ord": "p"})
 
 
@@ -231,9 +233,11 @@ def kasp_long_lines(spark: SparkSession, sf: str, conflicting: bool = False) ->
 
 def page_cells(spark: SparkSession, sf: str) -> DataFrame:
     """(b, page, names, rows): the batch cells of up to 100 neighbouring markers, as one array."""
-    cells = batch_cells(spark, sf).select("b", "p", _each(lambda c, k: c).alias("c"))
-    pages = cells.groupBy("b", F.expr("p div 100").alias("page")).agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("rows"))
-    return pages.join(batches(spark, sf), "b")
+    cells = batch_cells(spark, sf, PAGE).select("b", "page", "p", "n", _each(lambda c, k: c).alias("c"))
+    pages = cells.groupBy("b", "page").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("rows"), F.first("n").alias("n"))
+    # the cells are those of the batch's first n samples: joined with the names of all batches, pages would be dealt again
+    names = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.concat(F.lit("s"), (F.col("b") * BATCH + k).cast("string")))
+    return pages.select("b", "page", names.alias("names"), "rows")
 
 
 def kasp_grid_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,21 +246,15 @@ def kasp_grid_lines(spark: SparkSession, sf: str) -> DataFrame:
     cell = lambda c: F.when(c.isNull() | c["a1"].isNull() | c["a2"].isNull(), "?").otherwise(F.concat(_symbol(c["a1"]), F.lit(":"), _symbol(c["a2"])))
     marker_names = F.transform("rows", lambda r: F.concat(F.lit("m"), r["p"].cast("string")))
     file = F.concat(F.lit("grid"), F.col("b").cast("string"), F.lit("_"), F.col("page").cast("string"), F.lit(".csv"))
-    down = pages.filter("b % 2 = 1").select(
-        file.alias("file"),
-        F.posexplode(F.concat(
-            F.array(F.concat(F.lit("DNA,"), F.array_join("names", ","))),
-            F.transform("rows", lambda r: F.concat(F.lit("m"), r["p"].cast("string"), F.lit(","), F.array_join(F.transform(r["c"], cell), ","))),
-        )).alias("ord", "value"),
+    down = F.concat(
+        F.array(F.concat(F.lit("DNA,"), F.array_join("names", ","))),
+        F.transform("rows", lambda r: F.concat(F.lit("m"), r["p"].cast("string"), F.lit(","), F.array_join(F.transform(r["c"], cell), ","))),
     )
-    across = pages.filter("b % 2 = 0").select(
-        file.alias("file"),
-        F.posexplode(F.concat(
-            F.array(F.concat(F.lit("DNA,"), F.array_join(marker_names, ","))),
-            F.transform("names", lambda n, i: F.concat(n, F.lit(","), F.array_join(F.transform("rows", lambda r: cell(F.element_at(r["c"], i + 1))), ","))),
-        )).alias("ord", "value"),
+    across = F.concat(
+        F.array(F.concat(F.lit("DNA,"), F.array_join(marker_names, ","))),
+        F.transform("names", lambda n, i: F.concat(n, F.lit(","), F.array_join(F.transform("rows", lambda r: cell(F.element_at(r["c"], i + 1))), ","))),
     )
-    return _lines(down, across)
+    return _lines(pages.select(file.alias("file"), F.posexplode(F.when(F.expr("b % 2 = 1"), down).otherwise(across)).alias("ord", "value")))
 
 
 def gff3_lines(spark: SparkSession, sf: str) -> DataFrame:
