@@ -9,7 +9,7 @@ from introspark.functions.calls import kasp_call
 from introspark.functions.text import strip
 from introspark.operators.common import land
 from introspark.operators.rank import positions
-from introspark.sources.lines import data_rows, first_by, first_lines, headed
+from introspark.sources.lines import by_file, data_rows, filled, first_by, first_lines, headed
 
 #: Samples of one stretch of a wide line.
 WIDE_CHUNK = 512
@@ -43,34 +43,35 @@ def _calls(cells: DataFrame) -> DataFrame:
     )
 
 
-def grid_orientation(lines: DataFrame, markers: DataFrame, heads: DataFrame) -> DataFrame:
-    """Per file: how many header cells and how many first cells are known markers. Columns win ties.
+def grid_orientation(rows: DataFrame, heads: DataFrame, markers: DataFrame) -> DataFrame:
+    """(file, more): known markers among a file's header cells less those among its first cells. Files without any have no row.
 
-    Names meet the markers by name; what is grouped by file are counts. The result is written: a row per file.
+    Names meet the markers by name; what is grouped by file, or by the parts of files that rows were dealt by, are counts.
     """
+    part = [c for c in rows.columns if c == "_salt"]
     known = markers.select(F.col("marker_id").alias("id")).distinct()
-    across = heads.select("file", F.explode(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("id")).select("file", strip(F.col("id")).alias("id"), F.lit(1).alias("column"))
-    rows = data_rows(headed(lines, heads.withColumn("header", F.lit(None))))
-    down = rows.select("file", strip(F.element_at("cells", 1)).alias("id"), F.lit(0).alias("column"))
-    counts = across.unionByName(down).join(known.withColumn("known", F.lit(1)), "id", "left").groupBy("file").agg(
-        F.count_if((F.col("column") == 1) & F.col("known").isNotNull()).alias("n_columns"), F.count_if((F.col("column") == 0) & F.col("known").isNotNull()).alias("n_rows"),
-        F.count_if(F.col("column") == 0).alias("n"),
-    ).filter("n > 0").drop("n")
-    return land(counts.withColumn("markers_across", F.when((F.col("n_columns") > 0) | (F.col("n_rows") > 0), F.col("n_columns") >= F.col("n_rows"))), "grid-orientation")
+    across = heads.select("file", *[F.lit(0).alias(c) for c in part], F.explode(F.slice("header", 2, F.greatest(F.size("header") - 1, F.lit(0)))).alias("id"))
+    across = across.select("file", *part, strip(F.col("id")).alias("id"), F.lit(1).alias("counts"))
+    down = rows.select("file", *part, strip(F.element_at("cells", 1)).alias("id"), F.lit(-1).alias("counts"))
+    return across.unionByName(down).join(known, "id").groupBy("file", *part).agg(F.sum("counts").alias("more"))
 
 
 def parse_grid(lines: DataFrame, markers: DataFrame, controls: tuple[str, ...] = ("NTC",)) -> tuple[DataFrame, DataFrame]:
     """(calls, violations) of a grid with samples on one axis and markers on the other; its first line is the header.
 
-    The way a file faces becomes one of its facts, beside its header: lines meet both in one join.
+    A file has its markers across if its header has as many known markers as its first cells, or more. Where headers are too
+    large to be broadcast, this is found within the same plan: the lines are dealt once, for both, and no more is written.
     """
     heads = first_lines(lines)
-    facing = grid_orientation(lines, markers, heads)
-    turned = facing.filter("markers_across is not null").select("file", "markers_across")
-    rows = data_rows(headed(lines, land(heads.join(turned.hint("merge"), "file"), "grid-headers")), "markers_across")
-    violations = facing.filter("markers_across is null").select(
-        "file", F.lit(0).alias("ord"), F.lit("no axis of the grid matches the markers").alias("kind"), F.lit("").alias("detail")
-    )
+    text, parts, beside = by_file(filled(lines), heads)
+    part = [c for c in text.columns if c == "_salt"]
+    rows = data_rows(beside(text, parts(heads), "inner"), *part)
+    facing = grid_orientation(rows, heads, markers)
+    # counts of a file's parts, given to each of its parts
+    facing = parts(facing).groupBy("file", *part).agg(F.sum("more").alias("more")) if part else land(facing, "grid-orientation")
+    lost = rows.select("file").distinct().join(facing.select("file").distinct(), "file", "left_anti")
+    rows = beside(rows, facing.select("file", *part, (F.col("more") >= 0).alias("markers_across")), "inner")
+    violations = lost.select("file", F.lit(0).alias("ord"), F.lit("no axis of the grid matches the markers").alias("kind"), F.lit("").alias("detail"))
     width = F.greatest(F.size("header") - 1, F.lit(0))
     cells = (
         rows.select(

@@ -6,6 +6,7 @@ parses files, tables of lines, and test fixtures.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,12 @@ FILE_LINES = 1 << 20
 FILE_SALTS = 32
 
 
-def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: int | None = None) -> DataFrame:
-    """``rows`` with the columns of ``facts``, a written table of at most one row per file.
+def by_file(rows: DataFrame, facts: DataFrame, most_bytes: int | None = None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame, DataFrame, str], DataFrame]]:
+    """(rows, parts, beside): ``beside(rows, parts(facts), how)`` gives rows the columns of ``facts``, a written table of at most
+    one row per file.
+
+    Further facts of the same files may follow, over rows that keep a column ``_salt`` where there is one: the rows stay where
+    they are, and a plan that meets the same rows twice deals them once. ``parts`` repeats facts for each part of their file.
 
     The facts are sent to every executor if they measure at most ``most_bytes`` (``PER_FILE_BYTES`` by default). Beyond that
     there are many files, and rows meet the facts by file and a salt. A file may hold most of the rows, so the lines of files
@@ -60,15 +65,26 @@ def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: i
     """
     measured = facts.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
     if measured <= (PER_FILE_BYTES if most_bytes is None else most_bytes):
-        return rows.join(F.broadcast(facts), "file", how)
+        return rows, lambda facts: facts, lambda rows, facts, how: rows.join(F.broadcast(facts), "file", how)
     large = [r["file"] for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FILE_LINES).select("file").collect()]
-    salts = F.when(F.col("file").isin(large or [""]), F.lit(FILE_SALTS)).otherwise(F.lit(1))
-    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), salts).cast("int"))
-    return salted.join(repeated.hint("merge"), ["file", "_salt"], how).drop("_salt")
+    salts = F.when(F.col("file").isin(large) if large else F.lit(False), F.lit(FILE_SALTS)).otherwise(F.lit(1))
+
+    def parts(facts: DataFrame) -> DataFrame:
+        return facts.drop("_salt").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def beside(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+        return rows.join(facts.hint("merge"), ["file", "_salt"], how)
+
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("ord"), salts).cast("int")), parts, beside
+
+
+def per_file(rows: DataFrame, facts: DataFrame, how: str = "left", most_bytes: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a written table of at most one row per file."""
+    rows, parts, beside = by_file(rows, facts, most_bytes)
+    return beside(rows, parts(facts), how).drop("_salt")
 
 
-def _filled(text: DataFrame) -> DataFrame:
+def filled(text: DataFrame) -> DataFrame:
     return content(text).filter(~only_of(F.col("value"), ' \t,"'))
 
 
@@ -77,7 +93,7 @@ def headers(lines: DataFrame, looks_like_header: Column, delimiter: str | None =
 
     Candidates are filtered by their text and aggregated where they are read: a few lines per file meet.
     """
-    heads = _filled(lines).filter(looks_like_header).groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("head_ord"))
+    heads = filled(lines).filter(looks_like_header).groupBy("file").agg(F.min_by("value", "ord").alias("head"), F.min("ord").alias("head_ord"))
     d = sniff_delimiter(F.col("head")) if delimiter is None else F.lit(delimiter)
     return land(heads.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header")), "headers")
 
@@ -85,7 +101,7 @@ def headers(lines: DataFrame, looks_like_header: Column, delimiter: str | None =
 def first_lines(lines: DataFrame) -> DataFrame:
     """The same dictionary for formats whose header is the first line, whatever it says; a blank one is no header."""
     first = lines.groupBy("file").agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
-    first = _filled(first).withColumnsRenamed({"value": "head", "ord": "head_ord"})
+    first = filled(first).withColumnsRenamed({"value": "head", "ord": "head_ord"})
     d = sniff_delimiter(F.col("head"))
     return land(first.select("file", "head_ord", d.alias("delimiter"), cells(F.col("head"), d).alias("header")), "headers")
 
@@ -98,7 +114,7 @@ def headed(lines: DataFrame, heads: DataFrame | Column, delimiter: str | None =
     """
     if isinstance(heads, Column):
         heads = headers(lines, heads, delimiter)
-    return per_file(_filled(lines), heads)
+    return per_file(filled(lines), heads)
 
 
 def data_rows(headed_lines: DataFrame, *facts: str) -> DataFrame:
@@ -186,6 +202,6 @@ def require_clean(violations: DataFrame) -> None:
 
 
 __all__ = [
-    "Genotypes", "SourceError", "content", "data_rows", "early_rows", "encoding_audit", "first_by", "first_lines", "headed", "headers",
+    "Genotypes", "SourceError", "by_file", "content", "data_rows", "early_rows", "encoding_audit", "filled", "first_by", "first_lines", "headed", "headers",
     "named_rows", "per_file", "read_lines", "repeated_columns", "require_clean", "table_problems",
 ]
